@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import lang_id, token_counts
+from parlance.llm import decontaminate, lang_id, simple8b, storage, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +22,19 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, pieces, drop=("text",))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document repeats."""
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, written as Simple-8b shards and read back."""
+    path = f"{storage.shared_dir(spark)}/ids-{uuid.uuid4().hex}"
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        simple8b.write_ids(table(spark, sf_dir, "documents"), path, f.read(), end_id=1)
+    return simple8b.read_ids(spark, path)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every text, learned from four of five folds."""
     docs = table(spark, sf_dir, "documents")
@@ -31,6 +46,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_decontamination": op2_decontamination,
+    "op7_token_ids": op7_token_ids,
     "op10_language_id": op10_language_id,
 }
 
