@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import decontaminate, lang_id, simple8b, storage, token_counts
+from parlance.llm import dart_minhash, decontaminate, lang_id, simple8b, storage, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,11 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the class of its near copies."""
+    return dart_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text, written as Simple-8b shards and read back."""
     path = f"{storage.shared_dir(spark)}/ids-{uuid.uuid4().hex}"
@@ -47,6 +52,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_decontamination": op2_decontamination,
+    "op4_near_duplicates": op4_near_duplicates,
     "op7_token_ids": op7_token_ids,
     "op10_language_id": op10_language_id,
 }

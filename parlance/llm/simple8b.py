@@ -14,11 +14,16 @@ has that one id. Repeated rows are each written. Texts are encoded whole.
 
 from __future__ import annotations
 
+import hashlib
 import os
+import re
+import sys
+import types
 import zlib
 from array import array
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Callable, Iterator
+from itertools import chain, islice
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +33,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parlance.llm.arrow import slices
+from parlance.llm.token_counts import byte_characters
 
 #: Fixed values of the format: (ids, bits of each) by selector.
 SELECTORS = ((1, 64), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 COUNTS = np.array([n for n, _ in SELECTORS], np.int64)
 TOP = np.uint64(60)
 BLOCK = 8192
-#: Chunks whose ids a task keeps.
-KEPT_CHUNKS = 300_000
+#: Chunks and words whose ids a Python worker keeps between texts, about 150 bytes for each.
+KEPT_CHUNKS = 1_000_000
+ENCODED_AT_ONCE = 5_000
+SIMPLE = re.compile(r"([^\W\d_]+)([^\w\s]*)")
 
 
 def encode_block(values: np.ndarray) -> np.ndarray:
@@ -104,11 +112,27 @@ def decode(words: np.ndarray, offsets: np.ndarray, n: int, block: int = BLOCK, f
     return np.concatenate(parts)[first - b * block : last - b * block]
 
 
+def of_worker(name: str, make: Callable):
+    """What make() returned first in this Python worker process, for all its tasks."""
+    own = sys.modules.setdefault("_parlance_worker", types.ModuleType("_parlance_worker")).__dict__
+    if name not in own:
+        own[name] = make()
+    return own[name]
+
+
+def trim(kept: dict, most: int) -> None:
+    """Forget the older half of what is kept."""
+    if len(kept) > most:
+        for key in list(islice(kept, most // 2)):
+            del kept[key]
+
+
 class ChunkIds(dict):
     """Ids of blank-free chunks of a text, as little-endian 32-bit integers.
 
     The tokenizer's patterns never match across ASCII white space, so a text's ids are those of its chunks in a row, and
-    each chunk that a task has met before needs no second encoding.
+    a chunk met before needs no second encoding. Most chunks are a word of letters, perhaps with punctuation after it;
+    the tokenizer then cuts there, so word and punctuation are looked up apart, the word in lower case.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -116,15 +140,45 @@ class ChunkIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.words: dict[str, bytes] = {}
+        self.bytes = str.maketrans({chr(b): c for b, c in byte_characters().items()})
+
+    def word(self, word: str) -> bytes:
+        """Ids of a lower-case word of letters: one piece of the pre-tokenizer, in its characters for bytes."""
+        spelled = word if word.isascii() else word.encode("utf-8").decode("latin-1").translate(self.bytes)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(spelled)]).tobytes()
+
+    def fill(self, fresh: list[bytes]) -> None:
+        simple, others, words = [], [], set()
+        for chunk in fresh:
+            s = chunk.decode("utf-8")
+            found = SIMPLE.fullmatch(s)
+            if found:
+                word, tail = found[1].lower(), found[2]
+                if word.isalpha() and "Σ" not in s and (s.isascii() or is_normalized("NFC", s)):
+                    simple.append((chunk, word, tail))
+                    words.add(word)
+                    continue
+            others.append((chunk, s))
+        tails = {tail for _, _, tail in simple if tail and tail not in self.words}
+        others += [(None, tail) for tail in tails]
+        for at in range(0, len(others), ENCODED_AT_ONCE):
+            part = others[at : at + ENCODED_AT_ONCE]
+            for (chunk, s), e in zip(part, self.tokenizer.encode_batch_fast([s for _, s in part], add_special_tokens=False), strict=True):
+                ids = array("I", e.ids).tobytes()
+                if chunk is None:
+                    self.words[s] = ids
+                else:
+                    self[chunk] = ids
+        self.words.update((w, self.word(w)) for w in words if w not in self.words)
+        for chunk, word, tail in simple:
+            self[chunk] = self.words[word] + self.words[tail] if tail else self.words[word]
 
     def encode(self, texts: list) -> list[bytes]:
         chunks = [t.encode("utf-8").split() if t else () for t in texts]
-        fresh = list(set(chain.from_iterable(chunks)).difference(self))
-        if len(self) + len(fresh) > KEPT_CHUNKS:
-            self.clear()
-            fresh = list(set(chain.from_iterable(chunks)))
-        found = self.tokenizer.encode_batch_fast([c.decode("utf-8") for c in fresh], add_special_tokens=False)
-        self.update(zip(fresh, (array("I", e.ids).tobytes() for e in found), strict=True))
+        trim(self.words, KEPT_CHUNKS)
+        trim(self, KEPT_CHUNKS)
+        self.fill(list(set(chain.from_iterable(chunks)).difference(self)))
         return [b"".join(map(self.__getitem__, c)) for c in chunks]
 
 
@@ -141,11 +195,13 @@ def write_ids(docs: DataFrame, path: str, tokenizer_json: str, end_id: int, doc_
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
     schema = segments(docs.schema[doc_id].dataType)
     end = array("I", [end_id]).tobytes()
+    name = "ids-" + hashlib.md5(tokenizer_json.encode()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        ids, out, shard = ChunkIds(shared.value), to_arrow_schema(schema), TaskContext.get().partitionId()
+        ids = of_worker(name, lambda: ChunkIds(shared.value))
+        out, shard = to_arrow_schema(schema), TaskContext.get().partitionId()
         first = 0
         for i, part in enumerate(slices(batches, "text")):
             coded = [x + end for x in ids.encode(part.column("text").to_pylist())]
