@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import dart_minhash, decontaminate, lang_id, simple8b, storage, token_counts
+from parlance.llm import dart_minhash, decontaminate, lang_id, mixing, rabitq, secret_scan, simple8b, storage, token_counts, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,26 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dart_minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every text, by pattern and by Markov models of random strings and words."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    samples = secret_scan.sample_random(spark).unionByName(secret_scan.sample_words(docs))
+    found = secret_scan.scan(docs, secret_scan.train(samples))
+    counts = [secret_scan.of_kind(F.col("base_spans"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    digest = F.sha2(secret_scan.written(F.col("base_spans")).cast("binary"), 256).alias("base_sha256")
+    every = secret_scan.written(F.array_sort(F.concat("base_spans", "model_spans"))).alias("spans")
+    return found.select("doc_id", *counts, digest, every)
+
+
+#: The rules of the query on pages.
+RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's verdict, by rule or else by trees trained from the pages that rules decide."""
+    return url_filter.judged(table(spark, sf_dir, "pages"), RULES)
+
+
 def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text, written as Simple-8b shards and read back."""
     path = f"{storage.shared_dir(spark)}/ids-{uuid.uuid4().hex}"
@@ -40,6 +60,44 @@ def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.read_ids(spark, path)
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest vectors of each vector whose id is divisible by 50."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return rabitq.search(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
+
+
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents repeated to square-root weights of their sources, spread and ordered at random."""
+    return mixing.mixed(table(spark, sf_dir, "documents")).drop("rate")
+
+
+MIXING_SQL = """
+WITH mass AS (SELECT source, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS mass FROM documents GROUP BY source),
+weighed AS (SELECT source, mass, CASE WHEN mass > 0 THEN sqrt(mass) ELSE 0.0 END AS weight FROM mass),
+total AS (SELECT sum(mass) AS all_mass, sum(weight) AS all_weight FROM weighed),
+rates AS (SELECT source, CASE WHEN mass = 0 THEN 1.0 WHEN all_weight = 0 THEN 0.0 ELSE weight * all_mass / all_weight / mass END AS rate FROM weighed, total),
+sums AS (
+  SELECT source, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS p
+  FROM rates, range(0, 400) AS g(k) WHERE rate > 0),
+drawn AS (SELECT *, CAST('0x' || substr(md5('1|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / 4503599627370496.0 AS u FROM documents)
+SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, CAST(s.k + 1 AS INTEGER) AS copy,
+  CAST('0x' || substr(md5('2|' || coalesce(CAST(d.doc_id AS VARCHAR), '') || '|' || CAST(s.k + 1 AS VARCHAR)), 1, 13) AS BIGINT) / 4503599627370496.0 AS place
+FROM drawn d JOIN sums s ON d.source IS NOT DISTINCT FROM s.source AND s.p <= d.u
+"""
+
+NEAREST_SQL = """
+WITH kept AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.v, c.v) AS score
+  FROM kept q JOIN kept c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)),
+ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM pairs)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every text, learned from four of five folds."""
     docs = table(spark, sf_dir, "documents")
@@ -53,8 +111,13 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_decontamination": op2_decontamination,
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_secret_scan": op5_secret_scan,
+    "op6_url_filter": op6_url_filter,
     "op7_token_ids": op7_token_ids,
+    "op8_nearest_neighbours": op8_nearest_neighbours,
+    "op9_source_mixing": op9_source_mixing,
     "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: SQL can't express the other methods; tests hold those against brute force.
+ORACLE_SQL = {"op8_nearest_neighbours": NEAREST_SQL, "op9_source_mixing": MIXING_SQL}
