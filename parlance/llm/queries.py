@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import dart_minhash, decontaminate, lang_id, mixing, rabitq, secret_scan, simple8b, storage, token_counts, url_filter
+from parlance.llm import brown_lm, dart_minhash, decontaminate, lang_id, mixing, rabitq, secret_scan, simple8b, storage, token_counts, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,14 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and class-bigram scores of every text, learned from four of five folds."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = lang_id.fold("doc_id") == 1
+    model = brown_lm.fit(docs.where(~held_out))
+    return brown_lm.scored(docs.select("doc_id", held_out.alias("held_out"), "text"), model, drop=("text",))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the class of its near copies."""
     return dart_minhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -110,6 +118,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_decontamination": op2_decontamination,
+    "op3_class_lm": op3_class_lm,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_secret_scan": op5_secret_scan,
     "op6_url_filter": op6_url_filter,
