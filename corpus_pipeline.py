@@ -1,24 +1,63 @@
-"""From raw documents to token ids: five stages, each written as Parquet and reread as the next one's documents."""
+"""From raw documents to token ids: five stages, each written as Parquet and reread as the next one's documents.
+
+Every stage works on all rows that the one before kept. All but the last return the columns of documents.
+
+Defined cases: documents with a null or empty text or without a letter go with the first stage. Rows that repeat id and
+text leave one row. Null ids and sources are kept like others. Without benchmark items nothing is contaminated. Empty
+tables pass through. Other columns of documents are kept up to the last stage, whatever their names.
+"""
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import lang_id, storage
+from parlance.llm import dart_minhash, decontaminate, lang_id, mixing, simple8b, storage
 
 #: Documents whose n-gram ranks are farther than this from every language are rejected, as are those without a letter.
 LEAST_LANGUAGE_SCORE = 0.2
+TOKENIZER, END_ID = "word_bpe_49k.json", 1
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: documents in no learned language go."""
-    profiles = lang_id.fit(docs)
-    found = lang_id.predict(docs, profiles)
-    return found.where((F.col("lang_pred") != lang_id.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    """Language ID: documents in no learned language go. Profiles are learned from all that name their language."""
+    judged = lang_id.predict(docs, lang_id.fit(docs), names=("__lang_pred", "__score"))
+    return judged.where((F.col("__lang_pred") != lang_id.UNDETERMINED) & (F.col("__score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """MinHash near-dedup: one document of each class stays, that of the smallest id."""
+    return dart_minhash.one_of_each(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination: documents that repeat a benchmark item go."""
+    return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing: documents are repeated to the target weights of their sources and shuffled."""
+    return mixing.mixed(docs, names=("__copy", "__rate", "__place")).select(*docs.columns)
+
+
+def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids as Simple-8b shards, and what is in them of each document."""
+    path = f"{storage.shared_dir(spark)}/ids-{uuid.uuid4().hex}"
+    with open(public_tokenizers.path(TOKENIZER), encoding="utf-8") as f:
+        simple8b.write_ids(docs, path, f.read(), END_ID)
+    return simple8b.read_ids(spark, path)
 
 
-STAGES = [("language_id", keep_languages)]
+STAGES = [
+    ("language_id", keep_languages),
+    ("near_dedup", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("source_mixing", mix_sources),
+    ("token_ids", write_token_ids),
+]
 
 #: SQL can't express rank-order profiles, signatures or the tokenizer.
 ORACLE_SQL = None

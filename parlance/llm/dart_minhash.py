@@ -78,7 +78,7 @@ def signatures(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray, n:
             e, x, o = e[above], x[above], o[above]
             if not len(e):
                 break
-            seed = mixed(mixed(e ^ SEED) + np.uint64(1 + 64 * rank_cell + weight_cell) * STEP)
+            seed = mixed(mixed(e ^ SEED) + np.uint64((1 + 64 * rank_cell + weight_cell) * int(STEP) % 2**64))
             thrown = np.searchsorted(poisson_cdf((high - low) * (w_high - w_low)), (seed >> np.uint64(11)) * UNIT, "right")
             which = np.repeat(np.arange(len(e)), thrown)
             number = np.arange(len(which)) - np.repeat(np.cumsum(thrown) - thrown, thrown)

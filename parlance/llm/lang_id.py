@@ -140,8 +140,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", size: int = PRO
     return Profiles(languages, codes, ranks, size)
 
 
-def predict(docs: DataFrame, profiles: Profiles, text: str = "text", drop: tuple[str, ...] = ()) -> DataFrame:
-    """docs with lang_pred and score; the other columns stay."""
+def predict(docs: DataFrame, profiles: Profiles, text: str = "text", drop: tuple[str, ...] = (), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with the predicted language and its score under these names; the other columns stay."""
 
     def start():
         is_letter = letters()
@@ -152,7 +152,7 @@ def predict(docs: DataFrame, profiles: Profiles, text: str = "text", drop: tuple
 
         return work
 
-    return with_columns(docs, text, [("lang_pred", T.StringType()), ("score", T.DoubleType())], start, drop)
+    return with_columns(docs, text, [(names[0], T.StringType()), (names[1], T.DoubleType())], start, drop)
 
 
 def fold(doc_id: str, of: int = 5) -> Column:

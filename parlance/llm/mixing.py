@@ -60,20 +60,21 @@ def rates(docs: DataFrame, source: str = "source", text: str = "text", targets:
     return weighed.crossJoin(F.broadcast(total)).select("source", "mass", rate.alias("rate"))  # total is one row
 
 
-def replicated(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", targets: dict[str, float] | None = None, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
-    """docs repeated, with copy (from 1) and rate; in the order that they were in."""
+def mixed(
+    docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", targets: dict[str, float] | None = None,
+    temperature: float = TEMPERATURE, seed: int = SEED, names: tuple[str, str, str] = ("copy", "rate", "place"),
+) -> DataFrame:
+    """docs repeated and shuffled, with the number of the copy (from 1), the rate, and the number in [0, 1) that gives each row its place.
+
+    These three have the given names; columns of docs that have them too are replaced.
+    """
+    copy, rate, place = names
     found = rates(docs, source, text, targets, temperature)
-    known = found.select(F.col("source").alias("__source"), F.col("rate").alias("rate"), cumulative(F.col("rate")).alias("__sums"))
+    known = found.select(F.col("source").alias("__source"), F.col("rate").alias(rate), cumulative(F.col("rate")).alias("__sums"))
     if found.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         known = F.broadcast(known)
-    kept = docs.drop("copy", "rate")
-    drawn = kept.join(known, kept[source].eqNullSafe(known["__source"]))
-    n = F.size(F.filter("__sums", lambda p: p <= F.col("__u")))
-    drawn = drawn.withColumn("__u", uniform(F.lit(seed), doc_id)).withColumn("__n", n).where("__n > 0")
-    return drawn.select(*kept.columns, "rate", F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("copy"))
-
-
-def mixed(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", targets: dict[str, float] | None = None, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
-    """docs repeated and shuffled, with copy, rate and place, the number in [0, 1) that gives each row its place."""
-    found = replicated(docs, doc_id, source, text, targets, temperature, seed).withColumn("place", uniform(F.lit(seed + 1), F.col(doc_id), F.col("copy")))
-    return found.repartition("place").sortWithinPartitions("place")
+    kept = docs.drop(*names)
+    drawn = kept.join(known, kept[source].eqNullSafe(known["__source"])).withColumn("__u", uniform(F.lit(seed), doc_id))
+    drawn = drawn.withColumn("__n", F.size(F.filter("__sums", lambda p: p <= F.col("__u")))).where("__n > 0")
+    copies = drawn.select(*kept.columns, rate, F.explode(F.sequence(F.lit(1), F.col("__n"))).alias(copy))
+    return copies.withColumn(place, uniform(F.lit(seed + 1), doc_id, copy)).repartition(place).sortWithinPartitions(place)
