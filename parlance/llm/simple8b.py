@@ -22,7 +22,7 @@ import types
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
-from itertools import chain, islice
+from itertools import islice
 from unicodedata import is_normalized
 
 import numpy as np
@@ -41,8 +41,7 @@ COUNTS = np.array([n for n, _ in SELECTORS], np.int64)
 TOP = np.uint64(60)
 BLOCK = 8192
 #: Chunks and words whose ids a Python worker keeps between texts, about 150 bytes for each.
-KEPT_CHUNKS = 1_000_000
-ENCODED_AT_ONCE = 5_000
+KEPT_CHUNKS = 800_000
 SIMPLE = re.compile(r"([^\W\d_]+)([^\w\s]*)")
 
 
@@ -50,13 +49,19 @@ def encode_block(values: np.ndarray) -> np.ndarray:
     """Words of one block of non-negative integers below 2**64; the longest fitting selector is taken each time."""
     n = len(values)
     v = np.concatenate([values.astype(np.uint64), np.zeros(120, np.uint64)])
-    bits = np.where(v >> TOP > 0, 64, np.minimum(np.frexp(v.astype(np.float64))[1], 60))
-    choice = np.zeros(n, np.int64)
-    at = np.arange(len(v))
+    bits = np.where(v >> TOP > 0, 64, np.minimum(np.frexp(v.astype(np.float64))[1], 60)).astype(np.uint8)
+    choice = np.zeros(n, np.uint8)
     for s in range(len(SELECTORS) - 1, 0, -1):
         count, width = SELECTORS[s]
-        misfit = np.minimum.accumulate(np.where(bits > width, at, len(v))[::-1])[::-1]
-        choice[(misfit - at)[:n] >= count] = s
+        fits = bits <= width
+        if np.count_nonzero(fits[:n]) < min(count, n):
+            continue
+        reach = 1
+        while reach < count:  # fits[i]: so do the next ones, reach in all
+            more = min(reach, count - reach)
+            fits = fits[: len(fits) - more] & fits[more:]
+            reach += more
+        choice[fits[:n]] = s
     step = COUNTS[choice].tolist()
     starts, i = [], 0
     while i < n:
@@ -145,41 +150,35 @@ class ChunkIds(dict):
 
     def word(self, word: str) -> bytes:
         """Ids of a lower-case word of letters: one piece of the pre-tokenizer, in its characters for bytes."""
-        spelled = word if word.isascii() else word.encode("utf-8").decode("latin-1").translate(self.bytes)
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(spelled)]).tobytes()
-
-    def fill(self, fresh: list[bytes]) -> None:
-        simple, others, words = [], [], set()
-        for chunk in fresh:
-            s = chunk.decode("utf-8")
-            found = SIMPLE.fullmatch(s)
-            if found:
-                word, tail = found[1].lower(), found[2]
-                if word.isalpha() and "Σ" not in s and (s.isascii() or is_normalized("NFC", s)):
-                    simple.append((chunk, word, tail))
-                    words.add(word)
-                    continue
-            others.append((chunk, s))
-        tails = {tail for _, _, tail in simple if tail and tail not in self.words}
-        others += [(None, tail) for tail in tails]
-        for at in range(0, len(others), ENCODED_AT_ONCE):
-            part = others[at : at + ENCODED_AT_ONCE]
-            for (chunk, s), e in zip(part, self.tokenizer.encode_batch_fast([s for _, s in part], add_special_tokens=False), strict=True):
-                ids = array("I", e.ids).tobytes()
-                if chunk is None:
-                    self.words[s] = ids
-                else:
-                    self[chunk] = ids
-        self.words.update((w, self.word(w)) for w in words if w not in self.words)
-        for chunk, word, tail in simple:
-            self[chunk] = self.words[word] + self.words[tail] if tail else self.words[word]
-
-    def encode(self, texts: list) -> list[bytes]:
-        chunks = [t.encode("utf-8").split() if t else () for t in texts]
+        ids = self.words.get(word)
+        if ids is None:
+            spelled = word if word.isascii() else word.encode("utf-8").decode("latin-1").translate(self.bytes)
+            ids = self.words[word] = array("I", [t.id for t in self.tokenizer.model.tokenize(spelled)]).tobytes()
+        return ids
+
+    def whole(self, text: str) -> bytes:
+        """Ids by all of the tokenizer's steps."""
+        ids = self.words.get(text)
+        if ids is None:
+            ids = self.words[text] = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return ids
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        s = chunk.decode("utf-8")
+        found = SIMPLE.fullmatch(s)
+        word = found[1].lower() if found else ""
+        if word.isalpha() and (s.isascii() or ("Σ" not in s and is_normalized("NFC", s))):
+            ids = self.word(word) + self.whole(found[2]) if found[2] else self.word(word)
+        else:
+            ids = self.whole(s)
+        self[chunk] = ids
+        return ids
+
+    def encode(self, texts: list[bytes | None]) -> list[bytes]:
+        """Ids of each text, which is given in UTF-8."""
         trim(self.words, KEPT_CHUNKS)
         trim(self, KEPT_CHUNKS)
-        self.fill(list(set(chain.from_iterable(chunks)).difference(self)))
-        return [b"".join(map(self.__getitem__, c)) for c in chunks]
+        return [b"".join(map(self.__getitem__, t.split())) if t else b"" for t in texts]
 
 
 def segments(doc_id_type: T.DataType) -> T.StructType:
@@ -204,7 +203,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_json: str, end_id: int, doc_
         out, shard = to_arrow_schema(schema), TaskContext.get().partitionId()
         first = 0
         for i, part in enumerate(slices(batches, "text")):
-            coded = [x + end for x in ids.encode(part.column("text").to_pylist())]
+            coded = [x + end for x in ids.encode(part.column("text").cast(pa.binary()).to_pylist())]
             values = np.frombuffer(b"".join(coded), "<u4")
             words, offsets = encode(values)
             row = [shard, i, first, len(values), part.column("doc_id").to_pylist(), [len(x) // 4 for x in coded], BLOCK, offsets.tolist(), words.astype("<u8").tobytes()]
