@@ -39,7 +39,7 @@ class Automaton:
         self.child: dict[tuple[int, str], int] = {}
         parent, symbol, whole = [-1], [""], [False]
         for piece in vocabulary:
-            symbols = [*piece[: -len(end)], end] if end and piece.endswith(end) and piece != end else list(piece)
+            symbols = [*piece[: -len(end)], end] if end and piece.endswith(end) else list(piece)
             at = 0
             for s in symbols:
                 to = self.child.get((at, s))
