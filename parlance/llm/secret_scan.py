@@ -70,20 +70,23 @@ def sample_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
     return texts.select(F.explode(F.concat(words, pairs)).alias("sample"), F.lit("word").alias("label"))
 
 
-def train(samples: DataFrame, sample: str = "sample", label: str = "label", smoothing: float = 0.5) -> list[float]:
+def train(samples: DataFrame, sample: str = "sample", label: str = "label", weight: float = 4.0) -> list[float]:
     """Log-likelihood ratios of all transitions, row by row; samples not labelled `random` are ordinary.
 
-    The driver gets at most two counts for each pair of signs.
+    A transition's counts are smoothed by weight times how often its second sign follows any other, so that signs that a
+    class hardly has are unlikely in it after any sign. The driver gets at most two counts for each pair of signs.
     """
     steps = F.transform(F.sequence(F.lit(1), F.length(sample) - 1), lambda i: F.substring(F.col(sample), i, F.lit(2)))
     pairs = samples.where(F.length(sample) > 1).select((F.col(label) == RANDOM).alias("random"), F.explode(steps).alias("pair"))
     rows = pairs.where(F.col("pair").rlike(r"^[A-Za-z0-9+/_=-]{2}$")).groupBy("random", "pair").agg(F.count(F.lit(1)).alias("n")).collect()
     n = {(bool(r["random"]), r["pair"]): r["n"] for r in rows}
-    out = []
-    for a in SIGNS:
-        total = {k: sum(n.get((k, a + b), 0) for b in SIGNS) + smoothing * len(SIGNS) for k in (True, False)}
-        out += [math.log((n.get((True, a + b), 0) + smoothing) / total[True]) - math.log((n.get((False, a + b), 0) + smoothing) / total[False]) for b in SIGNS]
-    return out
+    logs = []
+    for kind in (True, False):
+        follows = [sum(n.get((kind, a + b), 0) for a in SIGNS) + 0.5 for b in SIGNS]
+        share = [x / sum(follows) for x in follows]
+        total = [sum(n.get((kind, a + b), 0) for b in SIGNS) for a in SIGNS]
+        logs.append([math.log((n.get((kind, a + b), 0) + weight * share[j]) / (total[i] + weight)) for i, a in enumerate(SIGNS) for j, b in enumerate(SIGNS)])
+    return [x - y for x, y in zip(*logs, strict=True)]
 
 
 def ratio(run: Column, table: list[float]) -> Column:
