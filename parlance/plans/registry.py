@@ -1,11 +1,15 @@
-"""All named queries."""
+"""All named queries, and the SQL that states the same results."""
 
 from __future__ import annotations
 
+from parlance.plans import metrics, record, speech, texts, voices
+
+MODULES = (record, speech, texts, voices, metrics)
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for m in MODULES for name, (query, _) in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, (_, sql) in m.QUERIES.items() if sql}
