@@ -1,8 +1 @@
 """Corpus preparation for language-model training: ten operators over documents, pages and embeddings."""
-
-import sys
-
-from pyspark import cloudpickle
-
-# Task code travels with the plan, so executors need no copy of this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
