@@ -51,10 +51,10 @@ def enrolment_window(channel: Column, start_ms: Column, end_ms: Column) -> Colum
     return F.when((channel == "mic") & (end_ms - start_ms >= 1500), F.struct(start_ms.alias("start_ms"), F.least(end_ms, start_ms + 10_000).alias("end_ms")))
 
 
-def silence_limit(elapsed_ms: Column, long_ms: int = 600, short_ms: int = 150, from_ms: int = 15_000, cap_ms: int = 25_000) -> Column:
-    """How much silence ends speech: less and less from from_ms on."""
-    part = F.least(F.greatest((elapsed_ms - from_ms) / float(cap_ms - from_ms), F.lit(0.0)), F.lit(1.0))
-    return long_ms - part * (long_ms - short_ms)
+def silence_threshold(elapsed_ms: Column, high: float = 0.80, low: float = 0.35, from_ms: int = 3_000, to_ms: int = 20_000) -> Column:
+    """The speech probability below which a frame is silence: falls from high to low while a chunk grows."""
+    part = F.least(F.greatest((elapsed_ms - from_ms) / float(to_ms - from_ms), F.lit(0.0)), F.lit(1.0))
+    return high - part * (high - low)
 
 
 @pandas_udf(ArrayType(FloatType()))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parlance.operators import intervals
 from parlance.sources import project as P
+from parlance.streaming import fold, machines
 
 
 def merge_turns(spark, d):
@@ -74,7 +75,7 @@ def voiced_share(spark, d):
     order = Window.partitionBy("meeting").orderBy(F.col("ms").desc(), "cluster")
     ranked = mine.withColumn("place", F.row_number().over(order))
     found = ranked.groupBy("meeting").agg(F.max(F.when(F.col("place") == 1, F.col("cluster"))).alias("leader"), F.max(F.when(F.col("place") == 1, F.col("ms"))).alias("leader_ms"), F.coalesce(F.max(F.when(F.col("place") == 2, F.col("ms"))), F.lit(0).cast("long")).alias("second_ms"), F.sum("ms").alias("total_ms"))
-    return found.withColumn("dominant", (F.col("leader_ms") >= 20_000) & (10 * F.col("leader_ms") >= 3 * F.col("total_ms")) & (2 * (F.col("leader_ms") - F.col("second_ms")) > F.col("leader_ms") * 0))
+    return found.withColumn("dominant", (F.col("leader_ms") >= 20_000) & (10 * F.col("leader_ms") >= 3 * F.col("total_ms")) & (F.col("leader_ms") > F.col("second_ms")))
 
 
 def match_gate(spark, d):
@@ -166,3 +167,45 @@ QUERIES = {
     "enrolled_before": (enrolled_before, S("SELECT cluster, meeting, meeting > min(meeting) OVER (PARTITION BY cluster) AS seen_before FROM (SELECT DISTINCT cluster, meeting FROM turns)", "turns")),
     "windows_embeddable": (windows_embeddable, S("SELECT event_id, s AS start_ms, s + least(end_ms - start_ms, 3000) AS end_ms FROM (SELECT *, CASE WHEN end_ms - start_ms > 3000 THEN start_ms + (end_ms - start_ms - 3000) // 2 ELSE start_ms END AS s FROM turns WHERE end_ms - start_ms >= 1500)", "turns")),
 }
+
+
+def vad_sessions(spark, d):
+    """Chunks of speech from frames whose probability is a turn's value."""
+    frames = P.table(spark, d, "events").select(F.col("user_id").alias("meeting"), "event_id", (F.col("value") % 10 / 10).alias("p"))
+    return fold.folded(frames, ["meeting"], ["event_id"], machines.SpeechChunks, "meeting long, start_ms long, end_ms long, forced boolean")
+
+
+def noise_floor(spark, d):
+    """How many frames of each meeting are speech over an adaptive noise floor."""
+    frames = P.turns(spark, d).select("meeting", F.col("start_ms").alias("at_ms"), ((F.col("end_ms") - F.col("start_ms")) / 100_000.0).alias("rms"), (F.col("event_id") % 5 / 10.0).alias("crossings"))
+    rows = fold.folded(frames, ["meeting"], ["at_ms"], machines.NoiseFloor, "meeting long, at_ms long, p double")
+    return rows.groupBy("meeting").agg(F.count_if(F.col("p") >= 0.5).alias("speech"), F.count(F.lit(1)).alias("frames"))
+
+
+def policy_replay(spark, d):
+    """What is recorded as microphones are held and let go of."""
+    events = P.detections(spark, d).withColumn("event_id", F.col("event_id").cast("string"))
+    return fold.folded(events, ["session"], ["at_ms"], machines.RecordingPolicy, "session long, at_ms long, action string, subject string")
+
+
+def joined_channels(spark, d):
+    """Both channels of each meeting joined on one clock, late frames trimmed or dropped."""
+    frames = P.turns(spark, d).select("meeting", "channel", "start_ms", "end_ms", "event_id")
+    return fold.folded(frames, ["meeting"], ["event_id"], machines.TwoChannels, "meeting long, start_ms long, end_ms long, mic_ms long, system_ms long")
+
+
+def restarts(spark, d):
+    """Restarts of a channel that fails, with waits, until its budget is used up."""
+    events = P.turns(spark, d).select("meeting", "channel", F.col("start_ms").alias("at_ms"), (F.col("event_id") % 3 == 0).alias("healthy"))
+    return fold.folded(events, ["meeting", "channel"], ["at_ms"], machines.Restarts, "meeting long, channel string, at_ms long, action string, wait_s long")
+
+
+QUERIES |= {
+    "vad_sessions": (vad_sessions, None),
+    "noise_floor": (noise_floor, None),
+    "policy_replay": (policy_replay, None),
+    "joined_channels": (joined_channels, None),
+    "restarts": (restarts, S("""SELECT meeting, channel, at_ms, CASE WHEN n > 3 THEN 'end' ELSE 'restart' END AS action, CASE WHEN n > 3 THEN 0 ELSE CAST(pow(2, n - 1) AS BIGINT) END AS wait_s FROM (
+  SELECT *, count(*) FILTER (NOT healthy) OVER (PARTITION BY meeting, channel, spell ORDER BY at_ms) AS n FROM (
+    SELECT meeting, channel, start_ms AS at_ms, event_id % 3 = 0 AS healthy, count(*) FILTER (event_id % 3 = 0) OVER (PARTITION BY meeting, channel ORDER BY start_ms) AS spell FROM turns)) WHERE NOT healthy""", "turns")),
+}
