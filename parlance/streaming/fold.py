@@ -36,7 +36,9 @@ def streamed(events: DataFrame, keys: list[str], order: list[str], machine: Call
     names = [part.split()[0] for part in schema.split(", ")]
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        m = pickle.loads(state.get[0]) if state.exists else machine()
+        m = machine()
+        if state.exists:
+            vars(m).update(pickle.loads(state.get[0]))
         rows, found = pd.concat(list(batches)).sort_values(order), []
         for event in rows.to_dict("records"):
             found += m.on(event)
@@ -44,7 +46,7 @@ def streamed(events: DataFrame, keys: list[str], order: list[str], machine: Call
             found += m.end()
             state.remove()
         else:
-            state.update((pickle.dumps(m),))
+            state.update((pickle.dumps(vars(m)),))
         yield _rows(key, found, names)
 
     return events.groupBy(*keys).applyInPandasWithState(run, schema, "machine binary", "append", GroupStateTimeout.NoTimeout)
