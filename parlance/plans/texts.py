@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parlance.functions import text as T
-from parlance.operators import chunks, search
+from parlance.operators import chunks, search, summaries
 from parlance.plans import record
 from parlance.sources import project as P
 
@@ -114,12 +114,43 @@ def chunk_lines(spark, d):
 
 def action_checks(spark, d):
     """of each segment's distinctive words, how many its speaker says anywhere in the meeting."""
-    rows = record.labelled(spark, d).select("meeting", "sequence", "label", F.explode(T.distinctive(F.coalesce("text", F.lit("")))).alias("word"))
+    rows = record.labelled(spark, d).select("meeting", "sequence", "label", F.explode(F.array_distinct(T.distinctive(F.coalesce("text", F.lit(""))))).alias("word"))
     claims = rows.select(F.col("meeting"), F.col("sequence"), F.concat(F.lit("Speaker "), (F.col("sequence") % 3 + 1).cast("string")).alias("label"), "word")
     said = rows.select("meeting", "label", "word").distinct().withColumn("said", F.lit(1))
     return claims.join(said, ["meeting", "label", "word"], "left").groupBy("meeting", "sequence").agg(F.count(F.lit(1)).alias("words"), F.count("said").alias("said")).withColumn("borne_out", F.col("said") * 2 >= F.col("words"))
 
 
+def made_summaries(spark, d):
+    """Summaries of each meeting: a few of its lines as table rows, under their own speaker, the next one's or nobody's name."""
+    rows = record.labelled(spark, d).select("meeting", "sequence", "label", F.coalesce("text", F.lit("")).alias("text"))
+    who = F.when(F.col("sequence") % 4 == 1, "Participant").when(F.col("sequence") % 4 == 2, "Nobody").otherwise(F.col("label"))
+    what = F.array_join(F.slice(T.words(T.spaced(F.col("text"))), 1, 12), " ")
+    lines = rows.select("meeting", "sequence", F.concat(F.lit("| "), who, F.lit(" | "), what, F.lit(" | | |")).alias("line"))
+    return lines.groupBy("meeting").agg(F.concat(F.lit("# Plan\n| Who | What | When | Said at |\n| --- | --- | --- | --- |\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sequence", "line"))), lambda x: x["line"]), "\n")).alias("summary"))
+
+
+def spoken_parts(spark, d):
+    return record.labelled(spark, d).select("meeting", "sequence", F.col("label").alias("speaker"), "text")
+
+
+def summary_checks(spark, d):
+    """which rows of a summary its people bear out."""
+    return summaries.checked(made_summaries(spark, d), spoken_parts(spark, d)).select("meeting", "line", "who", "verdict")
+
+
+def placeholder_rows(spark, d):
+    """summaries without rows that credit nobody in particular."""
+    return summaries.without_placeholders(made_summaries(spark, d))
+
+
+def quoted_summaries(spark, d):
+    """summaries all of whose words come from one line."""
+    own = F.concat(F.lit("word"), F.md5(F.concat_ws("-", "meeting", "sequence")))
+    lines = spoken_parts(spark, d).withColumn("text", F.concat_ws(" ", "text", own))
+    copied = lines.where("sequence = meeting % 3 and meeting % 4 <> 0").select("meeting", F.element_at(F.split("text", " "), -1).alias("summary"))
+    return summaries.quoted(copied, lines)
+
+
 def search_index(spark, d):
     return search.postings(docs(spark, d).withColumnRenamed("doc_id", "id"), "id", "source", "text")
 
@@ -183,4 +214,7 @@ QUERIES = {
     "postings": (postings, S("SELECT id, count(*) AS words, count(DISTINCT term) AS kinds FROM words GROUP BY id", "words")),
     "search_hits": (search_hits, S("SELECT id, score, hits FROM found", "words", "found")),
     "search_snippets": (search_snippets, None),
+    "summary_checks": (summary_checks, None),
+    "placeholder_rows": (placeholder_rows, None),
+    "quoted_summaries": (quoted_summaries, None),
 }

@@ -322,3 +322,22 @@ def test_stream_equals_batch(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted(map(tuple, spark.table("chunks").collect())) == sorted(map(tuple, batch.collect())) != []
+
+
+def test_summaries(spark):
+    from parlance.operators import summaries
+
+    said = spark.createDataFrame([(1, 0, "Ann", "I will prepare the quarterly numbers"), (1, 1, "Bob", "and I will call everyone tomorrow"), (1, 2, "Bob", "fine")], "meeting long, sequence long, speaker string, text string")
+    table = "# T\n| Who | What | When | Said at |\n|---|---|---|---|\n| Ann | prepare quarterly numbers | | |\n| Bob | prepare quarterly numbers | | |\n| Eve | prepare numbers | | |\n| Bob | it is | | |"
+    made = spark.createDataFrame([(1, table)], "meeting long, summary string")
+    assert [r["verdict"] for r in summaries.checked(made, said).orderBy("line").collect()] == ["borne-out", "unattributed", "unknown-speaker", "empty"]
+    empty = spark.createDataFrame([(1, "intro\n| Who | What | When | Said at |\n|---|---|---|---|\n| **Participant** | x | | |\nend")], "meeting long, summary string")
+    r = summaries.without_placeholders(empty).first()
+    assert (r["summary"], r["dropped"]) == ("intro\nNone noted.\nend", 1)
+    copied = spark.createDataFrame([(1, "Prepare quarterly numbers.")], "meeting long, summary string")
+    assert [r["sequence"] for r in summaries.quoted(copied, said).collect()] == [0]
+    mixed = spark.createDataFrame([(1, "Prepare numbers, call everyone.")], "meeting long, summary string")
+    assert summaries.quoted(mixed, said).count() == 0
+    parts = spark.createDataFrame([(1, 0, "a"), (1, 1, "boom"), (1, 2, "c"), (2, 0, "boom")], "meeting long, chunk long, lines string")
+    got = {r["meeting"]: (r["summary"], r["gaps"]) for r in summaries.mapped_and_reduced(parts, lambda t: {"a": "A", "c": "C"}[t], lambda t: t.replace("\n\n", "+")).collect()}
+    assert got == {1: ("A+C", 1), 2: (None, 1)}
