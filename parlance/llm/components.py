@@ -19,15 +19,15 @@ def components(links: DataFrame) -> DataFrame:
     links and an empty table are fine.
     """
     edges = saved(links.where("a <> b").select("a", "b").distinct(), "links")
-    labels = saved(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node")), "labels")
+    labels = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node"))
     for _ in range(MOST_ROUNDS):
         if edges.isEmpty():
-            return labels
+            return saved(labels, "labels")
         both = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
         parents = both.groupBy(F.col("a").alias("root")).agg(F.min("b").alias("parent")).select("root", F.least("root", "parent").alias("parent"))
         jump = parents.select(F.col("root").alias("parent"), F.col("parent").alias("above"))
         parents = saved(parents.join(jump, "parent", "left").select("root", F.coalesce("above", "parent").alias("parent")), "parents")
-        labels = saved(labels.join(parents, "root", "left").select("node", F.coalesce("parent", "root").alias("root")), "labels")
+        labels = labels.join(parents, "root", "left").select("node", F.coalesce("parent", "root").alias("root"))
         pa = parents.select(F.col("root").alias("a"), F.col("parent").alias("pa"))
         pb = parents.select(F.col("root").alias("b"), F.col("parent").alias("pb"))
         moved = edges.join(pa, "a").join(pb, "b").where("pa <> pb")

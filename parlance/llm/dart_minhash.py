@@ -12,9 +12,10 @@ classes are the connected components of verified links:
 
 1. Texts of the same words are one from the start, so copies cost nothing further.
 2. In each bucket, every text is compared with one member.
-3. Where a bucket still holds more than one class, further members are compared, four times as many each round, with
-   those of other classes, until all belong together or all pairs between classes have been compared. No cap cuts this
-   short, and no pair within a class is ever listed.
+3. Where a bucket still holds more than one class, its most shared member, and then further members, REGROW times as
+   many each round, are compared with those of other classes, until all belong together or all pairs between classes have been compared. Pairs that can't
+   be similar enough, since too many elements of one of them occur in no other such text, are left out. No cap cuts
+   this short, and no pair within a class is ever listed.
 
 With BANDS of ROWS coordinates, a pair of similarity 0.8 is missed with probability 5e-5, one of 0.9 with 4e-10.
 
@@ -47,7 +48,8 @@ BANDS, ROWS = 25, 5
 UNIT = 2.0**-53
 SEED = np.uint64(0xA0761D6478BD642F)
 STEP = np.uint64(0x9E3779B97F4A7C15)
-REGROW = 4
+#: How many times more members are compared each round.
+REGROW = 16
 
 
 def edges_of(cell: int) -> tuple[float, float]:
@@ -190,6 +192,25 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
+def most_common(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(tid, size, common) of the members (tid, root): how many elements they have, and how many of these occur in another class.
+
+    Two texts of different classes share at most the smaller common, which bounds their similarity before they are compared.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for tid, root, elements in zip(batch.column("tid").to_pylist(), batch.column("root").to_pylist(), batch.column("elements"), strict=True):
+                found = np.frombuffer(elements.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), tid, np.int64)), pa.array(np.full(len(found), root, np.int64))], names=["element", "tid", "root"])
+
+    mine = sets.join(members, "tid")
+    each = mine.select("tid", "root", "elements").mapInArrow(run, "element long, tid long, root long")
+    several = each.groupBy("element").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("element")
+    common = each.join(several, "element").groupBy("tid").agg(F.count(F.lit(1)).alias("common"))
+    return mine.select("tid", (F.octet_length("elements") / 8).cast("long").alias("size")).join(common, "tid").select("tid", "size", "common")
+
+
 def classed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, width: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, class_key) for each row; rows without words have a null class_key."""
     rows = saved(signed(docs, doc_id, text, width), "signed")
@@ -206,24 +227,42 @@ def classed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
     pairs = saved(shared.where("tid <> head").select(F.col("head").alias("a"), F.col("tid").alias("b")).distinct(), "pairs")
     links = saved(verified(pairs, sets, similarity), "links")
     roots = components(links)
-    tested, reach = pairs, 1
-    unsettled = shared.where("n > 2")
+    tested, reach, bounds = pairs, 1, 0
+    draw = F.pmod(F.xxhash64("tid"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    unsettled = shared.where("n > 2").select("bucket", "tid", "n")
     while True:
         # buckets with members of several classes, of which not all pairs between classes have been compared
-        named = unsettled.join(roots.withColumnRenamed("node", "tid"), "tid", "left").select("bucket", "tid", "n", F.coalesce("root", "tid").alias("root"))
+        named = unsettled.join(roots.withColumnRenamed("node", "tid"), "tid", "left").withColumn("root", F.coalesce("root", "tid"))
         several = named.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("bucket")
         unsettled = saved(named.join(several, "bucket"), "unsettled")
         if unsettled.isEmpty():
             break
-        reach *= REGROW
-        draw = F.pmod(F.xxhash64("tid", "bucket"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        chosen = unsettled.where(draw * F.col("n") < reach).select("bucket", F.col("tid").alias("other"), F.col("root").alias("other_root"))
-        fresh = unsettled.join(chosen, "bucket").where((F.col("root") != F.col("other_root")) & (F.col("tid") != F.col("other")))
+        if bounds < 2:
+            bounds += 1
+            able = most_common(unsettled.select("tid", "root").distinct(), sets).where(F.col("common") >= similarity * F.col("size") - 1e-9)
+            unsettled = unsettled.drop("size", "common", "bands").join(able.join(texts.select("tid", "bands"), "tid"), "tid")
+            unsettled = saved(unsettled, "unsettled")
+        if bounds == 1:
+            # the one that shares most of itself is likely the text that the others were made from
+            chosen = unsettled.groupBy("bucket").agg(F.max_by(F.struct("tid", "root", "size", "common", "bands"), F.struct(F.col("common") / F.col("size"), "tid")).alias("c")).select("bucket", "c.*")
+        else:
+            reach *= REGROW
+            fresh_ones = (draw * F.col("n") < reach) & ((draw * F.col("n") >= reach / REGROW) | F.lit(reach == REGROW))
+            chosen = unsettled.where(fresh_ones)
+        chosen = chosen.select("bucket", F.col("tid").alias("other"), F.col("root").alias("other_root"), F.col("size").alias("other_size"), F.col("common").alias("other_common"), F.col("bands").alias("other_bands"))
+        both = F.least("common", "other_common")
+        possible = both >= similarity * (F.col("size") + F.col("other_size") - both) - 1e-9
+        # a pair is compared when the first of the two is chosen, in the first bucket that both are in
+        other_draw = F.pmod(F.xxhash64("other"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        once = (F.struct(other_draw, "other") < F.struct(draw, "tid")) & (F.array_min(F.array_intersect("bands", "other_bands")) == F.col("bucket"))
+        fresh = unsettled.join(chosen, "bucket").where((F.col("root") != F.col("other_root")) & (F.col("tid") != F.col("other")) & possible & (once if bounds > 1 else F.lit(True)))
         fresh = fresh.select(F.least("tid", "other").alias("a"), F.greatest("tid", "other").alias("b")).distinct()
         fresh = saved(fresh.join(tested, ["a", "b"], "left_anti"), "pairs")
         more = saved(verified(fresh, sets, similarity), "links")
-        links, tested = links.union(more), tested.union(fresh)
-        roots = components(links)
+        tested = tested.union(fresh)
+        if not more.isEmpty():
+            links = links.union(more)
+            roots = components(links)
         unsettled = unsettled.where(F.col("n") > reach).drop("root")
     joined = texts.select("words_key", "tid").join(roots.withColumnRenamed("node", "tid"), "tid", "left")
     named = joined.select("words_key", F.coalesce("root", "tid").alias("class_key"))
