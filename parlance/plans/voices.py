@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parlance.functions import vectors as V
-from parlance.operators import matching
+from parlance.operators import live, matching
 from parlance.sources import project as P
 
 
@@ -99,6 +99,22 @@ def enrolment_windows(spark, d):
     return found.where("w is not null").select("event_id", "w.start_ms", "w.end_ms")
 
 
+def live_turns(spark, d):
+    """The turns that windows of segmentation agree on."""
+    turns = P.turns(spark, d)
+    at = F.floor(F.col("start_ms") / 10_000).cast("long")
+    seen = turns.select("meeting", "channel", at.alias("window"), F.col("event_id").alias("id"), F.col("cluster").alias("voice"), F.array(F.array("start_ms", "end_ms")).alias("runs"), F.when(F.col("event_id") % 3 != 0, F.array(F.lit(1.0), (F.col("event_id") % 5).cast("double"))).alias("vector"))
+    windows = turns.select("meeting", "channel", at.alias("window")).distinct().select("meeting", "channel", (F.col("window") * 10_000).alias("start_ms"), (F.col("window") * 10_000 + 15_000).alias("end_ms"))
+    return live.assembled(seen, windows)[0]
+
+
+def enrolment_replay(spark, d):
+    """Outcomes of a history replayed meeting by meeting, counted."""
+    rows = P.exemplars(spark, d).where("meeting is not null and not is_negative")
+    chapters = rows.select(F.lit(0).cast("long").alias("series"), F.col("meeting").alias("chapter"), F.col("id").alias("cluster"), F.col("speaker_id").alias("person"), "vector", (F.col("voiced_ms") * 3 / 1000.0).alias("seconds"))
+    return live.replayed(chapters.where("cluster < 2000"), floor=0.3, margin=0.02).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
 S = P.sql
 P.SQL["means"] = """means AS (SELECT speaker_id, meeting, n, list(x ORDER BY i) AS v FROM (
   SELECT speaker_id, meeting, i, count(*) AS n, sum(vector[i] * voiced_ms) / sum(voiced_ms) AS x FROM exemplars, range(1, 65) AS r(i) WHERE NOT is_negative AND meeting IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2, 3)"""
@@ -125,6 +141,8 @@ QUERIES = {
     "nearest_is_right": (nearest_is_right, S("""SELECT count(*) AS asked, round(avg(CASE WHEN nearest = speaker_id THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) AS "right" FROM (
   SELECT a.speaker_id, b.speaker_id AS nearest FROM means a JOIN means b ON a.meeting <> b.meeting QUALIFY row_number() OVER (PARTITION BY a.speaker_id, a.meeting ORDER BY list_cosine_similarity(a.v, b.v) DESC, b.speaker_id DESC) = 1)""", "exemplars", "means")),
     "same_window_pairs": (same_window_pairs, S('SELECT a.meeting, a.id // 20 AS "window", a.id, b.id AS other FROM exemplars a JOIN exemplars b ON a.meeting = b.meeting AND a.id // 20 = b.id // 20 AND a.id <> b.id', "exemplars")),
+    "live_turns": (live_turns, None),
+    "enrolment_replay": (enrolment_replay, None),
     "agglomerate": (agglomerate, None),
     "agglomerate_constrained": (agglomerate_constrained, None),
     "two_voices": (two_voices, None),

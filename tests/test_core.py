@@ -341,3 +341,35 @@ def test_summaries(spark):
     parts = spark.createDataFrame([(1, 0, "a"), (1, 1, "boom"), (1, 2, "c"), (2, 0, "boom")], "meeting long, chunk long, lines string")
     got = {r["meeting"]: (r["summary"], r["gaps"]) for r in summaries.mapped_and_reduced(parts, lambda t: {"a": "A", "c": "C"}[t], lambda t: t.replace("\n\n", "+")).collect()}
     assert got == {1: ("A+C", 1), 2: (None, 1)}
+
+
+def test_filterbank():
+    from parlance.functions import audio
+
+    t = np.arange(16_000) / 16_000
+    low, high = (audio.filterbank(np.sin(2 * np.pi * hz * t), centred=False) for hz in (300, 3000))
+    assert low.shape == (98, 80) and low.mean(0).argmax() < high.mean(0).argmax()
+    assert abs(audio.filterbank(np.sin(t * 999)).mean(0)).max() < 1e-9 and audio.filterbank(np.zeros(10)).shape == (0, 80)
+
+
+def test_live(spark):
+    from parlance.operators import live
+
+    rows = spark.createDataFrame([([0.1, 0.9, 0.2],), ([0.5, 0.1, 0.1, 0.1, 0.5],), ([0.0] * 7 + [1.0],)], "s array<double>")
+    assert [r[0] for r in rows.select(live.speakers_of(F.col("s"))).collect()] == [[0], [0, 1], []]
+    seen = spark.createDataFrame([(1, "mic", 0, 0, 5, [[0, 1000], [1200, 2000]], [1.0, 0.0]), (1, "mic", 1, 1, 5, [[0, 500]], None), (1, "mic", 1, 2, 6, [[3000, 4000]], [0.0, 2.0])], "meeting long, channel string, window long, id long, voice long, runs array<array<long>>, vector array<double>")
+    windows = spark.createDataFrame([(1, "mic", 0, 5000), (1, "mic", 0, 2500), (1, "mic", 0, 900)], "meeting long, channel string, start_ms long, end_ms long")
+    turns, voices = live.assembled(seen, windows)
+    assert sorted((r["cluster"], r["start_ms"], r["end_ms"]) for r in turns.collect()) == [(5, 0, 2000), (6, 3000, 4000)]
+    assert {r["cluster"]: (r["vector"], r["voiced_ms"]) for r in voices.collect()} == {5: ([1.0, 0.0], 2000), 6: ([0.0, 1.0], 1000)}
+    p = live.provisional(spark.createDataFrame([(1, 1, [[1.0, 3.0], [3.0, 5.0]]), (1, 2, [])], "meeting long, id long, frames array<array<double>>"))
+    assert [(r["id"], r["vector"]) for r in p.collect()] == [(1, [2.0, 4.0])]
+
+
+def test_replay(spark):
+    from parlance.operators import live
+
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(0, 0, 0, 1, a, 20.0), (0, 1, 0, 1, a, 20.0), (0, 1, 1, 2, b, 20.0), (0, 2, 0, 2, b, 5.0), (0, 2, 1, 3, a, 5.0), (0, 3, 0, 1, [0.0, 0.0, 1.0], 5.0)]
+    got = live.replayed(spark.createDataFrame(rows, "series long, chapter long, cluster long, person long, vector array<double>, seconds double")).orderBy("chapter", "cluster").collect()
+    assert [r["outcome"] for r in got] == ["correct-new", "correct", "correct-new", "correct", "false-attach", "abstain-enrolled"]
