@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-QUERY_BLOCK = 4_096
+QUERY_BLOCK = 2_048
 #: The centre is fitted on at most so many vectors, those of the smallest hashes of id.
 SAMPLE = 4_096
 #: Deviations of the error bound: the chance to miss a neighbour is under 1e-4 for each vector.
@@ -32,6 +32,7 @@ EPSILON = 4.0
 SEED = 7
 #: Rows coded at once.
 SLICE = 1_024
+RANKED_AT_ONCE = 50_000
 
 
 def usable(vector: str = "vector"):
@@ -94,27 +95,38 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def nearest_in(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, centre: np.ndarray, turn: np.ndarray, k: int, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query_id, vec_id, score) of the k nearest of these vectors for each query, itself left out."""
-    lower, upper = bounds(code(vectors, centre, turn), unit(queries), centre, turn, epsilon)
+def nearest_in(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, centre: np.ndarray, turn: np.ndarray, k: int, floor: np.ndarray, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query_id, vec_id, score) of the k nearest of these vectors for each query, itself left out.
+
+    The vectors of the best estimates are ranked first; with floor, the k-th best of what was seen before, their cosines
+    tell what upper bound a vector must reach to be ranked as well.
+    """
+    u, q = unit(vectors), unit(queries)
+    lower, upper = bounds(code(vectors, centre, turn), q, centre, turn, epsilon)
     own = query_ids[:, None] == ids[None, :]
-    lower[own], upper[own] = -np.inf, -np.inf
     need = k * int(np.unique(ids, return_counts=True)[1].max())
-    if lower.shape[1] > need:
-        least = np.partition(lower, lower.shape[1] - need, axis=1)[:, lower.shape[1] - need]
-    else:
-        least = np.full(len(queries), -np.inf)
-    q, v = np.nonzero((upper >= least[:, None]) & ~own)
-    score = cosines(vectors[v], queries[q])
-    order = np.lexsort((ids[v], -score, q))
-    q, v, score = q[order], v[order], score[order]
-    pair = np.stack([q, ids[v]], 1)
-    _, first = np.unique(pair, axis=0, return_index=True)
+    if len(ids) > need + 1:
+        estimate = np.where(own, -np.inf, lower + upper)
+        best = np.argpartition(estimate, len(ids) - need, axis=1)[:, len(ids) - need :]
+        exact = np.einsum("qd,qkd->qk", q, u[best])
+        exact[np.take_along_axis(own, best, 1)] = -np.inf
+        floor = np.maximum(floor, exact.min(1))
+    rows, columns = np.nonzero((upper >= floor[:, None] - 1e-9) & ~own)
+    score = np.concatenate([np.einsum("nd,nd->n", u[columns[i : i + RANKED_AT_ONCE]], q[rows[i : i + RANKED_AT_ONCE]]) for i in range(0, len(rows), RANKED_AT_ONCE)] or [np.zeros(0)])
+    near = score >= floor[rows] - 1e-9
+    rows, columns = rows[near], columns[near]
+    return topped(rows, query_ids, ids[columns], cosines(vectors[columns], queries[rows]), k)
+
+
+def topped(rows: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each query, each id once, ties to the smaller id."""
+    order = np.lexsort((ids, -score, rows))
+    rows, ids, score = rows[order], ids[order], score[order]
+    _, first = np.unique(np.stack([rows, ids], 1), axis=0, return_index=True)
     first.sort()
-    q, v, score = q[first], v[first], score[first]
-    start = np.searchsorted(q, q)
-    best = np.arange(len(q)) - start < k
-    return query_ids[q[best]], ids[v[best]], score[best]
+    rows, ids, score = rows[first], ids[first], score[first]
+    best = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    return query_ids[rows[best]], ids[best], score[best]
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_id", embedding: str = "embedding", epsilon: float = EPSILON) -> DataFrame:
@@ -132,7 +144,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_id
     def passed(block: list) -> DataFrame:
         by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for d in {len(v) for _, v in block}:
-            mine = [(i, v) for i, v in block if len(v) == d]
+            mine = sorted((i, v) for i, v in block if len(v) == d)
             by_size[d] = (np.array([i for i, _ in mine], np.int64), np.array([v for _, v in mine], float))
         shared = spark.sparkContext.broadcast((by_size, centres))
 
@@ -149,8 +161,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_id
                     for at in range(0, len(mine), SLICE):
                         part = mine[at : at + SLICE]
                         v = flat[starts[part][:, None] + np.arange(d)]
-                        found = nearest_in(ids[part], v, query_ids, asked_for, middle.get(d, np.zeros(d)), turns[d], k, epsilon)
-                        best[d] = merged(best.get(d), found, k)
+                        found = nearest_in(ids[part], v, query_ids, asked_for, middle.get(d, np.zeros(d)), turns[d], k, kth(best.get(d), query_ids, k), epsilon)
+                        best[d] = merged(best.get(d), found, query_ids, k)
             for found in best.values():
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=schema.names)
 
@@ -168,15 +180,21 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_id
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def merged(a: tuple | None, b: tuple, k: int) -> tuple:
-    """The k best of both for each query."""
+def merged(a: tuple | None, b: tuple, query_ids: np.ndarray, k: int) -> tuple:
+    """The k best of both for each query; query_ids are sorted."""
     if a is None:
         return b
-    q, v, s = (np.concatenate(x) for x in zip(a, b, strict=True))
-    order = np.lexsort((v, -s, q))
-    q, v, s = q[order], v[order], s[order]
-    _, first = np.unique(np.stack([q, v], 1), axis=0, return_index=True)
-    first.sort()
-    q, v, s = q[first], v[first], s[first]
-    best = np.arange(len(q)) - np.searchsorted(q, q) < k
-    return q[best], v[best], s[best]
+    asked, ids, score = (np.concatenate(x) for x in zip(a, b, strict=True))
+    return topped(np.searchsorted(query_ids, asked), query_ids, ids, score, k)
+
+
+def kth(found: tuple | None, query_ids: np.ndarray, k: int) -> np.ndarray:
+    """The k-th best score found so far for each query, or minus infinity."""
+    out = np.full(len(query_ids), -np.inf)
+    if found is not None:
+        rows = np.searchsorted(query_ids, found[0])
+        full = np.bincount(rows, minlength=len(query_ids)) >= k
+        least = np.full(len(query_ids), np.inf)
+        np.minimum.at(least, rows, found[2])
+        out[full] = least[full]
+    return out
