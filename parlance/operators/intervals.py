@@ -21,7 +21,7 @@ def buckets(start: Column, end: Column, width: int = BUCKET_MS) -> Column:
 
 
 def merged(frame: DataFrame, *keys: str, gap_ms: int = MERGE_GAP_MS) -> DataFrame:
-    """(keys, start_ms, end_ms): intervals of a key joined where they are at most gap_ms apart, touching included."""
+    """(keys, start_ms, end_ms): intervals of a key joined where they are at most gap_ms apart, touching included. Empty ones are left out."""
     order = Window.partitionBy(*keys).orderBy("start_ms", "end_ms")
     reach = F.max("end_ms").over(order.rowsBetween(Window.unboundedPreceding, -1))
     begins = F.when(reach.isNull() | (F.col("start_ms") > reach + gap_ms), 1).otherwise(0)

@@ -68,7 +68,7 @@ def joined(into: dict[int, int], frame: DataFrame, *columns: str) -> DataFrame:
 
 
 def resolve(frame: DataFrame, typed: str, column: str = "id", anywhere: bool = False) -> DataFrame:
-    """Up to two rows that a typed id means: the exact one, else those that start with (or contain) it."""
+    """Up to two rows that a typed id means: the exact one, else those that start with (or contain) it."""
     bare = "".join(c for c in typed.lower() if c in "0123456789abcdef")
     exact = frame.where(F.col(column) == typed).limit(1)
     if not exact.isEmpty():

@@ -21,7 +21,7 @@ def postings(docs: DataFrame, key: str = "id", *fields: str) -> DataFrame:
 
 
 def phrases(query: str) -> list[list[str]]:
-    """Each blank-separated token is a phrase of its words; tokens without a word ask for nothing."""
+    """Each blank-separated token is a phrase of its words; tokens without a word ask for nothing."""
     cut = ["".join(c.lower() if c.isalnum() else " " for c in token).split() for token in query.split()]
     return [p for p in cut if p]
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from parlance.functions import text as T
 from parlance.functions import vectors as V
-from parlance.operators import registry, upkeep
+from parlance.operators import registry, rerun, upkeep
 from parlance.plans import record, voices
 from parlance.sources import project as P
+from parlance.streaming import captions, fold
 
 
 def dominant_voice(spark, d):
@@ -123,6 +125,53 @@ def id_prefixes(spark, d):
     return rows.where(F.regexp_replace(F.lower("name"), "-", "").startswith("a"))
 
 
+def meeting_by_id(spark, d):
+    """One meeting by its id."""
+    return P.meetings(spark, d).where("id = 7").select("id", "started_at", "title")
+
+
+def rerun_backlog(spark, d):
+    """A re-run's meetings when one before it was not done."""
+    queue = P.queue(spark, d)
+    return rerun.backlog(queue.where("meeting % 9 = 0"), queue.where("meeting % 4 = 0"), queue.where("meeting % 5 <> 0"))
+
+
+def outran_rerun(spark, d):
+    """Meetings from before a re-run of the same app, by instant."""
+    rows = P.meetings(spark, d)
+    return rerun.outran(rows, rows.where("id % 17 = 3")).select("id")
+
+
+def rename_preview(spark, d):
+    """What renaming speaker 3 to a held name would join."""
+    seen = registry.appearances(P.speakers(spark, d), record.heard(spark, d), P.meetings(spark, d))
+    return rerun.rename_preview(P.speakers(spark, d), seen, 3, "NAME 4")
+
+
+def sample_sources(spark, d):
+    """K2, K6: what is played of each speaker."""
+    return rerun.sample_sources(P.exemplars(spark, d))
+
+
+def markdown_lines(spark, d):
+    """kinds of lines in summaries."""
+    line = F.element_at(F.array(*[F.lit(x) for x in ("# Head", "- item", "2. item", "| a | b |", "|---|:-:|", "plain", "  ")]), (F.col("doc_id") % 7 + 1).cast("int"))
+    return P.table(spark, d, "documents").select("doc_id", T.block_kind(line).alias("kind"))
+
+
+def dropped_captions(spark, d):
+    """Captions that subscribers with short queues miss."""
+    events = P.turns(spark, d).select("meeting", F.col("start_ms").alias("at_ms"), F.when(F.col("event_id") % 3 == 0, "read").otherwise("caption").alias("kind"))
+    return fold.folded(events, ["meeting"], ["at_ms"], captions.Subscriber, "meeting long, at_ms long, what string, n long").groupBy("meeting", "what").agg(F.sum("n").alias("n"))
+
+
+def decode_context(spark, d):
+    """Decodes that are done once more, since the language changed."""
+    rows = P.table(spark, d, "conversations").select(F.col("conv_id").alias("meeting"), F.col("turn").alias("at_ms"), "text", (F.col("turn") / 3).cast("int").cast("string").alias("language"))
+    out = fold.folded(rows, ["meeting"], ["at_ms"], captions.Context, "meeting long, at_ms long, context string, again boolean")
+    return out.where("again").select("meeting", "at_ms")
+
+
 S = P.sql
 TIME = "(SELECT meeting, cluster, sum(end_ms - start_ms) AS ms FROM turns WHERE channel = 'mic' GROUP BY 1, 2)"
 P.SQL["leaders"] = f"""leaders AS (SELECT meeting, cluster FROM (SELECT *, row_number() OVER w AS place, lead(ms) OVER w AS second, sum(ms) OVER (PARTITION BY meeting) AS total FROM {TIME} WINDOW w AS (PARTITION BY meeting ORDER BY ms DESC, cluster))
@@ -167,5 +216,13 @@ QUERIES = {
     "acknowledgement": (acknowledgement, S("SELECT id AS meeting, id % 5 AS generation, CASE WHEN id % 2 = 0 THEN least(id % 5, 2) ELSE 0 END AS acknowledged FROM meetings WHERE id % 5 > CASE WHEN id % 2 = 0 THEN least(id % 5, 2) ELSE 0 END", "meetings")),
     "suggested_titles": (suggested_titles, S("SELECT id, coalesce(title, 'Suggested ' || id) AS title FROM meetings", "meetings")),
     "name_lookup": (name_lookup, S("SELECT 'NAME ' || n_nationkey AS typed, min(id) AS id FROM nation JOIN speakers ON lower('NAME ' || n_nationkey) = lower(display_name) GROUP BY 1", "speakers")),
+    "meeting_by_id": (meeting_by_id, S("SELECT id, started_at, title FROM meetings WHERE id = 7", "meetings")),
+    "rerun_backlog": (rerun_backlog, S("SELECT meeting FROM queue WHERE meeting % 9 = 0 OR (meeting % 4 = 0 AND meeting % 5 <> 0)", "queue")),
+    "outran_rerun": (outran_rerun, S("SELECT m.id FROM meetings m WHERE EXISTS (SELECT 1 FROM meetings r WHERE r.id % 17 = 3 AND r.detected_app = m.detected_app AND CAST(m.started_at AS TIMESTAMPTZ) < CAST(r.started_at AS TIMESTAMPTZ))", "meetings")),
+    "rename_preview": (rename_preview, S("SELECT p.id, count(DISTINCT h.meeting) AS meetings FROM speakers p LEFT JOIN heard h ON h.speaker_id = p.id WHERE p.id = 3 OR lower(p.display_name) = 'name 4' GROUP BY p.id", "segments", "hints", "heard", "speakers")),
+    "sample_sources": (sample_sources, S("SELECT speaker_id, min(id) AS id, least(min_by(voiced_ms, id), 8000) AS ms FROM exemplars WHERE NOT is_negative GROUP BY speaker_id", "exemplars")),
+    "markdown_lines": (markdown_lines, "SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'heading' WHEN 1 THEN 'item' WHEN 2 THEN 'item' WHEN 3 THEN 'row' WHEN 4 THEN 'rule' WHEN 5 THEN 'text' END AS kind FROM documents"),
+    "dropped_captions": (dropped_captions, None),
+    "decode_context": (decode_context, "SELECT conv_id AS meeting, turn AS at_ms FROM (SELECT *, lag(turn // 3) OVER (PARTITION BY conv_id ORDER BY turn) AS last FROM conversations) WHERE last IS NOT NULL AND last <> turn // 3"),
     "id_prefixes": (id_prefixes, S("SELECT id, md5(CAST(id AS VARCHAR)) AS name FROM meetings WHERE md5(CAST(id AS VARCHAR)) LIKE 'a%'", "meetings")),
 }

@@ -373,3 +373,33 @@ def test_replay(spark):
     rows = [(0, 0, 0, 1, a, 20.0), (0, 1, 0, 1, a, 20.0), (0, 1, 1, 2, b, 20.0), (0, 2, 0, 2, b, 5.0), (0, 2, 1, 3, a, 5.0), (0, 3, 0, 1, [0.0, 0.0, 1.0], 5.0)]
     got = live.replayed(spark.createDataFrame(rows, "series long, chapter long, cluster long, person long, vector array<double>, seconds double")).orderBy("chapter", "cluster").collect()
     assert [r["outcome"] for r in got] == ["correct-new", "correct", "correct-new", "correct", "false-attach", "abstain-enrolled"]
+
+
+def test_rerun_accounts():
+    from parlance.operators.rerun import Rerun, may_work, wanted
+
+    r = Rerun("m", "1", total=5, remaining=5)
+    r = r.finished(2).given_up()
+    assert (r.done, r.remaining, r.abandoned, r.running) == (2, 2, 1, True)
+    r = r.deleted()
+    assert r.done + r.remaining + r.abandoned == r.total == 4
+    assert not r.cancel().running and r.finished(9).remaining == 0 and r.given_up(9).abandoned == 2
+    assert wanted(("a", "1"), ("a", "2")) and not wanted(None, ("a", "2")) and not may_work(True, False) and may_work(True, True)
+
+
+def test_captions(spark, tmp_path):
+    from parlance.streaming import captions
+
+    c = lambda at: {"at_ms": at, "kind": "caption"}
+    rows = play(captions.Subscriber(room=1), [c(0), c(1), c(2), {"at_ms": 3, "kind": "read"}, c(4)])
+    assert rows == [(0, "caption", 1), (4, "missed", 2), (4, "caption", 1)]
+    e = lambda at, text, language: {"at_ms": at, "text": text, "language": language}
+    assert play(captions.Context(words=2), [e(0, "a b c", "en"), e(1, "d", "en"), e(2, "x", "zh"), e(3, "y", "zh")]) == [(0, "", False), (1, "b c", False), (2, "", True), (3, "x", False)]
+    changes = spark.createDataFrame([(i % 130,) for i in range(300)], "meeting long")
+    changes.write.parquet(str(tmp_path / "in"))
+    sizes = []
+    now, later = captions.subscribed(spark, str(tmp_path / "in"), changes.schema)
+    query = captions.rebuilt_on_change(later, lambda part: sizes.append(part.count()), str(tmp_path / "state")).start()
+    query.processAllAvailable()
+    query.stop()
+    assert now.count() == 300 and sizes == [64, 64, 2]
