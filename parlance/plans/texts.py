@@ -27,7 +27,7 @@ def text_plain(spark, d):
 
 def text_judged(spark, d):
     """what silence yields, and what says nothing."""
-    short = F.concat(F.element_at(F.array(F.lit("Thank you."), F.lit("..."), F.lit("[BLANK_AUDIO]"), F.lit("aaaa bbbb aaaa"), F.lit("好"), F.lit("Yes")), (F.col("doc_id") % 6 + 1).cast("int")), F.when(F.col("doc_id") % 5 == 4, F.substring("text", 1, 20)).otherwise(F.lit("")))
+    short = F.concat(F.element_at(F.array(F.lit("Thank you."), F.lit("..."), F.lit("[BLANK_AUDIO]"), F.lit("aaaa bbbb aaaa"), F.lit("好"), F.lit("Yes")), (F.col("doc_id") % 6 + 1).cast("int")), F.when(F.col("doc_id") % 5 == 4, F.col("source")).otherwise(F.lit("")))
     return docs(spark, d).select("doc_id", T.invented(short).alias("invented"), T.meaningless(short).alias("meaningless"))
 
 
@@ -121,10 +121,10 @@ def action_checks(spark, d):
 
 
 def made_summaries(spark, d):
-    """Summaries of each meeting: a few of its lines as table rows, under their own speaker, the next one's or nobody's name."""
+    """Summaries of each meeting: its lines as table rows, under their own speaker, the next one's or nobody's name."""
     rows = record.labelled(spark, d).select("meeting", "sequence", "label", F.coalesce("text", F.lit("")).alias("text"))
     who = F.when(F.col("sequence") % 4 == 1, "Participant").when(F.col("sequence") % 4 == 2, "Nobody").otherwise(F.col("label"))
-    what = F.array_join(F.slice(T.words(T.spaced(F.col("text"))), 1, 12), " ")
+    what = T.spaced(F.col("text"))
     lines = rows.select("meeting", "sequence", F.concat(F.lit("| "), who, F.lit(" | "), what, F.lit(" | | |")).alias("line"))
     return lines.groupBy("meeting").agg(F.concat(F.lit("# Plan\n| Who | What | When | Said at |\n| --- | --- | --- | --- |\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sequence", "line"))), lambda x: x["line"]), "\n")).alias("summary"))
 
@@ -190,7 +190,7 @@ QUERIES = {
     "text_plain": (text_plain, f"SELECT doc_id, md5({PLAIN.format(t='text')}) AS plain, md5({SPACED.format(t='text')}) AS spaced FROM documents"),
     "text_judged": (text_judged, f"""SELECT doc_id, {PLAIN.format(t='s')} IN ('thank you', 'blankaudio', 'you', 'okay') AS invented,
   NOT regexp_matches(s, '[\\p{{L}}\\p{{N}}]') OR (length(trim(s)) > 10 AND len(list_distinct(string_split(regexp_replace(s, '\\s', '', 'g'), ''))) <= 3) AS meaningless
-  FROM (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'Thank you.' WHEN 1 THEN '...' WHEN 2 THEN '[BLANK_AUDIO]' WHEN 3 THEN 'aaaa bbbb aaaa' WHEN 4 THEN '好' ELSE 'Yes' END || CASE WHEN doc_id % 5 = 4 THEN substr(text, 1, 20) ELSE '' END AS s FROM documents)"""),
+  FROM (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'Thank you.' WHEN 1 THEN '...' WHEN 2 THEN '[BLANK_AUDIO]' WHEN 3 THEN 'aaaa bbbb aaaa' WHEN 4 THEN '好' ELSE 'Yes' END || CASE WHEN doc_id % 5 = 4 THEN source ELSE '' END AS s FROM documents)"""),
     "repetition": (repetition, f"SELECT conv_id, turn, CASE WHEN len(w) < 2 THEN 0.0::DOUBLE ELSE round(1.0 - len(list_distinct(w))::DOUBLE / len(w), 6) END AS ratio FROM (SELECT conv_id, turn, string_split({PLAIN.format(t='text')}, ' ') AS w FROM conversations)"),
     "text_clean": (text_clean, None),
     "collapse_phrases": (collapse_phrases, None),

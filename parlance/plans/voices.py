@@ -79,12 +79,12 @@ def same_window_pairs(spark, d):
 
 def agglomerate(spark, d):
     """The clusters of each meeting's observations, closest first."""
-    return matching.agglomerated(P.exemplars(spark, d).where("meeting is not null and id < 3000"), 0.35)
+    return matching.agglomerated(P.exemplars(spark, d).where("meeting is not null"), 0.35)
 
 
 def agglomerate_constrained(spark, d):
     """The same with pairs of a window kept apart."""
-    rows = P.exemplars(spark, d).where("meeting is not null and id < 3000")
+    rows = P.exemplars(spark, d).where("meeting is not null")
     return matching.agglomerated(rows, 0.35, same_window_pairs(spark, d))
 
 
@@ -112,7 +112,7 @@ def enrolment_replay(spark, d):
     """Outcomes of a history replayed meeting by meeting, counted."""
     rows = P.exemplars(spark, d).where("meeting is not null and not is_negative")
     chapters = rows.select(F.lit(0).cast("long").alias("series"), F.col("meeting").alias("chapter"), F.col("id").alias("cluster"), F.col("speaker_id").alias("person"), "vector", (F.col("voiced_ms") * 3 / 1000.0).alias("seconds"))
-    return live.replayed(chapters.where("cluster < 2000"), floor=0.3, margin=0.02).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+    return live.replayed(chapters, floor=0.3, margin=0.02).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
 S = P.sql
