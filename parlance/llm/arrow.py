@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,7 +12,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: A slice holds at most so many rows and, unless one text alone is longer, so many bytes of text.
-SLICE_ROWS, SLICE_BYTES = 2_000, 6_000_000
+SLICE_ROWS, SLICE_BYTES = 2_000, 3_000_000
+
+
+#: Rows that Spark hands to Python at once, where the session has no setting of its own. Texts may be long.
+BATCH_ROWS = 1_000
+BATCH_SETTING, BATCH_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
+def release() -> None:
+    """Hand freed memory back, since a worker lives on and its later tasks may be of another kind."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+    if trim:
+        trim(0)
+
+
+def mapped(df: DataFrame, run: Callable, schema: T.StructType | str) -> DataFrame:
+    """df.mapInArrow(run, schema) over batches of bounded size; each task hands its memory back at its end."""
+    spark = df.sparkSession
+    if spark.conf.get(BATCH_SETTING, BATCH_DEFAULT) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return df.mapInArrow(tidy, schema)
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
@@ -49,4 +76,4 @@ def with_columns(df: DataFrame, text: str, fields: list[tuple[str, T.DataType]],
             yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + made, names=[*keep, *(f.name for f in wanted)])
 
     source = df if text in keep else df.select(*keep, text)
-    return source.mapInArrow(run, schema)
+    return mapped(source, run, schema)

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parlance.llm.arrow import with_columns
+from parlance.llm.arrow import mapped, with_columns
 from parlance.llm.components import components
 from parlance.llm.storage import saved
 from parlance.llm.words import SHINGLE, WordHashes, mixed, shingles_of_text
@@ -189,7 +189,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     both = pairs.join(sets.select(F.col("tid").alias("a"), F.col("elements").alias("left")), "a").join(sets.select(F.col("tid").alias("b"), F.col("elements").alias("right")), "b")
-    return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+    return mapped(both.select("a", "b", "left", "right"), run, "a long, b long")
 
 
 def most_common(members: DataFrame, sets: DataFrame) -> DataFrame:
@@ -205,7 +205,7 @@ def most_common(members: DataFrame, sets: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), tid, np.int64)), pa.array(np.full(len(found), root, np.int64))], names=["element", "tid", "root"])
 
     mine = sets.join(members, "tid")
-    each = mine.select("tid", "root", "elements").mapInArrow(run, "element long, tid long, root long")
+    each = mapped(mine.select("tid", "root", "elements"), run, "element long, tid long, root long")
     several = each.groupBy("element").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("element")
     common = each.join(several, "element").groupBy("tid").agg(F.count(F.lit(1)).alias("common"))
     return mine.select("tid", (F.octet_length("elements") / 8).cast("long").alias("size")).join(common, "tid").select("tid", "size", "common")

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parlance.llm.arrow import slices, with_columns
+from parlance.llm.arrow import mapped, slices, with_columns
 
 UNDETERMINED = "und"
 PROFILE_SIZE = 300
@@ -114,7 +114,7 @@ def count_ngrams(docs: DataFrame, text: str = "text", lang: str = "lang") -> Dat
         yield from out()
 
     known = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias(text), F.col(lang).cast("string").alias(lang))
-    return known.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return mapped(known, run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", size: int = PROFILE_SIZE) -> Profiles:

@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parlance.llm.arrow import mapped
+
 QUERY_BLOCK = 2_048
 #: The centre is fitted on at most so many vectors, those of the smallest hashes of id.
 SAMPLE = 4_096
@@ -166,7 +168,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_id
             for found in best.values():
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=schema.names)
 
-        return every.mapInArrow(run, schema)
+        return mapped(every, run, schema)
 
     out, block = None, []
     for row in asked.toLocalIterator():

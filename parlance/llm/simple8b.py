@@ -14,14 +14,11 @@ has that one id. Repeated rows are each written. Texts are encoded whole.
 
 from __future__ import annotations
 
-import hashlib
 import os
 import re
-import sys
-import types
 import zlib
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import islice
 from unicodedata import is_normalized
 
@@ -32,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parlance.llm.arrow import slices
+from parlance.llm.arrow import mapped, slices
 from parlance.llm.token_counts import byte_characters
 
 #: Fixed values of the format: (ids, bits of each) by selector.
@@ -40,8 +37,8 @@ SELECTORS = ((1, 64), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10
 COUNTS = np.array([n for n, _ in SELECTORS], np.int64)
 TOP = np.uint64(60)
 BLOCK = 8192
-#: Chunks and words whose ids a Python worker keeps between texts, about 150 bytes for each.
-KEPT_CHUNKS = 800_000
+#: Words and chunks whose ids a task keeps, about 150 bytes for each.
+KEPT_WORDS, KEPT_CHUNKS = 500_000, 600_000
 SIMPLE = re.compile(r"([^\W\d_]+)([^\w\s]*)")
 
 
@@ -117,14 +114,6 @@ def decode(words: np.ndarray, offsets: np.ndarray, n: int, block: int = BLOCK, f
     return np.concatenate(parts)[first - b * block : last - b * block]
 
 
-def of_worker(name: str, make: Callable):
-    """What make() returned first in this Python worker process, for all its tasks."""
-    own = sys.modules.setdefault("_parlance_worker", types.ModuleType("_parlance_worker")).__dict__
-    if name not in own:
-        own[name] = make()
-    return own[name]
-
-
 def trim(kept: dict, most: int) -> None:
     """Forget the older half of what is kept."""
     if len(kept) > most:
@@ -176,7 +165,7 @@ class ChunkIds(dict):
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Ids of each text, which is given in UTF-8."""
-        trim(self.words, KEPT_CHUNKS)
+        trim(self.words, KEPT_WORDS)
         trim(self, KEPT_CHUNKS)
         return [b"".join(map(self.__getitem__, t.split())) if t else b"" for t in texts]
 
@@ -194,12 +183,11 @@ def write_ids(docs: DataFrame, path: str, tokenizer_json: str, end_id: int, doc_
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
     schema = segments(docs.schema[doc_id].dataType)
     end = array("I", [end_id]).tobytes()
-    name = "ids-" + hashlib.md5(tokenizer_json.encode()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        ids = of_worker(name, lambda: ChunkIds(shared.value))
+        ids = ChunkIds(shared.value)
         out, shard = to_arrow_schema(schema), TaskContext.get().partitionId()
         first = 0
         for i, part in enumerate(slices(batches, "text")):
@@ -213,7 +201,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_json: str, end_id: int, doc_
     # The order of equal ids is by text; ranges are cut before the texts are encoded, so each is encoded once.
     ordered = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("tie", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
     ordered = ordered.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").drop("tie")
-    ordered.mapInArrow(run, schema).write.option("compression", "none").parquet(path)
+    mapped(ordered, run, schema).write.option("compression", "none").parquet(path)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -242,4 +230,4 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                 starts = base[row["shard"].as_py()] + row["first"].as_py() + ends - lengths
                 yield pa.RecordBatch.from_arrays([row["doc_ids"].values, pa.array(starts), pa.array(lengths), pa.array(crc, pa.int64())], names=schema.names)
 
-    return found.mapInArrow(run, schema)
+    return mapped(found, run, schema)
