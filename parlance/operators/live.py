@@ -56,6 +56,8 @@ def replayed(chapters: DataFrame, floor: float = matching.MATCH_FLOOR, margin: f
     the voices enrolled so far, then teaches them. A history is sequential, so one series is one group.
     """
 
+    least_ms = upkeep.LEAST_SPEAKER_MS
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         names: list[int] = []  # who each enrolled voice first was
         sums: list[np.ndarray] = []
@@ -76,7 +78,7 @@ def replayed(chapters: DataFrame, floor: float = matching.MATCH_FLOOR, margin: f
                     taught.append((best, v[i]))
                 else:
                     what = "abstain-enrolled" if person in known else "correct-new"
-                    if seconds * 1000 >= upkeep.LEAST_SPEAKER_MS:
+                    if seconds * 1000 >= least_ms:
                         taught.append((-1, (person, v[i])))
                 out.append((rows["series"].iloc[0], chapter, cluster, person, what, seconds))
             for place, what in taught:
