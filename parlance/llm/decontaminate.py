@@ -1,16 +1,18 @@
 """Benchmark decontamination: passages of documents that repeat a benchmark item.
 
-A document's windows have as many words as the item. Each window and item gets a 64-bit SimHash of its weighted shingles
+A document's windows have as many words as the item; the start and the end of a text clip windows, down to 0.8 of the
+item's shingles, so that an item cut short by them, or that is more than the whole text, is found. Each window and item gets a 64-bit SimHash of its weighted shingles
 (weight: how often a shingle occurs). Fingerprints are cut into BLOCKS blocks; two of Hamming distance up to RADIUS agree
 in some block up to RADIUS // BLOCKS bits, so probing each block's neighbourhood finds every item within the radius. The
 pairs found are then verified by the exact weighted Jaccard similarity of their shingles.
 
-A window is fingerprinted only if enough of its shingles occur in items of its size: similarity t needs t times the size
-of the item in common, so no window left out could be verified.
+A window is fingerprinted only if enough of its shingles occur in items of its (unclipped) size: similarity t needs t
+times the size of the item in common, so no window left out could be verified.
 
 Shingles have five words (lower-cased runs of letters, digits and underscores), the similarity is 0.8 or more. An item of
 fewer words has one shingle of them all. Defined cases: null and empty items and texts match nothing; repeated items
-report once, repeated documents each by itself; of equally similar windows the first is reported. Texts and items are
+report once, repeated documents each by itself; of equally similar windows the first is
+reported, of those the longest. Texts and items are
 read whole. A benchmark beyond the bounds of one index is handled in several, each over all documents.
 """
 
@@ -64,6 +66,19 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return float(both) / float(a[1].sum() + b[1].sum() - both)
 
 
+def windows(n: int, size: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(first shingle, end) of the windows of a text of n shingles for items of so many: the first ones first, longer ones before shorter.
+
+    Besides those of full size, windows clipped by the start or end of the text, down to the similarity's share of the size.
+    """
+    least = max(int(np.ceil(similarity * size - 1e-9)), 1)
+    clipped = np.arange(min(n, size - 1), least - 1, -1)
+    full = np.arange(max(n - size + 1, 0))
+    after = clipped[clipped < n]  # a window of the whole text is clipped at both ends and is one
+    starts = np.concatenate([full[:1], np.zeros(len(clipped), np.int64), full[1:], n - after])
+    return starts, np.concatenate([full[:1] + size, clipped, full[1:] + size, np.full(len(after), n)])
+
+
 @dataclass
 class Index:
     """Items that have words, with their fingerprints sorted by block; sizes: items and shingles for each word count."""
@@ -125,22 +140,22 @@ class Index:
             total = None
             for n in [n for n, x in self.by_size.items() if min(width, n) == w and np.isin(hit, x).any()]:
                 size = n - w + 1
-                if len(own) < size:
-                    continue
                 common = np.concatenate([[0], np.cumsum(np.isin(own, self.by_size[n]))])
-                starts = np.flatnonzero(common[size:] - common[:-size] >= similarity * size - 1e-9)
-                if not len(starts):
+                starts, ends = windows(len(own), size, similarity)
+                enough = common[ends] - common[starts] >= similarity * size - 1e-9
+                if not enough.any():
                     continue
+                starts, ends = starts[enough], ends[enough]
                 if total is None:
                     total = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(signs(own), axis=0, dtype=np.int32)])
-                for at, fingerprint in zip(starts.tolist(), packed(total[starts + size] - total[starts]), strict=True):
+                for at, end, fingerprint in zip(starts.tolist(), ends.tolist(), packed(total[ends] - total[starts]), strict=True):
                     near = self.within(fingerprint)
                     near = near[self.words[near] == n]
-                    mine = np.unique(own[at : at + size], return_counts=True) if len(near) else None
+                    mine = np.unique(own[at:end], return_counts=True) if len(near) else None
                     for i in near.tolist():
                         same = weighted_jaccard(mine, self.sets[i])
                         if same >= similarity and same > best.get(i, (0.0,))[0]:
-                            best[i] = (same, at, n)
+                            best[i] = (same, at, end - at + w - 1)
         return [(i, *best[i]) for i in sorted(best)]
 
 

@@ -118,6 +118,44 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(kept, none).count() == 0 and decontaminate.drop_leaks(kept, none).count() == kept.count()
 
 
+def brute_clipped(docs, items):
+    """All windows of full size, and those that the start or end of a text clips, in words."""
+    out = {}
+    for d, text in docs:
+        flat, _ = WordHashes().of([text])
+        for i, item in items:
+            own, bounds = WordHashes().of([item])
+            n, a = int(bounds[1]), np.unique(shingles_of_text(own), return_counts=True)
+            places = {(max(s, 0), min(s + n, len(flat))) for s in range(-n, len(flat))}
+            for s, e in sorted(places, key=lambda x: (x[0], -x[1])):
+                if e - s < min(n, 5):
+                    continue
+                j = decontaminate.weighted_jaccard(np.unique(shingles_of_text(flat[s:e]), return_counts=True), a)
+                if j >= 0.8 and j > out.get((d, i), (0,))[0]:
+                    out[d, i] = (j, s, e - s)
+    return out
+
+
+def test_leaks_clipped_by_the_ends_of_texts(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choices("aeiknrst", k=5)) for _ in range(3000)]
+    items = [(i, " ".join(rng.choices(words, k=n))) for i, n in enumerate([3, 5, 9, 14, 40, 41, 100])]
+    docs = []
+    for _, item in items:
+        own, n = item.split(), len(item.split())
+        for k in sorted({0, 1, 2, n // 10, n // 6, n // 5, n // 4}):
+            body = rng.choices(words, k=50)
+            shorter = [own[k:], own[: n - k], own[k // 2 : n - k + k // 2]]
+            docs += [" ".join(t) for t in (*shorter, own[k:] + body, body + own[: n - k], body + own[k:] + body)]
+    docs = list(enumerate(docs))
+    want = brute_clipped(docs, items)
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.find_leaks(*frames).collect()
+    assert {(r["doc_id"], r["item_id"]): (r["similarity"], r["start_word"], r["n_words"]) for r in got} == want and len(got) == len(want)
+    assert len(want) > len(brute_leaks(docs, items))
+    assert sorted(r["doc_id"] for r in decontaminate.drop_leaks(*frames).collect()) == sorted({d for d, _ in docs} - {d for d, _ in want})
+
+
 def test_multi_index_finds_all_within_radius():
     rng = np.random.default_rng(0)
     prints = rng.integers(0, 2**63, 400).astype(np.uint64) * np.uint64(2)
