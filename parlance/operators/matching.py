@@ -30,6 +30,22 @@ def centroids(exemplars: DataFrame, *keys: str, most: int = MOST_EXEMPLARS) -> D
     return kept.groupBy(*keys).agg(items.alias("items")).select(*keys, V.weighted_mean(F.col("items")).alias("vector"), F.size("items").cast("long").alias("n"))
 
 
+def means(exemplars: DataFrame, *keys: str) -> DataFrame:
+    """(keys, vector, n): mean of all positives, weighted by voiced time, normalised. Vectors of another width than the newest are left out.
+
+    Coordinates are summed by position before the shuffle, so no row or task holds a key's vectors, however many they are.
+    """
+    weight = F.greatest("voiced_ms", F.lit(1)).cast("double")
+    rows = exemplars.where(~F.col("is_negative") & (F.size("vector") > 0))
+    parts = rows.select(*keys, F.col("id").alias("__id"), F.size("vector").alias("__width"), weight.alias("__weight"), F.posexplode("vector").alias("__at", "__x"))
+    sums = parts.groupBy(*keys, "__width", "__at").agg(
+        (F.sum(F.col("__x").cast("double") * F.col("__weight")) / F.sum("__weight")).alias("x"), F.count(F.lit(1)).alias("n"), F.max("__id").alias("newest")
+    )
+    wide = sums.groupBy(*keys, "__width").agg(F.array_sort(F.collect_list(F.struct("__at", "x"))).alias("xs"), F.max("n").alias("n"), F.max("newest").alias("newest"))
+    whole = wide.groupBy(*keys).agg(F.max_by("xs", "newest").alias("xs"), F.sum("n").alias("n"))
+    return whole.select(*keys, V.normalised(F.transform("xs", lambda i: i["x"])).alias("vector"), "n")
+
+
 def scored(clusters: DataFrame, seeds: DataFrame) -> DataFrame:
     """(meeting, cluster, speaker_id, confirmed, score) of pairs of one model identity."""
     s = seeds.select("speaker_id", "confirmed", "model", "model_version", F.col("vector").alias("seed"))

@@ -11,7 +11,7 @@ from parlance.sources import project as P
 
 def gallery(spark, d):
     """Voiceprints of even exemplars; even speakers are confirmed."""
-    made = matching.centroids(P.exemplars(spark, d).where("id % 2 = 0"), "speaker_id", most=10_000)
+    made = matching.means(P.exemplars(spark, d).where("id % 2 = 0"), "speaker_id")
     return made.select("speaker_id", (F.col("speaker_id") % 2 == 0).alias("confirmed"), F.lit("m").alias("model"), F.lit("1").alias("model_version"), "vector")
 
 
@@ -38,7 +38,7 @@ def centroid(spark, d):
 
 def oracle_centroids(spark, d):
     """The norm and first coordinate of each speaker's centre in each meeting."""
-    made = matching.centroids(P.exemplars(spark, d).where("meeting is not null"), "speaker_id", "meeting", most=10_000)
+    made = matching.means(P.exemplars(spark, d).where("meeting is not null"), "speaker_id", "meeting")
     return made.select("speaker_id", "meeting", "n", F.round(F.col("vector")[0], 6).alias("x0"))
 
 
@@ -65,7 +65,7 @@ def match_grid(spark, d):
 
 def nearest_is_right(spark, d):
     """How often the closest voice of another meeting is the same person."""
-    voices = matching.centroids(P.exemplars(spark, d).where("meeting is not null"), "speaker_id", "meeting", most=10_000).withColumn("model", F.lit("m"))
+    voices = matching.means(P.exemplars(spark, d).where("meeting is not null"), "speaker_id", "meeting").withColumn("model", F.lit("m"))
     found = matching.nearest_elsewhere(voices)
     return found.agg(F.count(F.lit(1)).alias("asked"), F.round(F.avg((F.col("nearest") == F.col("speaker_id")).cast("double")), 6).alias("right"))
 

@@ -403,3 +403,19 @@ def test_captions(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert now.count() == 300 and sizes == [64, 64, 2]
+
+
+def test_means_take_every_vector(spark, monkeypatch):
+    from parlance.plans import voices
+
+    older = F.col("id") < 24_000
+    rows = spark.range(48_000).select(
+        "id", F.lit(7).cast("long").alias("speaker_id"), F.lit(1).cast("long").alias("meeting"), F.lit(False).alias("is_negative"),
+        F.when(older, 3000).otherwise(1000).cast("long").alias("voiced_ms"), F.when(older, F.array(F.lit(0.0), F.lit(1.0))).otherwise(F.array(F.lit(1.0), F.lit(0.0))).alias("vector"),
+    )
+    odd = rows.limit(1).select(F.lit(-1).cast("long").alias("id"), "speaker_id", "meeting", "is_negative", "voiced_ms", F.array(F.lit(1.0)).alias("vector"))
+    monkeypatch.setattr(voices.P, "exemplars", lambda spark, d: rows.unionByName(odd))
+    (made,) = voices.gallery(spark, None).collect()
+    assert [round(x, 6) for x in made["vector"]] == [0.316228, 0.948683]
+    (made,) = voices.oracle_centroids(spark, None).collect()
+    assert (made["n"], made["x0"]) == (48_001, 0.316228)
