@@ -7,13 +7,17 @@ follows the class of the token before, the first one that of an end:
     P(D | C) = (n(C, D) + 0.5) / (n(C) + 0.5 * classes)
     P(w | C) = (n(w) + 0.5) / (n(C) + 0.5 * (types(C) + 1))
 
-so each class has room for one unknown word. Classes are made of units: the FREQUENT most frequent words are one each,
-other words share the unit of their last two bytes, so that any word has a class. Units start spread over the classes and
-are moved, each to the class that raises the likelihood of the corpus's unit bigrams most, until none moves or PASSES are
-over. Only the unit bigrams, at most the square of the number of units, come to the driver.
+so each class has room for one unknown word. Every word of the training corpus has a class by its own contexts. First the
+FREQUENT most frequent words, one unit each, and units of the other words by their last two bytes start spread over the
+classes and are moved in turn, each to the class that raises the likelihood of the unit bigrams most, until none moves or
+PASSES are over; only the unit bigrams, at most the square of the number of units, come to the driver. Then all other
+words, however many, start in the class of their unit and are moved by themselves: a pass joins a table of the corpus's
+bigrams to the classes of the neighbours, adds up each word's counts by class, and picks the class that raises the
+likelihood most, given the table of class bigrams and the moves that its task has made. Other tasks' moves show in the
+next pass, so a pass that doesn't raise the likelihood is taken back and ends the moving. A word that isn't in the training corpus has the class of its unit.
 
 All counts are over the whole training corpus. Words that occur often, DICTIONARY at most, are scored where the text is;
-the counts of all others are joined by word, so none is cut off. The joined words of a text come back to it by a row
+the counts and classes of all others are joined by word, so none is cut off. The joined words of a text come back to it by a row
 number that was written with them.
 
 Defined cases: a null or empty text is one end. Repeated rows count and are scored each by itself. A null id counts as
@@ -47,6 +51,10 @@ DICTIONARY, LONGEST = 250_000, 64
 #: A task hands on its counts when it holds so many words.
 HELD_WORDS = 1_000_000
 KEPT_WORDS = 400_000
+#: A task hands on its word pairs when it holds so many, in batches of so many.
+HELD_PAIRS, PAIR_ROWS = 2_000_000, 100_000
+#: Words that are moved at once, when a task has moved four times as many.
+AT_ONCE = 256
 UNITS = 1 + FREQUENT + ENDINGS
 
 
@@ -170,15 +178,165 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, passes: int = PASSES)
     return of
 
 
+def count_contexts(docs: DataFrame, frequent: list[bytes], frequent_class: list[int], classes: int, text: str = "text") -> DataFrame:
+    """(word, other, key, n) of the words that aren't frequent: other is the word after, if that isn't frequent either.
+
+    Where other is null, key is the class of a frequent word after it, classes + that of one before, or 4 * classes for itself.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((frequent, frequent_class))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = dict(zip([END, *shared.value[0]], shared.value[1], strict=True))
+        own: dict[bytes, int] = {}
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            pairs, at = np.unique(np.concatenate([p for p, _ in held]), return_inverse=True)
+            n = np.bincount(at, weights=np.concatenate([n for _, n in held])).astype(np.int64)
+            names = pa.array(list(own), pa.binary())
+            for k in range(0, len(pairs), PAIR_ROWS):
+                first, second = pairs[k : k + PAIR_ROWS] >> 32, pairs[k : k + PAIR_ROWS] & 0xFFFFFFFF
+                word = np.where(first >= classes, first, second) - classes
+                both = (first >= classes) & (second >= classes) & (first != second)
+                key = np.where(first == second, 4 * classes, np.where(first >= classes, second, classes + first))
+                other = pa.array(np.where(both, second - classes, 0), mask=~both)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(word)), names.take(other), pa.array(key.astype(np.int32), mask=both), pa.array(n[k : k + PAIR_ROWS])], names=["word", "other", "key", "n"])
+            held.clear()
+            own.clear()
+
+        def code(word: bytes) -> int:
+            found = known.get(word)
+            return found if found is not None else own.setdefault(word, classes + len(own))
+
+        for part in slices(batches, text):
+            words = [words_of(t) for t in part.column(text).to_pylist()]
+            second = np.fromiter(map(code, chain.from_iterable(words)), np.int64, sum(map(len, words)))
+            first = np.concatenate([[known[END]], second[:-1]])
+            pairs = ((first << 32) | second)[(first >= classes) | (second >= classes)]
+            if len(pairs):
+                held.append(np.unique(pairs, return_counts=True))
+            if sum(len(p) for p, _ in held) > HELD_PAIRS:
+                yield from out()
+        if held:
+            yield from out()
+
+    return mapped(docs.select(text), run, "word binary, other binary, key int, n long").groupBy("word", "other", "key").agg(F.sum("n").alias("n"))
+
+
+def best_classes(of: np.ndarray, right: np.ndarray, left: np.ndarray, own: np.ndarray, both: np.ndarray) -> np.ndarray:
+    """The class of each word that the likelihood of the class bigrams is highest with, all other words staying where they are.
+
+    right and left: (words, classes) counts of the classes after and before; own: of the word after itself, not in them.
+    """
+    m, every = len(of), np.arange(len(of))
+    gain = np.zeros(right.shape)
+    for mine, theirs, table in ((right, left, both), (left, right, both.T)):
+        word, d = np.nonzero(mine)
+        x, at = mine[word, d], of[word]
+        base = table[:, d].T.copy()
+        same = d == at
+        base[same] -= theirs[word[same]]
+        base[np.arange(len(word)), at] -= x + same * own[word]
+        if len(word):
+            starts = np.flatnonzero(np.diff(word, prepend=-1))
+            gain[word[starts]] += np.add.reduceat(xlogx(base + x[:, None]) - xlogx(base), starts)
+        tokens = np.repeat(table.sum(1)[None], m, axis=0)
+        new = mine.sum(1) + own
+        tokens[every, of] -= new
+        gain -= xlogx(tokens + new[:, None]) - xlogx(tokens)
+    diagonal = np.repeat(np.diag(both)[None], m, axis=0)
+    diagonal[every, of] -= right[every, of] + left[every, of] + own
+    gain += xlogx(diagonal + right + left + own[:, None]) - xlogx(diagonal + right) - xlogx(diagonal + left) + xlogx(diagonal)
+    gain[:, 0] = -np.inf
+    best = gain.argmax(1)
+    return np.where(gain[every, best] > gain[every, of] + 1e-9, best, of)
+
+
+def likelihood(both: np.ndarray) -> float:
+    return float(xlogx(both).sum() - xlogx(both.sum(0)).sum() - xlogx(both.sum(1)).sum())
+
+
+def in_contexts(contexts: DataFrame, of: DataFrame, classes: int) -> DataFrame:
+    """(word, class, seen): seen lists (key, n), keys as in count_contexts and 2 * classes more for words that aren't frequent."""
+    pairs = contexts.where("other is not null")
+    after = pairs.join(of.withColumnRenamed("word", "other"), "other").select("word", (F.col("class") + 2 * classes).alias("key"), "n")
+    before = pairs.join(of, "word").select(F.col("other").alias("word"), (F.col("class") + 3 * classes).alias("key"), "n")
+    rows = contexts.where("other is null").select("word", "key", "n").unionByName(after).unionByName(before)
+    seen = rows.repartition("word").groupBy("word", "key").agg(F.sum("n").alias("n")).groupBy("word").agg(F.collect_list(F.struct("key", "n")).alias("seen"))
+    return seen.join(of, "word").select("word", "class", "seen").sortWithinPartitions("word")
+
+
+def move(found: DataFrame, both: np.ndarray) -> DataFrame:
+    """(word, class) after a pass over the rows of in_contexts. A task sees its own moves so far, and no other task's."""
+    shared, classes = found.sparkSession.sparkContext.broadcast(both), len(both)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, done = shared.value.copy(), 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            seen, m = batch.column("seen"), batch.num_rows
+            word = np.repeat(np.arange(m), seen.value_lengths().to_numpy(zero_copy_only=False))
+            key, n = (seen.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(2))
+            counts = np.bincount(word * (4 * classes + 1) + key, weights=n, minlength=m * (4 * classes + 1)).reshape(m, -1)
+            part = lambda i: counts[:, i * classes : (i + 1) * classes]
+            right, left, own = part(0) + part(2), part(1) + part(3), counts[:, -1]
+            of = batch.column("class").to_numpy().astype(np.int64)
+            at = 0
+            while at < m:
+                some = slice(at, at + min(max(done // 4, 1), AT_ONCE))
+                best = best_classes(of[some], right[some], left[some], own[some], table)
+                for c, sign in ((of[some], -1), (best, 1)):
+                    np.add.at(table, c, sign * right[some])
+                    np.add.at(table.T, c, sign * left[some])
+                    np.add.at(table, (c, c), sign * own[some])
+                of[some] = best
+                at, done = at + len(best), done + len(best)
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(of.astype(np.int32))], names=["word", "class"])
+
+    return mapped(found, run, "word binary, class int")
+
+
+def unit_classes(unit_class: np.ndarray) -> F.Column:
+    """The class of a word by its ending."""
+    held = F.array(*[F.lit(int(c)) for c in unit_class[1 + FREQUENT :]])
+    return F.when(F.octet_length("word") == 0, F.lit(0)).otherwise(F.get(held, (F.crc32(F.substring("word", -2, 2)) % ENDINGS).cast("int"))).cast("int")
+
+
+def exchange_words(docs: DataFrame, rare: DataFrame, frequent: list[bytes], unit_class: np.ndarray, between: np.ndarray, passes: int = PASSES, text: str = "text") -> tuple[DataFrame, np.ndarray]:
+    """((word, class) of the rare words, class bigrams of all words). between: class bigrams of the frequent words alone."""
+    classes = len(between)
+    contexts = saved(count_contexts(docs, frequent, [int(c) for c in unit_class[: 1 + len(frequent)]], classes, text), "contexts")
+    of, best = saved(rare.select("word", unit_classes(unit_class).alias("class")), "word-classes"), None
+    for k in range(passes + 1):
+        found = saved(in_contexts(contexts, of, classes), "in-contexts")
+        both = between.astype(np.float64)
+        for r in found.select("class", F.explode("seen").alias("s")).groupBy("class", "s.key").agg(F.sum("s.n").alias("n")).collect():
+            kind, other = divmod(r["key"], classes)
+            if kind in (0, 2):
+                both[r["class"], other] += r["n"]
+            elif kind == 1:
+                both[other, r["class"]] += r["n"]
+            elif kind == 4:
+                both[r["class"], r["class"]] += r["n"]
+        if best is not None and likelihood(both) <= likelihood(best[1]):
+            break
+        best = of, both
+        if k < passes:
+            of = saved(move(found, both), "word-classes")
+    return best
+
+
 @dataclass
 class Model:
-    """counts: (word, n) of all words. dictionary: words and their counts; unit_class, and by class: transitions and emission norms, as log10."""
+    """counts: (word, n, class) of all words. dictionary: words and their counts, word_class: their classes; unit_class, and by class: transitions and emission norms, as log10."""
 
     counts: DataFrame
     total: int
     types: int
     frequent: list[bytes]
     dictionary: dict[bytes, int]
+    word_class: dict[bytes, int]
     unit_class: np.ndarray
     transitions: np.ndarray
     norms: np.ndarray
@@ -210,36 +368,64 @@ def fit(docs: DataFrame, text: str = "text", classes: int = CLASSES) -> Model:
     bigrams[found["pair"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
     bigrams = bigrams.reshape(UNITS, UNITS)
     unit_class = exchange(bigrams, classes)
-    member = np.zeros((UNITS, classes))
-    member[np.arange(UNITS), unit_class] = 1
-    both = member.T @ bigrams @ member
+    inside = slice(0, 1 + len(frequent))
+    member = np.zeros((1 + len(frequent), classes))
+    member[np.arange(len(member)), unit_class[inside]] = 1
+    both = member.T @ bigrams[inside, inside] @ member
+    names = counts.sparkSession.createDataFrame([(bytearray(w), int(unit_class[i + 1])) for i, w in enumerate(frequent)] + [(bytearray(END), 0)], "word binary, class int")
+    of = names
+    rare = counts.join(F.broadcast(names), "word", "left_anti")
+    if not rare.isEmpty():
+        found, both = exchange_words(docs, rare, frequent, unit_class, both, text=text)
+        of = names.unionByName(found)
     transitions = np.log10(both + 0.5) - np.log10(both.sum(1, keepdims=True) + 0.5 * classes)
-    names = counts.sparkSession.createDataFrame([(bytearray(w), i + 1) for i, w in enumerate(frequent)] + [(bytearray(END), 0)], "word binary, own int")
-    by_ending = F.crc32(F.substring("word", -2, 2)) % ENDINGS + 1 + FREQUENT
-    per_unit = counts.join(F.broadcast(names), "word", "left").groupBy(F.coalesce("own", by_ending).cast("int").alias("unit")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types")).collect()
+    counts = saved(counts.join(of, "word"), "word-counts")
     tokens, kinds = np.zeros(classes), np.zeros(classes)
-    for r in per_unit:
-        tokens[unit_class[r["unit"]]] += r["n"]
-        kinds[unit_class[r["unit"]]] += r["types"]
-    dictionary.setdefault(END, next((r["n"] for r in per_unit if r["unit"] == 0), 0))
-    return Model(counts, total, types, frequent, dictionary, unit_class, transitions, np.log10(tokens + 0.5 * (kinds + 1)))
+    for r in counts.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types")).collect():
+        tokens[r["class"]], kinds[r["class"]] = r["n"], r["types"]
+    dictionary.setdefault(END, int(tokens[0]))
+    least = min((n for w, n in dictionary.items() if w != END), default=0)
+    held = counts.where((F.octet_length("word") <= LONGEST) & (F.col("n") >= least)).select("word", "class").toPandas()
+    word_class = dict(zip(map(bytes, held["word"]), map(int, held["class"]), strict=True))
+    return Model(counts, total, types, frequent, dictionary, word_class, unit_class, transitions, np.log10(tokens + 0.5 * (kinds + 1)))
+
+
+def of_rare(rows: DataFrame, model: Model) -> DataFrame:
+    """(__row, __more_transitions, __more_norms) of rows with __placed, the rare words' (at, before, after, class)."""
+    shared = rows.sparkSession.sparkContext.broadcast((model.transitions, model.norms))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        transitions, norms = shared.value
+        for batch in batches:
+            placed, m = batch.column("__placed"), batch.num_rows
+            if not m:
+                continue
+            row = np.repeat(np.arange(m), placed.value_lengths().to_numpy(zero_copy_only=False))
+            at, before, after, own = (placed.flatten().field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4))
+            order = np.lexsort((at, row))
+            row, before, after, own = row[order], before[order], after[order], own[order]
+            before = np.where(before < 0, np.concatenate([[0], own[:-1]]), before)
+            x = transitions[before, own] + np.where(after >= 0, transitions[own, np.maximum(after, 0)], 0.0)
+            starts = np.flatnonzero(np.diff(row, prepend=-1))  # each row has a rare word; reduceat adds pairwise, which long texts need
+            added = [np.add.reduceat(v, starts) for v in (x, norms[own])]
+            yield pa.RecordBatch.from_arrays([batch.column("__row"), *map(pa.array, added)], names=["__row", "__more_transitions", "__more_norms"])
+
+    return mapped(rows, run, "__row long, __more_transitions double, __more_norms double")
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", drop: tuple[str, ...] = ()) -> DataFrame:
     """docs with n_tokens, n_known, train_tokens, base_score and score; the other columns stay."""
     made = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
-    shared = docs.sparkSession.sparkContext.broadcast((model.frequent, model.dictionary, model.unit_class, model.transitions, model.norms))
+    shared = docs.sparkSession.sparkContext.broadcast((model.dictionary, model.word_class, model.transitions, model.norms))
     fields = [
         ("__row", T.LongType()), ("n_tokens", T.LongType()), ("__known", T.LongType()), ("__logs", T.DoubleType()), ("__transitions", T.DoubleType()), ("__norms", T.DoubleType()),
-        ("__rare", T.ArrayType(T.StructType([T.StructField("word", T.BinaryType()), T.StructField("times", T.LongType())]))),
+        ("__rare", T.ArrayType(T.StructType([T.StructField("word", T.BinaryType()), T.StructField("times", T.LongType()), T.StructField("places", T.ArrayType(T.StructType([T.StructField(c, T.IntegerType()) for c in ("at", "before", "after")])))]))),
     ]
 
     def start():
-        frequent, dictionary, unit_class, transitions, norms = shared.value
+        dictionary, word_class, transitions, norms = shared.value
         place = {w: i for i, w in enumerate(dictionary)}
-        own = {END: 0} | {w: i + 1 for i, w in enumerate(frequent)}
-        unit_of = lambda w: own[w] if w in own else ending(w)
-        unit_at = np.array([unit_of(w) for w in dictionary] or [0], np.int64)
+        class_at = np.array([word_class.get(w, 0) for w in dictionary] + [-1], np.int64)  # an end alone can be in one and not in the other
         counts = np.array(list(dictionary.values()), np.int64)
         logs, known = np.append(np.log10(counts + 0.5), 0.0), np.append(counts > 0, False)
         row = TaskContext.get().partitionId() << 33
@@ -251,29 +437,41 @@ def scored(docs: DataFrame, model: Model, text: str = "text", drop: tuple[str, .
             flat = list(chain.from_iterable(words))
             at = np.fromiter(map(place.get, flat, repeat(-1)), np.int64, len(flat))
             rare = np.flatnonzero(at < 0)
-            unit = unit_at[at]
-            unit[rare] = [unit_of(flat[k]) for k in rare]
-            second = unit_class[unit]
-            first = np.concatenate([[unit_class[0]], second[:-1]])
+            second = class_at[at]
             starts = np.cumsum(sizes) - sizes
+            first = np.concatenate([[0], second[:-1]])
+            first[starts] = 0
+            after = np.append(second[1:], 0)
+            after[starts + sizes - 1] = -2
             added = lambda x: np.add.reduceat(x, starts)
+            both = (first >= 0) & (second >= 0)
             cuts = np.searchsorted(rare, np.append(starts, len(flat)))
-            mine = [[{"word": w, "times": n} for w, n in Counter(flat[k] for k in rare[a:b]).items()] for a, b in zip(cuts, cuts[1:], strict=False)]
+            mine = []
+            for s, a, b in zip(starts.tolist(), cuts, cuts[1:], strict=False):
+                words_here: dict[bytes, list[dict]] = {}
+                for k in rare[a:b].tolist():
+                    words_here.setdefault(flat[k], []).append({"at": k - s, "before": int(first[k]), "after": int(after[k])})
+                mine.append([{"word": w, "times": len(p), "places": p} for w, p in words_here.items()])
             rows = np.arange(row, row + len(texts))
             row += len(texts)
-            return [pa.array(rows), pa.array(sizes), pa.array(added(known[at].astype(np.int64))), pa.array(added(logs[at])), pa.array(added(transitions[first, second])), pa.array(added(norms[second])), mine]
+            return [pa.array(rows), pa.array(sizes), pa.array(added(known[at].astype(np.int64))), pa.array(added(logs[at])), pa.array(added(np.where(both, transitions[first, second], 0.0))), pa.array(added(np.where(second >= 0, norms[second], 0.0))), mine]
 
         return work
 
     kept = docs.drop(*made)
     local = saved(with_columns(kept, text, fields, start, drop), "scores")
-    rare = local.select("__row", F.explode("__rare").alias("r")).select("__row", "r.word", "r.times").join(model.counts, "word", "left")
-    count = F.coalesce("n", F.lit(0))
-    back = rare.groupBy("__row").agg(F.sum(F.log10(count + 0.5) * F.col("times")).alias("__more"), F.sum(F.when(count > 0, F.col("times")).otherwise(0)).alias("__more_known"))
+    rare = local.select("__row", F.explode("__rare").alias("r")).select("__row", "r.*").join(model.counts, "word", "left")
+    count, own = F.coalesce("n", F.lit(0)), F.coalesce("class", unit_classes(model.unit_class))
+    placed = F.transform("places", lambda p: F.struct(p["at"].alias("at"), p["before"].alias("before"), p["after"].alias("after"), F.col("own").alias("own")))
+    back = saved(rare.withColumn("own", own).groupBy("__row").agg(
+        F.sum(F.log10(count + 0.5) * F.col("times")).alias("__more"), F.sum(F.when(count > 0, F.col("times")).otherwise(0)).alias("__more_known"), F.flatten(F.collect_list(placed)).alias("__placed")
+    ), "rare")
+    back = back.drop("__placed").join(of_rare(back.select("__row", "__placed"), model), "__row")
+    more = lambda c: F.coalesce(c, F.lit(0.0))
     logs = F.col("__logs") + F.coalesce("__more", F.lit(0.0))
     every = float(np.log10(model.total + 0.5 * (model.types + 1)))
     columns = [c for c in kept.columns if c not in drop]
     return local.drop("__rare").join(back, "__row", "left").select(
         *columns, "n_tokens", (F.col("__known") + F.coalesce("__more_known", F.lit(0))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"),
-        (logs - F.col("n_tokens") * every).alias("base_score"), (logs + F.col("__transitions") - F.col("__norms")).alias("score"),
+        (logs - F.col("n_tokens") * every).alias("base_score"), (logs + F.col("__transitions") + more("__more_transitions") - F.col("__norms") - more("__more_norms")).alias("score"),
     )

@@ -1,5 +1,6 @@
 """Operators on single texts, against brute force."""
 
+import itertools
 import math
 import random
 import re
@@ -204,6 +205,57 @@ def test_scores_with_all_words_joined(spark, monkeypatch):
     assert all(a == b and math.isclose(x, y, rel_tol=1e-9) for (a, x), (b, y) in zip(want, got, strict=True))
 
 
+def contexts_by_kind():
+    """Texts of two kinds of words in turn, kinds and endings crossed: more words than get units of their own."""
+    rng = random.Random(4)
+    names = ["".join(rng.choices("bcdfgh", k=6)) + e for e in ("aa", "oo") for _ in range(20)]
+    kinds = {w: k % 2 for k, w in enumerate(names)}
+    by = [[w for w in names if kinds[w] == k] for k in (0, 1)]
+    return kinds, [(i, " ".join(x for _ in range(10) for x in ("the", rng.choice(by[0]), "of", rng.choice(by[1]))), None, None) for i in range(150)]
+
+
+def test_rare_words_get_classes_by_their_own_contexts(spark, monkeypatch):
+    monkeypatch.setattr(brown_lm, "FREQUENT", 2)
+    monkeypatch.setattr(brown_lm, "UNITS", 1 + 2 + brown_lm.ENDINGS)
+    kinds, rows = contexts_by_kind()
+    docs = frame(spark, rows)
+    model = brown_lm.fit(docs, classes=5)
+    found = {bytes(r["word"]).decode(): r["class"] for r in model.counts.collect()}
+    assert len(found) == 43
+    mine = [{found[w] for w, k in kinds.items() if k == i} for i in (0, 1)]
+    assert not mine[0] & mine[1]  # though words of both kinds end alike
+    flat = [["", *(t or "").split(), ""] for _, t, *_ in rows]
+    both = np.zeros((5, 5))
+    for t in flat:
+        for a, b in itertools.pairwise(t):
+            both[found[a], found[b]] += 1
+    assert np.allclose(model.transitions, np.log10(both + 0.5) - np.log10(both.sum(1, keepdims=True) + 2.5))
+    n = Counter(w for t in flat for w in t[1:])
+    norm = [math.log10(sum(n[w] + 0.5 for w in found if found[w] == c) + 0.5) for c in range(5)]
+    for dictionary in (model.dictionary, {}):
+        model.dictionary = dictionary
+        for r in brown_lm.scored(docs, model).collect():
+            t = ["", *r["text"].split(), ""]
+            want = sum(model.transitions[found[a], found[b]] + math.log10(n[b] + 0.5) - norm[found[b]] for a, b in itertools.pairwise(t))
+            assert math.isclose(r["score"], want, rel_tol=1e-9)
+
+
+def test_best_classes_raise_likelihood_most():
+    rng = np.random.default_rng(6)
+    b = rng.poisson(rng.gamma(0.5, 6, (30, 30)))
+    of = np.array([0, *(1 + np.arange(29) % 4)])
+
+    def likelihood(of):
+        return brown_lm.likelihood(np.eye(5)[of].T @ b @ np.eye(5)[of])
+
+    member, own = np.eye(5)[of], np.diag(b).astype(float)
+    right, left = (x @ member - own[:, None] * member for x in (b, b.T))
+    found = brown_lm.best_classes(of[1:], right[1:], left[1:], own[1:], member.T @ b @ member)
+    for u in range(1, 30):
+        by = [likelihood(np.where(np.arange(30) == u, c, of)) for c in range(1, 5)]
+        assert math.isclose(by[found[u - 1] - 1], max(by), rel_tol=1e-12)
+
+
 def test_class_model_sums_to_one(spark):
     docs = frame(spark, [(i, " ".join(["a b c d e f".split()[(i * k) % 6] for k in range(9)]), None, None) for i in range(30)])
     m = brown_lm.fit(docs)
