@@ -7,55 +7,66 @@ follows the class of the token before, the first one that of an end:
     P(D | C) = (n(C, D) + 0.5) / (n(C) + 0.5 * classes)
     P(w | C) = (n(w) + 0.5) / (n(C) + 0.5 * (types(C) + 1))
 
-so each class has room for one unknown word. Every word of the training corpus has a class by its own contexts. First the
-FREQUENT most frequent words, one unit each, and units of the other words by their last two bytes start spread over the
-classes and are moved in turn, each to the class that raises the likelihood of the unit bigrams most, until none moves or
-PASSES are over; only the unit bigrams, at most the square of the number of units, come to the driver. Then all other
-words, however many, start in the class of their unit and are moved by themselves: a pass joins a table of the corpus's
-bigrams to the classes of the neighbours, adds up each word's counts by class, and picks the class that raises the
-likelihood most, given the table of class bigrams and the moves that its task has made. Other tasks' moves show in the
-next pass, so a pass that doesn't raise the likelihood is taken back and ends the moving. A word that isn't in the training corpus has the class of its unit.
-
-All counts are over the whole training corpus. Words that occur often, DICTIONARY at most, are scored where the text is;
-the counts and classes of all others are joined by word, so none is cut off. The joined words of a text come back to it by a row
-number that was written with them.
+so each class has room for one unknown word. Every word of the training corpus gets its class by its own contexts, which
+are the bigrams that it is in, over the whole training corpus; the end is class 0, alone. Words go in two groups, the
+frequent ones first, as is usual since the others' contexts are mostly frequent words:
+
+1. The dictionary: the most frequent words, as many as a task may hold (DICTIONARY). Their bigrams are added up by Spark
+   and kept as one row of neighbours a word. The SEEDS first of them are exchanged one by one in the driver, from at most
+   SEEDS squared bigrams; then all words of the dictionary are, in passes: tasks know all words' classes and the table of
+   class bigrams, give each word the class that raises the likelihood most, and see the moves that they made themselves.
+   Other tasks' moves show in the next pass. A pass that doesn't raise the likelihood is taken back and is the last.
+2. All other words, however many. Their contexts are counted by class of the neighbour where that is a dictionary word;
+   pairs of two others are joined to the neighbour's class. They are moved in passes in the same way.
+
+A word that isn't in the training corpus has the class that most of the words seen once with its ending (UNKNOWNS
+digests of the last two bytes) have: the mass of each class for unknown words is the same, only the class is guessed.
+
+Words that are longer than LONGEST bytes stand in all tables as a 128-bit digest. Dictionary words are scored where the text
+is; all others, however few or many, are joined by word, and a row number that was written with them brings them back.
 
 Defined cases: a null or empty text is one end. Repeated rows count and are scored each by itself. A null id counts as
-the empty text when folds are drawn. Without any training text all counts are 0. Texts are read whole.
+the empty text when folds are drawn. Without any training text all counts are 0. Texts are read whole. Words of equal
+count are ordered by their bytes. Columns of docs with the names of results are replaced.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parlance.llm.arrow import mapped, slices, with_columns
-from parlance.llm.storage import saved
+from parlance.llm.storage import dropped, saved
 
 END = b""
-#: Bounds: words with a unit of their own, units of the other words, classes.
-FREQUENT, ENDINGS, CLASSES = 512, 512, 64
-PASSES = 6
-#: Bounds of what every task holds: words, and bytes of each.
+CLASSES = 64
+#: Words that the driver exchanges first, to start the classes with.
+SEEDS = 512
+#: Passes over the dictionary and over all other words, at most.
+PASSES, MORE_PASSES = 6, 2
+#: Bound of what every task holds: words. Longer words stand as digests.
 DICTIONARY, LONGEST = 250_000, 64
-#: A task hands on its counts when it holds so many words.
-HELD_WORDS = 1_000_000
-KEPT_WORDS = 400_000
-#: A task hands on its word pairs when it holds so many, in batches of so many.
-HELD_PAIRS, PAIR_ROWS = 2_000_000, 100_000
+#: Kinds of endings by which the class of an unknown word is guessed.
+UNKNOWNS = 512
+#: A task hands on its counts when it holds so many words, and its pairs when it holds so many.
+HELD_WORDS, HELD_PAIRS = 1_000_000, 2_000_000
+#: Pairs of words meet in GRID x GRID buckets, by which no frequent word's pairs come to one task.
+GRID = 64
 #: Words that are moved at once, when a task has moved four times as many.
 AT_ONCE = 256
-UNITS = 1 + FREQUENT + ENDINGS
+COUNT = (1 << 56) - 1
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -65,6 +76,11 @@ def words_of(text: str | None) -> list[bytes]:
     return words
 
 
+def kept(word: bytes) -> bytes:
+    """The word, or its digest after a blank, which no word has."""
+    return word if len(word) <= LONGEST else b" " + xxhash.xxh3_128_digest(word)
+
+
 def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
     """(word, n) over all texts, ends included."""
 
@@ -72,7 +88,7 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
         held: Counter = Counter()
 
         def out() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
+            made = pa.RecordBatch.from_arrays([pa.array(map(kept, held), pa.binary()), pa.array(held.values(), pa.int64())], names=["word", "n"])
             held.clear()
             return made
 
@@ -87,49 +103,146 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
     return mapped(docs.select(text), run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def ending(word: bytes) -> int:
-    """The unit of a word that has none of its own."""
-    return 1 + FREQUENT + zlib.crc32(word[-2:]) % ENDINGS
+def often(counts: DataFrame, most: int | None = None) -> dict[bytes, int]:
+    """The end, then the words of the largest counts by count and bytes: as many whole steps of an eighth of a power of two as fit."""
+    most = DICTIONARY if most is None else most
+    step = F.floor(F.log2("n") * 8)
+    held, least = 0, None
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["step"]):
+        held += r["n"]
+        if held > most:
+            break
+        least = r["step"]
+    found = counts.where((step >= least if least is not None else F.lit(False)) | (F.octet_length("word") == 0)).toArrow()
+    n = dict(zip(found.column("word").to_pylist(), found.column("n").to_pylist(), strict=True))
+    return {END: n.pop(END, 0)} | dict(sorted(n.items(), key=lambda x: (-x[1], x[0])))
 
 
-class Units(dict):
-    """Word to unit: 0 for the end, then the frequent words, then the endings."""
+def coded(places: dict[bytes, int], part: pa.RecordBatch, text: str, missed: Callable[[bytes], int]) -> np.ndarray:
+    """Codes of all words of the texts, an end before the first: each text ends with an end, which is where the next one starts."""
+    words = [words_of(t) for t in part.column(text).to_pylist()]
 
-    def __init__(self, frequent: list[bytes]):
-        super().__init__({END: 0} | {w: i + 1 for i, w in enumerate(frequent)})
-        self.fixed = len(self)
+    def code(word: bytes) -> int:
+        found = places.get(word)
+        if found is not None:
+            return found
+        word = kept(word)
+        return places[word] if word in places else missed(word)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > self.fixed + KEPT_WORDS:
-            for key in list(self)[self.fixed :]:
-                del self[key]
-        unit = self[word] = ending(word)
-        return unit
+    return np.fromiter(chain((0,), map(code, chain.from_iterable(words))), np.int64, 1 + sum(map(len, words)))
 
 
-def count_bigrams(docs: DataFrame, frequent: list[bytes], text: str = "text") -> DataFrame:
-    """(pair, n): pair is first unit * UNITS + second; a text starts after an end."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+def packed(pairs: np.ndarray, n: np.ndarray) -> bytes:
+    """Ascending pairs and their counts."""
+    return pa.compress(np.concatenate([[len(pairs)], np.diff(pairs, prepend=0), n]).astype("<i8").tobytes(), "lz4_raw", asbytes=True)
+
+
+def unpacked(blob: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
+    x = np.frombuffer(pa.decompress(blob, (1 + 2 * size) * 8, "lz4_raw", asbytes=True), "<i8")
+    return np.cumsum(x[1 : 1 + size]), x[1 + size :]
+
+
+def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, at = np.unique(np.concatenate([p for p, _ in parts]), return_inverse=True)
+    return keys, np.bincount(at, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
+
+
+PACKED = "bucket int, size int, pairs binary"
+
+
+def dealt(bucket: np.ndarray, pairs: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Rows of PACKED, one for each bucket."""
+    order = np.lexsort((pairs, bucket))
+    bucket, pairs, n = bucket[order], pairs[order], n[order]
+    starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+    ends = np.append(starts[1:], len(bucket))
+    blobs = [packed(pairs[a:b], n[a:b]) for a, b in zip(starts, ends, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[starts].astype(np.int32)), pa.array((ends - starts).astype(np.int32)), pa.array(blobs, pa.binary())], names=["bucket", "size", "pairs"])
+
+
+def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray]]]:
+    """Each bucket's pairs and their counts, added up; rows of a bucket come one after another."""
+    at, held, n_held = None, [], 0
+    for batch in batches:
+        for bucket, size, blob in zip(batch.column("bucket").to_pylist(), batch.column("size").to_pylist(), batch.column("pairs").to_pylist(), strict=True):
+            if bucket != at:
+                if held:
+                    yield at, summed(held)
+                at, held, n_held = bucket, [], 0
+            held.append(unpacked(blob, size))
+            n_held += size
+            if n_held > HELD_PAIRS and len(held) > 1:
+                held = [summed(held)]
+                n_held = 0
+    if held:
+        yield at, summed(held)
+
+
+def neighbours(docs: DataFrame, places: dict[bytes, int], text: str = "text") -> DataFrame:
+    """(code, keys, n): for each word of the dictionary the ones after it (their codes) and before it (their codes + the dictionary's size)."""
+    shared, size = docs.sparkSession.sparkContext.broadcast(places), len(places)
+
+    def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n_held = [], 0
+
+        def out() -> pa.RecordBatch:
+            pairs, n = summed(held)
+            held.clear()
+            return dealt((pairs // size % GRID) * GRID + pairs % size % GRID, pairs, n)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, total = Units(shared.value), np.zeros(UNITS * UNITS, np.int64)
         for part in slices(batches, text):
-            words = [words_of(t) for t in part.column(text).to_pylist()]
-            second = np.fromiter(map(units.__getitem__, chain.from_iterable(words)), np.int64, sum(map(len, words)))
-            first = np.concatenate([[0], second[:-1]])  # each text ends with an end, which is where the next one starts
-            total += np.bincount(first * UNITS + second, minlength=len(total))
-        pairs = np.flatnonzero(total)
-        if len(pairs):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(total[pairs])], names=["pair", "n"])
+            code = coded(shared.value, part, text, lambda word: -1)
+            first, second = code[:-1], code[1:]
+            both = (first >= 0) & (second >= 0)
+            held.append(np.unique(first[both] * size + second[both], return_counts=True))
+            n_held += len(held[-1][0])
+            if n_held > HELD_PAIRS:
+                yield out()
+                n_held = 0
+        if n_held:
+            yield out()
+
+    def sides_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n_held = [], 0
+
+        def out() -> pa.RecordBatch:
+            pairs, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            first, second = pairs // size, pairs % size
+            code = np.concatenate([first, second])
+            return dealt(code % (GRID * GRID), code * (2 * size) + np.concatenate([second, first + size]), np.concatenate([n, n]))
+
+        for _, found in by_bucket(batches):
+            held.append(found)
+            n_held += len(found[0])
+            if n_held > HELD_PAIRS:
+                yield out()
+                n_held = 0
+        if held:
+            yield out()
 
-    return mapped(docs.select(text), run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (pairs, n) in by_bucket(batches):
+            code = pairs // (2 * size)
+            starts = np.flatnonzero(np.diff(code, prepend=-1))
+            offsets = pa.array(np.append(starts, len(code)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in ((pairs % (2 * size)).astype(np.int32), n)]
+            yield pa.RecordBatch.from_arrays([pa.array(code[starts].astype(np.int32)), *lists], names=["code", "keys", "n"])
+
+    found = mapped(docs.select(text), pairs_of, PACKED).repartition("bucket").sortWithinPartitions("bucket")
+    found = mapped(found, sides_of, PACKED).repartition("bucket").sortWithinPartitions("bucket")
+    return mapped(found, rows_of, "code int, keys array<int>, n array<long>")
 
 
 def xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
-def exchange(bigrams: np.ndarray, classes: int = CLASSES, passes: int = PASSES) -> np.ndarray:
+def likelihood(both: np.ndarray) -> float:
+    return float(xlogx(both).sum() - xlogx(both.sum(0)).sum() - xlogx(both.sum(1)).sum())
+
+
+def exchange(bigrams: np.ndarray, classes: int = CLASSES, passes: int | None = None) -> np.ndarray:
     """The class of each unit, by moving units to where they raise the class bigrams' likelihood most. The end stays in class 0, alone."""
     n_units = len(bigrams)
     weight = bigrams.sum(0) + bigrams.sum(1)
@@ -143,7 +256,7 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, passes: int = PASSES)
     b = bigrams.astype(np.float64)
     to, back = b @ member, b.T @ member
     both = member.T @ to
-    for _ in range(passes):
+    for _ in range(PASSES if passes is None else passes):
         moved = 0
         for u in order:
             a, own, right, left = of[u], b[u, u], to[u].copy(), back[u].copy()
@@ -153,7 +266,7 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, passes: int = PASSES)
             both[a] -= right
             both[:, a] -= left
             both[a, a] -= own
-            rows, columns = both.sum(1), both.sum(0)
+            rows, columns = both.sum(1) + left, both.sum(0) + right  # tokens of each class, u's left out
             gain = (xlogx(both + right) - xlogx(both)).sum(1) + (xlogx(both + left[:, None]) - xlogx(both)).sum(0)
             diagonal = np.diag(both)
             gain += xlogx(diagonal + right + left + own) - xlogx(diagonal + right) - xlogx(diagonal + left) + xlogx(diagonal)
@@ -178,57 +291,14 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, passes: int = PASSES)
     return of
 
 
-def count_contexts(docs: DataFrame, frequent: list[bytes], frequent_class: list[int], classes: int, text: str = "text") -> DataFrame:
-    """(word, other, key, n) of the words that aren't frequent: other is the word after, if that isn't frequent either.
-
-    Where other is null, key is the class of a frequent word after it, classes + that of one before, or 4 * classes for itself.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast((frequent, frequent_class))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = dict(zip([END, *shared.value[0]], shared.value[1], strict=True))
-        own: dict[bytes, int] = {}
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def out() -> Iterator[pa.RecordBatch]:
-            pairs, at = np.unique(np.concatenate([p for p, _ in held]), return_inverse=True)
-            n = np.bincount(at, weights=np.concatenate([n for _, n in held])).astype(np.int64)
-            names = pa.array(list(own), pa.binary())
-            for k in range(0, len(pairs), PAIR_ROWS):
-                first, second = pairs[k : k + PAIR_ROWS] >> 32, pairs[k : k + PAIR_ROWS] & 0xFFFFFFFF
-                word = np.where(first >= classes, first, second) - classes
-                both = (first >= classes) & (second >= classes) & (first != second)
-                key = np.where(first == second, 4 * classes, np.where(first >= classes, second, classes + first))
-                other = pa.array(np.where(both, second - classes, 0), mask=~both)
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(word)), names.take(other), pa.array(key.astype(np.int32), mask=both), pa.array(n[k : k + PAIR_ROWS])], names=["word", "other", "key", "n"])
-            held.clear()
-            own.clear()
-
-        def code(word: bytes) -> int:
-            found = known.get(word)
-            return found if found is not None else own.setdefault(word, classes + len(own))
-
-        for part in slices(batches, text):
-            words = [words_of(t) for t in part.column(text).to_pylist()]
-            second = np.fromiter(map(code, chain.from_iterable(words)), np.int64, sum(map(len, words)))
-            first = np.concatenate([[known[END]], second[:-1]])
-            pairs = ((first << 32) | second)[(first >= classes) | (second >= classes)]
-            if len(pairs):
-                held.append(np.unique(pairs, return_counts=True))
-            if sum(len(p) for p, _ in held) > HELD_PAIRS:
-                yield from out()
-        if held:
-            yield from out()
-
-    return mapped(docs.select(text), run, "word binary, other binary, key int, n long").groupBy("word", "other", "key").agg(F.sum("n").alias("n"))
-
-
 def best_classes(of: np.ndarray, right: np.ndarray, left: np.ndarray, own: np.ndarray, both: np.ndarray) -> np.ndarray:
     """The class of each word that the likelihood of the class bigrams is highest with, all other words staying where they are.
 
     right and left: (words, classes) counts of the classes after and before; own: of the word after itself, not in them.
+    A word of class -1 is in none yet, and its bigrams aren't in both.
     """
-    m, every = len(of), np.arange(len(of))
+    every, there = np.arange(len(of)), of >= 0
+    placed = every[there]
     gain = np.zeros(right.shape)
     for mine, theirs, table in ((right, left, both), (left, right, both.T)):
         word, d = np.nonzero(mine)
@@ -236,163 +306,329 @@ def best_classes(of: np.ndarray, right: np.ndarray, left: np.ndarray, own: np.nd
         base = table[:, d].T.copy()
         same = d == at
         base[same] -= theirs[word[same]]
-        base[np.arange(len(word)), at] -= x + same * own[word]
+        inside = at >= 0
+        base[np.flatnonzero(inside), at[inside]] -= (x + same * own[word])[inside]
         if len(word):
             starts = np.flatnonzero(np.diff(word, prepend=-1))
             gain[word[starts]] += np.add.reduceat(xlogx(base + x[:, None]) - xlogx(base), starts)
-        tokens = np.repeat(table.sum(1)[None], m, axis=0)
+        tokens = table.sum(1)[None].astype(float) + np.where(there[:, None], 0, theirs)
         new = mine.sum(1) + own
-        tokens[every, of] -= new
+        tokens[placed, of[there]] -= new[there]
         gain -= xlogx(tokens + new[:, None]) - xlogx(tokens)
-    diagonal = np.repeat(np.diag(both)[None], m, axis=0)
-    diagonal[every, of] -= right[every, of] + left[every, of] + own
+    diagonal = np.repeat(np.diag(both)[None], len(of), axis=0)
+    diagonal[placed, of[there]] -= (right[placed, of[there]] + left[placed, of[there]] + own[there])
     gain += xlogx(diagonal + right + left + own[:, None]) - xlogx(diagonal + right) - xlogx(diagonal + left) + xlogx(diagonal)
     gain[:, 0] = -np.inf
     best = gain.argmax(1)
-    return np.where(gain[every, best] > gain[every, of] + 1e-9, best, of)
+    return np.where(~there | (gain[every, best] > gain[every, of] + 1e-9), best, of)
+
+
+def moves(of: np.ndarray, right: np.ndarray, left: np.ndarray, own: np.ndarray, both: np.ndarray, done: int) -> np.ndarray:
+    """The classes of words moved one group after another; both follows the moves. done: how many were moved before."""
+    of, at = of.copy(), 0
+    while at < len(of):
+        some = slice(at, at + min(max(done // 4, 1), AT_ONCE))
+        best = best_classes(of[some], right[some], left[some], own[some], both)
+        for c, sign in ((of[some], -1), (best, 1)):
+            inside = c >= 0
+            np.add.at(both, c[inside], sign * right[some][inside])
+            np.add.at(both.T, c[inside], sign * left[some][inside])
+            np.add.at(both, (c[inside], c[inside]), sign * own[some][inside])
+        of[some] = best
+        at, done = at + len(best), done + len(best)
+    return of
 
 
-def likelihood(both: np.ndarray) -> float:
-    return float(xlogx(both).sum() - xlogx(both.sum(0)).sum() - xlogx(both.sum(1)).sum())
+def beside(batch: pa.RecordBatch, of: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(right, left, own) of the rows of neighbours: counts of the classes after and before, and of the word after itself."""
+    m, size, keys = batch.num_rows, len(of), batch.column("keys")
+    row = np.repeat(np.arange(m), keys.value_lengths().to_numpy(zero_copy_only=False))
+    key, n = keys.flatten().to_numpy(), batch.column("n").flatten().to_numpy()
+    other = key % size
+    mine = other == batch.column("code").to_numpy()[row]
+    own = np.bincount(row, np.where(mine & (key < size), n, 0), m)
+    there = ~mine & (of[other] >= 0)
+    at = row * (2 * classes) + (key >= size) * classes + of[other]
+    counts = np.bincount(at[there], n[there], m * 2 * classes).reshape(m, 2 * classes)
+    return counts[:, :classes], counts[:, classes:], own
 
 
-def in_contexts(contexts: DataFrame, of: DataFrame, classes: int) -> DataFrame:
-    """(word, class, seen): seen lists (key, n), keys as in count_contexts and 2 * classes more for words that aren't frequent."""
-    pairs = contexts.where("other is not null")
-    after = pairs.join(of.withColumnRenamed("word", "other"), "other").select("word", (F.col("class") + 2 * classes).alias("key"), "n")
-    before = pairs.join(of, "word").select(F.col("other").alias("word"), (F.col("class") + 3 * classes).alias("key"), "n")
-    rows = contexts.where("other is null").select("word", "key", "n").unionByName(after).unionByName(before)
-    seen = rows.repartition("word").groupBy("word", "key").agg(F.sum("n").alias("n")).groupBy("word").agg(F.collect_list(F.struct("key", "n")).alias("seen"))
-    return seen.join(of, "word").select("word", "class", "seen").sortWithinPartitions("word")
+def exchange_dictionary(seen: DataFrame, size: int, classes: int = CLASSES, passes: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(class of each word of the dictionary, their class bigrams), from the rows of neighbours."""
+    context, passes = seen.sparkSession.sparkContext, PASSES if passes is None else passes
+    seeds = min(SEEDS + 1, size)
 
+    def among_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row = np.repeat(np.arange(batch.num_rows), batch.column("keys").value_lengths().to_numpy(zero_copy_only=False))
+            code, key = batch.column("code").to_numpy()[row], batch.column("keys").flatten()
+            ok = pa.array((code < seeds) & (key.to_numpy() < seeds))
+            yield pa.RecordBatch.from_arrays([pa.array(code).filter(ok), key.filter(ok), batch.column("n").flatten().filter(ok)], names=["first", "second", "n"])
+
+    def table_of(of: np.ndarray) -> np.ndarray:
+        shared = context.broadcast(of)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            both = np.zeros((classes, classes))
+            for batch in batches:
+                mine = shared.value[batch.column("code").to_numpy()]
+                right, _, own = beside(batch, shared.value, classes)
+                there = mine >= 0
+                np.add.at(both, mine[there], right[there])
+                np.add.at(both, (mine[there], mine[there]), own[there])
+            yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(both)), pa.array(both[both > 0])], names=["cell", "n"])
+
+        return cells(mapped(seen, run, "cell long, n double"), classes)
+
+    def moved(of: np.ndarray, both: np.ndarray) -> np.ndarray:
+        shared = context.broadcast((of, both))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, table, done = shared.value[0].copy(), shared.value[1].copy(), 0
+            for batch in batches:
+                rest = batch.filter(pa.array(batch.column("code").to_numpy() > 0))  # the end stays
+                if rest.num_rows:
+                    code = rest.column("code").to_numpy()
+                    now[code] = moves(now[code], *beside(rest, now, classes), table, done)
+                    done += len(code)
+                    yield pa.RecordBatch.from_arrays([rest.column("code"), pa.array(now[code].astype(np.int32))], names=["code", "class"])
+
+        found = mapped(seen, run, "code int, class int").toArrow()
+        out = of.copy()
+        out[found.column("code").to_numpy()] = found.column("class").to_numpy()
+        return out
+
+    few = mapped(seen.where(F.col("code") < seeds), among_seeds, "first int, second int, n long").toArrow()
+    bigrams = np.zeros((seeds, seeds))
+    bigrams[few.column("first").to_numpy(), few.column("second").to_numpy()] = few.column("n").to_numpy()
+    of = np.full(size, -1)
+    of[:seeds] = exchange(bigrams, classes)
+    both = table_of(of)
+    for k in range(passes if size > seeds else 0):
+        new = moved(of, both)
+        table = table_of(new)
+        if k and likelihood(table) <= likelihood(both):  # the first pass brings words in
+            break
+        of, both = new, table
+    return of, both
+
+
+def count_contexts(docs: DataFrame, places: dict[bytes, int], of: np.ndarray, classes: int, text: str = "text") -> DataFrame:
+    """(word, other, seen) of the words that aren't in the dictionary; seen lists slots and counts, as slot << 56 | n in one binary.
+
+    Where other is null, a slot is the class of a dictionary word after it, or classes + that of one before. Each word has
+    such a row, be it an empty one. Else other is such a word too, which stands after it (slot 0) or before it (slot classes).
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((places, of))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (place, class_of), own = shared.value, {}
+        size, held, pairs, n_held = len(place), [], [], 0
+
+        def out() -> pa.RecordBatch:
+            names = pa.array(own, pa.binary())
+            found, n = summed(held) if held else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            word, slot = found // (2 * classes), found % (2 * classes)
+            offsets = np.searchsorted(word, np.arange(len(names) + 1)) * 8
+            rows = [(names, pa.nulls(len(names), pa.binary()), binaries(offsets, (slot << 56) | n))]
+            if pairs:
+                both, n = summed(pairs)
+                first, second = both >> 32, both & 0xFFFFFFFF
+                at = np.arange(len(both) + 1) * 8
+                rows.append((names.take(pa.array(first)), names.take(pa.array(second)), binaries(at, n)))
+                rows.append((names.take(pa.array(second)), names.take(pa.array(first)), binaries(at, (classes << 56) | n)))
+            made = pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(*rows, strict=True)], names=["word", "other", "seen"])
+            for x in (own, held, pairs):
+                x.clear()
+            return made
+
+        def missed(word: bytes) -> int:
+            return own.setdefault(word, size + len(own))
+
+        for part in slices(batches, text):
+            code = coded(place, part, text, missed)
+            first, second = code[:-1], code[1:]
+            a, b = first >= size, second >= size
+            after, before = a & ~b, b & ~a
+            slots = np.concatenate([(first[after] - size) * 2 * classes + class_of[second[after]], (second[before] - size) * 2 * classes + classes + class_of[first[before]]])
+            for to, found in ((held, slots), (pairs, ((first[a & b] - size) << 32) | (second[a & b] - size))):
+                if len(found):
+                    to.append(np.unique(found, return_counts=True))
+                    n_held += len(to[-1][0])
+            if n_held > HELD_PAIRS:
+                yield out()
+                n_held = 0
+        if own:
+            yield out()
 
-def move(found: DataFrame, both: np.ndarray) -> DataFrame:
-    """(word, class) after a pass over the rows of in_contexts. A task sees its own moves so far, and no other task's."""
-    shared, classes = found.sparkSession.sparkContext.broadcast(both), len(both)
+    found = mapped(docs.select(text), run, "word binary, other binary, seen binary")
+    return found.groupBy("word", "other").agg(F.collect_list("seen").alias("seen"))
+
+
+def nothing() -> Column:
+    return F.array().cast("array<binary>")
+
+
+def binaries(offsets: np.ndarray, values: np.ndarray) -> pa.Array:
+    """Binary values that end at the offsets, in bytes."""
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(values.astype("<i8"))])
+
+
+def slots_of(batch: pa.RecordBatch, name: str, classes: int) -> np.ndarray:
+    """(rows, 2 * classes) counts of a column of lists of binaries."""
+    lists, m = batch.column(name), batch.num_rows
+    parts = lists.flatten()
+    row = np.repeat(np.arange(m), lists.value_lengths().to_numpy(zero_copy_only=False))
+    size = pc.binary_length(parts).to_numpy(zero_copy_only=False) // 8
+    x = np.frombuffer(b"".join(parts.to_pylist()), "<i8")
+    return np.bincount(np.repeat(row, size) * (2 * classes) + (x >> 56), x & COUNT, m * 2 * classes).reshape(m, 2 * classes)
+
+
+def move(rows: DataFrame, both: np.ndarray) -> DataFrame:
+    """(word, class) of rows of (word, class, seen, more) after a pass; class -1: in none yet. A word without neighbours gets one by its digest."""
+    shared, classes = rows.sparkSession.sparkContext.broadcast(both), len(both)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, done = shared.value.copy(), 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            seen, m = batch.column("seen"), batch.num_rows
-            word = np.repeat(np.arange(m), seen.value_lengths().to_numpy(zero_copy_only=False))
-            key, n = (seen.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(2))
-            counts = np.bincount(word * (4 * classes + 1) + key, weights=n, minlength=m * (4 * classes + 1)).reshape(m, -1)
-            part = lambda i: counts[:, i * classes : (i + 1) * classes]
-            right, left, own = part(0) + part(2), part(1) + part(3), counts[:, -1]
-            of = batch.column("class").to_numpy().astype(np.int64)
-            at = 0
-            while at < m:
-                some = slice(at, at + min(max(done // 4, 1), AT_ONCE))
-                best = best_classes(of[some], right[some], left[some], own[some], table)
-                for c, sign in ((of[some], -1), (best, 1)):
-                    np.add.at(table, c, sign * right[some])
-                    np.add.at(table.T, c, sign * left[some])
-                    np.add.at(table, (c, c), sign * own[some])
-                of[some] = best
-                at, done = at + len(best), done + len(best)
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(of.astype(np.int32))], names=["word", "class"])
-
-    return mapped(found, run, "word binary, class int")
-
-
-def unit_classes(unit_class: np.ndarray) -> F.Column:
-    """The class of a word by its ending."""
-    held = F.array(*[F.lit(int(c)) for c in unit_class[1 + FREQUENT :]])
-    return F.when(F.octet_length("word") == 0, F.lit(0)).otherwise(F.get(held, (F.crc32(F.substring("word", -2, 2)) % ENDINGS).cast("int"))).cast("int")
-
-
-def exchange_words(docs: DataFrame, rare: DataFrame, frequent: list[bytes], unit_class: np.ndarray, between: np.ndarray, passes: int = PASSES, text: str = "text") -> tuple[DataFrame, np.ndarray]:
-    """((word, class) of the rare words, class bigrams of all words). between: class bigrams of the frequent words alone."""
-    classes = len(between)
-    contexts = saved(count_contexts(docs, frequent, [int(c) for c in unit_class[: 1 + len(frequent)]], classes, text), "contexts")
-    of, best = saved(rare.select("word", unit_classes(unit_class).alias("class")), "word-classes"), None
-    for k in range(passes + 1):
-        found = saved(in_contexts(contexts, of, classes), "in-contexts")
-        both = between.astype(np.float64)
-        for r in found.select("class", F.explode("seen").alias("s")).groupBy("class", "s.key").agg(F.sum("s.n").alias("n")).collect():
-            kind, other = divmod(r["key"], classes)
-            if kind in (0, 2):
-                both[r["class"], other] += r["n"]
-            elif kind == 1:
-                both[other, r["class"]] += r["n"]
-            elif kind == 4:
-                both[r["class"], r["class"]] += r["n"]
-        if best is not None and likelihood(both) <= likelihood(best[1]):
+            counts = slots_of(batch, "seen", classes) + slots_of(batch, "more", classes)
+            new = moves(batch.column("class").to_numpy().astype(np.int64), counts[:, :classes], counts[:, classes:], np.zeros(batch.num_rows), table, done)
+            done += len(new)
+            for i in np.flatnonzero(counts.sum(1) == 0):
+                new[i] = 1 + zlib.crc32(batch.column("word")[int(i)].as_py()) % (classes - 1)
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(new.astype(np.int32))], names=["word", "class"])
+
+    return mapped(rows, run, "word binary, class int")
+
+
+def in_contexts(contexts: DataFrame, of: DataFrame, classes: int) -> DataFrame:
+    """(word, class, seen, more): more lists the neighbours that aren't in the dictionary, by their classes in of."""
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.frombuffer(b"".join(batch.column("seen").to_pylist()), "<i8")
+            x = x + (batch.column("other_class").to_numpy().astype(np.int64) << 56)
+            yield pa.RecordBatch.from_arrays([batch.column("word"), binaries(np.arange(len(x) + 1) * 8, x)], names=["word", "seen"])
+
+    pairs = contexts.where("other is not null").select("word", "other", F.explode("seen").alias("seen"))
+    joined = pairs.join(of.select(F.col("word").alias("other"), F.col("class").alias("other_class")), "other").select("word", "seen", "other_class")
+    more = mapped(joined, slots, "word binary, seen binary").groupBy("word").agg(F.collect_list("seen").alias("more"))
+    rows = contexts.where("other is null").select("word", "seen").join(of, "word").join(more, "word", "left")
+    return rows.select("word", "class", "seen", F.coalesce("more", nothing()).alias("more"))
+
+
+def table_with(rows: DataFrame, both: np.ndarray) -> np.ndarray:
+    """The class bigrams of all words: those of the dictionary's, and those that the words of rows are in."""
+    classes = len(both)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((classes, classes))
+        for batch in batches:
+            of, seen, more = batch.column("class").to_numpy(), slots_of(batch, "seen", classes), slots_of(batch, "more", classes)
+            np.add.at(total, of, seen[:, :classes] + more[:, :classes])
+            np.add.at(total.T, of, seen[:, classes:])  # pairs of two of these words are counted where the first one is
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total)), pa.array(total[total > 0])], names=["cell", "n"])
+
+    return both + cells(mapped(rows, run, "cell long, n double"), classes)
+
+
+def cells(found: DataFrame, classes: int) -> np.ndarray:
+    """The (classes, classes) table of (cell, n)."""
+    out = np.zeros(classes * classes)
+    for r in found.groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        out[r["cell"]] = r["n"]
+    return out.reshape(classes, classes)
+
+
+def occurring(rows: DataFrame, classes: int) -> DataFrame:
+    """(word, n, class): a word occurs as often as it has a word or end before it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = (slots_of(batch, "seen", classes) + slots_of(batch, "more", classes))[:, classes:].sum(1)
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(n.astype(np.int64)), batch.column("class")], names=["word", "n", "class"])
+
+    return mapped(rows, run, "word binary, n long, class int")
+
+
+def exchange_others(contexts: DataFrame, both: np.ndarray, passes: int | None = None) -> tuple[DataFrame, np.ndarray]:
+    """((word, class, seen, more) of the words that aren't in the dictionary, class bigrams of all words). both: those of the dictionary's."""
+    classes, passes, best = len(both), MORE_PASSES if passes is None else passes, None
+    of = saved(move(contexts.where("other is null").select("word", F.lit(-1).alias("class"), "seen", nothing().alias("more")), both), "word-classes")
+    for k in range(passes):
+        rows = saved(in_contexts(contexts, of, classes), "in-contexts")
+        dropped(of)
+        table = table_with(rows, both)
+        if best is not None and likelihood(table) <= likelihood(best[1]):
+            dropped(rows)
             break
-        best = of, both
-        if k < passes:
-            of = saved(move(found, both), "word-classes")
+        if best is not None:
+            dropped(best[0])
+        best = rows, table
+        if k + 1 < passes:
+            of = saved(move(rows, table), "word-classes")
     return best
 
 
+def ending(word: str) -> Column:
+    return (F.crc32(F.substring(word, -2, 2)) % UNKNOWNS).cast("int")
+
+
 @dataclass
 class Model:
-    """counts: (word, n, class) of all words. dictionary: words and their counts, word_class: their classes; unit_class, and by class: transitions and emission norms, as log10."""
+    """counts: (word, n, class) of all words. dictionary: the words that tasks hold, and their counts; word_class: their classes.
+
+    unknown: the class guessed by ending; by class: transitions and emission norms, as log10.
+    """
 
     counts: DataFrame
     total: int
     types: int
-    frequent: list[bytes]
     dictionary: dict[bytes, int]
     word_class: dict[bytes, int]
-    unit_class: np.ndarray
+    unknown: list[int]
     transitions: np.ndarray
     norms: np.ndarray
 
 
-def often(counts: DataFrame, most: int = DICTIONARY) -> dict[bytes, int]:
-    """The words of the largest counts, as many whole steps of an eighth of a power of two as fit."""
-    short = counts.where(F.octet_length("word") <= LONGEST)
-    step = F.floor(F.log2("n") * 8)
-    held, least = 0, None
-    for r in sorted(short.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["step"]):
-        held += r["n"]
-        if held > most:
-            break
-        least = r["step"]
-    if least is None:
-        return {}
-    found = short.where(step >= least).select("word", "n").toPandas()
-    return dict(zip(map(bytes, found["word"]), map(int, found["n"]), strict=True))
-
-
 def fit(docs: DataFrame, text: str = "text", classes: int = CLASSES) -> Model:
+    """The model of all texts of docs."""
     counts = saved(count_words(docs, text), "word-counts")
     total, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     dictionary = often(counts)
-    frequent = [w for w, _ in sorted(dictionary.items(), key=lambda x: (-x[1], x[0])) if w != END][:FREQUENT]
-    found = count_bigrams(docs, frequent, text).toPandas()
-    bigrams = np.zeros(UNITS * UNITS, np.int64)
-    bigrams[found["pair"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
-    bigrams = bigrams.reshape(UNITS, UNITS)
-    unit_class = exchange(bigrams, classes)
-    inside = slice(0, 1 + len(frequent))
-    member = np.zeros((1 + len(frequent), classes))
-    member[np.arange(len(member)), unit_class[inside]] = 1
-    both = member.T @ bigrams[inside, inside] @ member
-    names = counts.sparkSession.createDataFrame([(bytearray(w), int(unit_class[i + 1])) for i, w in enumerate(frequent)] + [(bytearray(END), 0)], "word binary, class int")
-    of = names
-    rare = counts.join(F.broadcast(names), "word", "left_anti")
-    if not rare.isEmpty():
-        found, both = exchange_words(docs, rare, frequent, unit_class, both, text=text)
-        of = names.unionByName(found)
-    transitions = np.log10(both + 0.5) - np.log10(both.sum(1, keepdims=True) + 0.5 * classes)
-    counts = saved(counts.join(of, "word"), "word-counts")
+    dropped(counts)
+    places = {w: i for i, w in enumerate(dictionary)}
+    seen = saved(neighbours(docs, places, text), "neighbours")
+    of, both = exchange_dictionary(seen, len(places), classes)
+    dropped(seen)
+    found = docs.sparkSession.createDataFrame(pa.table({"word": pa.array(dictionary, pa.binary()), "n": pa.array(dictionary.values(), pa.int64()), "class": pa.array(of.astype(np.int32))}))
+    if types > len(dictionary):
+        contexts = saved(count_contexts(docs, places, of, classes, text), "contexts")
+        rows, both = exchange_others(contexts, both)
+        found = saved(found.unionByName(occurring(rows, classes)), "word-classes")
+        dropped(contexts)
+        dropped(rows)
     tokens, kinds = np.zeros(classes), np.zeros(classes)
-    for r in counts.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types")).collect():
+    for r in found.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types")).collect():
         tokens[r["class"]], kinds[r["class"]] = r["n"], r["types"]
-    dictionary.setdefault(END, int(tokens[0]))
-    least = min((n for w, n in dictionary.items() if w != END), default=0)
-    held = counts.where((F.octet_length("word") <= LONGEST) & (F.col("n") >= least)).select("word", "class").toPandas()
-    word_class = dict(zip(map(bytes, held["word"]), map(int, held["class"]), strict=True))
-    return Model(counts, total, types, frequent, dictionary, word_class, unit_class, transitions, np.log10(tokens + 0.5 * (kinds + 1)))
+    once = np.zeros((UNKNOWNS, classes), np.int64)
+    for r in found.where((F.col("n") == 1) & (F.col("class") > 0)).groupBy(ending("word").alias("ending"), "class").agg(F.count(F.lit(1)).alias("n")).collect():
+        once[r["ending"], r["class"]] = r["n"]
+    unknown = np.where(once.any(1), once.argmax(1), 1 + once[:, 1:].sum(0).argmax())
+    transitions = np.log10(both + 0.5) - np.log10(both.sum(1, keepdims=True) + 0.5 * classes)
+    word_class = dict(zip(dictionary, of.tolist(), strict=True))
+    return Model(found, total, types, dictionary, word_class, unknown.tolist(), transitions, np.log10(tokens + 0.5 * (kinds + 1)))
+
 
+def of_joined(rows: DataFrame, model: Model) -> DataFrame:
+    """(__row, __more, __more_known, __more_transitions, __more_norms) of rows with __placed, the joined words' (place, n, class).
 
-def of_rare(rows: DataFrame, model: Model) -> DataFrame:
-    """(__row, __more_transitions, __more_norms) of rows with __placed, the rare words' (at, before, after, class)."""
+    A place is position << 16 | class before + 2 << 8 | class after + 2: -1 where the neighbour is joined too, -2 where there is none.
+    """
     shared = rows.sparkSession.sparkContext.broadcast((model.transitions, model.norms))
+    names = ["__row", "__more", "__more_known", "__more_transitions", "__more_norms"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         transitions, norms = shared.value
@@ -401,16 +637,17 @@ def of_rare(rows: DataFrame, model: Model) -> DataFrame:
             if not m:
                 continue
             row = np.repeat(np.arange(m), placed.value_lengths().to_numpy(zero_copy_only=False))
-            at, before, after, own = (placed.flatten().field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4))
-            order = np.lexsort((at, row))
-            row, before, after, own = row[order], before[order], after[order], own[order]
+            place, n, own = (placed.flatten().field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
+            order = np.lexsort((place, row))
+            row, place, n, own = row[order], place[order], n[order], own[order]
+            before, after = ((place >> 8) & 0xFF) - 2, (place & 0xFF) - 2
             before = np.where(before < 0, np.concatenate([[0], own[:-1]]), before)
             x = transitions[before, own] + np.where(after >= 0, transitions[own, np.maximum(after, 0)], 0.0)
-            starts = np.flatnonzero(np.diff(row, prepend=-1))  # each row has a rare word; reduceat adds pairwise, which long texts need
-            added = [np.add.reduceat(v, starts) for v in (x, norms[own])]
-            yield pa.RecordBatch.from_arrays([batch.column("__row"), *map(pa.array, added)], names=["__row", "__more_transitions", "__more_norms"])
+            starts = np.flatnonzero(np.diff(row, prepend=-1))  # each row has a joined word; reduceat adds pairwise, which long texts need
+            added = [np.add.reduceat(v, starts) for v in (np.log10(n + 0.5), (n > 0).astype(np.int64), x, norms[own])]
+            yield pa.RecordBatch.from_arrays([batch.column("__row"), *map(pa.array, added)], names=names)
 
-    return mapped(rows, run, "__row long, __more_transitions double, __more_norms double")
+    return mapped(rows, run, "__row long, __more double, __more_known long, __more_transitions double, __more_norms double")
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", drop: tuple[str, ...] = ()) -> DataFrame:
@@ -418,14 +655,14 @@ def scored(docs: DataFrame, model: Model, text: str = "text", drop: tuple[str, .
     made = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
     shared = docs.sparkSession.sparkContext.broadcast((model.dictionary, model.word_class, model.transitions, model.norms))
     fields = [
-        ("__row", T.LongType()), ("n_tokens", T.LongType()), ("__known", T.LongType()), ("__logs", T.DoubleType()), ("__transitions", T.DoubleType()), ("__norms", T.DoubleType()),
-        ("__rare", T.ArrayType(T.StructType([T.StructField("word", T.BinaryType()), T.StructField("times", T.LongType()), T.StructField("places", T.ArrayType(T.StructType([T.StructField(c, T.IntegerType()) for c in ("at", "before", "after")])))]))),
+        ("__row", T.LongType()), ("__tokens", T.LongType()), ("__known", T.LongType()), ("__logs", T.DoubleType()), ("__transitions", T.DoubleType()), ("__norms", T.DoubleType()),
+        ("__words", T.ArrayType(T.BinaryType())), ("__places", T.ArrayType(T.LongType())),
     ]
 
     def start():
         dictionary, word_class, transitions, norms = shared.value
-        place = {w: i for i, w in enumerate(dictionary)}
-        class_at = np.array([word_class.get(w, 0) for w in dictionary] + [-1], np.int64)  # an end alone can be in one and not in the other
+        where = {w: i for i, w in enumerate(dictionary)}
+        class_at = np.array([*(word_class[w] for w in dictionary), -1], np.int64)
         counts = np.array(list(dictionary.values()), np.int64)
         logs, known = np.append(np.log10(counts + 0.5), 0.0), np.append(counts > 0, False)
         row = TaskContext.get().partitionId() << 33
@@ -435,8 +672,11 @@ def scored(docs: DataFrame, model: Model, text: str = "text", drop: tuple[str, .
             words = [words_of(t) for t in texts]
             sizes = np.array([len(w) for w in words], np.int64)
             flat = list(chain.from_iterable(words))
-            at = np.fromiter(map(place.get, flat, repeat(-1)), np.int64, len(flat))
-            rare = np.flatnonzero(at < 0)
+            at = np.fromiter(map(where.get, flat, repeat(-1)), np.int64, len(flat))
+            for k in np.flatnonzero(at < 0).tolist():
+                if len(flat[k]) > LONGEST:
+                    at[k] = where.get(kept(flat[k]), -1)
+            joined = np.flatnonzero(at < 0)
             second = class_at[at]
             starts = np.cumsum(sizes) - sizes
             first = np.concatenate([[0], second[:-1]])
@@ -445,33 +685,27 @@ def scored(docs: DataFrame, model: Model, text: str = "text", drop: tuple[str, .
             after[starts + sizes - 1] = -2
             added = lambda x: np.add.reduceat(x, starts)
             both = (first >= 0) & (second >= 0)
-            cuts = np.searchsorted(rare, np.append(starts, len(flat)))
-            mine = []
-            for s, a, b in zip(starts.tolist(), cuts, cuts[1:], strict=False):
-                words_here: dict[bytes, list[dict]] = {}
-                for k in rare[a:b].tolist():
-                    words_here.setdefault(flat[k], []).append({"at": k - s, "before": int(first[k]), "after": int(after[k])})
-                mine.append([{"word": w, "times": len(p), "places": p} for w, p in words_here.items()])
+            cuts = pa.array(np.searchsorted(joined, np.append(starts, len(flat))).astype(np.int32))
+            position = joined - np.repeat(starts, np.diff(cuts))
+            place = (position << 16) | ((first[joined] + 2) << 8) | (after[joined] + 2)
+            lists = [pa.ListArray.from_arrays(cuts, x) for x in (pa.array([kept(flat[k]) for k in joined.tolist()], pa.binary()), pa.array(place))]
             rows = np.arange(row, row + len(texts))
             row += len(texts)
-            return [pa.array(rows), pa.array(sizes), pa.array(added(known[at].astype(np.int64))), pa.array(added(logs[at])), pa.array(added(np.where(both, transitions[first, second], 0.0))), pa.array(added(np.where(second >= 0, norms[second], 0.0))), mine]
+            return [pa.array(x) for x in (rows, sizes, added(known[at].astype(np.int64)), added(logs[at]), added(np.where(both, transitions[first, second], 0.0)), added(np.where(second >= 0, norms[second], 0.0)))] + lists
 
         return work
 
-    kept = docs.drop(*made)
-    local = saved(with_columns(kept, text, fields, start, drop), "scores")
-    rare = local.select("__row", F.explode("__rare").alias("r")).select("__row", "r.*").join(model.counts, "word", "left")
-    count, own = F.coalesce("n", F.lit(0)), F.coalesce("class", unit_classes(model.unit_class))
-    placed = F.transform("places", lambda p: F.struct(p["at"].alias("at"), p["before"].alias("before"), p["after"].alias("after"), F.col("own").alias("own")))
-    back = saved(rare.withColumn("own", own).groupBy("__row").agg(
-        F.sum(F.log10(count + 0.5) * F.col("times")).alias("__more"), F.sum(F.when(count > 0, F.col("times")).otherwise(0)).alias("__more_known"), F.flatten(F.collect_list(placed)).alias("__placed")
-    ), "rare")
-    back = back.drop("__placed").join(of_rare(back.select("__row", "__placed"), model), "__row")
+    others = docs.drop(*made)
+    local = saved(with_columns(others, text, fields, start, drop), "scores")
+    joined = local.select("__row", F.explode(F.arrays_zip(F.col("__words").alias("word"), F.col("__places").alias("place"))).alias("w")).select("__row", "w.*").join(model.counts, "word", "left")
+    guessed = F.get(F.array(*map(F.lit, model.unknown)), ending("word"))
+    one = F.struct("place", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("class", F.when(F.octet_length("word") == 0, 0).otherwise(guessed)).alias("class"))
+    back = of_joined(joined.groupBy("__row").agg(F.collect_list(one).alias("__placed")), model)
     more = lambda c: F.coalesce(c, F.lit(0.0))
-    logs = F.col("__logs") + F.coalesce("__more", F.lit(0.0))
+    logs = F.col("__logs") + more("__more")
     every = float(np.log10(model.total + 0.5 * (model.types + 1)))
-    columns = [c for c in kept.columns if c not in drop]
-    return local.drop("__rare").join(back, "__row", "left").select(
-        *columns, "n_tokens", (F.col("__known") + F.coalesce("__more_known", F.lit(0))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"),
-        (logs - F.col("n_tokens") * every).alias("base_score"), (logs + F.col("__transitions") + more("__more_transitions") - F.col("__norms") - more("__more_norms")).alias("score"),
+    columns = [c for c in others.columns if c not in drop]
+    return local.drop("__words", "__places").join(back, "__row", "left").select(
+        *columns, F.col("__tokens").alias("n_tokens"), (F.col("__known") + F.coalesce("__more_known", F.lit(0))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"),
+        (logs - F.col("__tokens") * every).alias("base_score"), (logs + F.col("__transitions") + more("__more_transitions") - F.col("__norms") - more("__more_norms")).alias("score"),
     )

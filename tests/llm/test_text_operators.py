@@ -214,30 +214,88 @@ def contexts_by_kind():
     return kinds, [(i, " ".join(x for _ in range(10) for x in ("the", rng.choice(by[0]), "of", rng.choice(by[1]))), None, None) for i in range(150)]
 
 
-def test_rare_words_get_classes_by_their_own_contexts(spark, monkeypatch):
-    monkeypatch.setattr(brown_lm, "FREQUENT", 2)
-    monkeypatch.setattr(brown_lm, "UNITS", 1 + 2 + brown_lm.ENDINGS)
+def flat_words(rows):
+    return [["", *(t or "").lower().split(), ""] for _, t, *_ in rows]
+
+
+def brute_scores(rows, found, both, classes):
+    """Scores by the formulas, a word at a time; found: (n, class) of each word."""
+    tokens, kinds = Counter(), Counter()
+    for n, c in found.values():
+        tokens[c] += n
+        kinds[c] += 1
+    out = []
+    for t in flat_words(rows):
+        total = 0.0
+        for a, b in itertools.pairwise(t):
+            (_, before), (n, own) = found[a], found[b]
+            total += math.log10((both[before, own] + 0.5) / (both[before].sum() + 0.5 * classes) * (n + 0.5) / (tokens[own] + 0.5 * (kinds[own] + 1)))
+        out.append(total)
+    return out
+
+
+@pytest.mark.parametrize("dictionary", [0, 2, 250_000])
+def test_words_get_classes_by_their_own_contexts(spark, monkeypatch, dictionary):
+    monkeypatch.setattr(brown_lm, "DICTIONARY", dictionary)
+    monkeypatch.setattr(brown_lm, "SEEDS", 2)
     kinds, rows = contexts_by_kind()
     docs = frame(spark, rows)
     model = brown_lm.fit(docs, classes=5)
-    found = {bytes(r["word"]).decode(): r["class"] for r in model.counts.collect()}
-    assert len(found) == 43
-    mine = [{found[w] for w, k in kinds.items() if k == i} for i in (0, 1)]
-    assert not mine[0] & mine[1]  # though words of both kinds end alike
-    flat = [["", *(t or "").split(), ""] for _, t, *_ in rows]
+    found = {bytes(r["word"]).decode(): (r["n"], r["class"]) for r in model.counts.collect()}
+    flat = flat_words(rows)
+    assert {w: n for w, (n, _) in found.items()} == Counter(w for t in flat for w in t[1:])
     both = np.zeros((5, 5))
     for t in flat:
         for a, b in itertools.pairwise(t):
-            both[found[a], found[b]] += 1
+            both[found[a][1], found[b][1]] += 1
     assert np.allclose(model.transitions, np.log10(both + 0.5) - np.log10(both.sum(1, keepdims=True) + 2.5))
-    n = Counter(w for t in flat for w in t[1:])
-    norm = [math.log10(sum(n[w] + 0.5 for w in found if found[w] == c) + 0.5) for c in range(5)]
-    for dictionary in (model.dictionary, {}):
-        model.dictionary = dictionary
-        for r in brown_lm.scored(docs, model).collect():
-            t = ["", *r["text"].split(), ""]
-            want = sum(model.transitions[found[a], found[b]] + math.log10(n[b] + 0.5) - norm[found[b]] for a, b in itertools.pairwise(t))
-            assert math.isclose(r["score"], want, rel_tol=1e-9)
+    assert np.allclose((10**model.transitions).sum(1), 1)
+    if dictionary:
+        mine = [{found[w][1] for w, k in kinds.items() if k == i} for i in (0, 1)]
+        assert not mine[0] & mine[1]  # though words of both kinds end alike
+    want = brute_scores(rows, found, both, 5)
+    got = {r["doc_id"]: r["score"] for r in brown_lm.scored(docs, model).collect()}
+    assert all(math.isclose(got[i], x, rel_tol=1e-9) for i, x in enumerate(want))
+
+
+def test_unknown_and_very_long_words(spark, monkeypatch):
+    monkeypatch.setattr(brown_lm, "DICTIONARY", 3)
+    long, other = "x" * 200, "y" * 300
+    rows = [(i, f"a b {long} c{i} a b", None, None) for i in range(20)]
+    model = brown_lm.fit(frame(spark, rows), classes=4)
+    asked = [(0, f"a {long} b", None, None), (1, f"new {other} b newer newest", None, None), (2, None, None, None)]
+    got = {r["doc_id"]: r for r in brown_lm.scored(frame(spark, asked), model).collect()}
+    assert [got[i]["n_known"] for i in range(3)] == [4, 2, 1] and [got[i]["n_tokens"] for i in range(3)] == [4, 6, 1]
+    found = {bytes(r["word"]): (r["n"], r["class"]) for r in model.counts.collect()}
+    names = {w: found.get(brown_lm.kept(w.encode()), (0, model.unknown[zlib.crc32(brown_lm.kept(w.encode())[-2:]) % brown_lm.UNKNOWNS])) for t in flat_words(asked) for w in t}
+    for (i, *_), t in zip(asked, flat_words(asked), strict=True):
+        want = sum(model.transitions[names[a][1], names[b][1]] + math.log10(names[b][0] + 0.5) - model.norms[names[b][1]] for a, b in itertools.pairwise(t))
+        assert math.isclose(got[i]["score"], want, rel_tol=1e-9)
+
+
+def test_passes_raise_the_likelihood_of_held_out_texts(spark, monkeypatch):
+    """Pairs of the dictionary over many buckets and flushes, and held-out scores above those of single words."""
+    monkeypatch.setattr(brown_lm, "HELD_PAIRS", 50)
+    monkeypatch.setattr(brown_lm, "DICTIONARY", 60)
+    monkeypatch.setattr(brown_lm, "SEEDS", 10)
+    rng = random.Random(8)
+    kinds = [[f"{k}{a}{b}" for a in "bcdfg" for b in "aeiou"] for k in "pqr"]
+    rows = [(i, " ".join(rng.choice(kinds[(i + j) % 3]) for j in range(60)), None, None) for i in range(120)]
+    train, rest = frame(spark, rows[:90]), frame(spark, rows[90:])
+    places = {w: i for i, w in enumerate(brown_lm.often(brown_lm.count_words(train)))}
+    seen = brown_lm.neighbours(train, places).collect()
+    want = Counter()
+    for t in flat_words(rows[:90]):
+        for a, b in itertools.pairwise(t):
+            if a.encode() in places and b.encode() in places:
+                want[places[a.encode()], places[b.encode()]] += 1
+                want[places[b.encode()], places[a.encode()] + len(places)] += 1
+    assert {(r["code"], k): n for r in seen for k, n in zip(r["keys"], r["n"], strict=True)} == want and len({r["code"] for r in seen}) == len(seen)
+    tables = [brown_lm.exchange_dictionary(brown_lm.neighbours(train, places), len(places), 6, passes)[1] for passes in (1, 2, 4)]
+    by = [brown_lm.likelihood(t) for t in tables]
+    assert by[0] <= by[1] <= by[2] and all(t.sum() == tables[0].sum() for t in tables)
+    got = brown_lm.scored(rest, brown_lm.fit(train, classes=6)).agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert (got[0] - got[1]) / got[2] > 0.3  # three kinds in turn: log10 of 3 is 0.48
 
 
 def test_best_classes_raise_likelihood_most():
@@ -250,25 +308,18 @@ def test_best_classes_raise_likelihood_most():
 
     member, own = np.eye(5)[of], np.diag(b).astype(float)
     right, left = (x @ member - own[:, None] * member for x in (b, b.T))
+    for u in range(1, 30):  # a word that is in no class yet
+        apart, rest = np.delete(np.arange(30), u), b.copy()
+        rest[u], rest[:, u] = 0, 0
+        alone = brown_lm.best_classes(np.array([-1]), (b[u] @ np.eye(5)[of] - own[u] * member[u])[None], (b[:, u] @ np.eye(5)[of] - own[u] * member[u])[None], own[u : u + 1], np.eye(5)[of[apart]].T @ rest[np.ix_(apart, apart)] @ np.eye(5)[of[apart]])
+        by = [likelihood(np.where(np.arange(30) == u, c, of)) for c in range(1, 5)]
+        assert math.isclose(by[alone[0] - 1], max(by), rel_tol=1e-12)
     found = brown_lm.best_classes(of[1:], right[1:], left[1:], own[1:], member.T @ b @ member)
     for u in range(1, 30):
         by = [likelihood(np.where(np.arange(30) == u, c, of)) for c in range(1, 5)]
         assert math.isclose(by[found[u - 1] - 1], max(by), rel_tol=1e-12)
 
 
-def test_class_model_sums_to_one(spark):
-    docs = frame(spark, [(i, " ".join(["a b c d e f".split()[(i * k) % 6] for k in range(9)]), None, None) for i in range(30)])
-    m = brown_lm.fit(docs)
-    words = [bytes(r["word"]) for r in m.counts.collect()]
-    units, counts = brown_lm.Units(m.frequent), {bytes(r["word"]): r["n"] for r in m.counts.collect()}
-    by_class = Counter()
-    for w in words:
-        by_class[m.unit_class[units[w]]] += counts[w] + 0.5
-    for k in range(brown_lm.CLASSES):
-        assert math.isclose(by_class[k] + 0.5, 10 ** m.norms[k], rel_tol=1e-9)
-    assert np.allclose((10**m.transitions).sum(1), 1)
-
-
 def test_exchange_raises_likelihood():
     rng = np.random.default_rng(2)
     kinds = rng.integers(0, 3, 40)
