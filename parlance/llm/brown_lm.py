@@ -55,7 +55,7 @@ CLASSES = 64
 #: Words that the driver exchanges first, to start the classes with.
 SEEDS = 512
 #: Passes over the dictionary and over all other words, at most.
-PASSES, MORE_PASSES = 6, 2
+PASSES, MORE_PASSES = 4, 2
 #: Bound of what every task holds: words. Longer words stand as digests.
 DICTIONARY, LONGEST = 250_000, 64
 #: Kinds of endings by which the class of an unknown word is guessed.
@@ -65,7 +65,7 @@ HELD_WORDS, HELD_PAIRS = 1_000_000, 2_000_000
 #: Pairs of words meet in GRID x GRID buckets, by which no frequent word's pairs come to one task.
 GRID = 64
 #: Words that are moved at once, when a task has moved four times as many.
-AT_ONCE = 256
+AT_ONCE = 512
 COUNT = (1 << 56) - 1
 
 
@@ -238,6 +238,12 @@ def xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
+def rise(base: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """xlogx(base + x) - xlogx(base), of numbers of any size without loss of digits."""
+    base = np.maximum(base, np.float32(1e-6))
+    return base * np.log1p(x / base) + x * np.log(base + x)
+
+
 def likelihood(both: np.ndarray) -> float:
     return float(xlogx(both).sum() - xlogx(both.sum(0)).sum() - xlogx(both.sum(1)).sum())
 
@@ -297,30 +303,35 @@ def best_classes(of: np.ndarray, right: np.ndarray, left: np.ndarray, own: np.nd
     right and left: (words, classes) counts of the classes after and before; own: of the word after itself, not in them.
     A word of class -1 is in none yet, and its bigrams aren't in both.
     """
-    every, there = np.arange(len(of)), of >= 0
-    placed = every[there]
-    gain = np.zeros(right.shape)
+    m, every, there = len(of), np.arange(len(of)), of >= 0
+    placed, at = every[there], of[there]
+    both = both.astype(np.float32)
+    right, left, own = (x.astype(np.float32) for x in (right, left, own))
+    gain = np.zeros(right.shape, np.float32)
     for mine, theirs, table in ((right, left, both), (left, right, both.T)):
         word, d = np.nonzero(mine)
-        x, at = mine[word, d], of[word]
-        base = table[:, d].T.copy()
-        same = d == at
+        x = mine[word, d]
+        base = table.T[d]
+        inside = np.flatnonzero(there[word])
+        same = inside[d[inside] == of[word[inside]]]
         base[same] -= theirs[word[same]]
-        inside = at >= 0
-        base[np.flatnonzero(inside), at[inside]] -= (x + same * own[word])[inside]
+        base[inside, of[word[inside]]] -= x[inside]
+        base[same, d[same]] -= own[word[same]]
         if len(word):
             starts = np.flatnonzero(np.diff(word, prepend=-1))
-            gain[word[starts]] += np.add.reduceat(xlogx(base + x[:, None]) - xlogx(base), starts)
-        tokens = table.sum(1)[None].astype(float) + np.where(there[:, None], 0, theirs)
+            gain[word[starts]] += np.add.reduceat(rise(base, x[:, None]), starts)
+        tokens = table.sum(1)[None] + np.where(there[:, None], 0, theirs)
         new = mine.sum(1) + own
-        tokens[placed, of[there]] -= new[there]
-        gain -= xlogx(tokens + new[:, None]) - xlogx(tokens)
-    diagonal = np.repeat(np.diag(both)[None], len(of), axis=0)
-    diagonal[placed, of[there]] -= (right[placed, of[there]] + left[placed, of[there]] + own[there])
-    gain += xlogx(diagonal + right + left + own[:, None]) - xlogx(diagonal + right) - xlogx(diagonal + left) + xlogx(diagonal)
+        tokens[placed, at] -= new[there]
+        gain -= rise(tokens, new[:, None])
+    diagonal = np.repeat(np.diag(both)[None], m, axis=0)
+    diagonal[placed, at] -= right[placed, at] + left[placed, at] + own[there]
+    word, d = np.nonzero((right > 0) & (left > 0) | (own > 0)[:, None])
+    here, r, back = diagonal[word, d], right[word, d], left[word, d]
+    gain[word, d] += rise(here, r + back + own[word]) - rise(here, r) - rise(here, back)
     gain[:, 0] = -np.inf
     best = gain.argmax(1)
-    return np.where(~there | (gain[every, best] > gain[every, of] + 1e-9), best, of)
+    return np.where(~there | (gain[every, best] > gain[every, of] + 1e-4), best, of)
 
 
 def moves(of: np.ndarray, right: np.ndarray, left: np.ndarray, own: np.ndarray, both: np.ndarray, done: int) -> np.ndarray:
@@ -330,10 +341,9 @@ def moves(of: np.ndarray, right: np.ndarray, left: np.ndarray, own: np.ndarray,
         some = slice(at, at + min(max(done // 4, 1), AT_ONCE))
         best = best_classes(of[some], right[some], left[some], own[some], both)
         for c, sign in ((of[some], -1), (best, 1)):
-            inside = c >= 0
-            np.add.at(both, c[inside], sign * right[some][inside])
-            np.add.at(both.T, c[inside], sign * left[some][inside])
-            np.add.at(both, (c[inside], c[inside]), sign * own[some][inside])
+            member = np.where(c[:, None] == np.arange(len(both)), sign, 0).astype(float)
+            both += member.T @ right[some] + left[some].T @ member
+            np.add.at(both, (c[c >= 0], c[c >= 0]), sign * own[some][c >= 0])
         of[some] = best
         at, done = at + len(best), done + len(best)
     return of
