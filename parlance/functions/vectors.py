@@ -51,6 +51,14 @@ def enrolment_window(channel: Column, start_ms: Column, end_ms: Column) -> Colum
     return F.when((channel == "mic") & (end_ms - start_ms >= 1500), F.struct(start_ms.alias("start_ms"), F.least(end_ms, start_ms + 10_000).alias("end_ms")))
 
 
+def embeddable_window(start_ms: Column, end_ms: Column, least: int = 1_500, most: int = 10_000) -> Column:
+    """M9: (start_ms, end_ms) of what can be embedded of a turn: null under `least`, its middle if it is longer than `most`."""
+    length = end_ms - start_ms
+    middle = start_ms + F.floor(length / 2).cast("long")
+    whole = F.struct(start_ms.alias("start_ms"), end_ms.alias("end_ms"))
+    return F.when(length >= least, F.when(length <= most, whole).otherwise(F.struct((middle - most // 2).alias("start_ms"), (middle + most // 2).alias("end_ms"))))
+
+
 def silence_threshold(elapsed_ms: Column, high: float = 0.80, low: float = 0.35, from_ms: int = 3_000, to_ms: int = 20_000) -> Column:
     """The speech probability below which a frame is silence: falls from high to low while a chunk grows."""
     part = F.least(F.greatest((elapsed_ms - from_ms) / float(to_ms - from_ms), F.lit(0.0)), F.lit(1.0))

@@ -30,12 +30,12 @@ def centroids(exemplars: DataFrame, *keys: str, most: int = MOST_EXEMPLARS) -> D
     return kept.groupBy(*keys).agg(items.alias("items")).select(*keys, V.weighted_mean(F.col("items")).alias("vector"), F.size("items").cast("long").alias("n"))
 
 
-def means(exemplars: DataFrame, *keys: str) -> DataFrame:
-    """(keys, vector, n): mean of all positives, weighted by voiced time, normalised. Vectors of another width than the newest are left out.
+def means(exemplars: DataFrame, *keys: str, weighted: bool = True) -> DataFrame:
+    """(keys, vector, n): mean of all positives, weighted by voiced time or all alike (G19), normalised. Vectors of another width than the newest are left out.
 
     Coordinates are summed by position before the shuffle, so no row or task holds a key's vectors, however many they are.
     """
-    weight = F.greatest("voiced_ms", F.lit(1)).cast("double")
+    weight = F.greatest("voiced_ms", F.lit(1)).cast("double") if weighted else F.lit(1.0)
     rows = exemplars.where(~F.col("is_negative") & (F.size("vector") > 0))
     parts = rows.select(*keys, F.col("id").alias("__id"), F.size("vector").alias("__width"), weight.alias("__weight"), F.posexplode("vector").alias("__at", "__x"))
     sums = parts.groupBy(*keys, "__width", "__at").agg(

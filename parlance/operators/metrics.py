@@ -67,10 +67,11 @@ def der(reference: DataFrame, hypothesis: DataFrame) -> DataFrame:
     The time that mapped speakers share is what is right, so confusion is what both sides cover less that.
     """
     ref, hyp = (intervals.merged(s, "meeting", "speaker", gap_ms=0) for s in (reference, hypothesis))
-    area = intervals.regions(ref.unionByName(hyp), "meeting")
-    count = lambda spans, name: intervals.covered(area, spans).groupBy("meeting", "start_ms", "end_ms").agg(F.count(F.lit(1)).alias(name))
-    keys = ["meeting", "start_ms", "end_ms"]
-    both = area.join(count(ref, "r"), keys, "left").join(count(hyp, "h"), keys, "left").fillna(0, ["r", "h"])
+    # one on each side's count at a start, one off at an end, added up along the meeting
+    bounds = lambda spans, r, h: spans.select("meeting", F.explode(F.array(*[F.struct(F.col(c).alias("start_ms"), F.lit(r * by).alias("r"), F.lit(h * by).alias("h")) for c, by in (("start_ms", 1), ("end_ms", -1))])).alias("b")).select("meeting", "b.*")
+    steps = bounds(ref, 1, 0).unionByName(bounds(hyp, 0, 1)).groupBy("meeting", "start_ms").agg(F.sum("r").alias("r"), F.sum("h").alias("h"))
+    along = Window.partitionBy("meeting").orderBy("start_ms")
+    both = steps.select("meeting", "start_ms", F.lead("start_ms").over(along).alias("end_ms"), F.sum("r").over(along).alias("r"), F.sum("h").over(along).alias("h")).where("end_ms is not null")
     ms = F.col("end_ms") - F.col("start_ms")
     tally = both.groupBy("meeting").agg(
         F.sum(ms * F.col("r")).alias("total_ms"), F.sum(ms * F.greatest(F.col("r") - F.col("h"), F.lit(0))).alias("missed_ms"),
@@ -80,6 +81,40 @@ def der(reference: DataFrame, hypothesis: DataFrame) -> DataFrame:
     return tally.join(right, "meeting", "left").select("meeting", "total_ms", "missed_ms", "false_alarm_ms", (F.col("common_ms") - F.coalesce("right_ms", F.lit(0))).alias("confusion_ms"))
 
 
+def run_difference(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(person, meeting, gained_ms) of two runs' ledgers (person, meeting, outcome, ms); what only one covers is `uncovered`'s."""
+    right = lambda run, name: run.groupBy("person", "meeting").agg(F.sum(F.when(F.col("outcome") == "correct", F.col("ms")).otherwise(0)).alias(name))
+    return right(first, "a").join(right(second, "b"), ["person", "meeting"]).select("person", "meeting", (F.col("b") - F.col("a")).alias("gained_ms"))
+
+
+def uncovered(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(person, meeting, run) that only that run has; a comparison holds if this is empty."""
+    a, b = (run.select("person", "meeting").distinct() for run in (first, second))
+    return a.exceptAll(b).withColumn("run", F.lit("first")).unionByName(b.exceptAll(a).withColumn("run", F.lit("second")))
+
+
+def ledger_faults(ledger: DataFrame, spoken: DataFrame) -> DataFrame:
+    """(person, meeting, fault, outcome): entries that are there more than once, and persons whose outcomes don't add up to what they spoke."""
+    keys = ["person", "meeting"]
+    twice = ledger.groupBy(*keys, "outcome").count().where("count > 1").select(*keys, F.lit("entry").alias("fault"), "outcome")
+    sums = ledger.groupBy(*keys).agg(F.sum("ms").alias("entered")).join(spoken.select(*keys, "ms"), keys, "full")
+    wrong = sums.where(~F.col("entered").eqNullSafe(F.col("ms")) & ((F.coalesce("entered", F.lit(0)) > 0) | (F.coalesce("ms", F.lit(0)) > 0)))
+    return twice.unionByName(wrong.select(*keys, F.lit("total").alias("fault"), F.lit(None).cast("string").alias("outcome")))
+
+
+def constraint_counts(pairs: DataFrame, clusters: DataFrame, who: DataFrame) -> DataFrame:
+    """(merged, pairs, rejoins) over pairs (id, other) of one window, whose clusters (id, cluster) and reference speakers (id, speaker) are known.
+
+    A pair of one speaker is a rejoin; of the others, those in one cluster were merged. A pair counts once.
+    """
+    once = pairs.where("id < other").select("id", "other").distinct()
+    named = lambda df, column, key, name: df.select(F.col("id").alias(key), F.col(column).alias(name))
+    rows = once.join(named(who, "speaker", "id", "a"), "id").join(named(who, "speaker", "other", "b"), "other")
+    rows = rows.join(named(clusters, "cluster", "id", "c"), "id", "left").join(named(clusters, "cluster", "other", "d"), "other", "left")
+    apart = F.col("a") != F.col("b")
+    return rows.agg(F.count_if(apart & F.col("c").eqNullSafe(F.col("d"))).alias("merged"), F.count_if(apart).alias("pairs"), F.count_if(~apart).alias("rejoins"))
+
+
 def pooled(tallies: DataFrame) -> DataFrame:
     """One rate of all meetings' sums."""
     parts = ("missed_ms", "false_alarm_ms", "confusion_ms")

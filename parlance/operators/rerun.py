@@ -57,11 +57,24 @@ def backlog(fresh: DataFrame, old: DataFrame, present: DataFrame) -> DataFrame:
     return fresh.select("meeting").union(old.select("meeting").join(present.select("meeting").distinct(), "meeting", "left_semi")).distinct()
 
 
-def outran(meetings: DataFrame, reruns: DataFrame) -> DataFrame:
-    """Meetings that a re-run of the same app started after, as instants whatever the offsets."""
+def outran(meetings: DataFrame, reruns: DataFrame, *keys: str) -> DataFrame:
+    """The re-runs to take up again: not cancelled, and a meeting with audio was never diarized, or last before the re-run began.
+
+    meetings: keys, audio_path, diarized_at; reruns: keys, started_at, cancelled. Instants are compared, whatever the offsets.
+    """
     instant = lambda c: F.try_to_timestamp(F.col(c), F.lit("yyyy-MM-dd'T'HH:mm:ssXXX"))
-    first = reruns.groupBy(F.col("detected_app").alias("app")).agg(F.max(instant("started_at")).alias("latest"))
-    return meetings.join(first, F.col("detected_app") == F.col("app")).where(instant("started_at") < F.col("latest")).select(meetings.columns)
+    with_audio = meetings.where(F.col("audio_path").isNotNull())
+    oldest = with_audio.groupBy(*keys).agg(F.bool_or(F.col("diarized_at").isNull()).alias("never"), F.min(instant("diarized_at")).alias("oldest"))
+    found = reruns.where(~F.col("cancelled")).join(oldest, list(keys))
+    return found.where(F.col("never") | (F.col("oldest") < instant("started_at"))).select(reruns.columns)
+
+
+def progress(backlog: DataFrame, waiting: DataFrame, abandoned: DataFrame, *keys: str) -> DataFrame:
+    """(keys, total, remaining, abandoned, done) of backlog (keys, meeting): what still waits, what was given up, and what is done, never below 0."""
+    mark = lambda df, name: df.select("meeting").distinct().withColumn(name, F.lit(1))
+    rows = backlog.join(mark(waiting, "w"), "meeting", "left").join(mark(abandoned, "a"), "meeting", "left")
+    sums = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"), F.count("w").alias("remaining"), F.count_if(F.col("a").isNotNull() & F.col("w").isNull()).alias("abandoned"))
+    return sums.withColumn("done", F.greatest(F.lit(0).cast("long"), F.col("total") - F.col("remaining") - F.col("abandoned")))
 
 
 def rename_preview(speakers: DataFrame, appearances: DataFrame, speaker_id: int, name: str) -> DataFrame:

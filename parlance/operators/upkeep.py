@@ -14,14 +14,18 @@ from parlance.operators import intervals, matching, registry
 LEAST_OPERATOR_MS, DOMINANCE, DOMINANCE_MARGIN, LEAST_SPEAKER_MS = 20_000, 0.80, 0.5, 10_000
 
 
+def dominates(leader: Column, second: Column, total: Column, share: float = DOMINANCE, margin: float = DOMINANCE_MARGIN, least_ms: int = LEAST_OPERATOR_MS) -> Column:
+    """Whether the leader's time is enough, a large enough share, and far enough ahead; second is null if there is none."""
+    return (leader >= least_ms) & (leader / total >= share) & (second.isNull() | ((leader - second) / total > margin))
+
+
 def dominant(turns: DataFrame, share: float = DOMINANCE, margin: float = DOMINANCE_MARGIN, least_ms: int = LEAST_OPERATOR_MS) -> DataFrame:
     """(meeting, cluster) that has most of the microphone's time, by enough."""
     time = turns.where("channel = 'mic'").groupBy("meeting", "cluster").agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("ms"))
     whole = Window.partitionBy("meeting")
     order = whole.orderBy(F.col("ms").desc(), "cluster")
     rows = time.select("*", F.row_number().over(order).alias("place"), F.lead("ms").over(order).alias("second"), F.sum("ms").over(whole).alias("total"))
-    lead = F.col("second").isNull() | ((F.col("ms") - F.col("second")) / F.col("total") > margin)
-    return rows.where((F.col("place") == 1) & (F.col("ms") >= least_ms) & (F.col("ms") / F.col("total") >= share) & lead).select("meeting", "cluster")
+    return rows.where((F.col("place") == 1) & dominates(F.col("ms"), F.col("second"), F.col("total"), share, margin, least_ms)).select("meeting", "cluster")
 
 
 def operator_cluster(turns: DataFrame, facts: DataFrame, matches: DataFrame, **limits: float) -> DataFrame:
@@ -128,16 +132,51 @@ def silent_leg_is_dead(channel: Column, ticks_with_playback: Column) -> Column:
     return (channel == "mic") | (ticks_with_playback >= 2)
 
 
-def watched(apps: DataFrame, watchlist: DataFrame, blocklist: DataFrame, app: str = "app") -> DataFrame:
-    """Apps on the list and not blocked. Both lists have one column, app."""
-    return apps.join(blocklist.select(F.col("app").alias("b")), F.col(app) == F.col("b"), "left_anti").join(watchlist.select(F.col("app").alias("w")), F.col(app) == F.col("w"), "left_semi")
-
-
-def responsible_app(process: Column, exceptions: dict[str, str], executables: dict[str, str]) -> Column:
-    """An exception's app, that of a known executable, or the process without its helper's part."""
-    table = {**executables, **exceptions}
-    known = F.create_map(*[F.lit(x) for p in sorted(table.items()) for x in p])[process] if table else F.lit(None).cast("string")
-    return F.coalesce(known, F.regexp_replace(process, r"(?i)\.helper(\..*)?$", ""))
+#: Processes that are known by their whole name or its beginning, and the apps they belong to.
+HELPER_EXCEPTIONS = {
+    "us.zoom.ZoomHybridConf": "us.zoom.xos",
+    "us.zoom.ZoomClips": "us.zoom.xos",
+    "com.microsoft.teams2.helper": "com.microsoft.teams2",
+    "com.microsoft.teams2.modulehost": "com.microsoft.teams2",
+}
+PROCESS_PREFIXES = {"com.apple.WebKit": "com.apple.Safari"}
+EXECUTABLES = {
+    "zoom.exe": "us.zoom.xos",
+    "ms-teams.exe": "com.microsoft.teams2",
+    "teams.exe": "com.microsoft.teams2",
+    "wemeetapp.exe": "com.tencent.tencentmeeting",
+    "voovmeetingapp.exe": "com.tencent.tencentmeeting",
+}
+BROWSER_MEETINGS = "browser-meetings"
+
+
+def folded(name: Column) -> Column:
+    """A to Z in lower case, as names of apps are compared."""
+    return F.translate(name, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def watched(apps: DataFrame, watchlist: DataFrame, blocklist: DataFrame, browsers: DataFrame, app: str = "app") -> DataFrame:
+    """Apps that watchlist (app, kind) names, or that are browsers if it has browser meetings; not those of blocklist (app)."""
+    named = watchlist.where(F.col("kind") != BROWSER_MEETINGS).select(folded(F.col("app")).alias("w"))
+    wanted = browsers.join(watchlist.where(F.col("kind") == BROWSER_MEETINGS).select("kind").distinct(), F.lit(True), "left_semi").select(folded(F.col("app")).alias("w"))
+    blocked = blocklist.select(folded(F.col("app")).alias("b"))
+    return apps.join(blocked, folded(F.col(app)) == F.col("b"), "left_anti").join(named.union(wanted), folded(F.col(app)) == F.col("w"), "left_semi")
+
+
+def suggestions(suggested: DataFrame, watchlist: DataFrame) -> DataFrame:
+    """The suggested (app, kind) that aren't on the watchlist."""
+    return suggested.join(watchlist.select(folded(F.col("app")).alias("w")), folded(F.col("app")) == F.col("w"), "left_anti")
+
+
+def responsible_app(process: Column, exceptions: dict[str, str] = HELPER_EXCEPTIONS, prefixes: dict[str, str] = PROCESS_PREFIXES, executables: dict[str, str] = EXECUTABLES) -> Column:
+    """An exception's app, that of a known beginning or executable, or the process up to its first .helper; letters' case aside."""
+    name = folded(process)
+    at = F.instr(name, ".helper")
+    found = F.when(at > 0, F.substring(process, F.lit(1), at - 1)).otherwise(process)
+    rules = [*[(name == folded(F.lit(p)), app) for p, app in exceptions.items()], *[(name.startswith(folded(F.lit(p))), app) for p, app in prefixes.items()], *[(name == folded(F.lit(p)), app) for p, app in executables.items()]]
+    for fits, app in reversed(rules):
+        found = F.when(fits, F.lit(app)).otherwise(found)
+    return found
 
 
 def enqueued(queue: DataFrame, requests: DataFrame) -> DataFrame:

@@ -79,12 +79,27 @@ def population_report(spark, d):
     return rows
 
 
+def two_runs(spark, d):
+    """Two runs' ledgers (person, meeting, outcome, ms) on the same speech; the second saw nothing of some meetings."""
+    rows = facts(spark, d).groupBy("person", "meeting", "outcome").agg(F.sum("ms").alias("ms"))
+    return rows, rows.where("meeting % 50 <> 7").withColumn("outcome", F.when(F.col("outcome") == "correct-new", "correct").otherwise(F.col("outcome")))
+
+
 def run_diff(spark, d):
-    """Change in correct time of each person and meeting between two runs, none left out."""
-    both = facts(spark, d)
-    a = both.where("outcome = 'correct'").groupBy("person", "meeting").agg(F.sum("ms").alias("a_ms"))
-    b = both.where("outcome in ('correct', 'correct-new')").groupBy("person", "meeting").agg(F.sum("ms").alias("b_ms"))
-    return a.join(b, ["person", "meeting"], "full").select("person", "meeting", (F.coalesce("b_ms", F.lit(0)) - F.coalesce("a_ms", F.lit(0))).alias("gained_ms"))
+    """Change in correct time between two runs, of each person and meeting that both cover."""
+    return metrics.run_difference(*two_runs(spark, d))
+
+
+def run_coverage(spark, d):
+    """Persons and meetings that only one of two runs covers."""
+    return metrics.uncovered(*two_runs(spark, d))
+
+
+def ledger_faults(spark, d):
+    """Of a ledger with rows entered twice and others left out, the entries that aren't unique and the persons whose time doesn't add up."""
+    rows = facts(spark, d).groupBy("person", "meeting", "outcome").agg(F.sum("ms").alias("ms"))
+    entered = rows.where("meeting % 40 <> 3").union(rows.where("meeting % 40 = 5"))
+    return metrics.ledger_faults(entered, rows.groupBy("person", "meeting").agg(F.sum("ms").alias("ms")))
 
 
 def recognition_report(spark, d):
@@ -141,7 +156,9 @@ QUERIES = {
     "ownership": (ownership, S("SELECT meeting, r AS right_speaker, round(max(ms) / sum(ms), 6) AS purity FROM pairs GROUP BY 1, 2", "turns", "reference", "hypothesis", "ref", "hyp", "pairs")),
     "ledger": (ledger, S("SELECT person, meeting, outcome, CAST(sum(ms) AS BIGINT) AS ms FROM facts GROUP BY 1, 2, 3", "turns", "facts")),
     "population_report": (population_report, S("SELECT population, outcome, CAST(sum(ms) AS BIGINT) AS ms, CAST(sum(CASE WHEN outcome <> 'unscorable' THEN ms ELSE 0 END) AS BIGINT) AS scored_ms, CAST(grouping(population, outcome) AS INTEGER) AS level FROM facts GROUP BY ROLLUP (population, outcome)", "turns", "facts")),
-    "run_diff": (run_diff, S("""SELECT person, meeting, CAST(sum(CASE WHEN outcome = 'correct-new' THEN ms ELSE 0 END) AS BIGINT) AS gained_ms FROM facts WHERE outcome IN ('correct', 'correct-new') GROUP BY 1, 2""", "turns", "facts")),
+    "run_diff": (run_diff, S("""SELECT person, meeting, CAST(coalesce(sum(ms) FILTER (outcome = 'correct-new'), 0) AS BIGINT) AS gained_ms FROM facts WHERE meeting % 50 <> 7 GROUP BY 1, 2""", "turns", "facts")),
+    "run_coverage": (run_coverage, S("""SELECT DISTINCT person, meeting, 'first' AS run FROM facts WHERE meeting % 50 = 7""", "turns", "facts")),
+    "ledger_faults": (ledger_faults, S("""SELECT person, meeting, 'entry' AS fault, outcome FROM facts WHERE meeting % 40 = 5 GROUP BY ALL UNION ALL SELECT DISTINCT person, meeting, 'total', NULL FROM facts WHERE meeting % 40 IN (3, 5)""", "turns", "facts")),
     "recognition_report": (recognition_report, S("SELECT cluster, round(quantile_cont(end_ms - start_ms, 0.5), 4) AS median, round(quantile_cont(end_ms - start_ms, 0.9), 4) AS p90, count(*) AS n FROM turns GROUP BY cluster", "turns")),
     "word_errors": (word_errors, None),
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from parlance.operators import registry, transcripts
+from parlance.operators import ordering, registry, rerun, transcripts
 from parlance.sources import project as P
 
 seconds = lambda c: F.unix_timestamp(F.try_to_timestamp(c, F.lit("yyyy-MM-dd'T'HH:mm:ssXXX")))
@@ -40,7 +40,7 @@ def in_progress(spark, d):
 def never_diarized(spark, d):
     """Ended meetings with audio that no diarization has seen, oldest first."""
     found = P.meetings(spark, d).where("ended_at is not null and audio_path is not null and not diarized")
-    return found.select("id", "started_at").withColumn("place", F.row_number().over(Window.orderBy("started_at", "id")))
+    return ordering.numbered(found.select("id", "started_at"), "place", "started_at", "id")
 
 
 def transcript_effective(spark, d):
@@ -105,9 +105,8 @@ def speaker_join(spark, d):
 
 
 def queue_order(spark, d):
-    """The queue's order within each priority's day, front first."""
-    order = Window.partitionBy("priority", "enqueued_at").orderBy("meeting")
-    return P.queue(spark, d).withColumn("place", F.row_number().over(order))
+    """Each meeting's place in the queue."""
+    return ordering.numbered(P.queue(spark, d), "place", "priority", "enqueued_at", "meeting")
 
 
 def queue_head(spark, d):
@@ -116,12 +115,9 @@ def queue_head(spark, d):
 
 
 def backlog_progress(spark, d):
-    """A re-run's total, what is left of it in the queue by priority, and what is done, never below 0."""
-    backlog = P.queue(spark, d).where("meeting % 3 = 0").select("meeting")
-    left = P.queue(spark, d).where("meeting % 4 <> 0")
-    remaining = backlog.join(left, "meeting").groupBy("priority").agg(F.count(F.lit(1)).alias("remaining"))
-    total = backlog.agg(F.count(F.lit(1)).alias("total"))
-    return remaining.crossJoin(F.broadcast(total)).select("priority", "total", "remaining", F.greatest(F.lit(0).cast("long"), F.col("total") - F.col("remaining") - 5).alias("done"))
+    """By priority a re-run's total, what is left of it in the queue, what was given up, and what is done."""
+    backlog = P.queue(spark, d).where("meeting % 3 = 0").select("priority", "meeting")
+    return rerun.progress(backlog, P.queue(spark, d).where("meeting % 4 <> 0"), P.queue(spark, d).where("meeting % 7 = 0"), "priority")
 
 
 def dirty_batch(spark, d):
@@ -178,7 +174,7 @@ QUERIES = {
   FROM (SELECT *, CAST(epoch(CAST(ended_at AS TIMESTAMPTZ)) - epoch(CAST(started_at AS TIMESTAMPTZ)) AS BIGINT) AS n FROM meetings)""", "meetings")),
     "meeting_list": (meeting_list, S("SELECT id, started_at FROM meetings ORDER BY started_at DESC, id DESC LIMIT 50 OFFSET 10", "meetings")),
     "in_progress": (in_progress, S("SELECT id, started_at FROM meetings WHERE ended_at IS NULL ORDER BY started_at DESC, id DESC LIMIT 1", "meetings")),
-    "never_diarized": (never_diarized, S("SELECT id, started_at, CAST(row_number() OVER (ORDER BY started_at, id) AS INTEGER) AS place FROM meetings WHERE ended_at IS NOT NULL AND audio_path IS NOT NULL AND NOT diarized", "meetings")),
+    "never_diarized": (never_diarized, S("SELECT id, started_at, row_number() OVER (ORDER BY started_at, id) AS place FROM meetings WHERE ended_at IS NOT NULL AND audio_path IS NOT NULL AND NOT diarized", "meetings")),
     "transcript_effective": (transcript_effective, S("SELECT meeting, sequence, label, how AS attribution, start_ms, text FROM labelled", *RECORD)),
     "meeting_body": (meeting_body, S("SELECT meeting, string_agg(text, chr(10) ORDER BY sequence) AS body FROM segments GROUP BY meeting", "segments")),
     "speaker_lists": (speaker_lists, S("SELECT meeting, string_agg(label, ', ' ORDER BY first, label) AS speakers FROM (SELECT meeting, label, min(sequence) AS first FROM labelled GROUP BY meeting, label) GROUP BY meeting", *RECORD)),
@@ -199,10 +195,10 @@ QUERIES = {
     "speaker_join": (speaker_join, S("""SELECT coalesce(s.w, h.w) AS speaker_id, coalesce(s.n, 0) AS segments, coalesce(h.n, 0) AS hints
   FROM (SELECT CASE speaker_id WHEN 3 THEN 4 WHEN 7 THEN 2 ELSE speaker_id END AS w, count(*) AS n FROM segments WHERE speaker_id IS NOT NULL GROUP BY 1) s
   FULL JOIN (SELECT CASE speaker_id WHEN 3 THEN 4 WHEN 7 THEN 2 ELSE speaker_id END AS w, count(*) AS n FROM hints GROUP BY 1) h ON s.w = h.w""", "segments", "hints")),
-    "queue_order": (queue_order, S("SELECT meeting, priority, enqueued_at, CAST(row_number() OVER (PARTITION BY priority, enqueued_at ORDER BY meeting) AS INTEGER) AS place FROM queue", "queue")),
+    "queue_order": (queue_order, S("SELECT meeting, priority, enqueued_at, row_number() OVER (ORDER BY priority, enqueued_at, meeting) AS place FROM queue", "queue")),
     "queue_head": (queue_head, S("SELECT meeting, priority, enqueued_at FROM queue ORDER BY priority, enqueued_at, meeting LIMIT 20", "queue")),
-    "backlog_progress": (backlog_progress, S("""SELECT priority, (SELECT count(*) FROM queue WHERE meeting % 3 = 0) AS total, count(*) AS remaining, greatest(0, (SELECT count(*) FROM queue WHERE meeting % 3 = 0) - count(*) - 5) AS done
-  FROM queue WHERE meeting % 3 = 0 AND meeting % 4 <> 0 GROUP BY priority""", "queue")),
+    "backlog_progress": (backlog_progress, S("""SELECT priority, count(*) AS total, count(*) FILTER (meeting % 4 <> 0) AS remaining, count(*) FILTER (meeting % 4 = 0 AND meeting % 7 = 0) AS abandoned, count(*) FILTER (meeting % 4 = 0 AND meeting % 7 <> 0) AS done
+  FROM queue WHERE meeting % 3 = 0 GROUP BY priority""", "queue")),
     "dirty_batch": (dirty_batch, S("SELECT meeting, meeting % 5 + 1 AS generation, meeting % 3 + 1 AS acknowledged FROM (SELECT DISTINCT meeting FROM heard WHERE speaker_id IN (2, 5)) WHERE meeting % 5 > meeting % 3 ORDER BY meeting LIMIT 64", *HEARD)),
     "sequence_append": (sequence_append, S("""SELECT meeting, sequence AS source, last + row_number() OVER (PARTITION BY meeting ORDER BY start_ms, sequence) AS sequence
   FROM (SELECT *, max(sequence) OVER (PARTITION BY meeting) AS last FROM segments) WHERE sequence % 2 = 0""", "segments")),

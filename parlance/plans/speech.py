@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from parlance.operators import intervals
+from parlance.functions import vectors as V
+from parlance.operators import intervals, upkeep
 from parlance.sources import project as P
 from parlance.streaming import fold, machines
 
@@ -74,8 +75,8 @@ def voiced_share(spark, d):
     mine = P.turns(spark, d).where("channel = 'mic'").groupBy("meeting", "cluster").agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("ms"))
     order = Window.partitionBy("meeting").orderBy(F.col("ms").desc(), "cluster")
     ranked = mine.withColumn("place", F.row_number().over(order))
-    found = ranked.groupBy("meeting").agg(F.max(F.when(F.col("place") == 1, F.col("cluster"))).alias("leader"), F.max(F.when(F.col("place") == 1, F.col("ms"))).alias("leader_ms"), F.coalesce(F.max(F.when(F.col("place") == 2, F.col("ms"))), F.lit(0).cast("long")).alias("second_ms"), F.sum("ms").alias("total_ms"))
-    return found.withColumn("dominant", (F.col("leader_ms") >= 20_000) & (10 * F.col("leader_ms") >= 3 * F.col("total_ms")) & (F.col("leader_ms") > F.col("second_ms")))
+    found = ranked.groupBy("meeting").agg(F.max(F.when(F.col("place") == 1, F.col("cluster"))).alias("leader"), F.max(F.when(F.col("place") == 1, F.col("ms"))).alias("leader_ms"), F.max(F.when(F.col("place") == 2, F.col("ms"))).alias("second_ms"), F.sum("ms").alias("total_ms"))
+    return found.withColumn("dominant", upkeep.dominates(F.col("leader_ms"), F.col("second_ms"), F.col("total_ms")))
 
 
 def match_gate(spark, d):
@@ -114,10 +115,9 @@ def enrolled_before(spark, d):
 
 
 def windows_embeddable(spark, d):
-    """M9: the part of each turn that can be embedded: none under 1.5 seconds, the middle 3 seconds of longer ones."""
-    ms = F.col("end_ms") - F.col("start_ms")
-    start = F.when(ms > 3000, F.col("start_ms") + F.expr("(end_ms - start_ms - 3000) div 2")).otherwise(F.col("start_ms"))
-    return P.turns(spark, d).where(ms >= 1500).select("event_id", start.alias("start_ms"), (start + F.least(ms, F.lit(3000))).alias("end_ms"))
+    """M9: the part of each turn, made three times as long, that can be embedded."""
+    turns = P.turns(spark, d).withColumn("end_ms", F.col("start_ms") + 3 * (F.col("end_ms") - F.col("start_ms")))
+    return turns.select("event_id", V.embeddable_window(F.col("start_ms"), F.col("end_ms")).alias("w")).where("w is not null").select("event_id", "w.*")
 
 
 S = P.sql
@@ -152,8 +152,8 @@ QUERIES = {
     "far_end_overlap": (far_end_overlap, S("""SELECT event_id, meeting, start_ms, end_ms FROM turns m WHERE channel = 'mic' AND NOT EXISTS (
   SELECT 1 FROM turns s WHERE s.channel = 'system' AND s.meeting = m.meeting AND s.end_ms > s.start_ms AND m.start_ms < s.end_ms AND m.end_ms > s.start_ms)""", "turns")),
     "cluster_voiced": (cluster_voiced, S("SELECT meeting, cluster, CAST(sum(end_ms - start_ms) AS BIGINT) AS voiced_ms, min_by(event_id, (start_ms - end_ms, start_ms, event_id)) AS longest FROM turns GROUP BY 1, 2", "turns")),
-    "voiced_share": (voiced_share, S("""SELECT meeting, max(CASE WHEN place = 1 THEN cluster END) AS leader, CAST(max(CASE WHEN place = 1 THEN ms END) AS BIGINT) AS leader_ms, CAST(coalesce(max(CASE WHEN place = 2 THEN ms END), 0) AS BIGINT) AS second_ms, CAST(sum(ms) AS BIGINT) AS total_ms,
-  max(CASE WHEN place = 1 THEN ms END) >= 20000 AND 10 * max(CASE WHEN place = 1 THEN ms END) >= 3 * sum(ms) AND max(CASE WHEN place = 1 THEN ms END) > coalesce(max(CASE WHEN place = 2 THEN ms END), 0) AS dominant
+    "voiced_share": (voiced_share, S("""SELECT meeting, max(CASE WHEN place = 1 THEN cluster END) AS leader, CAST(max(CASE WHEN place = 1 THEN ms END) AS BIGINT) AS leader_ms, CAST(max(CASE WHEN place = 2 THEN ms END) AS BIGINT) AS second_ms, CAST(sum(ms) AS BIGINT) AS total_ms,
+  max(CASE WHEN place = 1 THEN ms END) >= 20000 AND max(CASE WHEN place = 1 THEN ms END) / sum(ms) >= 0.8::DOUBLE AND (max(CASE WHEN place = 2 THEN ms END) IS NULL OR (max(CASE WHEN place = 1 THEN ms END) - max(CASE WHEN place = 2 THEN ms END)) / sum(ms) > 0.5::DOUBLE) AS dominant
   FROM (SELECT *, row_number() OVER (PARTITION BY meeting ORDER BY ms DESC, cluster) AS place FROM (SELECT meeting, cluster, sum(end_ms - start_ms) AS ms FROM turns WHERE channel = 'mic' GROUP BY 1, 2)) GROUP BY meeting""", "turns")),
     "match_gate": (match_gate, S('SELECT meeting, CAST(sum(end_ms - start_ms) AS BIGINT) AS ms, count(DISTINCT cluster) AS voices, sum(end_ms - start_ms) >= 30000 AND count(DISTINCT cluster) >= 2 AS "open" FROM turns GROUP BY meeting', "turns")),
     "unanimity": (unanimity, S("SELECT meeting, cluster, min(owner) AS owner FROM (SELECT meeting, cluster, CASE WHEN event_id % 4 <> 3 THEN meeting % 3 ELSE -1 END AS owner FROM turns) GROUP BY 1, 2 HAVING count(DISTINCT owner) = 1 AND min(owner) >= 0", "turns")),
@@ -165,7 +165,8 @@ QUERIES = {
     WHERE 2 * held >= coalesce(covers, 0)) GROUP BY meeting, voice, island""", "turns")),
     "turn_order": (turn_order, S("SELECT event_id, meeting, CAST(row_number() OVER (PARTITION BY meeting ORDER BY start_ms, channel = 'system', cluster) AS INTEGER) AS place FROM turns", "turns")),
     "enrolled_before": (enrolled_before, S("SELECT cluster, meeting, meeting > min(meeting) OVER (PARTITION BY cluster) AS seen_before FROM (SELECT DISTINCT cluster, meeting FROM turns)", "turns")),
-    "windows_embeddable": (windows_embeddable, S("SELECT event_id, s AS start_ms, s + least(end_ms - start_ms, 3000) AS end_ms FROM (SELECT *, CASE WHEN end_ms - start_ms > 3000 THEN start_ms + (end_ms - start_ms - 3000) // 2 ELSE start_ms END AS s FROM turns WHERE end_ms - start_ms >= 1500)", "turns")),
+    "windows_embeddable": (windows_embeddable, S("""SELECT event_id, CASE WHEN n <= 10000 THEN start_ms ELSE start_ms + n // 2 - 5000 END AS start_ms, CASE WHEN n <= 10000 THEN start_ms + n ELSE start_ms + n // 2 + 5000 END AS end_ms
+  FROM (SELECT event_id, start_ms, 3 * (end_ms - start_ms) AS n FROM turns) WHERE n >= 1500""", "turns")),
 }
 
 

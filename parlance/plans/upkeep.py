@@ -85,12 +85,23 @@ def leg_verdicts(spark, d):
     return legs.select("user_id", state.alias("state"), dead.alias("dead")).groupBy("user_id").agg(upkeep.leg_verdict(F.col("state")).alias("verdict"), F.count_if("dead").alias("dead"))
 
 
+def watchlist(spark):
+    return spark.createDataFrame([("com.Meet", "process"), ("us.talk", "process"), ("com.blocked", "process"), ("us.zoom.xos", "process"), ("browsers", upkeep.BROWSER_MEETINGS)], "app string, kind string")
+
+
 def watched_apps(spark, d):
-    """Processes whose app is watched and not blocked."""
-    names = F.element_at(F.array(*[F.lit(x) for x in ("com.meet.Helper", "com.meet", "us.talk.helper.gpu", "afplay", "com.blocked")]), (F.col("user_id") % 5 + 1).cast("int"))
-    apps = P.table(spark, d, "events").select("user_id").distinct().select("user_id", upkeep.responsible_app(names, {"afplay": "com.player"}, {}).alias("app"))
+    """Processes whose app is watched, by name or as a browser, and not blocked."""
+    names = ("COM.meet.Helper", "com.meet", "us.talk.helperRenderer.x", "ZOOM.exe", "com.blocked", "com.apple.WebKit.GPU", "com.google.Chrome.helper.GPU", "com.microsoft.teams2.modulehost")
+    process = F.element_at(F.array(*map(F.lit, names)), (F.col("user_id") % 8 + 1).cast("int"))
+    apps = P.table(spark, d, "events").select("user_id").distinct().select("user_id", upkeep.responsible_app(process).alias("app"))
     listed = lambda *x: spark.createDataFrame([(a,) for a in x], "app string")
-    return upkeep.watched(apps, listed("com.meet", "us.talk", "com.blocked"), listed("com.blocked"))
+    return upkeep.watched(apps, watchlist(spark), listed("com.Blocked"), listed("com.apple.safari", "com.google.chrome"))
+
+
+def watch_suggestions(spark, d):
+    """What is suggested for the watchlist and not on it."""
+    suggested = spark.createDataFrame([("com.meet", "process"), ("com.new", "process"), ("US.TALK", "process")], "app string, kind string")
+    return upkeep.suggestions(suggested, watchlist(spark))
 
 
 def queue_promotion(spark, d):
@@ -137,9 +148,13 @@ def rerun_backlog(spark, d):
 
 
 def outran_rerun(spark, d):
-    """Meetings from before a re-run of the same app, by instant."""
-    rows = P.meetings(spark, d)
-    return rerun.outran(rows, rows.where("id % 17 = 3")).select("id")
+    """Re-runs of five histories that were not stopped and that a meeting with audio has not seen since, by instant."""
+    store = F.col("id") % 5
+    seen = F.when(F.col("diarized"), F.col("ended_at")).when(store != 1, F.col("started_at"))
+    rows = P.meetings(spark, d).select(store.alias("store"), "audio_path", seen.alias("diarized_at"))
+    began = F.concat(F.lit("2024-01-0"), (F.col("id") + 1).cast("string"), F.lit("T00:30:00+05:30"))
+    reruns = spark.range(5).select(F.col("id").alias("store"), began.alias("started_at"), (F.col("id") == 4).alias("cancelled"))
+    return rerun.outran(rows, reruns, "store").select("store", "started_at")
 
 
 def rename_preview(spark, d):
@@ -211,14 +226,17 @@ QUERIES = {
   SELECT user_id, count(*) FILTER (state = 'working') AS w, count(*) FILTER (state = 'not-tested') AS n, count(*) FILTER (s = 0 OR user_id % 4 >= 2) AS dead FROM (
     SELECT user_id, s, CASE WHEN (user_id + 2 * s) % 4 - 1 > 0 THEN 'working' WHEN s = 1 AND user_id % 5 <> 4 AND user_id % 2 <> 0 THEN 'not-tested' WHEN (user_id + s) % 3 = 0 THEN 'nothing-captured' ELSE 'silent' END AS state
     FROM (SELECT DISTINCT user_id FROM events), (VALUES (0), (1)) AS t(s)) GROUP BY user_id)"""),
-    "watched_apps": (watched_apps, "SELECT DISTINCT user_id, CASE WHEN user_id % 5 = 2 THEN 'us.talk' ELSE 'com.meet' END AS app FROM events WHERE user_id % 5 IN (0, 1, 2)"),
+    "watched_apps": (watched_apps, "SELECT user_id, app FROM (SELECT DISTINCT user_id, CASE user_id % 8 WHEN 0 THEN 'COM.meet' WHEN 1 THEN 'com.meet' WHEN 2 THEN 'us.talk' WHEN 3 THEN 'us.zoom.xos' WHEN 5 THEN 'com.apple.Safari' WHEN 6 THEN 'com.google.Chrome' END AS app FROM events) WHERE app IS NOT NULL"),
+    "watch_suggestions": (watch_suggestions, "SELECT 'com.new' AS app, 'process' AS kind"),
     "queue_promotion": (queue_promotion, S("""SELECT meeting, CAST(CASE WHEN meeting % 10 = 0 THEN 0 ELSE priority END AS INTEGER) AS priority, CASE WHEN meeting % 10 = 0 THEN enqueued_at + INTERVAL 1 DAY ELSE enqueued_at END AS enqueued_at FROM queue""", "queue")),
     "acknowledgement": (acknowledgement, S("SELECT id AS meeting, id % 5 AS generation, CASE WHEN id % 2 = 0 THEN least(id % 5, 2) ELSE 0 END AS acknowledged FROM meetings WHERE id % 5 > CASE WHEN id % 2 = 0 THEN least(id % 5, 2) ELSE 0 END", "meetings")),
     "suggested_titles": (suggested_titles, S("SELECT id, coalesce(title, 'Suggested ' || id) AS title FROM meetings", "meetings")),
     "name_lookup": (name_lookup, S("SELECT 'NAME ' || n_nationkey AS typed, min(id) AS id FROM nation JOIN speakers ON lower('NAME ' || n_nationkey) = lower(display_name) GROUP BY 1", "speakers")),
     "meeting_by_id": (meeting_by_id, S("SELECT id, started_at, title FROM meetings WHERE id = 7", "meetings")),
     "rerun_backlog": (rerun_backlog, S("SELECT meeting FROM queue WHERE meeting % 9 = 0 OR (meeting % 4 = 0 AND meeting % 5 <> 0)", "queue")),
-    "outran_rerun": (outran_rerun, S("SELECT m.id FROM meetings m WHERE EXISTS (SELECT 1 FROM meetings r WHERE r.id % 17 = 3 AND r.detected_app = m.detected_app AND CAST(m.started_at AS TIMESTAMPTZ) < CAST(r.started_at AS TIMESTAMPTZ))", "meetings")),
+    "outran_rerun": (outran_rerun, S("""SELECT store, started_at FROM (SELECT id AS store, '2024-01-0' || (id + 1) || 'T00:30:00+05:30' AS started_at, id = 4 AS cancelled FROM range(5) AS r(id)) r
+  WHERE NOT cancelled AND EXISTS (SELECT 1 FROM (SELECT *, CASE WHEN diarized THEN ended_at WHEN id % 5 <> 1 THEN started_at END AS diarized_at FROM meetings) m
+    WHERE m.id % 5 = r.store AND audio_path IS NOT NULL AND (diarized_at IS NULL OR CAST(diarized_at AS TIMESTAMPTZ) < CAST(r.started_at AS TIMESTAMPTZ)))""", "meetings")),
     "rename_preview": (rename_preview, S("SELECT p.id, count(DISTINCT h.meeting) AS meetings FROM speakers p LEFT JOIN heard h ON h.speaker_id = p.id WHERE p.id = 3 OR lower(p.display_name) = 'name 4' GROUP BY p.id", "segments", "hints", "heard", "speakers")),
     "sample_sources": (sample_sources, S("SELECT speaker_id, min(id) AS id, least(min_by(voiced_ms, id), 8000) AS ms FROM exemplars WHERE NOT is_negative GROUP BY speaker_id", "exemplars")),
     "markdown_lines": (markdown_lines, "SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'heading' WHEN 1 THEN 'item' WHEN 2 THEN 'item' WHEN 3 THEN 'row' WHEN 4 THEN 'rule' WHEN 5 THEN 'text' END AS kind FROM documents"),

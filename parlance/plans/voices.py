@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parlance.functions import vectors as V
-from parlance.operators import live, matching
+from parlance.operators import live, matching, metrics
 from parlance.sources import project as P
 
 
@@ -38,7 +38,7 @@ def centroid(spark, d):
 
 def oracle_centroids(spark, d):
     """The norm and first coordinate of each speaker's centre in each meeting."""
-    made = matching.means(P.exemplars(spark, d).where("meeting is not null"), "speaker_id", "meeting")
+    made = matching.means(P.exemplars(spark, d).where("meeting is not null"), "speaker_id", "meeting", weighted=False)
     return made.select("speaker_id", "meeting", "n", F.round(F.col("vector")[0], 6).alias("x0"))
 
 
@@ -65,7 +65,7 @@ def match_grid(spark, d):
 
 def nearest_is_right(spark, d):
     """How often the closest voice of another meeting is the same person."""
-    voices = matching.means(P.exemplars(spark, d).where("meeting is not null"), "speaker_id", "meeting").withColumn("model", F.lit("m"))
+    voices = matching.means(P.exemplars(spark, d).where("meeting is not null"), "speaker_id", "meeting", weighted=False).withColumn("model", F.lit("m"))
     found = matching.nearest_elsewhere(voices)
     return found.agg(F.count(F.lit(1)).alias("asked"), F.round(F.avg((F.col("nearest") == F.col("speaker_id")).cast("double")), 6).alias("right"))
 
@@ -83,11 +83,17 @@ def agglomerate(spark, d):
 
 
 def agglomerate_constrained(spark, d):
-    """The same with pairs of a window kept apart."""
+    """The same with pairs of a window kept apart."""
     rows = P.exemplars(spark, d).where("meeting is not null")
     return matching.agglomerated(rows, 0.35, same_window_pairs(spark, d))
 
 
+def constraint_counts(spark, d):
+    """How many pairs of a window a clustering by label and id merges, of how many, and how many are one speaker's."""
+    rows = P.exemplars(spark, d).where("meeting is not null")
+    return metrics.constraint_counts(same_window_pairs(spark, d), rows.select("id", (F.col("id") % 3).alias("cluster")), rows.select("id", F.col("speaker_id").alias("speaker")))
+
+
 def two_voices(spark, d):
     """Speakers whose exemplars are those of two voices."""
     return matching.two_voices(P.exemplars(spark, d)).withColumn("agreement", F.round("agreement", 6))
@@ -117,7 +123,7 @@ def enrolment_replay(spark, d):
 
 S = P.sql
 P.SQL["means"] = """means AS (SELECT speaker_id, meeting, n, list(x ORDER BY i) AS v FROM (
-  SELECT speaker_id, meeting, i, count(*) AS n, sum(vector[i] * voiced_ms) / sum(voiced_ms) AS x FROM exemplars, range(1, 65) AS r(i) WHERE NOT is_negative AND meeting IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2, 3)"""
+  SELECT speaker_id, meeting, i, count(*) AS n, avg(vector[i]) AS x FROM exemplars, range(1, 65) AS r(i) WHERE NOT is_negative AND meeting IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2, 3)"""
 P.SQL["gallery"] = """gallery AS (SELECT speaker_id, speaker_id % 2 = 0 AS confirmed, list(x ORDER BY i) AS v FROM (
   SELECT speaker_id, i, sum(vector[i] * voiced_ms) / sum(voiced_ms) AS x FROM exemplars, range(1, 65) AS r(i) WHERE NOT is_negative AND id % 2 = 0 GROUP BY 1, 2) GROUP BY 1)"""
 P.SQL["scores"] = """scores AS (SELECT p.meeting, p.id AS cluster, g.speaker_id, g.confirmed, list_cosine_similarity(p.vector, g.v) AS score FROM exemplars p, gallery g WHERE p.id % 2 = 1 AND p.meeting IS NOT NULL)"""
@@ -141,6 +147,8 @@ QUERIES = {
     "nearest_is_right": (nearest_is_right, S("""SELECT count(*) AS asked, round(avg(CASE WHEN nearest = speaker_id THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) AS "right" FROM (
   SELECT a.speaker_id, b.speaker_id AS nearest FROM means a JOIN means b ON a.meeting <> b.meeting QUALIFY row_number() OVER (PARTITION BY a.speaker_id, a.meeting ORDER BY list_cosine_similarity(a.v, b.v) DESC, b.speaker_id DESC) = 1)""", "exemplars", "means")),
     "same_window_pairs": (same_window_pairs, S('SELECT a.meeting, a.id // 20 AS "window", a.id, b.id AS other FROM exemplars a JOIN exemplars b ON a.meeting = b.meeting AND a.id // 20 = b.id // 20 AND a.id <> b.id', "exemplars")),
+    "constraint_counts": (constraint_counts, S("""SELECT count(*) FILTER (a.speaker_id <> b.speaker_id AND a.id % 3 = b.id % 3) AS merged, count(*) FILTER (a.speaker_id <> b.speaker_id) AS pairs, count(*) FILTER (a.speaker_id = b.speaker_id) AS rejoins
+  FROM exemplars a JOIN exemplars b ON a.meeting = b.meeting AND a.id // 20 = b.id // 20 AND a.id < b.id""", "exemplars")),
     "live_turns": (live_turns, None),
     "enrolment_replay": (enrolment_replay, None),
     "agglomerate": (agglomerate, None),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions import text as T
 from parlance.functions import vectors as V
-from parlance.operators import chunks, intervals, matching, metrics, registry, search, transcripts
+from parlance.operators import chunks, intervals, matching, metrics, ordering, registry, rerun, search, transcripts, upkeep
 from parlance.sources import files
 from parlance.streaming import fold, machines
 
@@ -419,3 +419,42 @@ def test_means_take_every_vector(spark, monkeypatch):
     assert [round(x, 6) for x in made["vector"]] == [0.316228, 0.948683]
     (made,) = voices.oracle_centroids(spark, None).collect()
     assert (made["n"], made["x0"]) == (48_001, 0.316228)
+
+
+def test_places_without_one_task(spark):
+    rows = [(None if i % 50 == 0 else 7 if i % 3 else i % 11, i) for i in range(600)]
+    found = ordering.numbered(spark.createDataFrame(rows, "key int, id int").repartition(5), "place", "key", "id").collect()
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert [(r["key"], r["id"]) for r in sorted(found, key=lambda r: r["place"])] == want and sorted(r["place"] for r in found) == list(range(1, 601))
+    assert ordering.numbered(spark.createDataFrame([], "key int, id int"), "place", "key", "id").count() == 0
+
+
+def test_responsible_apps(spark):
+    names = ["com.google.Chrome.helper.Renderer", "com.brave.Browser.helper", "COM.APPLE.webkit.GPU", "Teams.EXE", "us.zoom.zoomclips", "com.microsoft.teams2.helper", "org.plain", "a.helperX.helper"]
+    got = column(spark, names, upkeep.responsible_app)
+    assert got == ["com.google.Chrome", "com.brave.Browser", "com.apple.Safari", "com.microsoft.teams2", "us.zoom.xos", "com.microsoft.teams2", "org.plain", "a"]
+
+
+def test_embeddable_windows(spark):
+    rows = spark.createDataFrame([(0, 1_499), (0, 1_500), (100, 10_100), (0, 10_001), (1_000, 31_000)], "s long, e long")
+    got = [r[0] and tuple(r[0]) for r in rows.select(V.embeddable_window(F.col("s"), F.col("e"))).collect()]
+    assert got == [None, (0, 1_500), (100, 10_100), (0, 10_000), (11_000, 21_000)]
+
+
+def test_outran(spark):
+    meetings = spark.createDataFrame([(1, "/a", None), (2, "/a", "2026-01-01T12:00:00+02:00"), (3, None, None), (4, "/a", "2026-01-01T12:00:00+00:00"), (5, "/a", None)], "store int, audio_path string, diarized_at string")
+    reruns = spark.createDataFrame([(i, "2026-01-01T11:00:00+00:00", i == 5) for i in range(1, 6)], "store int, started_at string, cancelled boolean")
+    assert sorted(r["store"] for r in rerun.outran(meetings, reruns, "store").collect()) == [1, 2]
+
+
+def test_der_by_running_sums(spark):
+    rng = random.Random(3)
+    spans = lambda: [(m, rng.choice("abc"), s, s + rng.randint(0, 30)) for m in (1, 2) for s in rng.sample(range(200), 12)]
+    ref, hyp = spans(), spans()
+    frames = [spark.createDataFrame(x, "meeting int, speaker string, start_ms long, end_ms long") for x in (ref, hyp)]
+    got = {r["meeting"]: r for r in metrics.der(*frames).collect()}
+    for m in (1, 2):
+        at = lambda x, t: len({p for mm, p, s, e in x if mm == m and s <= t < e})  # noqa: B023, E731
+        r, h = ([at(x, t) for t in range(240)] for x in (ref, hyp))
+        assert got[m]["total_ms"] == sum(r) and got[m]["missed_ms"] == sum(max(a - b, 0) for a, b in zip(r, h, strict=True))
+        assert got[m]["false_alarm_ms"] == sum(max(b - a, 0) for a, b in zip(r, h, strict=True))
