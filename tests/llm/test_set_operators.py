@@ -128,7 +128,9 @@ def brute_nearest(rows, k):
 
 
 @pytest.mark.parametrize("dimension", [1, 3, 64, 100])
-def test_nearest(spark, dimension):
+def test_nearest(spark, dimension, monkeypatch):
+    monkeypatch.setattr(rabitq, "PART_ROWS", 200)
+    monkeypatch.setattr(rabitq, "QUERY_BLOCK", 7)
     rng = np.random.default_rng(dimension)
     centres = rng.standard_normal((6, dimension))
     v = centres[rng.integers(0, 6, 700)] + 0.3 * rng.standard_normal((700, dimension))
@@ -158,7 +160,7 @@ def test_estimates_are_unbiased_and_bounded():
     rng = np.random.default_rng(3)
     v, q = rng.standard_normal((2000, 64)), rng.standard_normal((20, 64))
     centre, turn = rabitq.unit(v).mean(0), rabitq.rotation(64)
-    low, high = rabitq.bounds(rabitq.code(v, centre, turn), rabitq.unit(q), centre, turn)
+    low, high = rabitq.bounds(rabitq.code(v, centre, turn), rabitq.turned(rabitq.unit(q), centre, turn), 64)
     true = rabitq.unit(q) @ rabitq.unit(v).T
     assert ((low <= true) & (true <= high)).mean() > 0.999 and abs(((low + high) / 2 - true).mean()) < 0.005
 
