@@ -356,15 +356,50 @@ def test_base_spans(spark):
         assert r["spans"] == ",".join(f"{patterns[k][0]}:{a}:{b}" for a, k, b in found)
 
 
-def test_random_strings_are_told_from_words(spark):
+ORDINARY = """getElementByIdAndClassName getUserAccountDetails AbstractSingletonProxyFactoryBean MAX_CONNECTION_TIMEOUT_SECONDS
+site-packages/numpy/core/multiarray usr/local/share/doc/packages this-is-a-long-hyphenated-title user_account_details_2024
+---------------------- en/articles/2023/12/how-to-cook internationalization 2024-01-31-12-30 1234567890123 ================
+org/apache/spark/sql/catalyst HTTPResponseHandler numpy_array_1d backup-20240131 readTheWholeFileAtOnce DEFAULT_BUFFER_SIZE
+the_lazy_brown_dogs_jumping some_identifiers_over_the_fox src/test/resources/example-data onMouseButtonReleased""".split()
+ALPHABETS = ["abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"]
+
+
+@pytest.fixture(scope="module")
+def secret_table(spark):
     rng = random.Random(8)
-    vocabulary = "the quick brown fox jumps over lazy dogs everywhere and then some more identifiers appear".split()
-    texts = spark.createDataFrame([(i, " ".join(rng.choices(vocabulary, k=60))) for i in range(20)], "doc_id long, text string")
-    table = secret_scan.train(secret_scan.sample_random(spark).unionByName(secret_scan.sample_words(texts)))
-    held = [("gH7kQ2vXz9LpR4wTb8Nc", True), ("ZxQ81kfPw0aLm3TyVb77", True), ("the_lazy_brown_dogs_jumping", False), ("some_identifiers_over_the_fox", False)]
+    vocabulary = """the quick brown fox jumps over lazy dogs everywhere and then some more identifiers appear where people write about
+    houses gardens rivers mountains children learning reading history music science government computer program value number list
+    window market company industry language question answer problem result important different following example""".split()
+    texts = spark.createDataFrame([(i, " ".join(rng.choices(vocabulary, k=120))) for i in range(60)], "doc_id long, text string")
+    return secret_scan.train(secret_scan.sample_random(spark).unionByName(secret_scan.sample_words(texts)))
+
+
+def test_random_strings_are_told_from_identifiers(spark, secret_table):
+    """Held out: identifiers of other words and manners, and random strings of 16 signs or more in several alphabets."""
+    rng = random.Random(9)
+    drawn = ["".join(rng.choices(a, k=rng.randint(16, 40))) for a in ALPHABETS for _ in range(60)]
+    held = [(w, False) for w in ORDINARY] + [(w, True) for w in drawn]
     rows = spark.createDataFrame([(i, f"see {w} there") for i, (w, _) in enumerate(held)], "doc_id long, text string")
-    got = {r["doc_id"]: len(r["model_spans"]) for r in secret_scan.scan(rows, table).collect()}
-    assert got == {i: int(y) for i, (_, y) in enumerate(held)}
+    got = {r["doc_id"]: [*r["base_spans"], *r["model_spans"]] for r in secret_scan.scan(rows, secret_table).collect()}
+    assert [w for i, (w, y) in enumerate(held) if not y and got[i]] == []
+    assert sum(1 for i, (_, y) in enumerate(held) if y and got[i]) >= 0.98 * len(drawn)
+
+
+def test_model_spans(spark, secret_table):
+    """Against the sums of the table's entries, a run at a time."""
+    rng = random.Random(10)
+    runs = [*ORDINARY, *("".join(rng.choices(rng.choice(ALPHABETS), k=rng.randint(8, 30))) for _ in range(150))]
+    texts = [None, "", "é" * 5, *(" ".join(rng.choices(runs, k=rng.choice([1, 5, 300]))) for _ in range(40)), 'token="' + runs[-1] * 2 + '" ' + runs[-1] * 2]
+    got = {r["doc_id"]: r for r in secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), secret_table).collect()}
+    at = {c: i for i, c in enumerate(secret_scan.SIGNS)}
+    for i, t in enumerate(texts):
+        base, want = [(x["start"], x["end"]) for x in got[i]["base_spans"]], []
+        for m in re.finditer("[A-Za-z0-9+/_=-]{12,}", t or ""):
+            x = sum(secret_table[at[a] * len(at) + at[b]] for a, b in itertools.pairwise(m[0]))
+            if x > secret_scan.THRESHOLD and x > secret_scan.RATE * (len(m[0]) - 1) and not any(s < m.end() and m.start() < e for s, e in base):
+                want.append((m.start(), m.end()))
+        assert [(x["start"], x["end"]) for x in got[i]["model_spans"]] == want
+    assert sum(len(r["model_spans"]) for r in got.values()) > 100
 
 
 # op6
