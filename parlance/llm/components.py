@@ -9,6 +9,14 @@ from parlance.llm.storage import saved
 
 #: A component's vertices at least halve each round, so this covers any graph.
 MOST_ROUNDS = 64
+#: A hub's links are joined in so many groups.
+SALTS = 16
+
+
+def salted_join(many: DataFrame, few: DataFrame, key: str, by: str, salts: int = SALTS, how: str = "inner") -> DataFrame:
+    """many.join(few, key), where a key may have very many rows in many, told apart by the column `by`: few is repeated for each salt."""
+    spread = many.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    return spread.join(few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [key, "salt"], how).drop("salt")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -16,7 +24,7 @@ def components(links: DataFrame) -> DataFrame:
 
     Every vertex takes its smallest neighbour as parent if that is smaller, links are redrawn between parents, and so on
     until no link joins two vertices. Minima are added up before each shuffle, so a hub is no hot spot. Loops, repeated
-    links and an empty table are fine.
+    links and an empty table are fine. Joins on a hub or on the root of a large component are salted.
     """
     edges = saved(links.where("a <> b").select("a", "b").distinct(), "links")
     labels = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node"))
@@ -27,9 +35,9 @@ def components(links: DataFrame) -> DataFrame:
         parents = both.groupBy(F.col("a").alias("root")).agg(F.min("b").alias("parent")).select("root", F.least("root", "parent").alias("parent"))
         jump = parents.select(F.col("root").alias("parent"), F.col("parent").alias("above"))
         parents = saved(parents.join(jump, "parent", "left").select("root", F.coalesce("above", "parent").alias("parent")), "parents")
-        labels = labels.join(parents, "root", "left").select("node", F.coalesce("parent", "root").alias("root"))
+        labels = salted_join(labels, parents, "root", "node", how="left").select("node", F.coalesce("parent", "root").alias("root"))
         pa = parents.select(F.col("root").alias("a"), F.col("parent").alias("pa"))
         pb = parents.select(F.col("root").alias("b"), F.col("parent").alias("pb"))
-        moved = edges.join(pa, "a").join(pb, "b").where("pa <> pb")
+        moved = salted_join(salted_join(edges, pa, "a", "b"), pb, "b", "a").where("pa <> pb")
         edges = saved(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "links")
     raise RuntimeError(f"components: links are left after {MOST_ROUNDS} rounds")

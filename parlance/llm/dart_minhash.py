@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parlance.llm.arrow import mapped, with_columns
-from parlance.llm.components import components
+from parlance.llm.components import components, salted_join
 from parlance.llm.storage import saved
 from parlance.llm.words import SHINGLE, WordHashes, mixed, shingles_of_text
 
@@ -50,6 +50,8 @@ SEED = np.uint64(0xA0761D6478BD642F)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 #: How many times more members are compared each round.
 REGROW = 16
+#: Pairs of one text that are verified together, about.
+PAIRS = 256
 
 
 def edges_of(cell: int) -> tuple[float, float]:
@@ -162,10 +164,10 @@ def digest(text: str):
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
-    """(tid, elements) of the wanted (tid, doc_id, fp). Repeated rows are folded before the shuffle."""
-    texts = docs.select(F.col(doc_id).alias("doc_id"), digest(text).alias("fp"), F.col(text).alias("text")).groupBy("doc_id", "fp").agg(F.first("text").alias("text"))
-    w = wanted.select("tid", F.col("doc_id").alias("id"), F.col("fp").alias("f"))
-    found = texts.join(w, texts["doc_id"].eqNullSafe(w["id"]) & (texts["fp"] == w["f"])).select("tid", "text")
+    """(tid, elements) of the wanted (tid, doc_id, fp). Texts are shuffled once, repeated rows folded before."""
+    texts = docs.select(F.col(doc_id).alias("doc_id"), digest(text).alias("fp"), F.col(text).alias("text"), F.lit(None).cast("long").alias("tid"))
+    rows = texts.unionByName(wanted.select("doc_id", "fp", F.lit(None).cast("string").alias("text"), "tid"))
+    found = rows.groupBy("doc_id", "fp").agg(F.first("text", ignorenulls=True).alias("text"), F.max("tid").alias("tid")).where("tid is not null").select("tid", "text")
 
     def start():
         hashes = WordHashes()
@@ -179,8 +181,13 @@ def sets_of(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, width: i
     return with_columns(found, "text", [("elements", T.BinaryType())], start, drop=("text",))
 
 
+def salt_of(text: str, n: str):
+    """Which group of the pairs of one text a pair is verified in, by the other text; n: members of the bucket that they met in."""
+    return F.pmod(F.xxhash64(text), F.ceil(F.col(n) / PAIRS)).cast("int")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) that are at least so similar."""
+    """The pairs (a, b, salt) that are at least so similar, as (a, b). A text of many pairs is repeated for each salt of them, and only for those."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,7 +195,8 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             ok = [jaccard(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) >= similarity for x, y in zip(left, right, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    both = pairs.join(sets.select(F.col("tid").alias("a"), F.col("elements").alias("left")), "a").join(sets.select(F.col("tid").alias("b"), F.col("elements").alias("right")), "b")
+    side = lambda key, name: pairs.select(key, "salt").distinct().join(sets.select(F.col("tid").alias(key), F.col("elements").alias(name)), key)
+    both = pairs.join(side("a", "left"), ["a", "salt"]).join(side("b", "right"), ["b", "salt"])
     return mapped(both.select("a", "b", "left", "right"), run, "a long, b long")
 
 
@@ -220,21 +228,22 @@ def classed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
 
     buckets = texts.select("tid", F.explode("bands").alias("bucket"))
     heads = buckets.groupBy("bucket").agg(F.min("tid").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = saved(buckets.join(heads, "bucket").select("bucket", "tid", "head", "n"), "buckets")
+    shared = saved(salted_join(buckets, heads, "bucket", "tid").select("bucket", "tid", "head", "n"), "buckets")
     wanted = texts.select("tid", "doc_id", "fp").join(shared.select("tid").distinct(), "tid")
     sets = saved(sets_of(docs, wanted, doc_id, text, width), "sets")
 
-    pairs = saved(shared.where("tid <> head").select(F.col("head").alias("a"), F.col("tid").alias("b")).distinct(), "pairs")
+    pairs = shared.where("tid <> head").groupBy(F.col("head").alias("a"), F.col("tid").alias("b")).agg(F.max("n").alias("n"))
+    pairs = saved(pairs.select("a", "b", salt_of("b", "n").alias("salt")), "pairs")
     links = saved(verified(pairs, sets, similarity), "links")
     roots = components(links)
-    tested, reach, bounds = pairs, 1, 0
+    tested, reach, bounds = pairs.select("a", "b", "salt"), 1, 0
     draw = F.pmod(F.xxhash64("tid"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     unsettled = shared.where("n > 2").select("bucket", "tid", "n")
     while True:
         # buckets with members of several classes, of which not all pairs between classes have been compared
         named = unsettled.join(roots.withColumnRenamed("node", "tid"), "tid", "left").withColumn("root", F.coalesce("root", "tid"))
         several = named.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("bucket")
-        unsettled = saved(named.join(several, "bucket"), "unsettled")
+        unsettled = saved(salted_join(named, several, "bucket", "tid"), "unsettled")
         if unsettled.isEmpty():
             break
         if bounds < 2:
@@ -255,8 +264,9 @@ def classed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
         # a pair is compared when the first of the two is chosen, in the first bucket that both are in
         other_draw = F.pmod(F.xxhash64("other"), F.lit(1 << 30)) / F.lit(float(1 << 30))
         once = (F.struct(other_draw, "other") < F.struct(draw, "tid")) & (F.array_min(F.array_intersect("bands", "other_bands")) == F.col("bucket"))
-        fresh = unsettled.join(chosen, "bucket").where((F.col("root") != F.col("other_root")) & (F.col("tid") != F.col("other")) & possible & (once if bounds > 1 else F.lit(True)))
-        fresh = fresh.select(F.least("tid", "other").alias("a"), F.greatest("tid", "other").alias("b")).distinct()
+        fresh = salted_join(unsettled, chosen, "bucket", "tid").where((F.col("root") != F.col("other_root")) & (F.col("tid") != F.col("other")) & possible & (once if bounds > 1 else F.lit(True)))
+        fresh = fresh.groupBy(F.least("tid", "other").alias("a"), F.greatest("tid", "other").alias("b")).agg(F.max("n").alias("n"))
+        fresh = fresh.select("a", "b", salt_of("a", "n").alias("x"), salt_of("b", "n").alias("y"), "n").select("a", "b", (F.col("x") + F.col("y")).alias("salt"))
         fresh = saved(fresh.join(tested, ["a", "b"], "left_anti"), "pairs")
         more = saved(verified(fresh, sets, similarity), "links")
         tested = tested.union(fresh)
@@ -282,7 +292,9 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sim
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("m")
     kept = rows.where(F.col("class_key").isNotNull()).groupBy("class_key").agg(first).select("m.doc_id", "m.fp")
     kept = kept.union(rows.where(F.col("class_key").isNull()).select("doc_id", "fp").distinct())
-    kept = kept.select(F.col("doc_id").alias("__id"), F.col("fp").alias("__kept_fp"))
-    marked = docs.withColumn("__fp", digest(text))
-    found = marked.join(kept, marked[doc_id].eqNullSafe(kept["__id"]) & (marked["__fp"] == kept["__kept_fp"]), "left_semi")
-    return found.dropDuplicates([doc_id, "__fp"]).select(*docs.columns)
+    kept = kept.select(F.col("doc_id").alias("id"), F.col("fp").alias("fp"))
+    # one shuffle of the rows, which are one column each, so that no name can clash
+    whole = docs.select(F.col(doc_id).alias("id"), digest(text).alias("fp"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.lit(False).alias("kept"))
+    marks = kept.select("id", "fp", F.lit(None).cast(whole.schema["row"].dataType).alias("row"), F.lit(True).alias("kept"))
+    found = whole.unionByName(marks).groupBy("id", "fp").agg(F.first("row", ignorenulls=True).alias("row"), F.bool_or("kept").alias("kept"))
+    return found.where("kept").select("row.*")

@@ -8,7 +8,7 @@ The file format is a Parquet table of segments: shard and segment (their order i
 doc_lengths, block_size, block_offsets (the last one is the number of words) and words (little-endian, binary). Spark's
 own writer commits it, so a lost executor leaves no half-written shard, and any store that Spark writes to will do.
 
-Documents go in ascending doc_id order (null first), equal ids by text. Each ends with end_id, so a null or empty text
+Documents go in ascending doc_id order (null first), equal ids by text, or shuffled by a seed. Each ends with end_id, so a null or empty text
 has that one id. Repeated rows are each written. Texts are encoded whole.
 """
 
@@ -178,8 +178,12 @@ def segments(doc_id_type: T.DataType) -> T.StructType:
     ])
 
 
-def write_ids(docs: DataFrame, path: str, tokenizer_json: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> None:
-    """Encode all texts in order and write the segments to path."""
+def write_ids(docs: DataFrame, path: str, tokenizer_json: str, end_id: int, doc_id: str = "doc_id", text: str = "text", seed: int | None = None) -> None:
+    """Encode all texts in order and write the segments to path.
+
+    With a seed the order is that of digests of seed, doc_id and the row's own number: shuffled, repeated rows apart. It
+    is the same in each try of a task, as long as docs is read from the same files.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
     schema = segments(docs.schema[doc_id].dataType)
     end = array("I", [end_id]).tobytes()
@@ -200,7 +204,10 @@ def write_ids(docs: DataFrame, path: str, tokenizer_json: str, end_id: int, doc_
 
     # The order of equal ids is by text; ranges are cut before the texts are encoded, so each is encoded once.
     ordered = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("tie", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
-    ordered = ordered.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").drop("tie")
+    if seed is None:
+        ordered = ordered.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").drop("tie")
+    else:
+        ordered = ordered.withColumn("tie", F.xxhash64(F.lit(seed), "doc_id", F.monotonically_increasing_id())).repartitionByRange("tie").sortWithinPartitions("tie", "doc_id").drop("tie")
     mapped(ordered, run, schema).write.option("compression", "none").parquet(path)
 
 

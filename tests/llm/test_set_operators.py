@@ -193,6 +193,39 @@ def test_stages_on_odd_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_rejected_languages(spark, tmp_path):
+    rng = random.Random(6)
+    words = "the house with that was and for this some more words here there when where who then people water under great small".split()
+    prose = [(i, " ".join(rng.choices(words, k=80)), "en") for i in range(30)]
+    letters = lambda a: " ".join("".join(rng.choices(a, k=rng.randint(2, 9))) for _ in range(80))
+    odd = [(100, letters("abcdefghijklmnopqrstuvwxyz"), None), (101, letters("абвгдежзиклмнопр"), None), (102, "<a href='x'>y</a> " * 40, None), (103, None, None)]
+    docs = spark.createDataFrame(prose + odd, "doc_id long, text string, lang string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.keep_languages(spark, docs, "").collect()) == list(range(30))
+
+
+def test_one_hot_bucket(spark, monkeypatch):
+    """Hundreds of near copies of one text, with clashing names and repeated rows: one class, and one row stays."""
+    monkeypatch.setattr(dart_minhash, "PAIRS", 16)
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(120)]
+    near = [(i, " ".join(w if j != i % 120 else f"x{i}" for j, w in enumerate(base)), "fp", "kept", 1) for i in range(300)]
+    rest = [(1000 + i, " ".join(f"v{rng.randrange(500)}" for _ in range(60)), None, None, None) for i in range(40)]
+    docs = spark.createDataFrame([*near, near[7], *rest], "doc_id long, text string, fp string, kept string, tid long").repartition(7)
+    got = dart_minhash.near_duplicates(docs).collect()
+    assert {r["class_id"] for r in got if r["doc_id"] < 1000} == {0} and len({r["class_id"] for r in got}) == 41
+    kept = dart_minhash.one_of_each(docs)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [0, *range(1000, 1040)]
+
+
+def test_folder_without_the_setting(spark):
+    """A session that names no shared folder: a local one works with one of its own."""
+    before = spark.conf.get("spark.checkpoint.dir", None)
+    found = storage.saved(spark.range(3), "three")
+    assert found.count() == 3 and found.saved_at.startswith(storage.shared_dir(spark))
+    storage.dropped(found)
+    assert spark.conf.get("spark.checkpoint.dir", None) == before
+
+
 def test_registered_queries():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from parlance.llm import brown_lm, decontaminate, lang_id, mixing, secret_scan, simple8b, token_counts, url_filter
+from parlance.llm import brown_lm, decontaminate, lang_id, mixing, secret_scan, simple8b, storage, token_counts, url_filter
 from parlance.llm.words import WordHashes, shingles_of_text
 
 DOCS = T.StructType([T.StructField(c, t) for c, t in (("doc_id", T.LongType()), ("text", T.StringType()), ("lang", T.StringType()), ("source", T.StringType()))])
@@ -464,6 +464,17 @@ def test_ids_round_trip(spark, tmp_path):
 # op9
 
 
+def test_ids_in_shuffled_order(spark, tmp_path):
+    rows = [(i // 2, f"text {i // 2} here", None, None) for i in range(400)] + odd_rows()
+    docs = storage.saved(frame(spark, rows), "docs")
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        simple8b.write_ids(docs, str(tmp_path / "ids"), f.read(), 1, seed=3)
+    got = sorted(simple8b.read_ids(spark, str(tmp_path / "ids")).collect(), key=lambda r: r["start"])
+    assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in rows)
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in itertools.pairwise(got))
+    assert sum(a["doc_id"] == b["doc_id"] for a, b in itertools.pairwise(got)) < 20  # copies don't lie side by side
+
+
 def test_poisson_counts(spark):
     rows = [(i, "x" * (i % 50 + 1), "en", "hot" if i % 3 else f"s{i % 5}") for i in range(3000)] + odd_rows()
     docs = frame(spark, rows).withColumn("copy", F.lit("clash"))
