@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from parlance.llm import dart_minhash, decontaminate, lang_id, mixing, simple8b, storage
 
 #: Documents whose n-gram ranks are farther than this from every language are rejected, as are those without a letter.
-LEAST_LANGUAGE_SCORE = 0.2
+#: Random letters, other scripts and markup score up to 0.32, and prose of learned languages from 0.38 on.
+LEAST_LANGUAGE_SCORE = 0.35
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
 
 
@@ -44,10 +45,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids as Simple-8b shards, and what is in them of each document."""
+    """Token ids as Simple-8b shards, in a shuffled order that sets copies apart, and what is in them of each document."""
     path = f"{storage.shared_dir(spark)}/ids-{uuid.uuid4().hex}"
     with open(public_tokenizers.path(TOKENIZER), encoding="utf-8") as f:
-        simple8b.write_ids(docs, path, f.read(), END_ID)
+        simple8b.write_ids(docs, path, f.read(), END_ID, seed=mixing.SEED)
     return simple8b.read_ids(spark, path)
 
 
