@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from parlance.llm import dart_minhash, decontaminate, lang_id, mixing, simple8b, storage
 
 #: Documents whose n-gram ranks are farther than this from every language are rejected, as are those without a letter.
-#: Random letters, other scripts and markup score up to 0.32, and prose of learned languages from 0.38 on.
+#: Random letters, other scripts and markup score up to 0.32, and prose of learned languages from about 0.36 on.
 LEAST_LANGUAGE_SCORE = 0.35
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
 
