@@ -46,10 +46,21 @@ def means(exemplars: DataFrame, *keys: str, weighted: bool = True) -> DataFrame:
     return whole.select(*keys, V.normalised(F.transform("xs", lambda i: i["x"])).alias("vector"), "n")
 
 
+#: Pairs of one model identity are dealt over so many keys; a side small enough is broadcast by Spark, by its measured size.
+SALTS = 64
+
+
+def dealt(left: DataFrame, right: DataFrame, on: list[str], *keys: str) -> DataFrame:
+    """left joined with right on columns that may have one value only: rows of left are salted by keys, those of right copied to each salt."""
+    a = left.withColumn("__salt", F.pmod(F.xxhash64(*keys), F.lit(SALTS)).cast("int"))
+    b = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return a.join(b, [*on, "__salt"]).drop("__salt")
+
+
 def scored(clusters: DataFrame, seeds: DataFrame) -> DataFrame:
     """(meeting, cluster, speaker_id, confirmed, score) of pairs of one model identity."""
     s = seeds.select("speaker_id", "confirmed", "model", "model_version", F.col("vector").alias("seed"))
-    return clusters.join(s, ["model", "model_version"]).select("meeting", "cluster", "speaker_id", "confirmed", V.cosine(F.col("vector"), F.col("seed")).alias("score"))
+    return dealt(clusters, s, ["model", "model_version"], "meeting", "cluster").select("meeting", "cluster", "speaker_id", "confirmed", V.cosine(F.col("vector"), F.col("seed")).alias("score"))
 
 
 def resolved(scores: DataFrame, floor: float = MATCH_FLOOR, margin: float = MATCH_MARGIN) -> DataFrame:
@@ -72,7 +83,7 @@ def resolved(scores: DataFrame, floor: float = MATCH_FLOOR, margin: float = MATC
 def nearest_elsewhere(voices: DataFrame) -> DataFrame:
     """(speaker_id, meeting, nearest, score): the closest voice of another meeting. voices: speaker_id, meeting, model, vector."""
     other = voices.select(F.col("speaker_id").alias("nearest"), F.col("meeting").alias("elsewhere"), "model", F.col("vector").alias("other"))
-    pairs = voices.join(other, "model").where(F.col("meeting") != F.col("elsewhere"))
+    pairs = dealt(voices, other, ["model"], "speaker_id", "meeting").where(F.col("meeting") != F.col("elsewhere"))
     best = pairs.groupBy("speaker_id", "meeting").agg(F.max(F.struct(V.cosine(F.col("vector"), F.col("other")).alias("score"), "nearest", "elsewhere")).alias("b"))
     return best.select("speaker_id", "meeting", "b.nearest", "b.score")
 

@@ -67,6 +67,32 @@ def joined(into: dict[int, int], frame: DataFrame, *columns: str) -> DataFrame:
     return frame.withColumns({c: F.coalesce(mapping[F.col(c)], F.col(c)) for c in columns})
 
 
+def allowed_joins(speakers: DataFrame, asked: DataFrame) -> DataFrame:
+    """C14: the (source, into) of asked that may be: both exist and differ, the source has no name, and the operator joins nobody else.
+
+    Of several for one source that of the smallest target stays; a target that is joined away itself waits for a later call.
+    """
+    end = lambda c: speakers.select(F.col("id").alias(c), F.col("display_name").isNotNull().alias(f"{c}_named"), F.col("is_operator").alias(f"{c}_operator"))
+    fits = "source <> into and not source_named and (not source_operator or into_operator)"
+    one = asked.join(end("source"), "source").join(end("into"), "into").where(fits).groupBy("source").agg(F.min("into").alias("into"))
+    return one.join(one.select(F.col("source").alias("into")), "into", "left_anti").select("source", "into")
+
+
+def repointed(frame: DataFrame, joins: DataFrame, *columns: str) -> DataFrame:
+    """C14: frame with the columns' speakers replaced by those that they were joined into; joins: (source, into), one row a source."""
+    for c in columns:
+        frame = frame.join(joins.select(F.col("source").alias("__source"), F.col("into").alias("__into")), F.col(c) == F.col("__source"), "left")
+        frame = frame.withColumn(c, F.coalesce("__into", c)).drop("__source", "__into")
+    return frame
+
+
+def speakers_joined(speakers: DataFrame, segments: DataFrame, hints: DataFrame, exemplars: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """C14: the four tables once the allowed of the asked (source, into) are done: sources are gone, and nothing names them."""
+    joins = allowed_joins(speakers, asked)
+    left = speakers.join(joins.select(F.col("source").alias("id")), "id", "left_anti")
+    return left, repointed(segments, joins, "speaker_id"), repointed(hints, joins, "speaker_id", "replaced_id"), repointed(exemplars, joins, "speaker_id")
+
+
 def resolve(frame: DataFrame, typed: str, column: str = "id", anywhere: bool = False) -> DataFrame:
     """Up to two rows that a typed id means: the exact one, else those that start with (or contain) it."""
     bare = "".join(c for c in typed.lower() if c in "0123456789abcdef")

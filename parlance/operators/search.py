@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions import text as T
@@ -11,13 +13,17 @@ from parlance.functions import text as T
 K1, B = 1.2, 0.75
 
 
+#: Places of a field are so far from those of the next that no phrase crosses.
+FIELD_STRIDE = 1 << 40
+
+
 def postings(docs: DataFrame, key: str = "id", *fields: str) -> DataFrame:
-    """(key, term, position): the words of all fields in a row; fields are kept apart by a gap in position."""
-    parts = [docs.select(key, F.lit(i).alias("field"), F.posexplode(T.words(T.spaced(F.coalesce(f, F.lit(""))))).alias("position", "term")) for i, f in enumerate(fields)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select(key, "field", "position", "term")
+    """(key, field, term, position): the words of all fields, from one pass over the rows."""
+
+    def tagged(n: int, field: str) -> Column:
+        return F.transform(T.words(T.spaced(F.coalesce(field, F.lit("")))), lambda w, i: F.struct(F.lit(n).alias("field"), i.alias("position"), w.alias("term")))
+
+    return docs.select(key, F.explode(F.concat(*[tagged(n, f) for n, f in enumerate(fields)])).alias("p")).select(key, "p.field", "p.position", "p.term")
 
 
 def phrases(query: str) -> list[list[str]]:
@@ -33,28 +39,38 @@ def search(index: DataFrame, query: str, limit: int = 25, key: str = "id") -> Da
         return index.select(key, F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("hits")).limit(0)
     lengths = index.groupBy(key).agg(F.count(F.lit(1)).alias("size"))
     whole = lengths.agg(F.count(F.lit(1)).alias("docs"), F.avg("size").alias("mean"))
-    found = None
-    for i, phrase in enumerate(asked):
-        at = index.where(F.col("term") == phrase[0]).select(key, "field", "position")
-        for j, word in enumerate(phrase[1:], 1):
-            at = at.join(index.where(F.col("term") == word).select(key, "field", (F.col("position") - j).alias("position")), [key, "field", "position"], "left_semi")
-        one = at.groupBy(key).agg(F.count(F.lit(1)).alias("tf")).withColumn("phrase", F.lit(i))
-        found = one if found is None else found.unionByName(one)
-    rare = found.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))  # at most one row a phrase
-    rows = found.join(F.broadcast(rare), "phrase").join(lengths, key).crossJoin(F.broadcast(whole))
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    gain = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
-    ranked = rows.groupBy(key).agg(F.round(F.sum(gain), 6).alias("score"), F.count(F.lit(1)).alias("phrases"), F.sum("tf").alias("hits"))
-    return ranked.where(F.col("phrases") == len(asked)).select(key, "score", "hits").orderBy(F.col("score").desc(), key).limit(limit)
-
-
-def snippets(index: DataFrame, found: DataFrame, query: str, field: int = 0, width: int = 16, key: str = "id") -> DataFrame:
-    """(key, snippet): the first window of width words of a field with the most words of the query."""
+    terms = sorted({w for p in asked for w in p})
+    place = F.col("field") * F.lit(FIELD_STRIDE) + F.col("position")
+    # one scan of the asked terms; where a document has each of them is bounded by its own text
+    hits = index.where(F.col("term").isin(*terms)).groupBy(key).agg(*[F.collect_list(F.when(F.col("term") == w, place)).alias(f"w{i}") for i, w in enumerate(terms)])
+    back = lambda w, j: F.transform(f"w{terms.index(w)}", lambda p: p - j)
+    starts = lambda phrase: [back(w, j) for j, w in enumerate(phrase)]
+    times = [F.size(reduce(F.array_intersect, starts(phrase))).cast("long").alias(f"t{i}") for i, phrase in enumerate(asked)]
+    counted = hits.select(key, *times)
+    names = [f"t{i}" for i in range(len(asked))]
+    rare = counted.agg(*[F.count_if(F.col(t) > 0).alias(f"d{i}") for i, t in enumerate(names)])
+    rows = counted.where(reduce(Column.__and__, [F.col(t) > 0 for t in names])).join(lengths, key).crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(rare))  # one row each
+
+    def gain(i: int) -> Column:
+        tf, df = F.col(f"t{i}"), F.col(f"d{i}")
+        return F.log(1 + (F.col("docs") - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("size") / F.col("mean")))
+
+    score = F.round(reduce(Column.__add__, map(gain, range(len(asked)))), 6)
+    return rows.select(key, score.alias("score"), reduce(Column.__add__, map(F.col, names)).alias("hits")).orderBy(F.col("score").desc(), key).limit(limit)
+
+
+def snippets(docs: DataFrame, found: DataFrame, query: str, field: str = "text", width: int = 16, key: str = "id") -> DataFrame:
+    """T4: (key, snippet): the first window of width words of the text, as written, with the most words of the query.
+
+    An ellipsis stands where the text goes on. Found documents without a word of the query in this field have no row.
+    """
     asked = sorted({w for p in phrases(query) for w in p})
-    mine = index.where(F.col("field") == field).join(found.select(key), key, "left_semi")
-    hit = mine.where(F.col("term").isin(*asked)).select(key, F.col("position").alias("at"))
-    starts = hit.groupBy(key).agg(F.array_sort(F.collect_list("at")).alias("all"))
-    scored = starts.select(key, F.explode("all").alias("start"), "all").withColumn("n", F.size(F.filter("all", lambda p: (p >= F.col("start")) & (p < F.col("start") + width))))
-    best = scored.groupBy(key).agg(F.max_by("start", F.struct("n", -F.col("start"))).alias("start"))
-    inside = mine.join(best, key).where((F.col("position") >= F.col("start")) & (F.col("position") < F.col("start") + width))
-    return inside.groupBy(key).agg(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("position", "term"))), lambda s: s["term"])).alias("snippet"))
+    piece = lambda w: F.regexp_replace(F.lower(w), rf"[^{T.ALNUM}]+$", "")
+    rows = docs.join(found.select(key), key, "left_semi").select(key, F.regexp_extract_all(F.coalesce(field, F.lit("")), F.lit(rf"([{T.ALNUM}]+[^{T.ALNUM}]*)")).alias("pieces"))
+    rows = rows.withColumn("at", F.filter(F.transform("pieces", lambda w, i: F.when(piece(w).isin(*asked), i)), lambda i: i.isNotNull())).where(F.size("at") > 0)
+    # at most width places lie in a window, so each place looks at so many after it
+    near = F.transform("at", lambda p, i: F.struct(F.size(F.filter(F.slice("at", i + 1, width), lambda q: q < p + width)).alias("n"), (-p).alias("start")))
+    rows = rows.withColumn("start", -F.array_max(near)["start"])
+    ellipsis = lambda condition: F.when(condition, "…").otherwise("")
+    text = F.trim(F.array_join(F.slice("pieces", F.col("start") + 1, width), ""))
+    return rows.select(key, F.concat(ellipsis(F.col("start") > 0), text, ellipsis(F.size("pieces") > F.col("start") + width)).alias("snippet"))

@@ -86,6 +86,56 @@ def relearning(segments: DataFrame, hints: DataFrame, eligible: DataFrame) -> Da
     return yes.unionByName(no)
 
 
+def relearning_owners(plan: DataFrame, exemplars: DataFrame, eligible: DataFrame) -> DataFrame:
+    """U4: (meeting, speaker_id) whose exemplars a relearning replaces: those of the plan, and eligible ones that hold some of the meeting now."""
+    held = exemplars.where("meeting is not null").select("meeting", "speaker_id").join(eligible.select(F.col("id").alias("speaker_id")), "speaker_id", "left_semi")
+    return plan.select("meeting", "speaker_id").union(held.select("meeting", "speaker_id")).distinct()
+
+
+def claims(assignments: DataFrame, eligible: DataFrame) -> DataFrame:
+    """(meeting, cluster, claimed, denied): the speaker that all segments of a cluster name, and the one that all were taken from.
+
+    assignments: (meeting, cluster, owner, replaced), a row a segment; those without a cluster say nothing. Whoever isn't
+    eligible counts as nobody, which breaks unanimity. Nobody is denied what they claim. Clusters with neither have no row.
+    """
+    able = lambda c: eligible.select(F.col("id").alias(c), F.col("id").alias(f"able_{c}"))
+    rows = assignments.where("cluster is not null").join(able("owner"), "owner", "left").join(able("replaced"), "replaced", "left")
+    agreed = lambda c: F.when((F.count(c) == F.count(F.lit(1))) & (F.min(c) == F.max(c)), F.min(c))
+    found = rows.groupBy("meeting", "cluster").agg(agreed("able_owner").alias("claimed"), agreed("able_replaced").alias("denied"))
+    return found.withColumn("denied", F.when(~F.col("denied").eqNullSafe(F.col("claimed")), F.col("denied"))).where("claimed is not null or denied is not null")
+
+
+def corrected(segments: DataFrame, exemplars: DataFrame, corrections: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What corrections (meeting, sequence, speaker_id) add: hints with replaced_id, and exemplars.
+
+    The meeting's positive exemplars of the wrong speaker are given to the right one, and again to the wrong one as
+    negatives. Where the segment named nobody, or the same speaker, only the hint is added.
+    """
+    before = segments.select("meeting", "sequence", F.col("speaker_id").alias("replaced_id"))
+    hints = corrections.select("meeting", "sequence", "speaker_id").join(before, ["meeting", "sequence"], "left")
+    moved = hints.where("replaced_id <> speaker_id").select("meeting", "sequence", F.col("speaker_id").alias("right_id"), F.col("replaced_id").alias("speaker_id"))
+    base = exemplars.where(~F.col("is_negative")).join(moved, ["meeting", "speaker_id"])
+    two = F.array(F.struct(F.col("right_id").alias("speaker_id"), F.lit(False).alias("is_negative")), F.struct("speaker_id", F.lit(True).alias("is_negative")))
+    return hints, base.withColumn("__new", F.explode(two)).withColumns({"speaker_id": F.col("__new.speaker_id"), "is_negative": F.col("__new.is_negative")}).drop("__new", "right_id")
+
+
+#: Columns of a meeting that its document shows. The name of the written file is not one, or writing would never end.
+SHOWN = ("title", "started_at", "ended_at", "detected_app", "audio_path")
+
+
+def changed(before: DataFrame, after: DataFrame, columns: tuple[str, ...] = SHOWN, key: str = "id") -> DataFrame:
+    """Q1: (meeting): rows that are new, or that differ in one of the columns."""
+    old = before.select(key, F.struct(*columns).alias("__old"))
+    return after.select(key, F.struct(*columns).alias("__new")).join(old, key, "left").where(F.col("__old").isNull() | ~F.col("__old").eqNullSafe(F.col("__new"))).select(F.col(key).alias("meeting"))
+
+
+def marked(dirty: DataFrame, touched: DataFrame) -> DataFrame:
+    """Q1: dirty (meeting, generation, acknowledged) after changes: touched has a row (meeting) a change, each a generation more."""
+    more = touched.groupBy("meeting").agg(F.count(F.lit(1)).alias("more"))
+    known = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    return dirty.join(more, "meeting", "full").select("meeting", (known("generation") + known("more")).alias("generation"), known("acknowledged").alias("acknowledged"))
+
+
 def unchanged(plan: DataFrame, now: DataFrame) -> bool:
     """C17: whether a plan still is what it would be if it were made now."""
     return plan.exceptAll(now).isEmpty() and now.exceptAll(plan).isEmpty()

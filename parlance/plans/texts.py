@@ -169,9 +169,8 @@ def search_hits(spark, d):
 
 
 def search_snippets(spark, d):
-    """T4: of each hit, the window with the most words of the query."""
-    index = search_index(spark, d)
-    return search.snippets(index, search.search(index, QUERY), QUERY, field=1)
+    """T4: of each hit, the window with the most words of the query, as written."""
+    return search.snippets(docs(spark, d).withColumnRenamed("doc_id", "id"), search_hits(spark, d), QUERY)
 
 
 A = r"\p{L}\p{M}\p{N}"
@@ -186,6 +185,8 @@ P.SQL["found"] = """hit AS (SELECT id, 0 AS phrase, count(*) AS tf FROM words WH
 sizes AS (SELECT id, count(*) AS size FROM words GROUP BY id), whole AS (SELECT count(*) AS docs, avg(size) AS mean FROM sizes), rare AS (SELECT phrase, count(*) AS df FROM hit GROUP BY phrase),
 found AS (SELECT id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 6) AS score, CAST(sum(tf) AS BIGINT) AS hits FROM hit JOIN rare USING (phrase) JOIN sizes USING (id), whole GROUP BY id HAVING count(*) = 3 ORDER BY score DESC, id LIMIT 25)"""
 
+P.SQL["asked"] = "asked AS (SELECT id, position FROM words WHERE field = 1 AND term IN ('the', 'of', 'and') AND id IN (SELECT id FROM found))"
+
 QUERIES = {
     "text_plain": (text_plain, f"SELECT doc_id, md5({PLAIN.format(t='text')}) AS plain, md5({SPACED.format(t='text')}) AS spaced FROM documents"),
     "text_judged": (text_judged, f"""SELECT doc_id, {PLAIN.format(t='s')} IN ('thank you', 'blankaudio', 'you', 'okay') AS invented,
@@ -213,7 +214,9 @@ QUERIES = {
   LEFT JOIN (SELECT DISTINCT meeting, label, word FROM (SELECT meeting, label, unnest(string_split({SPACED.format(t="coalesce(text, '')")}, ' ')) AS word FROM labelled) WHERE length(word) >= 4) w USING (meeting, label, word) GROUP BY 1, 2""", *record.RECORD)),
     "postings": (postings, S("SELECT id, count(*) AS words, count(DISTINCT term) AS kinds FROM words GROUP BY id", "words")),
     "search_hits": (search_hits, S("SELECT id, score, hits FROM found", "words", "found")),
-    "search_snippets": (search_snippets, None),
+    "search_snippets": (search_snippets, S(r"""SELECT id, CASE WHEN start > 1 THEN '…' ELSE '' END || trim(array_to_string(pieces[start:start + 15], '')) || CASE WHEN len(pieces) > start + 15 THEN '…' ELSE '' END AS snippet FROM (
+  SELECT id, regexp_extract_all(text, '[\p{L}\p{N}]+[^\p{L}\p{N}]*') AS pieces FROM found JOIN documents ON doc_id = id) JOIN (
+  SELECT id, min_by(position, (-n, position)) AS start FROM (SELECT a.id, a.position, count(*) AS n FROM asked a JOIN asked b ON a.id = b.id AND b.position BETWEEN a.position AND a.position + 15 GROUP BY 1, 2) GROUP BY id) USING (id)""", "words", "found", "asked")),
     "summary_checks": (summary_checks, None),
     "placeholder_rows": (placeholder_rows, None),
     "quoted_summaries": (quoted_summaries, None),

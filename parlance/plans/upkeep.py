@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions import text as T
@@ -41,9 +44,50 @@ def voiceprint_refresh(spark, d):
 
 
 def relearning_plan(spark, d):
-    """C17, U4: what the segments say for and against each speaker that may be learned again."""
-    hints = P.hints(spark, d).withColumn("replaced_id", F.when(F.col("created_at") % 20 != 1, (F.col("meeting") * 7 + F.col("sequence") * 3) % P.SPEAKERS))
-    return upkeep.relearning(P.segments(spark, d), hints, P.speakers(spark, d).where(registry.relearnable()))
+    """C17: what the segments say for and against each speaker that may be learned again."""
+    return upkeep.relearning(P.segments(spark, d), replaced_hints(spark, d), P.speakers(spark, d).where(registry.relearnable()))
+
+
+def replaced_hints(spark, d):
+    return P.hints(spark, d).withColumn("replaced_id", F.when(F.col("created_at") % 20 != 1, (F.col("meeting") * 7 + F.col("sequence") * 3) % P.SPEAKERS))
+
+
+def relearning_owners(spark, d):
+    """U4: whose exemplars of which meeting a relearning replaces."""
+    return upkeep.relearning_owners(relearning_plan(spark, d), P.exemplars(spark, d), P.speakers(spark, d).where(registry.relearnable()))
+
+
+def claims(spark, d):
+    """Which pairs of segments are all one speaker's, or all taken from one."""
+    newest = replaced_hints(spark, d).groupBy("meeting", "sequence").agg(F.max_by(F.struct("speaker_id", "replaced_id"), F.struct("created_at", "id")).alias("h"))
+    rows = P.segments(spark, d).join(newest, ["meeting", "sequence"], "left")
+    cluster = F.when(F.col("sequence") % 9 != 8, F.floor(F.col("sequence") / 2))
+    assigned = rows.select("meeting", cluster.alias("cluster"), F.coalesce("h.speaker_id", "speaker_id").alias("owner"), F.col("h.replaced_id").alias("replaced"))
+    return upkeep.claims(assigned, P.speakers(spark, d).where(registry.relearnable()))
+
+
+def corrections(spark, d):
+    """The exemplars that corrections of every sixth segment add."""
+    asked = P.segments(spark, d).where("sequence % 6 = 2").select("meeting", "sequence", ((F.col("meeting") + F.col("sequence")) % P.SPEAKERS).alias("speaker_id"))
+    return upkeep.corrected(P.segments(spark, d), P.exemplars(spark, d), asked)[1].select("meeting", "sequence", "id", "speaker_id", "is_negative")
+
+
+def speakers_joined(spark, d):
+    """C14: what names each speaker after joins, of which those into nobody, oneself, from a name or of the operator are refused."""
+    asked = spark.createDataFrame([(3, 4), (7, 2), (5, 5), (6, 8), (0, 2), (9, 99)], "source long, into long")
+    people, segments, hints, exemplars = registry.speakers_joined(P.speakers(spark, d), P.segments(spark, d), replaced_hints(spark, d), P.exemplars(spark, d), asked)
+    parts = [(people, "id", "speaker"), (segments, "speaker_id", "segment"), (hints, "speaker_id", "hint"), (hints, "replaced_id", "replaced"), (exemplars, "speaker_id", "exemplar")]
+    rows = reduce(DataFrame.unionByName, [frame.select(F.col(c).alias("speaker_id"), F.lit(kind).alias("kind")) for frame, c, kind in parts])
+    return rows.where("speaker_id is not null").groupBy("speaker_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def dirty_marking(spark, d):
+    """Q1: generations of documents after changes of titles and of file names, new meetings and new segments."""
+    now = P.meetings(spark, d)
+    before = now.where("id % 8 <> 0")
+    after = now.withColumn("title", F.when(F.col("id") % 3 == 1, F.concat(F.lit("New "), F.col("id").cast("string"))).otherwise(F.col("title"))).withColumn("mirror_filename", F.lit("x"))
+    dirty = now.where("id % 2 = 0").select(F.col("id").alias("meeting"), (F.col("id") % 4 + 1).alias("generation"), (F.col("id") % 4).alias("acknowledged"))
+    return upkeep.marked(dirty, upkeep.changed(before, after).unionByName(P.segments(spark, d).where("sequence % 5 = 0").select("meeting")))
 
 
 def adopted_vectors(spark, d):
@@ -112,7 +156,7 @@ def queue_promotion(spark, d):
 
 
 def acknowledgement(spark, d):
-    """Q1, Q3: what is still dirty after a rebuild of older generations."""
+    """Q3: what is still dirty after a rebuild of older generations."""
     dirty = P.meetings(spark, d).select(F.col("id").alias("meeting"), (F.col("id") % 5).alias("generation"), F.lit(0).cast("long").alias("acknowledged"))
     rebuilt = dirty.where("meeting % 2 = 0").select("meeting", F.least("generation", F.lit(2)).alias("generation"))
     return upkeep.acknowledged(dirty, rebuilt).where("generation > acknowledged")
@@ -192,6 +236,12 @@ TIME = "(SELECT meeting, cluster, sum(end_ms - start_ms) AS ms FROM turns WHERE
 P.SQL["leaders"] = f"""leaders AS (SELECT meeting, cluster FROM (SELECT *, row_number() OVER w AS place, lead(ms) OVER w AS second, sum(ms) OVER (PARTITION BY meeting) AS total FROM {TIME} WINDOW w AS (PARTITION BY meeting ORDER BY ms DESC, cluster))
   WHERE place = 1 AND ms >= 20000 AND ms / total >= 0.3 AND (second IS NULL OR (ms - second) / total > 0.02))"""
 P.SQL["newest"] = """newest AS (SELECT *, CASE WHEN created_at % 20 <> 1 THEN (meeting * 7 + sequence * 3) % 11 END AS replaced_id FROM hints QUALIFY row_number() OVER (PARTITION BY meeting, sequence ORDER BY created_at DESC, id DESC) = 1)"""
+P.SQL["able"] = "able AS (SELECT id FROM speakers WHERE NOT forgotten AND (display_name IS NOT NULL OR is_operator))"
+P.SQL["plan"] = """plan AS (SELECT meeting, sequence, speaker_id, neg AS is_negative FROM (
+  SELECT s.meeting, s.sequence, coalesce(h.speaker_id, s.speaker_id) AS speaker_id, false AS neg FROM segments s LEFT JOIN newest h USING (meeting, sequence) WHERE s.end_ms > s.start_ms AND NOT (s.channel = 'mic' AND EXISTS (
+    SELECT 1 FROM segments f WHERE f.meeting = s.meeting AND f.channel = 'system' AND f.end_ms > f.start_ms AND f.start_ms < s.end_ms AND f.end_ms > s.start_ms))
+  UNION ALL SELECT s.meeting, s.sequence, h.replaced_id, true FROM segments s JOIN newest h USING (meeting, sequence) WHERE s.end_ms > s.start_ms AND h.replaced_id IS NOT NULL AND h.replaced_id <> h.speaker_id)
+  WHERE speaker_id IN (SELECT id FROM speakers WHERE NOT forgotten AND (display_name IS NOT NULL OR is_operator)))"""
 MATCHED = """SELECT p.meeting, p.cluster, p.speaker_id FROM (
   SELECT *, row_number() OVER (PARTITION BY meeting, cluster ORDER BY score DESC, confirmed DESC, speaker_id) AS rank, row_number() OVER (PARTITION BY meeting, speaker_id ORDER BY score DESC, cluster DESC) AS back,
     lead(score) OVER (PARTITION BY meeting, cluster ORDER BY score DESC, confirmed DESC, speaker_id) AS next, lead(confirmed) OVER (PARTITION BY meeting, cluster ORDER BY score DESC, confirmed DESC, speaker_id) AS next_confirmed FROM scores WHERE cluster % 11 <> 0) p
@@ -212,11 +262,20 @@ QUERIES = {
     SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY speaker_id, meeting ORDER BY id DESC) AS depth, max(id) OVER (PARTITION BY speaker_id, meeting) AS newest FROM (
       SELECT *, max_by((model, model_version), id) OVER (PARTITION BY speaker_id) AS space FROM exemplars) WHERE (model, model_version) = space AND NOT is_negative)
     QUALIFY row_number() OVER (PARTITION BY speaker_id ORDER BY depth, newest DESC) <= 32), range(1, 65) AS r(i) GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3, 4)""", "exemplars")),
-    "relearning_plan": (relearning_plan, S("""SELECT meeting, sequence, speaker_id, neg AS is_negative FROM (
-  SELECT s.meeting, s.sequence, coalesce(h.speaker_id, s.speaker_id) AS speaker_id, false AS neg FROM segments s LEFT JOIN newest h USING (meeting, sequence) WHERE s.end_ms > s.start_ms AND NOT (s.channel = 'mic' AND EXISTS (
-    SELECT 1 FROM segments f WHERE f.meeting = s.meeting AND f.channel = 'system' AND f.end_ms > f.start_ms AND f.start_ms < s.end_ms AND f.end_ms > s.start_ms))
-  UNION ALL SELECT s.meeting, s.sequence, h.replaced_id, true FROM segments s JOIN newest h USING (meeting, sequence) WHERE s.end_ms > s.start_ms AND h.replaced_id IS NOT NULL AND h.replaced_id <> h.speaker_id)
-  WHERE speaker_id IN (SELECT id FROM speakers WHERE NOT forgotten AND (display_name IS NOT NULL OR is_operator))""", "segments", "hints", "speakers", "newest")),
+    "relearning_plan": (relearning_plan, S("SELECT * FROM plan", "segments", "hints", "speakers", "newest", "plan")),
+    "relearning_owners": (relearning_owners, S("SELECT meeting, speaker_id FROM plan UNION SELECT meeting, speaker_id FROM exemplars WHERE meeting IS NOT NULL AND speaker_id IN (SELECT id FROM speakers WHERE NOT forgotten AND (display_name IS NOT NULL OR is_operator))", "segments", "hints", "speakers", "newest", "exemplars", "plan")),
+    "claims": (claims, S("""SELECT meeting, cluster, claimed, CASE WHEN denied IS DISTINCT FROM claimed THEN denied END AS denied FROM (
+  SELECT meeting, cluster, CASE WHEN count(o.id) = count(*) AND count(DISTINCT o.id) = 1 THEN min(o.id) END AS claimed, CASE WHEN count(r.id) = count(*) AND count(DISTINCT r.id) = 1 THEN min(r.id) END AS denied
+  FROM (SELECT s.meeting, s.sequence // 2 AS cluster, coalesce(h.speaker_id, s.speaker_id) AS owner, h.replaced_id FROM segments s LEFT JOIN newest h USING (meeting, sequence) WHERE s.sequence % 9 <> 8)
+  LEFT JOIN able o ON o.id = owner LEFT JOIN able r ON r.id = replaced_id GROUP BY 1, 2) WHERE claimed IS NOT NULL OR denied IS DISTINCT FROM claimed""", "segments", "hints", "speakers", "newest", "able")),
+    "corrections": (corrections, S("""SELECT c.meeting, c.sequence, e.id, CASE WHEN neg THEN c.replaced ELSE c.who END AS speaker_id, neg AS is_negative
+  FROM (SELECT meeting, sequence, (meeting + sequence) % 11 AS who, speaker_id AS replaced FROM segments WHERE sequence % 6 = 2) c
+  JOIN exemplars e ON e.meeting = c.meeting AND e.speaker_id = c.replaced AND NOT e.is_negative, (VALUES (true), (false)) AS t(neg) WHERE c.replaced <> c.who""", "segments", "exemplars")),
+    "speakers_joined": (speakers_joined, S("""SELECT CASE WHEN kind = 'speaker' THEN w WHEN w = 3 THEN 4 WHEN w = 7 THEN 2 ELSE w END AS speaker_id, kind, count(*) AS n FROM (
+  SELECT id AS w, 'speaker' AS kind FROM speakers WHERE id NOT IN (3, 7) UNION ALL SELECT speaker_id, 'segment' FROM segments UNION ALL SELECT speaker_id, 'hint' FROM hints
+  UNION ALL SELECT CASE WHEN created_at % 20 <> 1 THEN (meeting * 7 + sequence * 3) % 11 END, 'replaced' FROM hints UNION ALL SELECT speaker_id, 'exemplar' FROM exemplars) WHERE w IS NOT NULL GROUP BY 1, 2""", "segments", "hints", "speakers", "exemplars")),
+    "dirty_marking": (dirty_marking, S("""SELECT id AS meeting, CASE WHEN id % 2 = 0 THEN id % 4 + 1 ELSE 0 END + CASE WHEN id % 8 = 0 OR id % 3 = 1 THEN 1 ELSE 0 END + coalesce(n, 0) AS generation, CASE WHEN id % 2 = 0 THEN id % 4 ELSE 0 END AS acknowledged FROM meetings
+  LEFT JOIN (SELECT meeting, count(*) AS n FROM segments WHERE sequence % 5 = 0 GROUP BY 1) s ON s.meeting = id WHERE id % 2 = 0 OR id % 3 = 1 OR n > 0""", "meetings", "segments")),
     "adopted_vectors": (adopted_vectors, S("SELECT CASE WHEN model = 'model0' THEN 'model2' ELSE model END AS model, count(*) AS n, min(id) AS first FROM exemplars WHERE model <> 'model0' OR id % 3 <> 0 GROUP BY 1", "exemplars")),
     "forget_voice": (forget_voice, S("SELECT id, (SELECT count(*) FROM exemplars e WHERE e.speaker_id = p.id AND p.id <> 4) AS exemplars FROM speakers p WHERE forgotten OR id = 4", "exemplars", "speakers")),
     "enrolment_verdicts": (enrolment_verdicts, S("""SELECT meeting, CASE WHEN peak = 0 THEN 'silent' WHEN voices > 1 THEN 'several-voices' WHEN coalesce(ms, 0) < 20000 THEN 'too-little' ELSE 'accepted' END AS verdict

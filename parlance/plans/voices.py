@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from parlance.functions import vectors as V
@@ -57,8 +58,9 @@ def match_grid(spark, d):
     """How many probes clear each of 8 floors and 4 margins."""
     scores = matching.scored(probes(spark, d), gallery(spark, d))
     grid = spark.range(32).select((F.col("id") % 8 / 10.0).alias("floor"), (F.floor(F.col("id") / 8) / 50.0).alias("margin"))  # 32 rows
-    two = scores.groupBy("meeting", "cluster").agg(F.slice(F.array_sort(F.collect_list(-F.col("score"))), 1, 2).alias("s"))
-    two = two.select((-F.col("s")[0]).alias("best"), F.coalesce(-F.get("s", F.lit(1)), F.lit(0.0)).alias("next"))
+    rank = F.row_number().over(Window.partitionBy("meeting", "cluster").orderBy(F.col("score").desc()))
+    first = lambda n: F.max(F.when(F.col("rank") == n, F.col("score")))
+    two = scores.withColumn("rank", rank).where("rank <= 2").groupBy("meeting", "cluster").agg(first(1).alias("best"), F.coalesce(first(2), F.lit(0.0)).alias("next"))
     cleared = F.count_if((F.col("best") >= F.col("floor")) & (F.col("best") - F.col("next") >= F.col("margin")))
     return two.crossJoin(F.broadcast(grid)).groupBy("floor", "margin").agg(cleared.alias("cleared"))
 

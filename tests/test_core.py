@@ -66,7 +66,12 @@ def test_search(spark):
     index = search.postings(docs, "id", "title", "body")
     ids = lambda q: [r["id"] for r in search.search(index, q).collect()]
     assert ids("budget-plan") == [1] and set(ids("budget plan")) == {1, 2} and ids("") == [] and ids("\"') OR *") == [] and ids("---") == []
-    assert search.snippets(index, search.search(index, "budget"), "budget", field=1).where("id = 1").first()["snippet"] == "budget plan is ready"
+    hits = {r["id"]: r["hits"] for r in search.search(index, "budget plan").collect()}
+    assert hits == {1: 3, 2: 2} and [r["hits"] for r in search.search(index, "plan-budget the-budget-plan").collect()] == []
+    text = "One. Two, three; " + "x " * 20 + "the Budget\u2014plan (budget) is ready! " + "y " * 20
+    long = spark.createDataFrame([(1, text), (2, "budget."), (3, None), (4, "nothing")], "id long, body string")
+    found = {r["id"]: r["snippet"] for r in search.snippets(long, long.select("id"), "budget plan", field="body", width=4).collect()}
+    assert found == {1: "…Budget\u2014plan (budget) is…", 2: "budget."}
 
 
 # transcripts
@@ -278,6 +283,12 @@ def test_speech_chunks():
     assert play(machines.SpeechChunks(), frames((0.0, 50), (0.9, 2))) == []
 
 
+def test_noise_floor():
+    floor = machines.NoiseFloor()
+    p = [floor.on({"at_ms": t, "rms": rms, "crossings": c})[0][1] for t, (rms, c) in enumerate([(0.001, 0.1), (0.2, 0.5), (0.2, 0.1), (0.0127, 0.1), (0.001, 0.9)])]
+    assert p == [0.0, 0.2, 1.0, 0.55, 0.0] and floor.floor < 0.005
+
+
 def test_two_channels():
     f = lambda c, s, e: {"channel": c, "start_ms": s, "end_ms": e}
     rows = play(machines.TwoChannels(), [f("mic", 0, 100), f("system", 0, 500), f("mic", 300, 500)])
@@ -458,3 +469,23 @@ def test_der_by_running_sums(spark):
         r, h = ([at(x, t) for t in range(240)] for x in (ref, hyp))
         assert got[m]["total_ms"] == sum(r) and got[m]["missed_ms"] == sum(max(a - b, 0) for a, b in zip(r, h, strict=True))
         assert got[m]["false_alarm_ms"] == sum(max(b - a, 0) for a, b in zip(r, h, strict=True))
+
+
+def test_joins_and_claims(spark):
+    people = spark.createDataFrame([(0, None, True), (1, None, False), (2, "Ann", False), (3, None, False), (4, None, True)], "id long, display_name string, is_operator boolean")
+    asked = lambda *x: sorted(map(tuple, registry.allowed_joins(people, spark.createDataFrame(list(x), "source long, into long")).collect()))
+    assert asked((1, 2), (1, 3), (2, 1), (0, 1), (3, 3), (3, 9), (0, 4)) == [(0, 4), (1, 2)]
+    assert asked((1, 3), (3, 2)) == [(3, 2)] and asked() == []
+    rows = spark.createDataFrame([(1, 1, 2, 3), (1, 1, 2, 3), (1, 2, 2, 2), (1, 3, 2, None), (1, 3, 9, None), (1, None, 2, 3), (1, 4, None, 3)], "meeting long, cluster long, owner long, replaced long")
+    found = sorted(map(tuple, upkeep.claims(rows, people.select("id")).collect()))
+    assert found == [(1, 1, 2, 3), (1, 2, 2, None), (1, 4, None, 3)]
+
+
+def test_dirty_marks(spark):
+    schema = "id long, title string, started_at string, ended_at string, detected_app string, audio_path string, mirror_filename string"
+    before = spark.createDataFrame([(1, None, "a", None, None, None, "f"), (2, "t", "a", None, None, None, "f")], schema)
+    after = spark.createDataFrame([(1, None, "a", None, None, None, "g"), (2, None, "a", None, None, None, "f"), (3, None, None, None, None, None, None)], schema)
+    touched = upkeep.changed(before, after)
+    assert sorted(r["meeting"] for r in touched.collect()) == [2, 3]
+    dirty = spark.createDataFrame([(2, 5, 4), (7, 1, 1)], "meeting long, generation long, acknowledged long")
+    assert sorted(map(tuple, upkeep.marked(dirty, touched).collect())) == [(2, 6, 4), (3, 1, 0), (7, 1, 1)]
