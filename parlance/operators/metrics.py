@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from parlance.operators import intervals
 
@@ -49,16 +49,29 @@ def best_mapping(ms: np.ndarray) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def mapped(overlaps: DataFrame) -> DataFrame:
-    """(meeting, left_speaker, right_speaker, ms) of the best one-to-one mapping of each meeting's overlaps."""
+@pandas_udf(ArrayType(LongType()))
+def mapped_pairs(pairs: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Of lists of left and right speakers and their common time, the places of the pairs of the best mapping."""
+
+    def picked(lefts: np.ndarray, rights: np.ndarray, times: np.ndarray) -> list[int]:
+        left, row = np.unique(np.asarray(lefts, object), return_inverse=True)
+        right, column = np.unique(np.asarray(rights, object), return_inverse=True)
+        ms, place = np.zeros((len(left), len(right)), np.int64), np.zeros((len(left), len(right)), np.int64)
+        ms[row, column], place[row, column] = times, np.arange(len(times))
+        return [int(place[p]) for p in best_mapping(ms)]
+
+    for lefts, rights, times in pairs:
+        yield pd.Series([picked(*x) for x in zip(lefts, rights, times, strict=True)], dtype=object)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        left, right = sorted(set(rows["left_speaker"])), sorted(set(rows["right_speaker"]))
-        ms = np.zeros((len(left), len(right)), np.int64)
-        ms[[left.index(x) for x in rows["left_speaker"]], [right.index(x) for x in rows["right_speaker"]]] = rows["ms"]
-        return pd.DataFrame([(rows["meeting"].iloc[0], left[i], right[j], ms[i, j]) for i, j in best_mapping(ms)], columns=["meeting", "left_speaker", "right_speaker", "ms"])
 
-    return overlaps.groupBy("meeting").applyInPandas(run, "meeting long, left_speaker string, right_speaker string, ms long")
+def mapped(overlaps: DataFrame) -> DataFrame:
+    """(meeting, left_speaker, right_speaker, ms) of the best one-to-one mapping of each meeting's overlaps.
+
+    A row is a meeting's pairs of speakers, so many meetings go to Python in a batch.
+    """
+    rows = overlaps.groupBy("meeting").agg(F.array_sort(F.collect_list(F.struct("left_speaker", "right_speaker", "ms"))).alias("p"))
+    found = rows.select("meeting", "p", mapped_pairs("p.left_speaker", "p.right_speaker", "p.ms").alias("chosen"))
+    return found.select("meeting", "p", F.explode("chosen").alias("i")).select("meeting", F.get("p", F.col("i")).alias("b")).select("meeting", "b.*")
 
 
 def der(reference: DataFrame, hypothesis: DataFrame) -> DataFrame:

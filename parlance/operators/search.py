@@ -19,11 +19,8 @@ FIELD_STRIDE = 1 << 40
 
 def postings(docs: DataFrame, key: str = "id", *fields: str) -> DataFrame:
     """(key, field, term, position): the words of all fields, from one pass over the rows."""
-
-    def tagged(n: int, field: str) -> Column:
-        return F.transform(T.words(T.spaced(F.coalesce(field, F.lit("")))), lambda w, i: F.struct(F.lit(n).alias("field"), i.alias("position"), w.alias("term")))
-
-    return docs.select(key, F.explode(F.concat(*[tagged(n, f) for n, f in enumerate(fields)])).alias("p")).select(key, "p.field", "p.position", "p.term")
+    each = docs.select(key, F.posexplode(F.array(*[F.coalesce(f, F.lit("")) for f in fields])).alias("field", "__text"))
+    return each.select(key, "field", F.posexplode(T.words(T.spaced(F.col("__text")))).alias("position", "term"))
 
 
 def phrases(query: str) -> list[list[str]]:
