@@ -20,7 +20,7 @@ FIELD_STRIDE = 1 << 40
 def postings(docs: DataFrame, key: str = "id", *fields: str) -> DataFrame:
     """(key, field, term, position): the words of all fields, from one pass over the rows."""
     each = docs.select(key, F.posexplode(F.array(*[F.coalesce(f, F.lit("")) for f in fields])).alias("field", "__text"))
-    return each.select(key, "field", F.posexplode(T.words(T.spaced(F.col("__text")))).alias("position", "term"))
+    return each.select(key, "field", F.posexplode(T.cut(F.col("__text"))).alias("position", "term")).withColumn("term", F.lower("term"))
 
 
 def phrases(query: str) -> list[list[str]]:
