@@ -41,3 +41,9 @@ def components(links: DataFrame) -> DataFrame:
         moved = salted_join(salted_join(edges, pa, "a", "b"), pb, "b", "a").where("pa <> pb")
         edges = saved(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "links")
     raise RuntimeError(f"components: links are left after {MOST_ROUNDS} rounds")
+
+
+def joined_further(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (node, root) after further links (a, b) between their roots. Only those roots are worked on, not the links that made them."""
+    moved = components(links).select(F.col("node").alias("root"), F.col("root").alias("to"))
+    return saved(salted_join(labels, moved, "root", "node", how="left").select("node", F.coalesce("to", "root").alias("root")), "labels")

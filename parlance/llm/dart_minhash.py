@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parlance.llm.arrow import mapped, with_columns
-from parlance.llm.components import components, salted_join
+from parlance.llm.components import components, joined_further, salted_join
 from parlance.llm.storage import saved
 from parlance.llm.words import SHINGLE, WordHashes, mixed, shingles_of_text
 
@@ -187,17 +187,18 @@ def salt_of(text: str, n: str):
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b, salt) that are at least so similar, as (a, b). A text of many pairs is repeated for each salt of them, and only for those."""
+    """The pairs (a, b, salt, further columns) that are at least so similar, without salt. A text of many pairs is repeated for each salt of them, and only for those."""
+    others = [c for c in pairs.columns if c != "salt"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = batch.column("left"), batch.column("right")
             ok = [jaccard(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) >= similarity for x, y in zip(left, right, strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            yield batch.select(others).filter(pa.array(ok, pa.bool_()))
 
     side = lambda key, name: pairs.select(key, "salt").distinct().join(sets.select(F.col("tid").alias(key), F.col("elements").alias(name)), key)
     both = pairs.join(side("a", "left"), ["a", "salt"]).join(side("b", "right"), ["b", "salt"])
-    return mapped(both.select("a", "b", "left", "right"), run, "a long, b long")
+    return mapped(both.select(*others, "left", "right"), run, ", ".join(f"{c} long" for c in others))
 
 
 def most_common(members: DataFrame, sets: DataFrame) -> DataFrame:
@@ -235,13 +236,14 @@ def classed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
     pairs = shared.where("tid <> head").groupBy(F.col("head").alias("a"), F.col("tid").alias("b")).agg(F.max("n").alias("n"))
     pairs = saved(pairs.select("a", "b", salt_of("b", "n").alias("salt")), "pairs")
     links = saved(verified(pairs, sets, similarity), "links")
-    roots = components(links)
-    tested, reach, bounds = pairs.select("a", "b", "salt"), 1, 0
+    first = components(links).withColumnRenamed("node", "tid")
+    roots = saved(sets.select("tid").join(first, "tid", "left").select(F.col("tid").alias("node"), F.coalesce("root", "tid").alias("root")), "labels")
+    tested, reach, bounds = pairs.select("a", "b"), 1, 0
     draw = F.pmod(F.xxhash64("tid"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     unsettled = shared.where("n > 2").select("bucket", "tid", "n")
     while True:
         # buckets with members of several classes, of which not all pairs between classes have been compared
-        named = unsettled.join(roots.withColumnRenamed("node", "tid"), "tid", "left").withColumn("root", F.coalesce("root", "tid"))
+        named = unsettled.join(roots.withColumnRenamed("node", "tid"), "tid")
         several = named.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("bucket")
         unsettled = saved(salted_join(named, several, "bucket", "tid"), "unsettled")
         if unsettled.isEmpty():
@@ -265,14 +267,15 @@ def classed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
         other_draw = F.pmod(F.xxhash64("other"), F.lit(1 << 30)) / F.lit(float(1 << 30))
         once = (F.struct(other_draw, "other") < F.struct(draw, "tid")) & (F.array_min(F.array_intersect("bands", "other_bands")) == F.col("bucket"))
         fresh = salted_join(unsettled, chosen, "bucket", "tid").where((F.col("root") != F.col("other_root")) & (F.col("tid") != F.col("other")) & possible & (once if bounds > 1 else F.lit(True)))
-        fresh = fresh.groupBy(F.least("tid", "other").alias("a"), F.greatest("tid", "other").alias("b")).agg(F.max("n").alias("n"))
-        fresh = fresh.select("a", "b", salt_of("a", "n").alias("x"), salt_of("b", "n").alias("y"), "n").select("a", "b", (F.col("x") + F.col("y")).alias("salt"))
+        swapped = F.col("other") < F.col("tid")
+        ends = (F.when(swapped, F.col("other_root")).otherwise(F.col("root")), F.when(swapped, F.col("root")).otherwise(F.col("other_root")))
+        fresh = fresh.groupBy(F.least("tid", "other").alias("a"), F.greatest("tid", "other").alias("b")).agg(F.max("n").alias("n"), F.min(ends[0]).alias("root_a"), F.min(ends[1]).alias("root_b"))
+        fresh = fresh.select("a", "b", "root_a", "root_b", (salt_of("a", "n") + salt_of("b", "n")).alias("salt"))
         fresh = saved(fresh.join(tested, ["a", "b"], "left_anti"), "pairs")
         more = saved(verified(fresh, sets, similarity), "links")
-        tested = tested.union(fresh)
+        tested = tested.union(fresh.select("a", "b"))
         if not more.isEmpty():
-            links = links.union(more)
-            roots = components(links)
+            roots = joined_further(roots, more.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
         unsettled = unsettled.where(F.col("n") > reach).drop("root")
     joined = texts.select("words_key", "tid").join(roots.withColumnRenamed("node", "tid"), "tid", "left")
     named = joined.select("words_key", F.coalesce("root", "tid").alias("class_key"))

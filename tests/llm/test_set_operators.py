@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 import corpus_pipeline
 from parlance.llm import brown_lm, dart_minhash, decontaminate, queries, rabitq, storage
-from parlance.llm.components import components
+from parlance.llm.components import components, joined_further
 from parlance.llm.words import WordHashes, shingles_of_text
 
 DOCS = "doc_id long, text string"
@@ -74,6 +74,19 @@ def near_documents(copies=60):
     return list(enumerate(docs))
 
 
+def test_components_joined_further(spark):
+    """Labels after further links, given between roots, are those of all links at once."""
+    rng = random.Random(5)
+    first, later = ([(rng.randrange(60), rng.randrange(60)) for _ in range(n)] for n in (25, 30))
+    table = lambda links: spark.createDataFrame(links, "a long, b long")
+    nodes = table([(n, n) for n in range(60)]).select(F.col("a").alias("node"))
+    whole = lambda links: nodes.join(components(table(links)), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    labels = {r["node"]: r["root"] for r in whole(first).collect()}
+    got = joined_further(whole(first), table([(labels[a], labels[b]) for a, b in later]))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole(first + later).collect()))
+    assert sorted(map(tuple, joined_further(whole(first), table([])).collect())) == sorted(labels.items())
+
+
 def brute_classes(docs, similarity=0.8):
     hashes, sets = WordHashes(), {}
     for i, text in docs:
