@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parlance.functions import text as T
-from parlance.operators import chunks, search, summaries
+from parlance.operators import chunks, search, summaries, transcripts
 from parlance.plans import record
 from parlance.sources import project as P
 
@@ -41,6 +41,13 @@ def text_clean(spark, d):
     return turns(spark, d).select("conv_id", "turn", T.cleaned(F.concat_ws(" ", F.col("text"), F.when(F.col("turn") % 3 == 0, F.col("text")))).alias("kept"))
 
 
+def segments_kept(spark, d):
+    """Decodes over the confidence floor, cleaned, in the order they were said."""
+    confidence = (F.col("conv_id") * 7 + F.col("turn") * 3) % 20 / 20
+    said = turns(spark, d).select(F.col("conv_id").alias("meeting"), F.when(F.col("turn") % 2 == 0, "mic").otherwise("system").alias("channel"), (F.col("turn") * 1000).cast("long").alias("start_ms"), (F.col("turn") * 1000 + 900).cast("long").alias("end_ms"), "text", confidence.alias("confidence"))
+    return transcripts.kept_decodes(said)
+
+
 def collapse_phrases(spark, d):
     """phrases in a row become one."""
     tail = F.array_join(F.slice(T.words(T.squeeze(F.col("text"))), 1, 4), " ")
@@ -194,6 +201,7 @@ QUERIES = {
   FROM (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'Thank you.' WHEN 1 THEN '...' WHEN 2 THEN '[BLANK_AUDIO]' WHEN 3 THEN 'aaaa bbbb aaaa' WHEN 4 THEN '好' ELSE 'Yes' END || CASE WHEN doc_id % 5 = 4 THEN source ELSE '' END AS s FROM documents)"""),
     "repetition": (repetition, f"SELECT conv_id, turn, CASE WHEN len(w) < 2 THEN 0.0::DOUBLE ELSE round(1.0 - len(list_distinct(w))::DOUBLE / len(w), 6) END AS ratio FROM (SELECT conv_id, turn, string_split({PLAIN.format(t='text')}, ' ') AS w FROM conversations)"),
     "text_clean": (text_clean, None),
+    "segments_kept": (segments_kept, None),
     "collapse_phrases": (collapse_phrases, None),
     "slug": (slug, r"SELECT doc_id, regexp_replace(substr(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}]+', '-', 'g'), '^-+', ''), 1, 60), '^-+|-+$', '', 'g') AS slug FROM documents"),
     "short_ids": (short_ids, "SELECT doc_id, substr('01ab' || md5(CAST(doc_id AS VARCHAR)), 1, 12) AS head, right(md5(CAST(doc_id AS VARCHAR)), 12) AS tail FROM documents"),

@@ -31,6 +31,19 @@ def test_clean(spark):
     assert column(spark, cases, T.cleaned) == list(cases.values())
 
 
+def test_kept_decodes(spark):
+    """By start whatever the order of rows; the floor itself stays; inventions, loops, nulls and low confidence go."""
+    rows = [
+        (1, "mic", 900, 1500, "we agreed on the plan", 0.9), (1, "system", 100, 700, "the the plan is on hold", 0.25), (1, "mic", 300, 400, "quite audible", 0.2499),
+        (1, "mic", 500, 600, "thank you", 0.99), (1, "mic", 550, 600, "no measure of it", None), (1, "mic", 560, 600, None, 0.9), (2, "mic", 5, 9, "Yes", 0.5), (1, "mic", 100, 600, "at once", 0.4),
+    ]
+    decodes = spark.createDataFrame(rows, "meeting long, channel string, start_ms long, end_ms long, text string, confidence double").repartition(3)
+    got = transcripts.kept_decodes(decodes)
+    want = [(1, 1, "at once"), (1, 2, "the plan is on hold"), (1, 3, "we agreed on the plan"), (2, 1, "Yes")]
+    assert sorted(map(tuple, got.select("meeting", "place", "text").collect())) == want
+    assert transcripts.kept_decodes(decodes.limit(0)).count() == 0
+
+
 def test_collapse():
     assert T.collapse_phrases_in("okay so okay so okay so we start") == "okay so we start"
     assert T.collapse_phrases_in("a b c") == "a b c"
