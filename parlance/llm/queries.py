@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import brown_lm, dart_minhash, decontaminate, lang_id, mixing, rabitq, secret_scan, simple8b, storage, token_counts, url_filter
+from parlance.llm import brown_lm, dart_minhash, decontaminate, hard_negatives, lang_id, mixing, rabitq, secret_scan, simple8b, storage, token_counts, url_filter, vector_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -115,6 +115,50 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every positive of each vector whose id is divisible by 50; a seventh of the labels are moved."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mined(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
+NEGATIVES_SQL = """
+WITH kept AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, CAST(list_inner_product(a.v, r.v) AS BIGINT) AS score
+  FROM kept a JOIN kept r ON a.vec_id % 50 = 0 AND r.vec_id <> a.vec_id AND len(a.v) = len(r.v)),
+positives AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM pairs WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+ranked AS (
+  SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+  FROM positives p JOIN pairs n ON n.anchor_id = p.anchor_id AND NOT n.same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT * FROM ranked WHERE rank <= 3
+"""
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors in 8 parts of 16 entries, six rounds."""
+    return vector_codes.codes(table(spark, sf_dir, "embeddings"))
+
+
+def vector_codes_sql(rounds: int) -> str:
+    """One round is three views: distances, assignments, entries."""
+    views = ["""WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v, len(embedding) // 8 AS w
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (SELECT vec_id, label, p, v[p * w + 1 : p * w + w] AS x FROM kept, range(0, 8) AS g(p)),
+e0 AS (SELECT p, CAST(row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS INTEGER) AS e, x FROM parts WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 16))"""]
+    for r in range(rounds + 1):
+        views.append(f"a{r} AS (SELECT vec_id, label, s.p, s.x, e, list_sum(list_transform(list_zip(s.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM parts s JOIN e{r} c ON s.p = c.p QUALIFY row_number() OVER (PARTITION BY vec_id, s.p ORDER BY d, e) = 1)")
+        if r < rounds:
+            views.append(f"""s{r} AS (SELECT p, e, list(m ORDER BY j) AS x FROM (SELECT p, e, j, CAST(floor(sum(x[j]) / count(*)) AS BIGINT) AS m FROM a{r}, range(1, 1 + len(x)) AS g(j) GROUP BY p, e, j) GROUP BY p, e),
+e{r + 1} AS (SELECT e{r}.p, e{r}.e, coalesce(s{r}.x, e{r}.x) AS x FROM e{r} LEFT JOIN s{r} ON e{r}.p = s{r}.p AND e{r}.e = s{r}.e)""")
+    return ",\n".join(views) + f""",
+book AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM e{rounds}),
+coded AS (SELECT vec_id, label, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id, label)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded, book"""
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_decontamination": op2_decontamination,
@@ -126,7 +170,9 @@ QUERIES = {
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_source_mixing": op9_source_mixing,
     "op10_language_id": op10_language_id,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 #: SQL can't express the other methods; tests hold those against brute force.
-ORACLE_SQL = {"op8_nearest_neighbours": NEAREST_SQL, "op9_source_mixing": MIXING_SQL}
+ORACLE_SQL = {"op8_nearest_neighbours": NEAREST_SQL, "op9_source_mixing": MIXING_SQL, "op12_hard_negatives": NEGATIVES_SQL, "op13_vector_codes": vector_codes_sql(vector_codes.ROUNDS)}
