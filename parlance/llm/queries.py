@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import brown_lm, dart_minhash, decontaminate, hard_negatives, lang_id, mixing, rabitq, secret_scan, simple8b, storage, token_counts, url_filter, vector_codes
+from parlance.llm import brown_lm, dart_minhash, decontaminate, hard_negatives, lang_id, mixing, rabitq, secret_scan, simple8b, storage, suffix_dedup, token_counts, url_filter, vector_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -115,6 +115,29 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without the bytes of 100-byte strings that start earlier."""
+    found = suffix_dedup.without_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Bytes as hex digits; a kept piece is a run of bytes that no repeated string covers.
+SUFFIX_SQL = """
+WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n_bytes FROM documents),
+strings AS (SELECT doc_id, s, substr(h, CAST(2 * s + 1 AS INTEGER), 200) AS w FROM docs, LATERAL (SELECT unnest(range(0, n_bytes - 99)) AS s)),
+later AS (SELECT doc_id, s FROM strings QUALIFY row_number() OVER (PARTITION BY w ORDER BY doc_id, s) > 1),
+marked AS (SELECT doc_id, s, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) <= 100 THEN 0 ELSE 1 END AS new FROM later),
+runs AS (SELECT doc_id, min(s) AS a, max(s) + 100 AS b FROM (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM marked) GROUP BY doc_id, run),
+edges AS (SELECT doc_id, a, b FROM runs UNION ALL SELECT doc_id, n_bytes, n_bytes FROM docs),
+pieces AS (SELECT doc_id, a, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a, b), 0) AS since FROM edges),
+kept AS (SELECT p.doc_id, string_agg(substr(h, CAST(2 * since + 1 AS INTEGER), CAST(2 * (a - since) AS INTEGER)), '' ORDER BY a, since) AS k FROM pieces p JOIN docs d ON p.doc_id = d.doc_id GROUP BY p.doc_id),
+sums AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id)
+SELECT d.doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM docs d JOIN kept USING (doc_id) LEFT JOIN sums USING (doc_id)
+"""
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives of every positive of each vector whose id is divisible by 50; a seventh of the labels are moved."""
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -170,9 +193,10 @@ QUERIES = {
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_source_mixing": op9_source_mixing,
     "op10_language_id": op10_language_id,
+    "op11_suffix_dedup": op11_suffix_dedup,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_vector_codes": op13_vector_codes,
 }
 
 #: SQL can't express the other methods; tests hold those against brute force.
-ORACLE_SQL = {"op8_nearest_neighbours": NEAREST_SQL, "op9_source_mixing": MIXING_SQL, "op12_hard_negatives": NEGATIVES_SQL, "op13_vector_codes": vector_codes_sql(vector_codes.ROUNDS)}
+ORACLE_SQL = {"op8_nearest_neighbours": NEAREST_SQL, "op9_source_mixing": MIXING_SQL, "op11_suffix_dedup": SUFFIX_SQL, "op12_hard_negatives": NEGATIVES_SQL, "op13_vector_codes": vector_codes_sql(vector_codes.ROUNDS)}
