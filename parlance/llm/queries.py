@@ -126,7 +126,7 @@ def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 SUFFIX_SQL = """
 WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n_bytes FROM documents),
 strings AS (SELECT doc_id, s, substr(h, CAST(2 * s + 1 AS INTEGER), 200) AS w FROM docs, LATERAL (SELECT unnest(range(0, n_bytes - 99)) AS s)),
-later AS (SELECT doc_id, s FROM strings QUALIFY row_number() OVER (PARTITION BY w ORDER BY doc_id, s) > 1),
+later AS (SELECT doc_id, s FROM strings QUALIFY row_number() OVER (PARTITION BY md5(w) ORDER BY doc_id, s) > 1),
 marked AS (SELECT doc_id, s, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) <= 100 THEN 0 ELSE 1 END AS new FROM later),
 runs AS (SELECT doc_id, min(s) AS a, max(s) + 100 AS b FROM (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM marked) GROUP BY doc_id, run),
 edges AS (SELECT doc_id, a, b FROM runs UNION ALL SELECT doc_id, n_bytes, n_bytes FROM docs),

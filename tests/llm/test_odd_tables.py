@@ -36,7 +36,7 @@ def folders(spark, tmp_path_factory):
     return out
 
 
-PER_ROW = {"op1_token_counts": "documents", "op3_class_lm": "documents", "op4_near_duplicates": "documents", "op5_secret_scan": "documents", "op6_url_filter": "pages", "op7_token_ids": "documents", "op10_language_id": "documents"}
+PER_ROW = {"op1_token_counts": "documents", "op3_class_lm": "documents", "op4_near_duplicates": "documents", "op5_secret_scan": "documents", "op6_url_filter": "pages", "op7_token_ids": "documents", "op10_language_id": "documents", "op11_suffix_dedup": "documents"}
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
@@ -55,6 +55,8 @@ def test_query(spark, folders, name):
         assert (r["n_assign"], r["n_access"], r["n_hex"]) == (1, 1, 1)
     if name == "op8_nearest_neighbours":
         assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in rows) == [(250, 1, 251), (250, 2, 252), (250, 3, 253)]
+    if name == "op13_vector_codes":
+        assert len(rows) == 9 and {r["codebooks_sha256"] for r in rows if r["vec_id"] in (100, 250)} != {None}
     if name == "op9_source_mixing":
         assert all(r["copy"] >= 1 for r in rows) and found.columns.count("copy") == 1
 
