@@ -39,7 +39,7 @@ def assembled(observations: DataFrame, windows: DataFrame) -> tuple[DataFrame, D
     voiced = F.aggregate("runs", F.lit(0).cast("long"), lambda acc, r: acc + r[1] - r[0])
     lending = observations.where("vector is not null").select("meeting", F.col("voice").alias("cluster"), "id", "vector", voiced.alias("voiced_ms"), F.lit(False).alias("is_negative"))
     time = turns.groupBy("meeting", "cluster").agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("voiced_ms"))
-    return turns, matching.centroids(lending, "meeting", "cluster", most=10_000).join(time, ["meeting", "cluster"])
+    return turns, matching.means(lending, "meeting", "cluster").join(time, ["meeting", "cluster"])
 
 
 def provisional(observations: DataFrame) -> DataFrame:

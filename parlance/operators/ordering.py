@@ -2,27 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The order is cut into at most so many ranges, at keys drawn from so many rows.
-RANGES, DRAWN = 64, 4_096
+from parlance.sources.versions import kept
+
+#: Rows of a task are counted from its number times this.
+STRIDE = 1 << 33
 
 
 def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
     """df with the place (from 1) of each row in the ascending order of these columns, which together tell rows apart.
 
-    Ranges are cut at keys of a bounded sample; any cuts give the same places, and the driver gets one count a range.
-    Nulls come first. An empty table is fine.
+    Rows are dealt by range, as many ranges as a shuffle has partitions, sorted in each and written, so that ranges are the same whenever
+    they are read; what comes before a range is added to a row's place in it. The driver gets one count a range. Nulls come
+    first. An empty table is fine.
     """
-    key = F.struct(*order)
-    drawn = sorted((r["h"], tuple(r[c] for c in order)) for r in df.select(F.xxhash64(*order).alias("h"), *order).distinct().orderBy("h").limit(DRAWN).collect())
-    keys = sorted((k for _, k in drawn), key=lambda k: [(x is not None, x) for x in k])
-    cuts = keys[:: max(len(keys) // RANGES, 1)][1:]
-    at = lambda k: F.struct(*[F.lit(x).cast(df.schema[c].dataType).alias(c) for c, x in zip(order, k, strict=True)])
-    found = F.size(F.filter(F.array(*map(at, cuts)), lambda cut: cut <= key)) if cuts else F.lit(0)
-    ranged = df.withColumn("__range", found)
-    sizes = {r["__range"]: r["n"] for r in ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("n")).collect()}
-    before = F.array(*[F.lit(sum(n for r, n in sizes.items() if r < i)).cast("long") for i in range(len(cuts) + 1)])
-    place = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
-    return ranged.withColumn(name, F.get(before, F.col("__range")) + place).drop("__range")
+    at = F.monotonically_increasing_id()
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"__range": F.shiftright(at, 33).cast("int"), name: at.bitwiseAND(F.lit(STRIDE - 1)) + 1})
+    found = kept(rows, "ranges")
+    sizes = {r["__range"]: r["n"] for r in found.groupBy("__range").agg(F.count(F.lit(1)).alias("n")).collect()}
+    before = [0]
+    for i in range(max(sizes, default=-1)):
+        before.append(before[-1] + sizes.get(i, 0))
+    return found.withColumn(name, F.col(name) + F.get(F.array(*map(F.lit, before)), F.col("__range"))).drop("__range")

@@ -29,12 +29,16 @@ def phrases(query: str) -> list[list[str]]:
     return [p for p in cut if p]
 
 
-def search(index: DataFrame, query: str, limit: int = 25, key: str = "id") -> DataFrame:
-    """(key, score, hits): documents with every phrase, best first, ties by key. An empty query finds nothing."""
+def search(index: DataFrame, query: str, limit: int = 25, key: str = "id", lengths: DataFrame | None = None) -> DataFrame:
+    """(key, score, hits): documents with every phrase, best first, ties by key. An empty query finds nothing.
+
+    lengths: (key, size), the words of each document that has some, where that is known.
+    """
     asked = phrases(query)
     if not asked:
         return index.select(key, F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("hits")).limit(0)
-    lengths = index.groupBy(key).agg(F.count(F.lit(1)).alias("size"))
+    if lengths is None:
+        lengths = index.groupBy(key).agg(F.count(F.lit(1)).alias("size"))
     whole = lengths.agg(F.count(F.lit(1)).alias("docs"), F.avg("size").alias("mean"))
     terms = sorted({w for p in asked for w in p})
     place = F.col("field") * F.lit(FIELD_STRIDE) + F.col("position")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from parlance.plans import metrics, record, speech, texts, upkeep, voices
+from parlance.plans import changes, metrics, record, speech, texts, upkeep, voices
 
-MODULES = (record, speech, texts, voices, metrics, upkeep)
+MODULES = (record, speech, texts, voices, metrics, upkeep, changes)
 
 
 def queries() -> dict:
