@@ -93,6 +93,16 @@ def resampled(samples: np.ndarray, rate: int, to: int) -> np.ndarray:
     return np.interp(np.arange(n) * rate / to, np.arange(len(samples)), samples) if n else np.zeros(0)
 
 
+def resampled_column(samples: Column, rate: int, to: int) -> Column:
+    """An array at another rate, by linear interpolation; the last sample stands for what would lie behind it."""
+    n = F.floor(F.size(samples) * to / rate).cast("int")
+    at = lambda i: i * float(rate) / float(to)
+    low = lambda i: F.floor(at(i)).cast("int")
+    value = lambda i: F.get(samples, F.least(i, F.size(samples) - 1)).cast("double")
+    between = lambda i: value(low(i)) + (at(i) - low(i)) * (value(low(i) + 1) - value(low(i)))
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), between)).when(samples.isNotNull(), F.array().cast("array<double>"))
+
+
 def echo_loss_db(before: Column, after: Column) -> Column:
     """Decibels of mean power that cancellation took away."""
     return 10 * F.log10(F.avg(before * before) / F.greatest(F.avg(after * after), F.lit(1e-12)))

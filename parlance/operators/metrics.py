@@ -182,19 +182,38 @@ def refusal(trials: DataFrame) -> DataFrame:
     return worst.crossJoin(F.broadcast(share)).where("above is not null").select("above", F.coalesce("refused", F.lit(0.0)).alias("refused"))
 
 
+#: A cell holds its cost times this, plus its substitutions.
+COST = 1 << 32
+
+
 def edits(reference: list[str], hypothesis: list[str]) -> tuple[int, int, int]:
-    """(substitutions, deletions, insertions) of a cheapest alignment; ties prefer substitutions, then deletions."""
-    now = [(j, 0, 0, j) for j in range(len(hypothesis) + 1)]
-    for i, r in enumerate(reference, 1):
-        before, now = now, [(i, 0, i, 0)]
-        for j, h in enumerate(hypothesis, 1):
-            if r == h:
-                now.append(before[j - 1])
-                continue
-            s, d, n = before[j - 1], before[j], now[j - 1]
-            now.append(min((s[0] + 1, 0, (s[1] + 1, s[2], s[3])), (d[0] + 1, 1, (d[1], d[2] + 1, d[3])), (n[0] + 1, 2, (n[1], n[2], n[3] + 1)), key=lambda x: x[:2]))
-            now[-1] = (now[-1][0], *now[-1][2])
-    return now[-1][1:]
+    """(substitutions, deletions, insertions) of a cheapest alignment; ties prefer substitutions, then deletions.
+
+    The table is filled by anti-diagonals, each in a few array operations from the two before it; what isn't a substitution
+    follows from cost and lengths.
+    """
+    code: dict[str, int] = {}
+    r, h = (np.array([code.setdefault(w, len(code)) for w in words], np.int64) for words in (reference, hypothesis))
+    n, m = len(r), len(h)
+    backward = h[::-1]
+    older, last = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)  # by place in the reference
+    for k in range(1, n + m + 1):
+        now = np.empty(n + 1, np.int64)
+        low, high = max(1, k - m), min(n, k - 1)
+        if low <= high:
+            diagonal, up, left = older[low - 1 : high], last[low - 1 : high] + COST, last[low : high + 1] + COST
+            swap = diagonal + COST + 1
+            other = np.where(up // COST <= left // COST, up, left)
+            best = np.where(swap // COST <= other // COST, swap, other)
+            now[low : high + 1] = np.where(r[low - 1 : high] == backward[m - k + low : m - k + high + 1], diagonal, best)
+        if k <= m:
+            now[0] = k * COST
+        if k <= n:
+            now[k] = k * COST
+        older, last = last, now
+    cost, swaps = divmod(int(last[n]), COST)
+    deleted = (cost - swaps - (m - n)) // 2
+    return swaps, deleted, deleted + m - n
 
 
 EDITS = StructType([StructField(c, LongType()) for c in ("words", "substitutions", "deletions", "insertions")])

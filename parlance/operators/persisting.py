@@ -17,11 +17,6 @@ from parlance.sources.versions import kept
 PRINTS = ("speaker_id", "model", "model_version", "vector", "n")
 
 
-def digest_id(*parts: str | Column) -> Column:
-    """A positive long from what a row stands for."""
-    return F.conv(F.substring(F.md5(F.concat_ws("-", *[F.col(p).cast("string") if isinstance(p, str) else p for p in parts])), 1, 15), 16, 10).cast("long")
-
-
 def refreshed(prints: DataFrame, exemplars: DataFrame, touched: DataFrame) -> DataFrame:
     """Voiceprints with those of touched (speaker_id) made anew from the exemplars that are left; whoever has none left has no print."""
     who = touched.select("speaker_id").distinct()
@@ -73,7 +68,7 @@ def persisted(
     found = matching.resolved(scores, floor, margin).select("meeting", "cluster", F.col("speaker_id").alias("matched"))
     free = open_ones.join(heard, ["meeting", "cluster"], "left_semi").join(found, ["meeting", "cluster"], "left")
     named = free.where(F.col("matched").isNotNull() | (F.col("voiced_ms") >= upkeep.LEAST_SPEAKER_MS))
-    named = named.withColumn("speaker_id", F.coalesce("matched", digest_id("meeting", "cluster"))).withColumn("minted", F.col("matched").isNull())
+    named = named.withColumn("speaker_id", F.coalesce("matched", upkeep.digest_id("meeting", "cluster"))).withColumn("minted", F.col("matched").isNull())
     named = kept(named, "voices")
     claimed = claims.join(heard, ["meeting", "cluster"], "left_semi").select("meeting", "cluster", "speaker_id", F.lit(False).alias("minted"))
     assigned = named.select("meeting", "cluster", "speaker_id", "minted").unionByName(claimed)
@@ -83,7 +78,7 @@ def persisted(
     heard_now = named.join(reseeded, ["meeting", "speaker_id"], "left_anti")
     old = left.where("source = 'machine'").join(heard_now.select("meeting", "speaker_id"), ["meeting", "speaker_id"], "left_semi").select("id")
     # later runs have greater ids, so the newest evidence is the last
-    ident = F.lit(run).cast("long") + F.pmod(digest_id("meeting", "cluster"), F.lit(1 << 40))
+    ident = F.lit(run).cast("long") + F.pmod(upkeep.digest_id("meeting", "cluster"), F.lit(1 << 40))
     fresh = heard_now.select(ident.alias("id"), "speaker_id", "meeting", "vector", "model", "model_version", "voiced_ms", F.lit(False).alias("is_negative"), F.lit("machine").alias("source"))
     exemplars = kept(left.join(old, "id", "left_anti").unionByName(fresh, allowMissingColumns=True), "evidence")
     return Record(speakers, exemplars, kept(refreshed(prints, exemplars, heard_now), "prints")), assigned

@@ -105,18 +105,26 @@ def claims(assignments: DataFrame, eligible: DataFrame) -> DataFrame:
     return found.withColumn("denied", F.when(~F.col("denied").eqNullSafe(F.col("claimed")), F.col("denied"))).where("claimed is not null or denied is not null")
 
 
+def digest_id(*parts: str | Column) -> Column:
+    """A positive long from what a row stands for."""
+    return F.conv(F.substring(F.md5(F.concat_ws("-", *[F.col(p).cast("string") if isinstance(p, str) else p for p in parts])), 1, 15), 16, 10).cast("long")
+
+
 def corrected(segments: DataFrame, exemplars: DataFrame, corrections: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What corrections (meeting, sequence, speaker_id) add: hints with replaced_id, and exemplars.
 
     The meeting's positive exemplars of the wrong speaker are given to the right one, and again to the wrong one as
-    negatives. Where the segment named nobody, or the same speaker, only the hint is added.
+    negatives; both are the operator's word, with ids of their own, made of the segment, the original's id (copy_of) and the sign. Where the
+    segment named nobody, or the same speaker, only the hint is added.
     """
     before = segments.select("meeting", "sequence", F.col("speaker_id").alias("replaced_id"))
     hints = corrections.select("meeting", "sequence", "speaker_id").join(before, ["meeting", "sequence"], "left")
     moved = hints.where("replaced_id <> speaker_id").select("meeting", "sequence", F.col("speaker_id").alias("right_id"), F.col("replaced_id").alias("speaker_id"))
     base = exemplars.where(~F.col("is_negative")).join(moved, ["meeting", "speaker_id"])
     two = F.array(F.struct(F.col("right_id").alias("speaker_id"), F.lit(False).alias("is_negative")), F.struct("speaker_id", F.lit(True).alias("is_negative")))
-    return hints, base.withColumn("__new", F.explode(two)).withColumns({"speaker_id": F.col("__new.speaker_id"), "is_negative": F.col("__new.is_negative")}).drop("__new", "right_id")
+    copies = base.withColumn("__new", F.explode(two))
+    new = {"speaker_id": F.col("__new.speaker_id"), "is_negative": F.col("__new.is_negative"), "copy_of": F.col("id"), "source": F.lit("operator"), "id": digest_id("meeting", "sequence", "id", F.col("__new.is_negative").cast("string"))}
+    return hints, copies.withColumns(new).drop("__new", "right_id")
 
 
 #: Columns of a meeting that its document shows. The name of the written file is not one, or writing would never end.

@@ -10,13 +10,15 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parlance.functions import vectors as V
 from parlance.operators import documents, lifecycle, persisting, registry, upkeep
 from parlance.plans import record
 from parlance.plans import upkeep as upkeep_plans
+from parlance.sources import calendar
 from parlance.sources import project as P
 from parlance.sources.history import History
 from parlance.sources.versions import Versions, kept, scratch
-from parlance.streaming import fold, machines, writer
+from parlance.streaming import fold, machines, sound, writer
 
 PARTS = 3
 
@@ -77,6 +79,33 @@ def joined_samples(spark, d):
     )
 
 
+ECHO_RATE, SPOKEN_MS = 1_000, 300
+
+
+def echoing_frames(spark, d):
+    """300 ms a turn at 1000 samples a second: noise from the far end, and of it what a room gives back to the microphone, 3 and 7 ms later."""
+    i = F.sequence(F.lit(0), F.lit(SPOKEN_MS - 1))
+    noise = lambda k: F.when((k >= 8) & (k < SPOKEN_MS - 8), F.pmod(F.xxhash64("event_id", k), F.lit(2001)) / 1000.0 - 1).otherwise(0.0)
+    rows = P.turns(spark, d).select("meeting", F.col("start_ms").alias("at_ms"), F.transform(i, noise).alias("far"))
+    back = lambda k, ms: F.when(k >= ms, F.get("far", k - ms)).otherwise(0.0)
+    return rows.select("meeting", "at_ms", F.transform(i, lambda k: 0.5 * back(k, 3) - 0.2 * back(k, 7)).alias("near"), "far")
+
+
+def echo_removed(spark, d):
+    """Whether 30 dB of each meeting's echo go once the filter has learned the room, and whether a turn ever comes out louder."""
+    frames = echoing_frames(spark, d)
+    clean = fold.folded(frames, ["meeting"], ["at_ms"], lambda: sound.EchoFilter(ECHO_RATE), "meeting long, at_ms long, samples array<float>")
+    power = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x)
+    both = frames.join(clean, ["meeting", "at_ms"]).select("meeting", "at_ms", F.sqrt(power("near")).alias("before"), F.sqrt(power("samples")).alias("after"), F.size("samples").alias("n"))
+    learned = F.col("at_ms") >= 15_000
+    return both.groupBy("meeting").agg(F.sum("n").alias("samples"), (V.echo_loss_db(F.when(learned, F.col("before")), F.when(learned, F.col("after"))) >= 30).alias("clean"), F.count_if(F.col("after") > F.col("before") * (1 + 1e-6)).alias("louder"))
+
+
+def resampled_frames(spark, d):
+    """Samples of each turn at 25 in place of 10 a second."""
+    return sample_frames(spark, d).select("event_id", F.size(V.resampled_column(F.col("samples"), RATE, 25)).alias("n"), F.round(F.aggregate(V.resampled_column(F.transform("samples", lambda x, i: (x * (i + 1)).cast("double")), RATE, 25), F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
 def made_documents(spark, d):
     length = record.seconds(F.col("ended_at")) - record.seconds(F.col("started_at"))
     meetings = P.meetings(spark, d).withColumn("attendees", registry.json_names("attendees")).withColumn("seconds", F.when(length >= 0, length))
@@ -184,6 +213,24 @@ def rerun_lifecycle(spark, d):
     return work.queue().select("meeting", "priority", "enqueued_at", *[F.lit(n).cast("long").alias(c) for c, n in counts.items()])
 
 
+POLL_MS = 5_000
+
+
+def calendar_changes(spark, d):
+    """Meetings that polls of each user's calendar announce and end, by a stream that is stopped halfway and started again."""
+    turns, e = P.turns(spark, d), F.col("event_id")
+    entries = turns.select(
+        F.col("meeting").alias("calendar"), e.cast("string").alias("id"), F.when(e % 4 == 0, " ").otherwise(F.col("cluster")).alias("title"), F.array("channel").alias("attendees"),
+        F.col("start_ms").alias("starts_ms"), F.col("end_ms").alias("ends_ms"), (e % 29 == 0).alias("all_day"), (e % 13 == 0).alias("declined"),
+    )
+    last = entries.agg(F.max("ends_ms")).first()[0] or 0
+    out, offsets = scratch(spark, "changes"), scratch(spark, "offsets")
+    for until in (last // 2, last + POLL_MS):
+        found = calendar.changes(calendar.polls(spark, poll_ms=POLL_MS, until_ms=until), entries)
+        found.writeStream.option("checkpointLocation", offsets).trigger(availableNow=True).start(out, format="parquet").awaitTermination()
+    return spark.read.schema(found.schema).parquet(out)
+
+
 S = P.sql
 SPOKEN = ("segments", "hints", "effective", "speakers", "labelled")
 P.SQL["told"] = """told AS (SELECT meeting, string_agg('**' || label || '** (' || CASE WHEN t >= 3600 THEN lpad(CAST(t // 3600 AS VARCHAR), 2, '0') || ':' ELSE '' END || lpad(CAST(t % 3600 // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(t % 60 AS VARCHAR), 2, '0')
@@ -226,6 +273,7 @@ evidence AS (SELECT id, speaker_id, meeting, vector, model, model_version, voice
   UNION ALL SELECT 2199023255552 + CAST('0x' || substr(md5(meeting || '-' || cluster), 1, 15) AS BIGINT) % 1099511627776, speaker_id, meeting, vector, 'model0', '1', voiced_ms, false, 'machine' FROM taken),
 people AS (SELECT id, display_name, is_operator FROM speakers UNION ALL SELECT DISTINCT speaker_id, NULL, false FROM heard_voices WHERE minted)"""
 P.SQL["anew"] = "anew AS (SELECT id, speaker_id, meeting, list_reverse(vector) AS vector, 'model9' AS model, '1' AS model_version, voiced_ms, is_negative FROM held WHERE meeting IS NOT NULL AND meeting % 5 <> 3)"
+P.SQL["seen_at"] = "seen_at AS (SELECT * FROM (SELECT *, ceil(start_ms / 5000.0) * 5000 AS first FROM turns WHERE event_id % 29 <> 0 AND event_id % 13 <> 0) WHERE first < end_ms)"
 VOICES = ("exemplars", "speakers", "held", "diarized")
 OURS = "(SELECT DISTINCT a.speaker_id FROM assigned a JOIN people p ON p.id = a.speaker_id WHERE a.cluster % 8 = 1 AND p.display_name IS NULL AND NOT p.is_operator)"
 IN = f"CASE WHEN {{c}} IN {OURS} THEN 0 ELSE {{c}} END"
@@ -236,6 +284,9 @@ QUERIES = {
     "joined_samples": (joined_samples, S("""SELECT meeting, max(start_ms // 100 + k) AS samples, CAST(coalesce(sum(k * v) FILTER (channel = 'mic'), 0) AS DOUBLE) AS mic, CAST(coalesce(sum(k * v) FILTER (channel = 'system'), 0) AS DOUBLE) AS system,
   CAST(max(start_ms // 100 + k) - coalesce(sum(k) FILTER (channel = 'mic'), 0) AS BIGINT) AS mic_silent, CAST(max(start_ms // 100 + k) - coalesce(sum(k) FILTER (channel = 'system'), 0) AS BIGINT) AS system_silent
   FROM (SELECT t.*, CAST(floor(e.value * 100) AS BIGINT) % 15 + 1 AS k, t.event_id % 7 + 1 AS v FROM turns t JOIN events e USING (event_id)) GROUP BY meeting""", "turns")),
+    "echo_removed": (echo_removed, S("SELECT meeting, 300 * count(*) AS samples, CASE WHEN max(start_ms) >= 15000 THEN true END AS clean, 0 AS louder FROM turns GROUP BY meeting", "turns")),
+    "resampled_frames": (resampled_frames, S("""SELECT event_id, CAST(floor(k * 2.5) AS INTEGER) AS n, round(list_sum(list_transform(range(CAST(floor(k * 2.5) AS BIGINT)), lambda i: v * (1 + least(i * 0.4::DOUBLE, k - 1)))), 6) AS total
+  FROM (SELECT t.event_id, CAST(floor(e.value * 100) AS BIGINT) % 15 + 1 AS k, t.event_id % 7 + 1 AS v FROM turns t JOIN events e USING (event_id))""", "turns")),
     "documents_rendered": (documents_rendered, S("SELECT meeting, name, md5(markdown) AS markdown, title FROM documents_of", *DOCUMENTS)),
     "documents_published": (documents_published, S("SELECT meeting, name, coalesce(words, 0) AS words FROM there LEFT JOIN (SELECT meeting, count(*) AS words FROM listed GROUP BY meeting) USING (meeting)", *DOCUMENTS, "there", "listed")),
     "stored_search": (stored_search, S("""SELECT meeting, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 6) AS score, CAST(sum(tf) AS BIGINT) AS hits FROM (
@@ -250,6 +301,8 @@ QUERIES = {
   UNION ALL SELECT DISTINCT {IN.format(c="speaker_id")}, 'print' FROM evidence e WHERE NOT is_negative) WHERE speaker_id IS NOT NULL GROUP BY 1, 2""", *VOICES, "segments", "hints")),
     "model_wiped": (model_wiped, S(f"""SELECT 'wiped' AS step, speaker_id, model, 0 AS n, NULL::DOUBLE AS x0 FROM {PRINTS.format(table="held")}
   UNION ALL SELECT 'rebuilt', speaker_id, model, n, round(v[1], 5) FROM {PRINTS.format(table="anew")}""", "exemplars", "held", "anew")),
+    "calendar_changes": (calendar_changes, S("""SELECT meeting AS calendar, CAST(first AS BIGINT) AS at_ms, 'CalendarEventStarted' AS kind, CAST(event_id AS VARCHAR) AS event_id, CASE WHEN event_id % 4 = 0 THEN 'Untitled event' ELSE cluster END AS title, end_ms AS scheduled_end_ms FROM seen_at
+  UNION ALL SELECT meeting, CAST(ceil(end_ms / 5000.0) * 5000 AS BIGINT), 'CalendarEventEnded', CAST(event_id AS VARCHAR), NULL, NULL FROM seen_at""", "turns", "seen_at")),
     "rerun_lifecycle": (rerun_lifecycle, f"""WITH o AS (SELECT o_orderkey AS m, o_orderkey % 25 = 0 AS front, o_orderkey % 10 = 0 AND o_orderkey % 25 <> 0 AS back, o_custkey % 3 <> 0 AND o_orderkey % 10 <> 0 AND o_orderkey % 25 <> 0 AS mine FROM orders),
 s AS (SELECT *, m % 4 = 1 OR m % 7 = 3 OR m % 11 = 5 AS gone FROM o),
 a AS (SELECT count(*) FILTER (mine) - count(*) FILTER (mine AND m % 4 <> 1 AND m % 7 <> 3 AND m % 11 = 5) AS total, count(*) FILTER (mine AND NOT gone) AS remaining,

@@ -69,7 +69,7 @@ def claims(spark, d):
 def corrections(spark, d):
     """The exemplars that corrections of every sixth segment add."""
     asked = P.segments(spark, d).where("sequence % 6 = 2").select("meeting", "sequence", ((F.col("meeting") + F.col("sequence")) % P.SPEAKERS).alias("speaker_id"))
-    return upkeep.corrected(P.segments(spark, d), P.exemplars(spark, d), asked)[1].select("meeting", "sequence", "id", "speaker_id", "is_negative")
+    return upkeep.corrected(P.segments(spark, d), P.exemplars(spark, d), asked)[1].select("meeting", "sequence", "id", "copy_of", "source", "speaker_id", "is_negative")
 
 
 def speakers_joined(spark, d):
@@ -143,9 +143,11 @@ def watched_apps(spark, d):
 
 
 def watch_suggestions(spark, d):
-    """What is suggested for the watchlist and not on it."""
-    suggested = spark.createDataFrame([("com.meet", "process"), ("com.new", "process"), ("US.TALK", "process")], "app string, kind string")
-    return upkeep.suggestions(suggested, watchlist(spark))
+    """Apps that users of the events have open and that aren't on the watchlist, which names them with other letters' case."""
+    events = P.table(spark, d, "events")
+    suggested = events.select(F.concat(F.lit("Com.App"), (F.col("user_id") % 40).cast("string")).alias("app"), F.lit("process").alias("kind")).distinct()
+    listed = events.where("event_id % 97 = 0").select(F.concat(F.lit("COM.aPP"), (F.col("user_id") % 40).cast("string")).alias("app")).distinct()
+    return upkeep.suggestions(suggested, listed)
 
 
 def queue_promotion(spark, d):
@@ -268,7 +270,7 @@ QUERIES = {
   SELECT meeting, cluster, CASE WHEN count(o.id) = count(*) AND count(DISTINCT o.id) = 1 THEN min(o.id) END AS claimed, CASE WHEN count(r.id) = count(*) AND count(DISTINCT r.id) = 1 THEN min(r.id) END AS denied
   FROM (SELECT s.meeting, s.sequence // 2 AS cluster, coalesce(h.speaker_id, s.speaker_id) AS owner, h.replaced_id FROM segments s LEFT JOIN newest h USING (meeting, sequence) WHERE s.sequence % 9 <> 8)
   LEFT JOIN able o ON o.id = owner LEFT JOIN able r ON r.id = replaced_id GROUP BY 1, 2) WHERE claimed IS NOT NULL OR denied IS DISTINCT FROM claimed""", "segments", "hints", "speakers", "newest", "able")),
-    "corrections": (corrections, S("""SELECT c.meeting, c.sequence, e.id, CASE WHEN neg THEN c.replaced ELSE c.who END AS speaker_id, neg AS is_negative
+    "corrections": (corrections, S("""SELECT c.meeting, c.sequence, CAST('0x' || substr(md5(c.meeting || '-' || c.sequence || '-' || e.id || '-' || neg), 1, 15) AS BIGINT) AS id, e.id AS copy_of, 'operator' AS source, CASE WHEN neg THEN c.replaced ELSE c.who END AS speaker_id, neg AS is_negative
   FROM (SELECT meeting, sequence, (meeting + sequence) % 11 AS who, speaker_id AS replaced FROM segments WHERE sequence % 6 = 2) c
   JOIN exemplars e ON e.meeting = c.meeting AND e.speaker_id = c.replaced AND NOT e.is_negative, (VALUES (true), (false)) AS t(neg) WHERE c.replaced <> c.who""", "segments", "exemplars")),
     "speakers_joined": (speakers_joined, S("""SELECT CASE WHEN kind = 'speaker' THEN w WHEN w = 3 THEN 4 WHEN w = 7 THEN 2 ELSE w END AS speaker_id, kind, count(*) AS n FROM (
@@ -286,7 +288,7 @@ QUERIES = {
     SELECT user_id, s, CASE WHEN (user_id + 2 * s) % 4 - 1 > 0 THEN 'working' WHEN s = 1 AND user_id % 5 <> 4 AND user_id % 2 <> 0 THEN 'not-tested' WHEN (user_id + s) % 3 = 0 THEN 'nothing-captured' ELSE 'silent' END AS state
     FROM (SELECT DISTINCT user_id FROM events), (VALUES (0), (1)) AS t(s)) GROUP BY user_id)"""),
     "watched_apps": (watched_apps, "SELECT user_id, app FROM (SELECT DISTINCT user_id, CASE user_id % 8 WHEN 0 THEN 'COM.meet' WHEN 1 THEN 'com.meet' WHEN 2 THEN 'us.talk' WHEN 3 THEN 'us.zoom.xos' WHEN 5 THEN 'com.apple.Safari' WHEN 6 THEN 'com.google.Chrome' END AS app FROM events) WHERE app IS NOT NULL"),
-    "watch_suggestions": (watch_suggestions, "SELECT 'com.new' AS app, 'process' AS kind"),
+    "watch_suggestions": (watch_suggestions, "SELECT DISTINCT 'Com.App' || user_id % 40 AS app, 'process' AS kind FROM events WHERE lower('Com.App' || user_id % 40) NOT IN (SELECT lower('COM.aPP' || user_id % 40) FROM events WHERE event_id % 97 = 0)"),
     "queue_promotion": (queue_promotion, S("""SELECT meeting, CAST(CASE WHEN meeting % 10 = 0 THEN 0 ELSE priority END AS INTEGER) AS priority, CASE WHEN meeting % 10 = 0 THEN enqueued_at + INTERVAL 1 DAY ELSE enqueued_at END AS enqueued_at FROM queue""", "queue")),
     "acknowledgement": (acknowledgement, S("SELECT id AS meeting, id % 5 AS generation, CASE WHEN id % 2 = 0 THEN least(id % 5, 2) ELSE 0 END AS acknowledged FROM meetings WHERE id % 5 > CASE WHEN id % 2 = 0 THEN least(id % 5, 2) ELSE 0 END", "meetings")),
     "suggested_titles": (suggested_titles, S("SELECT id, coalesce(title, 'Suggested ' || id) AS title FROM meetings", "meetings")),
