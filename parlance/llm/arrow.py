@@ -54,6 +54,14 @@ def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBa
             at = to
 
 
+def free(name: str, columns: list[str]) -> str:
+    """The name, lengthened until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def with_columns(df: DataFrame, text: str, fields: list[tuple[str, T.DataType]], start: Callable[[], Callable[[list], list]], drop: tuple[str, ...] = ()) -> DataFrame:
     """df with columns computed from the text column.
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parlance.llm.arrow import with_columns
+from parlance.llm.arrow import free, with_columns
 from parlance.llm.words import SHINGLE, WordHashes, shingles
 
 SIMILARITY = 0.8
@@ -181,8 +181,8 @@ def indexes(benchmark: DataFrame, item_id: str = "item_id", text: str = "text",
         yield Index.of(held, width)
 
 
-def marked(docs: DataFrame, index: Index, id_type: T.DataType, text: str, similarity: float, width: int) -> DataFrame:
-    """docs with FOUND, the list of leaks."""
+def marked(docs: DataFrame, index: Index, id_type: T.DataType, text: str, similarity: float, width: int, name: str = FOUND) -> DataFrame:
+    """docs with the list of leaks under this name."""
     leak = T.StructType([T.StructField("item_id", id_type), T.StructField("similarity", T.DoubleType()), T.StructField("start_word", T.LongType()), T.StructField("n_words", T.LongType())])
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
@@ -204,7 +204,7 @@ def marked(docs: DataFrame, index: Index, id_type: T.DataType, text: str, simila
 
         return work
 
-    return with_columns(docs, text, [(FOUND, T.ArrayType(leak))], start)
+    return with_columns(docs, text, [(name, T.ArrayType(leak))], start)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, width: int = SHINGLE) -> DataFrame:
@@ -223,6 +223,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, width: int = SHINGLE) -> DataFrame:
     """The rows of docs that repeat no item. Nothing is shuffled."""
     columns = docs.columns
+    name = free(FOUND, columns)
     for index in indexes(benchmark, item_id, item_text, width):
-        docs = marked(docs, index, benchmark.schema[item_id].dataType, text, similarity, width).where(F.size(FOUND) == 0).select(*columns)
+        docs = marked(docs, index, benchmark.schema[item_id].dataType, text, similarity, width, name).where(F.size(name) == 0).select(*[F.col(f"`{c}`") for c in columns])
     return docs

@@ -23,12 +23,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parlance.llm.arrow import mapped, slices, with_columns
+from parlance.llm.arrow import free, mapped, slices, with_columns
 
 UNDETERMINED = "und"
 PROFILE_SIZE = 300
-#: Bound on languages: all profiles go to every task, PROFILE_SIZE entries of 12 bytes for each.
-MAX_LANGUAGES = 5_000
+#: Profiles of so many languages at most go to a task at once, PROFILE_SIZE entries of 16 bytes for each; of more, texts are compared with one lot after another.
+LANGUAGES_AT_ONCE = 5_000
 #: Code points from here on are no letters (as of Unicode 16).
 LETTER_LIMIT = 0x33480
 BLANK, SHIFT = 32, np.uint64(21)
@@ -66,19 +66,45 @@ def ranked(codes: np.ndarray, size: int) -> np.ndarray:
 
 @dataclass
 class Profiles:
-    """languages; codes, sorted; ranks[i, l]: rank of codes[i] in language l, -1 if it isn't there."""
+    """languages, sorted; codes, sorted, with entries starts[i]:starts[i + 1] of codes[i]: the language's place and the code's rank there."""
 
     languages: list[str]
     codes: np.ndarray
+    starts: np.ndarray
+    owners: np.ndarray
     ranks: np.ndarray
     size: int
 
+    @classmethod
+    def of(cls, rows: list[tuple[str, int, int]], size: int) -> Profiles:
+        """Of (language, code, rank)."""
+        languages = sorted({r[0] for r in rows})
+        place = {name: i for i, name in enumerate(languages)}
+        code, owner, rank = (np.array(x, np.int64) for x in ([r[1] for r in rows], [place[r[0]] for r in rows], [r[2] for r in rows]))
+        order = np.lexsort((owner, code))
+        codes, first = np.unique(code[order], return_index=True)
+        return cls(languages, codes, np.append(first, len(rows)), owner[order].astype(np.int32), rank[order].astype(np.int32), size)
+
+    def lots(self) -> Iterator[Profiles]:
+        """Profiles of at most LANGUAGES_AT_ONCE languages each, in order."""
+        if len(self.languages) <= LANGUAGES_AT_ONCE:
+            yield self
+            return
+        code = np.repeat(self.codes, np.diff(self.starts))
+        for at in range(0, len(self.languages), LANGUAGES_AT_ONCE):
+            mine = (self.owners >= at) & (self.owners < at + LANGUAGES_AT_ONCE)
+            yield Profiles.of(list(zip([self.languages[i] for i in self.owners[mine]], code[mine].tolist(), self.ranks[mine].tolist(), strict=True)), self.size)
+
     def nearest(self, top: np.ndarray) -> tuple[str, float]:
         if not len(top) or not self.languages:
             return UNDETERMINED, 0.0
         at = np.minimum(np.searchsorted(self.codes, top), len(self.codes) - 1)
-        ranks = np.where((self.codes[at] == top)[:, None], self.ranks[at], -1)
-        apart = np.where(ranks < 0, self.size, np.abs(ranks - np.arange(len(top))[:, None])).sum(0)
+        known = np.flatnonzero(self.codes[at] == top)
+        begin, n = self.starts[at[known]], np.diff(self.starts)[at[known]]
+        entry = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+        # an n-gram that a profile lacks is `size` out of place
+        nearer = self.size - np.abs(self.ranks[entry] - np.repeat(known, n))
+        apart = self.size * len(top) - np.bincount(self.owners[entry], nearer, len(self.languages))
         best = int(apart.argmin())
         return self.languages[best], 1.0 - float(apart[best]) / (self.size * len(top))
 
@@ -128,21 +154,24 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", size: int = PRO
         .withColumn("at", F.row_number().over(whole)).where(F.col("at") <= size)
         .select("lang", "gram", (F.col("at") - 1).alias("at"))
     )
-    rows = top.limit(MAX_LANGUAGES * size + 1).collect()
-    if len(rows) > MAX_LANGUAGES * size:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages: the profiles would not fit into each task")
-    languages = sorted({r["lang"] for r in rows})
-    codes = np.unique(np.array([r["gram"] for r in rows], np.int64))
-    ranks = np.full((len(codes), len(languages)), -1, np.int32)
-    place = {name: i for i, name in enumerate(languages)}
-    for r in rows:
-        ranks[np.searchsorted(codes, r["gram"]), place[r["lang"]]] = r["at"]
-    return Profiles(languages, codes, ranks, size)
+    return Profiles.of([(r["lang"], r["gram"], r["at"]) for r in top.toLocalIterator()], size)
 
 
 def predict(docs: DataFrame, profiles: Profiles, text: str = "text", drop: tuple[str, ...] = (), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """docs with the predicted language and its score under these names; the other columns stay."""
-
+    lots = list(profiles.lots())
+    if len(lots) == 1:
+        return told(docs, lots[0], text, drop, names)
+    columns = [c for c in docs.columns if c not in (*names, *drop)]
+    parts = [(free(f"{names[0]}_{i}", docs.columns), free(f"{names[1]}_{i}", docs.columns)) for i in range(len(lots))]
+    for lot, part in zip(lots, parts, strict=True):
+        docs = told(docs, lot, text, (), part)
+    # the nearest of all, and of equals the first
+    best = F.array_min(F.array(*[F.struct((-F.col(s)).alias("apart"), F.lit(i).alias("lot"), F.col(l).alias("lang")) for i, (l, s) in enumerate(parts)]))
+    return docs.select(*[F.col(f"`{c}`") for c in columns], best["lang"].alias(names[0]), (-best["apart"]).alias(names[1]))
+
+
+def told(docs: DataFrame, profiles: Profiles, text: str, drop: tuple[str, ...], names: tuple[str, str]) -> DataFrame:
     def start():
         is_letter = letters()
 

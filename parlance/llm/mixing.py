@@ -20,6 +20,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parlance.llm.arrow import free
+from parlance.llm.storage import saved
+
 SEED = 1
 TEMPERATURE = 0.5
 BROADCAST_SOURCES = 10_000
@@ -69,12 +72,13 @@ def mixed(
     These three have the given names; columns of docs that have them too are replaced.
     """
     copy, rate, place = names
-    found = rates(docs, source, text, targets, temperature)
-    known = found.select(F.col("source").alias("__source"), F.col("rate").alias(rate), cumulative(F.col("rate")).alias("__sums"))
+    found = saved(rates(docs, source, text, targets, temperature), "rates")  # a row a source, read several times
+    of, sums, u, n = (free(f"__{c}", [*docs.columns, *names]) for c in ("source", "sums", "u", "n"))
+    known = found.select(F.col("source").alias(of), F.col("rate").alias(rate), cumulative(F.col("rate")).alias(sums))
     if found.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         known = F.broadcast(known)
     kept = docs.drop(*names)
-    drawn = kept.join(known, kept[source].eqNullSafe(known["__source"])).withColumn("__u", uniform(F.lit(seed), doc_id))
-    drawn = drawn.withColumn("__n", F.size(F.filter("__sums", lambda p: p <= F.col("__u")))).where("__n > 0")
-    copies = drawn.select(*kept.columns, rate, F.explode(F.sequence(F.lit(1), F.col("__n"))).alias(copy))
+    drawn = kept.join(known, kept[source].eqNullSafe(known[of])).withColumn(u, uniform(F.lit(seed), doc_id))
+    drawn = drawn.withColumn(n, F.size(F.filter(sums, lambda p: p <= F.col(u)))).where(F.col(n) > 0)
+    copies = drawn.select(*[F.col(f"`{c}`") for c in kept.columns], rate, F.explode(F.sequence(F.lit(1), F.col(n))).alias(copy))
     return copies.withColumn(place, uniform(F.lit(seed + 1), doc_id, copy)).repartition(place).sortWithinPartitions(place)

@@ -14,6 +14,7 @@ has that one id. Repeated rows are each written. Texts are encoded whole.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -121,19 +122,40 @@ def trim(kept: dict, most: int) -> None:
             del kept[key]
 
 
+#: What a tokenizer's file says of its steps where chunks of a text can be encoded apart.
+APART = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
+def cuts_apart(tokenizer_json: str) -> bool:
+    """Whether the ids of a text are those of its blank-free chunks in a row, and of a chunk those of its letters and its signs."""
+    spec = json.loads(tokenizer_json)
+    added = [t["content"] for t in spec.get("added_tokens") or []]
+    return all(spec.get(k) == v for k, v in APART.items()) and spec["model"].get("type") == "BPE" and not spec["model"].get("dropout") and all(len(a.split()) == 1 and not a.isalpha() for a in added)
+
+
 class ChunkIds(dict):
     """Ids of blank-free chunks of a text, as little-endian 32-bit integers.
 
-    The tokenizer's patterns never match across ASCII white space, so a text's ids are those of its chunks in a row, and
+    Where the tokenizer's patterns never match across white space, a text's ids are those of its chunks in a row, and
     a chunk met before needs no second encoding. Most chunks are a word of letters, perhaps with punctuation after it;
-    the tokenizer then cuts there, so word and punctuation are looked up apart, the word in lower case.
+    the tokenizer then cuts there, so word and punctuation are looked up apart, the word in lower case. By another file's steps texts
+    are encoded whole.
     """
 
     def __init__(self, tokenizer_json: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.tokenizer, self.apart = Tokenizer.from_str(tokenizer_json), cuts_apart(tokenizer_json)
         self.words: dict[str, bytes] = {}
         self.bytes = str.maketrans({chr(b): c for b, c in byte_characters().items()})
 
@@ -165,6 +187,8 @@ class ChunkIds(dict):
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Ids of each text, which is given in UTF-8."""
+        if not self.apart:
+            return [array("I", self.tokenizer.encode(t.decode("utf-8"), add_special_tokens=False).ids).tobytes() if t else b"" for t in texts]
         trim(self.words, KEPT_WORDS)
         trim(self, KEPT_CHUNKS)
         return [b"".join(map(self.__getitem__, t.split())) if t else b"" for t in texts]
