@@ -15,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import dart_minhash, decontaminate, lang_id, mixing, simple8b, storage
+from parlance.llm import arrow, dart_minhash, decontaminate, lang_id, mixing, simple8b, storage
 
 #: Documents whose n-gram ranks are farther than this from every language are rejected, as are those without a letter.
 #: Random letters, other scripts and markup score up to 0.32, and prose of learned languages from about 0.36 on.
@@ -23,10 +23,16 @@ LEAST_LANGUAGE_SCORE = 0.35
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
 
 
+def own(name: str, docs: DataFrame) -> str:
+    """A name that no column of docs has."""
+    return arrow.free(name, docs.columns)
+
+
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: documents in no learned language go. Profiles are learned from all that name their language."""
-    judged = lang_id.predict(docs, lang_id.fit(docs), names=("__lang_pred", "__score"))
-    return judged.where((F.col("__lang_pred") != lang_id.UNDETERMINED) & (F.col("__score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    lang, score = own("__lang_pred", docs), own("__score", docs)
+    judged = lang_id.predict(docs, lang_id.fit(docs), names=(lang, score))
+    return judged.where((F.col(lang) != lang_id.UNDETERMINED) & (F.col(score) >= LEAST_LANGUAGE_SCORE)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +47,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing: documents are repeated to the target weights of their sources and shuffled."""
-    return mixing.mixed(docs, names=("__copy", "__rate", "__place")).select(*docs.columns)
+    return mixing.mixed(docs, names=(own("__copy", docs), own("__rate", docs), own("__place", docs))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
