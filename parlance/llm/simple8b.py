@@ -151,11 +151,11 @@ class ChunkIds(dict):
     are encoded whole.
     """
 
-    def __init__(self, tokenizer_json: str):
+    def __init__(self, tokenizer_json: str, apart: bool | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.apart = Tokenizer.from_str(tokenizer_json), cuts_apart(tokenizer_json)
+        self.tokenizer, self.apart = Tokenizer.from_str(tokenizer_json), cuts_apart(tokenizer_json) if apart is None else apart
         self.words: dict[str, bytes] = {}
         self.bytes = str.maketrans({chr(b): c for b, c in byte_characters().items()})
 
@@ -210,12 +210,12 @@ def write_ids(docs: DataFrame, path: str, tokenizer_json: str, end_id: int, doc_
     """
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
     schema = segments(docs.schema[doc_id].dataType)
-    end = array("I", [end_id]).tobytes()
+    end, apart = array("I", [end_id]).tobytes(), cuts_apart(tokenizer_json)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        ids = ChunkIds(shared.value)
+        ids = ChunkIds(shared.value, apart)
         out, shard = to_arrow_schema(schema), TaskContext.get().partitionId()
         first = 0
         for i, part in enumerate(slices(batches, "text")):
