@@ -11,14 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions import vectors as V
-from parlance.operators import documents, lifecycle, persisting, registry, upkeep
-from parlance.plans import record
+from parlance.operators import documents, lifecycle, live, matching, persisting, recognition, registry, upkeep
+from parlance.plans import record, voices
 from parlance.plans import upkeep as upkeep_plans
-from parlance.sources import calendar
+from parlance.plans.speech import MERGED
+from parlance.sources import calendar, files
 from parlance.sources import project as P
 from parlance.sources.history import History
 from parlance.sources.versions import Versions, kept, scratch
-from parlance.streaming import fold, machines, sound, writer
+from parlance.streaming import fold, machines, segments, sound, writer
 
 PARTS = 3
 
@@ -106,6 +107,88 @@ def resampled_frames(spark, d):
     return sample_frames(spark, d).select("event_id", F.size(V.resampled_column(F.col("samples"), RATE, 25)).alias("n"), F.round(F.aggregate(V.resampled_column(F.transform("samples", lambda x, i: (x * (i + 1)).cast("double")), RATE, 25), F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
+SOUND_RATE = 1_000
+
+
+def told_by_length(samples, context):
+    """Stands in for a recogniser: what it hears is how long and how loud the sound is."""
+    n = len(samples)
+    return f"{n} samples {'after ' + context.split()[0] if context else 'first'}", 0.1 if n % 7 == 0 else 0.9, "en" if n % 2 else "fr"
+
+
+def sounding_frames(spark, d):
+    """A tone of each turn's first second, loud or soft, every fourth turn silent."""
+    turns = P.turns(spark, d)
+    loud = F.when(F.col("event_id") % 4 == 0, 0.0).otherwise(0.05 + (F.col("event_id") % 5) / 20)
+    samples = F.transform(F.sequence(F.lit(0), F.lit(999)), lambda i: (loud * F.sin(i * 0.35)).cast("float"))
+    return turns.select("meeting", "channel", F.col("start_ms").alias("offset_ms"), samples.alias("samples"))
+
+
+def segment_stream(spark, d):
+    """What is kept of the speech in each meeting's sound, from one clock to cleaned text."""
+    rows = fold.folded(sounding_frames(spark, d), ["meeting"], ["offset_ms", "channel"], lambda: segments.SegmentStream(told_by_length, SOUND_RATE), segments.DECODED)
+    return segments.kept(rows)
+
+
+def rttm_round_trip(spark, d):
+    """Turns written as RTTM and read back: each speaker's turns merged over gaps of up to 400 ms, those without length left out."""
+    path = scratch(spark, "rttm")
+    files.write_rttm(P.reference_spans(spark, d).withColumn("end_ms", F.when(F.col("end_ms") % 11 == 0, F.col("start_ms")).otherwise(F.col("end_ms"))), path)
+    return files.read_rttm(spark, path)
+
+
+def observations_round_trip(spark, d):
+    """Observations dumped as JSON lines and read back."""
+    path = scratch(spark, "observations")
+    turns = P.turns(spark, d)
+    run = F.array(F.array("start_ms", "end_ms"))
+    vector = F.when(F.col("event_id") % 3 != 0, F.array((F.col("event_id") % 5).cast("float"), F.lit(0.5).cast("float")))
+    files.write_observations(turns.select("channel", run.alias("runs"), F.when(F.col("event_id") % 2 == 0, run).otherwise(F.array().cast("array<array<bigint>>")).alias("clean"), vector.alias("vector")), path)
+    rows = files.read_observations(spark, path)
+    length = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, r: a + r[1] - r[0])
+    return rows.groupBy("channel").agg(F.count(F.lit(1)).alias("n"), F.sum(length("runs")).alias("ms"), F.sum(length("clean")).alias("clean_ms"), F.count("vector").alias("vectors"), F.sum(F.col("vector")[0].cast("double")).alias("x0"))
+
+
+def powerset_speakers(spark, d):
+    """Which local speakers each frame's classes name, the last of equal scores deciding."""
+    scores = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: ((F.col("event_id") * 31 + i * 17) % 5).cast("double"))
+    return P.table(spark, d, "events").select("event_id", F.array_join(live.speakers_of(scores).cast("array<string>"), ",").alias("speakers"))
+
+
+def silence_thresholds(spark, d):
+    """The limit of silence at each turn's age."""
+    return P.turns(spark, d).select("event_id", F.round(V.silence_threshold(F.col("end_ms") * 1.0 - F.col("start_ms") + F.col("event_id") % 20_000), 6).alias("threshold"))
+
+
+def speaker_fragments(spark, d):
+    """Up to two speakers that a piece of an id means, wherever it stands."""
+    ids = P.exemplars(spark, d).select(F.concat_ws("-", F.substring(F.md5(F.col("id").cast("string")), 1, 8), F.substring(F.md5(F.col("id").cast("string")), 9, 24)).alias("id"))
+    return registry.resolve(ids.orderBy("id"), "A-bCd", anywhere=True).agg(F.count(F.lit(1)).alias("hits"), F.bool_and(F.regexp_replace("id", "-", "").contains("abcd")).alias("fits"))
+
+
+def live_voices(spark, d):
+    """The voices of each meeting, with the mean of what their observations lend."""
+    made = live.assembled(*voices.live_observations(spark, d))[1]
+    return made.select("meeting", "cluster", "n", "voiced_ms", F.round(F.col("vector")[0], 6).alias("x0"))
+
+
+def recognition_scores(spark, d):
+    rows = P.exemplars(spark, d).where("meeting is not null")
+    prints = matching.means(rows, "speaker_id", "meeting", weighted=False)
+    return recognition.scored(prints.select((F.col("meeting") % 2).alias("series"), "meeting", F.col("speaker_id").alias("person"), "vector"))
+
+
+def recognition_probes(spark, d):
+    """Each returning person's score with themselves in other meetings of the series, and the best with somebody else."""
+    return recognition.probes(recognition_scores(spark, d)).select("series", "meeting", "person", F.round("correct", 6).alias("correct"), F.round("others", 6).alias("others"))
+
+
+def recognition_grid(spark, d):
+    """What share of returning people, and of impostors' scores, each floor and margin lets through."""
+    found = recognition.grid(recognition_scores(spark, d), floors=(0.0, 0.1, 0.2, 0.4), margins=(0.0, 0.05, 0.1))
+    return found.select("floor", "margin", F.round("recognized", 6).alias("recognized"), F.round("false_above", 6).alias("false_above"))
+
+
 def made_documents(spark, d):
     length = record.seconds(F.col("ended_at")) - record.seconds(F.col("started_at"))
     meetings = P.meetings(spark, d).withColumn("attendees", registry.json_names("attendees")).withColumn("seconds", F.when(length >= 0, length))
@@ -274,6 +357,13 @@ evidence AS (SELECT id, speaker_id, meeting, vector, model, model_version, voice
 people AS (SELECT id, display_name, is_operator FROM speakers UNION ALL SELECT DISTINCT speaker_id, NULL, false FROM heard_voices WHERE minted)"""
 P.SQL["anew"] = "anew AS (SELECT id, speaker_id, meeting, list_reverse(vector) AS vector, 'model9' AS model, '1' AS model_version, voiced_ms, is_negative FROM held WHERE meeting IS NOT NULL AND meeting % 5 <> 3)"
 P.SQL["seen_at"] = "seen_at AS (SELECT * FROM (SELECT *, ceil(start_ms / 5000.0) * 5000 AS first FROM turns WHERE event_id % 29 <> 0 AND event_id % 13 <> 0) WHERE first < end_ms)"
+P.SQL["shorter"] = "shorter AS (SELECT meeting, speaker, start_ms, CASE WHEN end_ms % 11 = 0 THEN start_ms ELSE end_ms END AS end_ms FROM reference)"
+P.SQL["probed"] = """unit AS (SELECT meeting % 2 AS series, meeting, speaker_id AS person, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM means),
+rest AS (SELECT series, meeting, candidate, list(x ORDER BY i) AS v FROM (SELECT m.series, m.meeting, u.person AS candidate, i, avg(u.v[i]) AS x
+  FROM (SELECT DISTINCT series, meeting FROM unit) m JOIN unit u ON u.series = m.series AND u.meeting <> m.meeting, range(1, 65) AS r(i) GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3),
+compared AS (SELECT p.series, p.meeting, p.person, g.candidate, list_cosine_similarity(p.v, g.v) AS score FROM unit p JOIN rest g ON p.series = g.series AND p.meeting = g.meeting
+  WHERE EXISTS (SELECT 1 FROM rest o WHERE o.series = p.series AND o.meeting = p.meeting AND o.candidate = p.person)),
+probed AS (SELECT series, meeting, person, max(score) FILTER (candidate = person) AS correct, coalesce(max(score) FILTER (candidate <> person), -1) AS others FROM compared GROUP BY 1, 2, 3)"""
 VOICES = ("exemplars", "speakers", "held", "diarized")
 OURS = "(SELECT DISTINCT a.speaker_id FROM assigned a JOIN people p ON p.id = a.speaker_id WHERE a.cluster % 8 = 1 AND p.display_name IS NULL AND NOT p.is_operator)"
 IN = f"CASE WHEN {{c}} IN {OURS} THEN 0 ELSE {{c}} END"
@@ -287,6 +377,18 @@ QUERIES = {
     "echo_removed": (echo_removed, S("SELECT meeting, 300 * count(*) AS samples, CASE WHEN max(start_ms) >= 15000 THEN true END AS clean, 0 AS louder FROM turns GROUP BY meeting", "turns")),
     "resampled_frames": (resampled_frames, S("""SELECT event_id, CAST(floor(k * 2.5) AS INTEGER) AS n, round(list_sum(list_transform(range(CAST(floor(k * 2.5) AS BIGINT)), lambda i: v * (1 + least(i * 0.4::DOUBLE, k - 1)))), 6) AS total
   FROM (SELECT t.event_id, CAST(floor(e.value * 100) AS BIGINT) % 15 + 1 AS k, t.event_id % 7 + 1 AS v FROM turns t JOIN events e USING (event_id))""", "turns")),
+    "segment_stream": (segment_stream, None),
+    "rttm_round_trip": (rttm_round_trip, S(f"SELECT CAST(meeting AS VARCHAR) AS file, speaker, start_ms, end_ms FROM {MERGED.format(keys='meeting, speaker', gap=400, table='shorter')}", "turns", "reference", "shorter")),
+    "observations_round_trip": (observations_round_trip, S("""SELECT channel, count(*) AS n, CAST(sum(end_ms - start_ms) AS BIGINT) AS ms, CAST(coalesce(sum(end_ms - start_ms) FILTER (event_id % 2 = 0), 0) AS BIGINT) AS clean_ms,
+  count(*) FILTER (event_id % 3 <> 0) AS vectors, CAST(sum(event_id % 5) FILTER (event_id % 3 <> 0) AS DOUBLE) AS x0 FROM turns GROUP BY channel""", "turns")),
+    "powerset_speakers": (powerset_speakers, """SELECT event_id, CASE max_by(i, ((event_id * 31 + i * 17) % 5, i)) WHEN 1 THEN '0' WHEN 2 THEN '1' WHEN 3 THEN '2' WHEN 4 THEN '0,1' WHEN 5 THEN '0,2' WHEN 6 THEN '1,2' ELSE '' END AS speakers FROM events, range(8) AS g(i) GROUP BY event_id"""),
+    "silence_thresholds": (silence_thresholds, S("SELECT event_id, round(0.8::DOUBLE - least(greatest((age - 3000) / 17000.0::DOUBLE, 0), 1) * 0.45::DOUBLE, 6) AS threshold FROM (SELECT event_id, end_ms - start_ms + event_id % 20000 AS age FROM turns)", "turns")),
+    "speaker_fragments": (speaker_fragments, "SELECT least(count(*), 2) AS hits, CASE WHEN count(*) > 0 THEN true END AS fits FROM embeddings WHERE contains(md5(CAST(vec_id AS VARCHAR)), 'abcd')"),
+    "live_voices": (live_voices, None),
+    "recognition_probes": (recognition_probes, S("SELECT series, meeting, person, round(correct, 6) AS correct, round(others, 6) AS others FROM probed", "exemplars", "means", "probed")),
+    "recognition_grid": (recognition_grid, S("""SELECT floor, margin, round((SELECT avg(CASE WHEN correct >= floor AND correct - others >= margin THEN 1.0::DOUBLE ELSE 0 END) FROM probed), 6) AS recognized,
+  round((SELECT avg(CASE WHEN score >= floor THEN 1.0::DOUBLE ELSE 0 END) FROM compared WHERE candidate <> person), 6) AS false_above
+  FROM (VALUES (0.0::DOUBLE), (0.1), (0.2), (0.4)) AS f(floor), (VALUES (0.0::DOUBLE), (0.05), (0.1)) AS m(margin)""", "exemplars", "means", "probed")),
     "documents_rendered": (documents_rendered, S("SELECT meeting, name, md5(markdown) AS markdown, title FROM documents_of", *DOCUMENTS)),
     "documents_published": (documents_published, S("SELECT meeting, name, coalesce(words, 0) AS words FROM there LEFT JOIN (SELECT meeting, count(*) AS words FROM listed GROUP BY meeting) USING (meeting)", *DOCUMENTS, "there", "listed")),
     "stored_search": (stored_search, S("""SELECT meeting, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 6) AS score, CAST(sum(tf) AS BIGINT) AS hits FROM (

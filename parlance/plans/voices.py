@@ -107,13 +107,17 @@ def enrolment_windows(spark, d):
     return found.where("w is not null").select("event_id", "w.start_ms", "w.end_ms")
 
 
-def live_turns(spark, d):
-    """The turns that windows of segmentation agree on."""
+def live_observations(spark, d):
     turns = P.turns(spark, d)
     at = F.floor(F.col("start_ms") / 10_000).cast("long")
     seen = turns.select("meeting", "channel", at.alias("window"), F.col("event_id").alias("id"), F.col("cluster").alias("voice"), F.array(F.array("start_ms", "end_ms")).alias("runs"), F.when(F.col("event_id") % 3 != 0, F.array(F.lit(1.0), (F.col("event_id") % 5).cast("double"))).alias("vector"))
     windows = turns.select("meeting", "channel", at.alias("window")).distinct().select("meeting", "channel", (F.col("window") * 10_000).alias("start_ms"), (F.col("window") * 10_000 + 15_000).alias("end_ms"))
-    return live.assembled(seen, windows)[0]
+    return seen, windows
+
+
+def live_turns(spark, d):
+    """The turns that windows of segmentation agree on."""
+    return live.assembled(*live_observations(spark, d))[0]
 
 
 def enrolment_replay(spark, d):

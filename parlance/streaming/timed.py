@@ -20,6 +20,27 @@ PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def memory(x: object) -> tuple:
+    """What a machine remembers, with that of the machines in it, as plain values. Functions that it was made with are its maker's."""
+    if isinstance(x, dict):
+        return "table", {k: memory(v) for k, v in x.items()}
+    if hasattr(x, "__dict__") and not callable(x):
+        return "machine", {k: memory(v) for k, v in vars(x).items() if not callable(v)}
+    return "value", x
+
+
+def recalled(fresh: object, held: tuple) -> object:
+    """A machine as it was, from one newly made."""
+    kind, found = held
+    if kind == "table":
+        return {k: recalled(fresh.get(k) if isinstance(fresh, dict) else None, v) for k, v in found.items()}
+    if kind == "machine":
+        for k, v in found.items():
+            setattr(fresh, k, recalled(getattr(fresh, k, None), v))
+        return fresh
+    return found
+
+
 class Timed(StatefulProcessor):
     def __init__(self, order: list[str], time: str, machine: Callable, names: list[str], idle_ms: int) -> None:
         self.order, self.time, self.machine, self.names, self.idle_ms = order, time, machine, names, idle_ms
@@ -31,12 +52,12 @@ class Timed(StatefulProcessor):
     def restored(self) -> tuple[object, int]:
         m, found = self.machine(), self.held.get()
         if found is not None:
-            vars(m).update(pickle.loads(found[0]))
+            recalled(m, pickle.loads(found[0]))
         return m, -1 if found is None else found[1]
 
     def kept(self, m: object, last: int) -> None:
         """Put the machine away, with a timer for what comes first: its deadline, or its end."""
-        self.held.update((pickle.dumps(vars(m)), last))
+        self.held.update((pickle.dumps(memory(m)), last))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         due = m.due() if hasattr(m, "due") else None

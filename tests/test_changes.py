@@ -275,3 +275,54 @@ def test_order_numbers(spark):
     want = sorted(((b, a) for a, b in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     assert [r[0] for r in found] == list(range(1, 1001)) and [r[1:] for r in found] == want
     assert numbered(df.where("false"), "place", "b", "a").count() == 0
+
+
+def test_segments_as_they_come(spark):
+    """Sound that is cut into arrays in any way, and streamed, gives the same text."""
+    import numpy as np
+
+    from parlance.streaming import fold, segments
+
+    rate, rng = 1_000, np.random.default_rng(3)
+    asked = []
+
+    def decode(samples, context):
+        asked.append(context)
+        word = f"{len(samples)}"
+        return {"conf": ("low", 0.1, "en")}.get(context, (f"chunk of {word}", 0.9, "fr" if len(samples) % 2 else "en"))
+
+    t = np.arange(12_000)
+    far = np.where((t // 2_000) % 2 == 0, 0.2 * np.sin(t * 0.4), 0.0)
+    near = np.where((t // 3_000) % 2 == 1, 0.3 * np.sin(t * 0.25), 0.0) + np.concatenate([np.zeros(5), 0.3 * far[:-5]])
+
+    def frames(n):
+        return [{"channel": c, "offset_ms": i, "samples": x[i : i + n]} for i in range(0, len(t), n) for c, x in (("mic", near), ("system", far))]
+
+    def told(n):
+        m = segments.SegmentStream(decode, rate)
+        return sorted([r for e in frames(n) for r in m.on(e)] + m.end(), key=lambda r: (r[0], r[1]))
+
+    want = told(400)  # neither channel runs ahead of the other by more than it may
+    assert len(want) >= 3 and {r[0] for r in want} == {"mic", "system"} and told(250) == want and told(70) == want
+    assert None in asked and any(a for a in asked)  # chunks before are the context, unless the language changes
+    schema = "meeting long, channel string, offset_ms long, samples array<float>"
+    rows = [(1, e["channel"], e["offset_ms"], [float(x) for x in e["samples"]]) for e in frames(500)]
+    batch = fold.folded(spark.createDataFrame(rows, schema), ["meeting"], ["offset_ms", "channel"], lambda: segments.SegmentStream(lambda s, c: (f"{len(s)} and {len(s)} and more", 0.9, "en"), rate), segments.DECODED)
+    lots = [spark.createDataFrame(rows[:20], schema), spark.createDataFrame(rows[20:], schema), spark.createDataFrame([(2, "mic", 90_000, [0.0])], schema), spark.createDataFrame([(2, "mic", 90_001, [0.0])], schema)]
+    make = lambda s: segments.kept(timed.timed(s, ["meeting"], ["offset_ms", "channel"], "offset_ms", lambda: segments.SegmentStream(lambda x, c: (f"{len(x)} and {len(x)} and more", 0.9, "en"), rate), segments.DECODED, idle_ms=5_000))
+    streamed, _ = run(spark, lots, make)
+    assert sorted(streamed) == sorted(tuple(r) for r in segments.kept(batch).collect()) and streamed
+    low = segments.kept(spark.createDataFrame([(1, "mic", 0, 9, "well heard", 0.24, "en"), (1, "mic", 0, 9, "Thank you.", 0.9, "en"), (1, "mic", 0, 9, "the the plan", 0.25, "en")], segments.DECODED))
+    assert [r["text"] for r in low.collect()] == ["the plan"]
+
+
+def test_recognition_grid(spark):
+    from parlance.operators import recognition
+
+    rows = [("s", 1, "a", [1.0, 0.0]), ("s", 2, "a", [0.8, 0.6]), ("s", 1, "b", [0.0, 1.0]), ("s", 3, "b", [0.6, 0.8]), ("s", 1, "c", [1.0, 1.0]), ("t", 1, "a", [1.0, 0.0])]
+    scores = recognition.scored(spark.createDataFrame(rows, "series string, meeting long, person string, vector array<double>"))
+    found = {(r["meeting"], r["person"]): (round(r["correct"], 6), round(r["others"], 6)) for r in recognition.probes(scores).collect()}
+    # c is heard once, and so is no probe; it is somebody else to those of other meetings
+    assert found == {(1, "a"): (0.8, 0.6), (2, "a"): (0.8, pytest.approx(0.989949, abs=1e-6)), (1, "b"): (0.8, 0.6), (3, "b"): (0.8, pytest.approx(0.989949, abs=1e-6))}
+    grid = {(r["floor"], r["margin"]): r["recognized"] for r in recognition.grid(scores).collect()}
+    assert grid[0.62, 0.08] == 0.5 and grid[0.45, 0.0] == 0.5 and len(grid) == 20
