@@ -42,6 +42,17 @@ def assembled(observations: DataFrame, windows: DataFrame) -> tuple[DataFrame, D
     return turns, matching.means(lending, "meeting", "cluster").join(time, ["meeting", "cluster"])
 
 
+def population(heard: DataFrame, meetings: DataFrame, least_ms: int = upkeep.LEAST_SPEAKER_MS) -> DataFrame:
+    """(meeting, person, seen_before, enrolled_before): whether a person was heard in an earlier meeting of the history, and whether for long enough to be enrolled.
+
+    heard: (meeting, person, ms); meetings: (id, started_at), whose order is the history. Firsts are found once a person, so a person with
+    many meetings is one row to be joined, not a window.
+    """
+    at = heard.join(meetings.select(F.col("id").alias("meeting"), F.struct("started_at", "id").alias("place")), "meeting").groupBy("meeting", "person").agg(F.sum("ms").alias("ms"), F.min("place").alias("place"))
+    first = at.groupBy("person").agg(F.min("place").alias("seen"), F.min(F.when(F.col("ms") >= least_ms, F.col("place"))).alias("enrolled"))
+    return at.join(first, "person").select("meeting", "person", (F.col("seen") < F.col("place")).alias("seen_before"), F.coalesce(F.col("enrolled") < F.col("place"), F.lit(False)).alias("enrolled_before"))
+
+
 def provisional(observations: DataFrame) -> DataFrame:
     """(meeting, id, vector): the mean of each observation's frame vectors."""
     width = F.size(F.col("frames")[0])

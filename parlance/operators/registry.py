@@ -93,6 +93,24 @@ def speakers_joined(speakers: DataFrame, segments: DataFrame, hints: DataFrame,
     return left, repointed(segments, joins, "speaker_id"), repointed(hints, joins, "speaker_id", "replaced_id"), repointed(exemplars, joins, "speaker_id")
 
 
+def renamed(speakers: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Speakers after renames (id, name, joining), the joins (source, into) that these ask for, and those refused (id, name, held_by).
+
+    A name confirms its speaker. A name that somebody else holds, letters' case aside, is not given twice: it is refused, or, where joining is set, means
+    that the speaker is that somebody. Of several names for one speaker, and of several speakers for one name, the first by order counts.
+    """
+    known = asked.join(speakers.select("id"), "id", "left_semi").groupBy("id").agg(F.min(F.struct("name", "joining")).alias("a")).select("id", "a.*")
+    holders = speakers.where("display_name is not null").groupBy(F.lower("display_name").alias("folded")).agg(F.min("id").alias("held_by"))
+    rows = known.withColumn("folded", F.lower("name")).join(holders, "folded", "left")
+    held = F.col("held_by").isNotNull() & (F.col("held_by") != F.col("id"))
+    free = rows.where(~held | F.col("held_by").isNull())
+    first = free.groupBy("folded").agg(F.min("id").alias("id"), F.min_by("name", "id").alias("new")).select("id", "new")
+    named = speakers.join(first, "id", "left").withColumn("confirmed", F.col("confirmed") | F.col("new").isNotNull()).withColumn("display_name", F.coalesce("new", "display_name"))
+    late = free.join(first.select("id"), "id", "left_anti").join(first.select(F.lower("new").alias("folded"), F.col("id").alias("by")), "folded")
+    taken = rows.where(held).select("id", "name", "joining", "held_by").unionByName(late.select("id", "name", "joining", F.col("by").alias("held_by")))
+    return named.select(*speakers.columns), taken.where("joining").select(F.col("id").alias("source"), F.col("held_by").alias("into")), taken.where(~F.col("joining")).select("id", "name", "held_by")
+
+
 def resolve(frame: DataFrame, typed: str, column: str = "id", anywhere: bool = False) -> DataFrame:
     """Up to two rows that a typed id means: the exact one, else those that start with (or contain) it."""
     bare = "".join(c for c in typed.lower() if c in "0123456789abcdef")

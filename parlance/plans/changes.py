@@ -172,6 +172,26 @@ def live_voices(spark, d):
     return made.select("meeting", "cluster", "n", "voiced_ms", F.round(F.col("vector")[0], 6).alias("x0"))
 
 
+def speakers_renamed(spark, d):
+    """Names after the odd voices that were heard got new ones, some of which even ones hold, and some of these mean that both are one."""
+    who = P.exemplars(spark, d).select(F.col("speaker_id").alias("id")).distinct().where("id % 2 = 1")
+    name = F.when(F.col("id") % 4 == 1, F.concat(F.lit("Voice "), F.col("id").cast("string"))).otherwise(F.concat(F.lit("nAME "), (F.col("id") + 1).cast("string")))
+    named, joins, refused = registry.renamed(P.speakers(spark, d), who.select("id", name.alias("name"), (F.col("id") % 8 == 3).alias("joining")))
+    flat = lambda df, kind, a, b: df.select(F.lit(kind).alias("kind"), F.col(a).alias("id"), F.col(b).cast("string").alias("what"))
+    return flat(named.where("confirmed"), "named", "id", "display_name").unionByName(flat(joins, "join", "source", "into")).unionByName(flat(refused, "refused", "id", "held_by"))
+
+
+def history_population(spark, d):
+    """In which meetings a speaker had been heard, or enrolled, before, in the order of the history."""
+    heard = P.segments(spark, d).where("speaker_id is not null").select("meeting", F.col("speaker_id").alias("person"), (F.col("end_ms") - F.col("start_ms")).alias("ms"))
+    return live.population(heard, P.meetings(spark, d))
+
+
+def speakers_by_id(spark, d):
+    """S3: the speakers that evidence names, in order of their ids."""
+    return P.speakers(spark, d).join(P.exemplars(spark, d).select(F.col("speaker_id").alias("id")).distinct(), "id", "left_semi").select("id", "display_name").orderBy("id")
+
+
 def recognition_scores(spark, d):
     rows = P.exemplars(spark, d).where("meeting is not null")
     prints = matching.means(rows, "speaker_id", "meeting", weighted=False)
@@ -385,6 +405,13 @@ QUERIES = {
     "silence_thresholds": (silence_thresholds, S("SELECT event_id, round(0.8::DOUBLE - least(greatest((age - 3000) / 17000.0::DOUBLE, 0), 1) * 0.45::DOUBLE, 6) AS threshold FROM (SELECT event_id, end_ms - start_ms + event_id % 20000 AS age FROM turns)", "turns")),
     "speaker_fragments": (speaker_fragments, "SELECT least(count(*), 2) AS hits, CASE WHEN count(*) > 0 THEN true END AS fits FROM embeddings WHERE contains(md5(CAST(vec_id AS VARCHAR)), 'abcd')"),
     "live_voices": (live_voices, None),
+    "speakers_renamed": (speakers_renamed, S("""SELECT kind, id, what FROM (SELECT 'named' AS kind, id, CASE WHEN id % 4 = 1 AND id IN (SELECT speaker_id FROM exemplars) THEN 'Voice ' || id ELSE display_name END AS what FROM speakers
+    WHERE confirmed OR (id % 4 = 1 AND id IN (SELECT speaker_id FROM exemplars)) OR (id % 4 = 3 AND id IN (SELECT speaker_id FROM exemplars) AND id + 1 NOT IN (SELECT id FROM speakers WHERE display_name IS NOT NULL))
+  UNION ALL SELECT CASE WHEN o.id % 8 = 3 THEN 'join' ELSE 'refused' END, o.id, CAST(h.id AS VARCHAR) FROM (SELECT DISTINCT speaker_id AS id FROM exemplars WHERE speaker_id % 4 = 3) o JOIN speakers h ON h.display_name = 'Name ' || (o.id + 1))""", "exemplars", "speakers")),
+    "history_population": (history_population, S("""SELECT meeting, person, count(*) OVER before > 0 AS seen_before, coalesce(count(*) FILTER (ms >= 10000) OVER before, 0) > 0 AS enrolled_before
+  FROM (SELECT meeting, speaker_id AS person, sum(end_ms - start_ms) AS ms, any_value(started_at) AS started_at FROM segments JOIN meetings ON id = meeting WHERE speaker_id IS NOT NULL GROUP BY 1, 2)
+  WINDOW before AS (PARTITION BY person ORDER BY started_at, meeting ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""", "segments", "meetings")),
+    "speakers_by_id": (speakers_by_id, S("SELECT id, display_name FROM speakers WHERE id IN (SELECT speaker_id FROM exemplars) ORDER BY id", "speakers", "exemplars")),
     "recognition_probes": (recognition_probes, S("SELECT series, meeting, person, round(correct, 6) AS correct, round(others, 6) AS others FROM probed", "exemplars", "means", "probed")),
     "recognition_grid": (recognition_grid, S("""SELECT floor, margin, round((SELECT avg(CASE WHEN correct >= floor AND correct - others >= margin THEN 1.0::DOUBLE ELSE 0 END) FROM probed), 6) AS recognized,
   round((SELECT avg(CASE WHEN score >= floor THEN 1.0::DOUBLE ELSE 0 END) FROM compared WHERE candidate <> person), 6) AS false_above

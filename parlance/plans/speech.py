@@ -201,11 +201,25 @@ def restarts(spark, d):
     return fold.folded(events, ["meeting", "channel"], ["at_ms"], machines.Restarts, "meeting long, channel string, at_ms long, action string, wait_s long")
 
 
+P.SQL["clocked"] = """came AS (SELECT *, row_number() OVER (PARTITION BY meeting ORDER BY event_id) AS i FROM turns),
+clock AS (SELECT DISTINCT meeting, 0::BIGINT AS i, 0::BIGINT AS mic, 0::BIGINT AS far, 0::BIGINT AS sent FROM turns
+  UNION ALL SELECT meeting, i, mic, far, greatest(sent, greatest(least(mic, far), greatest(mic, far) - 400)) FROM (
+    SELECT k.meeting, c.i, CASE WHEN channel = 'mic' THEN greatest(k.mic, c.end_ms) ELSE k.mic END AS mic, CASE WHEN channel = 'system' THEN greatest(k.far, c.end_ms) ELSE k.far END AS far, k.sent FROM clock k JOIN came c ON c.meeting = k.meeting AND c.i = k.i + 1)),
+blocks AS (SELECT meeting, i, lag(sent) OVER (PARTITION BY meeting ORDER BY i) AS begins, sent AS ends FROM clock QUALIFY begins < ends
+  UNION ALL SELECT meeting, max(i) + 1, max(sent), greatest(max(mic), max(far)) FROM clock GROUP BY meeting HAVING max(sent) < greatest(max(mic), max(far))),
+frames AS (SELECT c.meeting, c.i, c.channel, greatest(c.start_ms, k.sent) AS held_from, c.end_ms FROM came c JOIN clock k ON k.meeting = c.meeting AND k.i = c.i - 1)"""
+P.SQL["levels"] = """loud AS (SELECT meeting, row_number() OVER (PARTITION BY meeting ORDER BY start_ms) AS n, (end_ms - start_ms) / 100000.0::DOUBLE AS rms, event_id % 5 / 10.0::DOUBLE AS crossings FROM turns),
+levels AS (SELECT DISTINCT meeting, 0::BIGINT AS n, NULL::DOUBLE AS rms, NULL::DOUBLE AS crossings, 0.006::DOUBLE AS noise FROM turns
+  UNION ALL SELECT l.meeting, f.n, f.rms, f.crossings, CASE WHEN f.rms < l.noise THEN l.noise * 0.9 + f.rms * 0.1 ELSE l.noise * 0.9995 + f.rms * 0.0005 END FROM levels l JOIN loud f ON f.meeting = l.meeting AND f.n = l.n + 1)"""
+
 QUERIES |= {
     "vad_sessions": (vad_sessions, None),
-    "noise_floor": (noise_floor, None),
+    "noise_floor": (noise_floor, S("""SELECT meeting, count(*) FILTER (CASE WHEN rms < over THEN 0 WHEN crossings > 0.35 THEN 0.2 ELSE greatest(least((rms / over - 1) / 2, 1), 0.55) END >= 0.5) AS speech, count(*) AS frames
+  FROM (SELECT *, greatest(0.006::DOUBLE, 2.5 * noise) AS over FROM levels WHERE n > 0) GROUP BY meeting""", "turns", "levels").replace("WITH ", "WITH RECURSIVE ", 1)),
     "policy_replay": (policy_replay, None),
-    "joined_channels": (joined_channels, None),
+    "joined_channels": (joined_channels, S("""SELECT b.meeting, b.begins AS start_ms, b.ends AS end_ms, CAST(coalesce(sum(greatest(0, least(f.end_ms, b.ends) - greatest(f.held_from, b.begins))) FILTER (f.channel = 'mic'), 0) AS BIGINT) AS mic_ms,
+  CAST(coalesce(sum(greatest(0, least(f.end_ms, b.ends) - greatest(f.held_from, b.begins))) FILTER (f.channel = 'system'), 0) AS BIGINT) AS system_ms
+  FROM blocks b LEFT JOIN frames f ON f.meeting = b.meeting AND f.i <= b.i AND f.end_ms > f.held_from GROUP BY b.meeting, b.i, b.begins, b.ends""", "turns", "clocked").replace("WITH ", "WITH RECURSIVE ", 1)),
     "restarts": (restarts, S("""SELECT meeting, channel, at_ms, CASE WHEN n > 3 THEN 'end' ELSE 'restart' END AS action, CASE WHEN n > 3 THEN 0 ELSE CAST(pow(2, n - 1) AS BIGINT) END AS wait_s FROM (
   SELECT *, count(*) FILTER (NOT healthy) OVER (PARTITION BY meeting, channel, spell ORDER BY at_ms) AS n FROM (
     SELECT meeting, channel, start_ms AS at_ms, event_id % 3 = 0 AS healthy, count(*) FILTER (event_id % 3 = 0) OVER (PARTITION BY meeting, channel ORDER BY start_ms) AS spell FROM turns)) WHERE NOT healthy""", "turns")),

@@ -227,10 +227,10 @@ def dropped_captions(spark, d):
 
 
 def decode_context(spark, d):
-    """Decodes that are done once more, since the language changed."""
+    """The words that each decode has as context, and which are done once more without, since the language changed."""
     rows = P.table(spark, d, "conversations").select(F.col("conv_id").alias("meeting"), F.col("turn").alias("at_ms"), "text", (F.col("turn") / 3).cast("int").cast("string").alias("language"))
     out = fold.folded(rows, ["meeting"], ["at_ms"], captions.Context, "meeting long, at_ms long, context string, again boolean")
-    return out.where("again").select("meeting", "at_ms")
+    return out.select("meeting", "at_ms", F.md5("context").alias("context"), "again")
 
 
 S = P.sql
@@ -249,6 +249,11 @@ MATCHED = """SELECT p.meeting, p.cluster, p.speaker_id FROM (
     lead(score) OVER (PARTITION BY meeting, cluster ORDER BY score DESC, confirmed DESC, speaker_id) AS next, lead(confirmed) OVER (PARTITION BY meeting, cluster ORDER BY score DESC, confirmed DESC, speaker_id) AS next_confirmed FROM scores WHERE cluster % 11 <> 0) p
   WHERE rank = 1 AND back = 1 AND score >= 0.3 AND (score - coalesce(next, 0) >= 0.02 OR (confirmed AND NOT coalesce(next_confirmed, true)))"""
 
+P.SQL["queued"] = """told AS (SELECT meeting, row_number() OVER (PARTITION BY meeting ORDER BY start_ms) AS i, event_id % 3 = 0 AS reads FROM turns),
+queued AS (SELECT DISTINCT meeting, 0::BIGINT AS i, 0 AS waiting, 0 AS dropped, 0 AS missed, false AS shown FROM turns
+  UNION ALL SELECT q.meeting, t.i, CASE WHEN reads THEN greatest(q.waiting - 1, 0) WHEN q.waiting >= 3 THEN q.waiting ELSE q.waiting + 1 END, CASE WHEN reads THEN q.dropped WHEN q.waiting >= 3 THEN q.dropped + 1 ELSE 0 END,
+    q.dropped, NOT reads AND q.waiting < 3 FROM queued q JOIN told t ON t.meeting = q.meeting AND t.i = q.i + 1)"""
+
 QUERIES = {
     "dominant_voice": (dominant_voice, S("SELECT * FROM leaders", "turns", "leaders")),
     "operator_cluster": (operator_cluster, S("""SELECT meeting, CASE WHEN meeting % 7 = 0 THEN CASE WHEN matched IS NOT NULL THEN 'enrolled' ELSE 'nobody' END WHEN meeting % 3 = 1 AND lone IS NOT NULL THEN 'isolated' WHEN leader IS NOT NULL THEN 'dominant' WHEN matched IS NOT NULL AND gate THEN 'recognised' ELSE 'nobody' END AS how,
@@ -301,7 +306,10 @@ QUERIES = {
     "rename_preview": (rename_preview, S("SELECT p.id, count(DISTINCT h.meeting) AS meetings FROM speakers p LEFT JOIN heard h ON h.speaker_id = p.id WHERE p.id = 3 OR lower(p.display_name) = 'name 4' GROUP BY p.id", "segments", "hints", "heard", "speakers")),
     "sample_sources": (sample_sources, S("SELECT speaker_id, min(id) AS id, least(min_by(voiced_ms, id), 8000) AS ms FROM exemplars WHERE NOT is_negative GROUP BY speaker_id", "exemplars")),
     "markdown_lines": (markdown_lines, "SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'heading' WHEN 1 THEN 'item' WHEN 2 THEN 'item' WHEN 3 THEN 'row' WHEN 4 THEN 'rule' WHEN 5 THEN 'text' END AS kind FROM documents"),
-    "dropped_captions": (dropped_captions, None),
-    "decode_context": (decode_context, "SELECT conv_id AS meeting, turn AS at_ms FROM (SELECT *, lag(turn // 3) OVER (PARTITION BY conv_id ORDER BY turn) AS last FROM conversations) WHERE last IS NOT NULL AND last <> turn // 3"),
+    "dropped_captions": (dropped_captions, S("""SELECT meeting, what, CAST(sum(n) AS BIGINT) AS n FROM (SELECT meeting, 'missed' AS what, missed AS n FROM queued WHERE shown AND missed > 0 UNION ALL SELECT meeting, 'caption', 1 FROM queued WHERE shown) GROUP BY meeting, what""", "turns", "queued").replace("WITH ", "WITH RECURSIVE ", 1)),
+    "decode_context": (decode_context, """WITH said AS (SELECT conv_id AS meeting, turn AS at_ms, list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda w: w <> '') AS w, turn // 3 AS language FROM conversations),
+turned AS (SELECT *, coalesce(language <> lag(language) OVER (PARTITION BY meeting ORDER BY at_ms), false) AS again FROM said), spells AS (SELECT *, sum(CAST(again AS INTEGER)) OVER (PARTITION BY meeting ORDER BY at_ms) AS spell FROM turned)
+SELECT meeting, at_ms, md5(CASE WHEN again OR before IS NULL THEN '' ELSE array_to_string(before[-30:], ' ') END) AS context, again
+FROM (SELECT *, flatten(list(w) OVER (PARTITION BY meeting, spell ORDER BY at_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS before FROM spells)"""),
     "id_prefixes": (id_prefixes, S("SELECT id, md5(CAST(id AS VARCHAR)) AS name FROM meetings WHERE md5(CAST(id AS VARCHAR)) LIKE 'a%'", "meetings")),
 }

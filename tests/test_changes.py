@@ -326,3 +326,44 @@ def test_recognition_grid(spark):
     assert found == {(1, "a"): (0.8, 0.6), (2, "a"): (0.8, pytest.approx(0.989949, abs=1e-6)), (1, "b"): (0.8, 0.6), (3, "b"): (0.8, pytest.approx(0.989949, abs=1e-6))}
     grid = {(r["floor"], r["margin"]): r["recognized"] for r in recognition.grid(scores).collect()}
     assert grid[0.62, 0.08] == 0.5 and grid[0.45, 0.0] == 0.5 and len(grid) == 20
+
+
+def test_dirty_meetings_are_rebuilt_without_a_change(spark):
+    import time
+
+    from parlance.streaming import captions
+
+    inbox, rebuilt, left = scratch(spark, "changes"), [], {7, 9}
+    spark.createDataFrame([(1,), (2,), (1,)], "meeting long").write.parquet(inbox)
+    dirty = lambda: spark.createDataFrame([(m,) for m in sorted(left)], "meeting long")
+
+    def rebuild(part):
+        ids = [r["meeting"] for r in part.collect()]
+        rebuilt.append(ids)
+        left.difference_update(ids)
+
+    query = captions.rebuilt_on_change(spark.readStream.schema("meeting long").parquet(inbox), rebuild, scratch(spark, "offsets"), most=3, dirty=dirty, fallback=2).start()
+    try:
+        until = time.time() + 60
+        while len(rebuilt) < 2 and time.time() < until:
+            time.sleep(0.2)
+        assert rebuilt[:2] == [[1, 2, 7], [9]]
+        left.add(11)  # nobody tells of it
+        while left and time.time() < until:
+            time.sleep(0.2)
+    finally:
+        query.stop()
+    assert rebuilt[2] == [11]
+
+
+def test_renames(spark):
+    from parlance.operators import registry
+
+    people = spark.createDataFrame([(1, None, False, False, False), (2, "Ann", False, True, False), (3, "Bob", False, False, False), (4, None, False, False, False)], SPEAKERS)
+    asked = spark.createDataFrame([(1, "ann", False), (3, "BOB", False), (4, "ann", True), (9, "Zoe", False)], "id long, name string, joining boolean")
+    named, joins, refused = registry.renamed(people, asked)
+    assert {(r["id"], r["display_name"], r["confirmed"]) for r in named.collect()} == {(1, None, False), (2, "Ann", True), (3, "BOB", True), (4, None, False)}
+    assert [tuple(r) for r in joins.collect()] == [(4, 2)] and [tuple(r) for r in refused.collect()] == [(1, "ann", 2)]
+    twice = spark.createDataFrame([(1, "Zoe", False), (4, "zoe", False)], "id long, name string, joining boolean")
+    named, _, refused = registry.renamed(people, twice)
+    assert {r["id"]: r["display_name"] for r in named.collect()}[4] is None and [tuple(r) for r in refused.collect()] == [(4, "zoe", 1)]
