@@ -4,7 +4,7 @@ A rule is a host and a path prefix; it fits that host and its subdomains. The lo
 are judged by gradient-boosted trees over length, depth, digit ratio, entropy, parameter counts and statistics of the
 host's suffix and the path's first segment, trained from labelled URLs.
 
-DataFrame functions and Spark's own boosted trees only.
+DataFrame functions and Spark's own boosted trees only. The rates that the trees are trained on are those of the other folds of the labelled URLs.
 
 Defined cases: a null URL, or one without ://, has an empty host and path, fits no rule and is judged by the trees like
 any other. Of rules of equal length, the one with the longer host decides, then the alphabetically first. If the labels
@@ -29,6 +29,8 @@ TREES, DEPTH = 15, 4
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Labels added to each suffix's own, spread as all labels are.
 PRIOR = 8.0
+#: While the trees are trained, a URL's rates come from the labels of the other folds, so they can't tell its own label.
+FOLDS = 5
 FEATURES = ("url_length", "host_length", "path_length", "depth", "labels", "digits", "entropy", "parameters", "hyphens", "suffix_rate", "segment_rate")
 
 
@@ -89,10 +91,7 @@ class Judge:
 
     def features(self, urls: DataFrame, url: str) -> DataFrame:
         """urls with one vector; rates have at most SAMPLED_URLS rows, so they are broadcast."""
-        out = lexical(urls, url)
-        for name, rates in self.rates.items():
-            out = out.join(F.broadcast(rates), f"{name}_key", "left").withColumn(f"{name}_rate", F.coalesce(f"{name}_rate", F.lit(self.base)))
-        return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(out)
+        return vectors(lexical(urls, url), self.rates, self.base)
 
     def judged(self, urls: DataFrame, key: str, url: str) -> DataFrame:
         """(key, url, verdict)."""
@@ -103,6 +102,26 @@ class Judge:
         return found.select("key", "url", F.when(F.col("prediction") > 0.5, BLOCK).otherwise(ALLOW).alias("verdict"))
 
 
+def vectors(made: DataFrame, rates: dict[str, DataFrame], base: float, *also: str) -> DataFrame:
+    """made, from lexical, with its rates by key (and the columns also) and all features as one vector."""
+    for name, known in rates.items():
+        made = made.join(F.broadcast(known), [f"{name}_key", *also], "left").withColumn(f"{name}_rate", F.coalesce(f"{name}_rate", F.lit(base)))
+    return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(made)
+
+
+def fold_of(url: str = "url") -> Column:
+    return F.pmod(F.xxhash64(url, F.lit(FOLDS)), F.lit(FOLDS)).cast("int")
+
+
+def rates_of(keys: DataFrame, name: str, base: float) -> tuple[DataFrame, DataFrame]:
+    """(key, rate) over all rows of keys (with url and label), and (key, fold, rate) over those outside each fold."""
+    key, rate = f"{name}_key", lambda s, n: ((s + PRIOR * base) / (n + PRIOR)).alias(f"{name}_rate")
+    parts = keys.groupBy(key, fold_of().alias("fold")).agg(F.sum("label").alias("s"), F.count(F.lit(1)).alias("n"))
+    whole = parts.groupBy(key).agg(F.sum("s").alias("all_s"), F.sum("n").alias("all_n"))
+    outside = parts.join(whole, key).select(key, "fold", rate(F.col("all_s") - F.col("s"), F.col("all_n") - F.col("n")))
+    return whole.select(key, rate(F.col("all_s"), F.col("all_n"))), outside
+
+
 def train(labelled: DataFrame, url: str = "url", verdict: str = "verdict") -> Judge:
     """Trees from labelled URLs; of more than SAMPLED_URLS, those of the smallest hashes."""
     rows = labelled.where(F.col(url).isNotNull() & F.col(verdict).isin(ALLOW, BLOCK)).select(F.col(url).alias("url"), (F.col(verdict) == BLOCK).cast("double").alias("label"))
@@ -110,12 +129,12 @@ def train(labelled: DataFrame, url: str = "url", verdict: str = "verdict") -> Ju
     n, blocked = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     if blocked in (0, n):
         return Judge(None, BLOCK if n and blocked == n else ALLOW, 0.0, {})
-    base, keys, rates = blocked / n, lexical(rows, "url"), {}
+    base, keys, rates, outside = blocked / n, lexical(rows, "url"), {}, {}
     for name in ("suffix", "segment"):
-        rate = (F.sum("label") + PRIOR * base) / (F.count(F.lit(1)) + PRIOR)
-        rates[name] = saved(keys.groupBy(f"{name}_key").agg(rate.alias(f"{name}_rate")), f"{name}-rates")
+        rates[name], outside[name] = (saved(r, f"{name}-rates") for r in rates_of(keys, name, base))
     judge = Judge(None, ALLOW, base, rates)
-    judge.model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=1).fit(judge.features(rows, "url").select("features", "label"))
+    made = vectors(keys.withColumn("fold", fold_of()), outside, base, "fold")
+    judge.model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=1).fit(made.select("features", "label"))
     return judge
 
 

@@ -84,3 +84,37 @@ def test_ids_of_any_file_are_the_library_s(change):
     library = Tokenizer.from_str(text)
     found = simple8b.ChunkIds(text).encode([t.encode() for t in TEXTS])
     assert [np.frombuffer(x, np.uint32).tolist() for x in found] == [library.encode(t, add_special_tokens=False).ids for t in TEXTS]
+
+
+def test_rates_of_other_folds(spark):
+    from parlance.llm import url_filter
+
+    rows = [(f"http://h{i}.{('com', 'net', 'xyz')[i % 3]}/p", float(i % 2)) for i in range(60)]
+    keys = url_filter.lexical(spark.createDataFrame(rows, "url string, label double"), "url").withColumn("fold", url_filter.fold_of())
+    found = [(r["url"], r["label"], r["suffix_key"], r["fold"]) for r in keys.collect()]
+    whole, outside = url_filter.rates_of(keys.drop("fold"), "suffix", 0.5)
+    rate = lambda some: (sum(some) + url_filter.PRIOR * 0.5) / (len(some) + url_filter.PRIOR)
+    assert {r["suffix_key"]: round(r["suffix_rate"], 9) for r in whole.collect()} == {k: round(rate([x for _, x, s, _ in found if s == k]), 9) for k in ("com", "net", "xyz")}
+    want = {(k, f): round(rate([x for _, x, s, g in found if s == k and g != f]), 9) for _, _, k, f in found}
+    assert {(r["suffix_key"], r["fold"]): round(r["suffix_rate"], 9) for r in outside.collect()} == want
+
+
+def test_trees_on_urls_they_have_not_seen(spark):
+    """A suffix that comes once must not pass for its URL's own label; what tells is elsewhere."""
+    import random
+
+    from parlance.llm import url_filter
+
+    rng = random.Random(2)
+
+    def page():
+        bad = rng.random() < 0.5
+        tail = "".join(rng.choice("0123456789") for _ in range(12)) if bad else "notes/of/the/day"
+        host = "".join(rng.choice("abcdefghij") for _ in range(8))
+        return f"http://www.example.{host}/{tail}" + ("?a=1&b=2&c=3" if bad else ""), url_filter.BLOCK if bad else url_filter.ALLOW
+
+    made = [page() for _ in range(600)]
+    judge = url_filter.train(spark.createDataFrame(made[:300], "url string, verdict string"))
+    rest = spark.createDataFrame([(i, u, v) for i, (u, v) in enumerate(made[300:])], "page_id long, url string, want string")
+    told = judge.judged(rest, "page_id", "url").join(rest.select(F.col("page_id").alias("key"), "want"), "key")
+    assert told.where("verdict = want").count() >= 0.95 * 300
