@@ -12,13 +12,17 @@ KEY = ("meeting", "sequence")
 LEAST_CONFIDENCE = 0.25
 
 
+def understood(decoded: DataFrame, floor: float = LEAST_CONFIDENCE) -> DataFrame:
+    """Of decoded chunks, batch or stream, those that are speech, with their text cleaned."""
+    return decoded.where(F.col("confidence") >= floor).withColumn("text", text.cleaned(F.col("text"))).where("text is not null")
+
+
 def kept_decodes(decodes: DataFrame, floor: float = LEAST_CONFIDENCE) -> DataFrame:
     """Decodes (meeting, channel, start_ms, end_ms, text, confidence) that are speech, with cleaned text and their place in the meeting by start.
 
     A text that is cleaned away goes, and so does a confidence that is null or under the floor. Ties go by end, channel and text.
     """
-    rows = decodes.where(F.col("confidence") >= floor).withColumn("text", text.cleaned(F.col("text"))).where("text is not null")
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("meeting").orderBy("start_ms", "end_ms", "channel", "text")))
+    return understood(decodes, floor).withColumn("place", F.row_number().over(Window.partitionBy("meeting").orderBy("start_ms", "end_ms", "channel", "text")))
 
 
 def effective(segments: DataFrame, hints: DataFrame) -> DataFrame:

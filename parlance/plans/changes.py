@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions import vectors as V
-from parlance.operators import documents, lifecycle, live, matching, persisting, recognition, registry, upkeep
+from parlance.operators import documents, lifecycle, live, matching, persisting, recognition, registry, transcripts, upkeep
 from parlance.plans import record, voices
 from parlance.plans import upkeep as upkeep_plans
 from parlance.plans.speech import MERGED
@@ -107,7 +107,7 @@ def resampled_frames(spark, d):
     return sample_frames(spark, d).select("event_id", F.size(V.resampled_column(F.col("samples"), RATE, 25)).alias("n"), F.round(F.aggregate(V.resampled_column(F.transform("samples", lambda x, i: (x * (i + 1)).cast("double")), RATE, 25), F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
-SOUND_RATE = 1_000
+SOUND_RATE = 250
 
 
 def told_by_length(samples, context):
@@ -120,14 +120,14 @@ def sounding_frames(spark, d):
     """A tone of each turn's first second, loud or soft, every fourth turn silent."""
     turns = P.turns(spark, d)
     loud = F.when(F.col("event_id") % 4 == 0, 0.0).otherwise(0.05 + (F.col("event_id") % 5) / 20)
-    samples = F.transform(F.sequence(F.lit(0), F.lit(999)), lambda i: (loud * F.sin(i * 0.35)).cast("float"))
+    samples = F.transform(F.sequence(F.lit(0), F.lit(SOUND_RATE - 1)), lambda i: (loud * F.sin(i * 0.35)).cast("float"))
     return turns.select("meeting", "channel", F.col("start_ms").alias("offset_ms"), samples.alias("samples"))
 
 
 def segment_stream(spark, d):
-    """What is kept of the speech in each meeting's sound, from one clock to cleaned text."""
-    rows = fold.folded(sounding_frames(spark, d), ["meeting"], ["offset_ms", "channel"], lambda: segments.SegmentStream(told_by_length, SOUND_RATE), segments.DECODED)
-    return segments.kept(rows)
+    """What is kept of the speech in each meeting's sound, from one clock to cleaned text. Echo is another query's."""
+    rows = fold.folded(sounding_frames(spark, d), ["meeting"], ["offset_ms", "channel"], lambda: segments.SegmentStream(told_by_length, SOUND_RATE, cancel=False), segments.DECODED)
+    return transcripts.understood(rows)
 
 
 def rttm_round_trip(spark, d):

@@ -1,14 +1,11 @@
-"""From sound to text as it comes: one clock, echo, loudness, speech, decoding, and what of it is kept."""
+"""From sound to text as it comes: one clock, echo, loudness, speech, decoding, for `transcripts.understood` to keep or drop."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from parlance.functions import text as T
 from parlance.operators.transcripts import LEAST_CONFIDENCE
 from parlance.streaming import machines, sound
 
@@ -92,8 +89,3 @@ class Leg:
 
     def end(self) -> list[tuple]:
         return self.cut(self.chunks.end())
-
-
-def kept(decoded: DataFrame, floor: float = LEAST_CONFIDENCE) -> DataFrame:
-    """Of decoded rows, batch or stream, those that are speech, with their text cleaned."""
-    return decoded.where(F.col("confidence") >= floor).withColumn("text", T.cleaned(F.col("text"))).where("text is not null")

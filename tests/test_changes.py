@@ -281,6 +281,7 @@ def test_segments_as_they_come(spark):
     """Sound that is cut into arrays in any way, and streamed, gives the same text."""
     import numpy as np
 
+    from parlance.operators import transcripts
     from parlance.streaming import fold, segments
 
     rate, rng = 1_000, np.random.default_rng(3)
@@ -309,10 +310,10 @@ def test_segments_as_they_come(spark):
     rows = [(1, e["channel"], e["offset_ms"], [float(x) for x in e["samples"]]) for e in frames(500)]
     batch = fold.folded(spark.createDataFrame(rows, schema), ["meeting"], ["offset_ms", "channel"], lambda: segments.SegmentStream(lambda s, c: (f"{len(s)} and {len(s)} and more", 0.9, "en"), rate), segments.DECODED)
     lots = [spark.createDataFrame(rows[:20], schema), spark.createDataFrame(rows[20:], schema), spark.createDataFrame([(2, "mic", 90_000, [0.0])], schema), spark.createDataFrame([(2, "mic", 90_001, [0.0])], schema)]
-    make = lambda s: segments.kept(timed.timed(s, ["meeting"], ["offset_ms", "channel"], "offset_ms", lambda: segments.SegmentStream(lambda x, c: (f"{len(x)} and {len(x)} and more", 0.9, "en"), rate), segments.DECODED, idle_ms=5_000))
+    make = lambda s: transcripts.understood(timed.timed(s, ["meeting"], ["offset_ms", "channel"], "offset_ms", lambda: segments.SegmentStream(lambda x, c: (f"{len(x)} and {len(x)} and more", 0.9, "en"), rate), segments.DECODED, idle_ms=5_000))
     streamed, _ = run(spark, lots, make)
-    assert sorted(streamed) == sorted(tuple(r) for r in segments.kept(batch).collect()) and streamed
-    low = segments.kept(spark.createDataFrame([(1, "mic", 0, 9, "well heard", 0.24, "en"), (1, "mic", 0, 9, "Thank you.", 0.9, "en"), (1, "mic", 0, 9, "the the plan", 0.25, "en")], segments.DECODED))
+    assert sorted(streamed) == sorted(tuple(r) for r in transcripts.understood(batch).collect()) and streamed
+    low = transcripts.understood(spark.createDataFrame([(1, "mic", 0, 9, "well heard", 0.24, "en"), (1, "mic", 0, 9, "Thank you.", 0.9, "en"), (1, "mic", 0, 9, "the the plan", 0.25, "en")], segments.DECODED))
     assert [r["text"] for r in low.collect()] == ["the plan"]
 
 
