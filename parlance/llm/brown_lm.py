@@ -22,8 +22,10 @@ frequent ones first, as is usual since the others' contexts are mostly frequent
 A word that isn't in the training corpus has the class that most of the words seen once with its ending (UNKNOWNS
 digests of the last two bytes) have: the mass of each class for unknown words is the same, only the class is guessed.
 
-Words that are longer than LONGEST bytes stand in all tables as a 128-bit digest. Dictionary words are scored where the text
-is; all others, however few or many, are joined by word, and a row number that was written with them brings them back.
+Words that are longer than LONGEST bytes stand in all tables as a 128-bit digest. Texts are cut into words twice: to count
+them, and, when the dictionary is known, to write them as codes, from which pairs, contexts and scores are taken. Dictionary
+words are scored where the text is; all others, however few or many, are joined by word, and a row number that was written
+with them brings them back.
 
 Defined cases: a null or empty text is one end. Repeated rows count and are scored each by itself. A null id counts as
 the empty text when folds are drawn. Without any training text all counts are 0. Texts are read whole. Words of equal
@@ -33,10 +35,9 @@ count are ordered by their bytes. Columns of docs with the names of results are
 from __future__ import annotations
 
 import zlib
-from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +48,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parlance.llm.arrow import mapped, slices, with_columns
+from parlance.llm.arrow import free, gathered, mapped, slices, with_columns
 from parlance.llm.storage import dropped, saved
 
 END = b""
@@ -64,41 +65,59 @@ UNKNOWNS = 512
 HELD_WORDS, HELD_PAIRS = 1_000_000, 2_000_000
 #: Pairs of words meet in GRID x GRID buckets, by which no frequent word's pairs come to one task.
 GRID = 64
+#: Counts whose rises are taken for all words at once.
+SMALL = (1, 2, 3, 4)
 #: Words that are moved at once, when a task has moved four times as many.
 AT_ONCE = 512
 COUNT = (1 << 56) - 1
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Lower-cased words and the end."""
-    words = text.encode("utf-8").lower().split() if text else []
-    words.append(END)
-    return words
-
-
 def kept(word: bytes) -> bytes:
     """The word, or its digest after a blank, which no word has."""
     return word if len(word) <= LONGEST else b" " + xxhash.xxh3_128_digest(word)
 
 
+def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(words as tables have them, the end first; the place in these of each token; tokens of each text, its end included)."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    found = lists.flatten().dictionary_encode()
+    words, at = pa.concat_arrays([pa.array([END]), found.dictionary.cast(pa.binary())]), found.indices.to_numpy() + 1
+    row = np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy())
+    blank = np.flatnonzero(pc.binary_length(words).to_numpy() == 0)[1:]  # what stands before a leading blank and after a trailing one
+    if len(blank):
+        row, at = row[at != blank[0]], at[at != blank[0]]
+    sizes = np.bincount(row, minlength=len(texts)) + 1
+    places = np.zeros(len(at) + len(texts), np.int64)
+    places[np.arange(len(at)) + row] = at
+    long = pc.greater(pc.binary_length(words), LONGEST)
+    if pc.any(long).as_py():
+        words = pc.replace_with_mask(words, long, pa.array(map(kept, words.filter(long).to_pylist()), pa.binary()))
+    return words, places, sizes
+
+
 def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
     """(word, n) over all texts, ends included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-
-        def out() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(map(kept, held), pa.binary()), pa.array(held.values(), pa.int64())], names=["word", "n"])
-            held.clear()
-            return made
+        held, n_held = [], 0
 
-        for part in slices(batches, text):
-            for t in part.column(text).to_pylist():
-                held.update(words_of(t))
-            if len(held) > HELD_WORDS:
-                yield out()
+        def added() -> pa.Table:
+            return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
+
+        for part in gathered(slices(batches, text), text):
+            words, places, _ = tokens(part.column(text))
+            n = pa.array(np.bincount(places, minlength=len(words)))
+            there = pc.greater(n, 0)
+            held.append(pa.table({"word": words.filter(there), "n": n.filter(there)}))
+            n_held += len(held[-1])
+            if n_held > HELD_WORDS:
+                held = [added()]
+                n_held = len(held[0])
+                if n_held > HELD_WORDS // 2:
+                    yield from held.pop().to_batches()
+                    n_held = 0
         if held:
-            yield out()
+            yield from added().to_batches()
 
     return mapped(docs.select(text), run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -118,18 +137,43 @@ def often(counts: DataFrame, most: int | None = None) -> dict[bytes, int]:
     return {END: n.pop(END, 0)} | dict(sorted(n.items(), key=lambda x: (-x[1], x[0])))
 
 
-def coded(places: dict[bytes, int], part: pa.RecordBatch, text: str, missed: Callable[[bytes], int]) -> np.ndarray:
-    """Codes of all words of the texts, an end before the first: each text ends with an end, which is where the next one starts."""
-    words = [words_of(t) for t in part.column(text).to_pylist()]
+CODED = [("__codes", T.BinaryType()), ("__lengths", T.BinaryType()), ("__others", T.BinaryType())]
+
 
-    def code(word: bytes) -> int:
-        found = places.get(word)
-        if found is not None:
-            return found
-        word = kept(word)
-        return places[word] if word in places else missed(word)
+def coded(docs: DataFrame, places: dict[bytes, int], text: str = "text", drop: tuple[str, ...] = ()) -> DataFrame:
+    """docs with the codes of each text's tokens: 32-bit places in the dictionary, or -1; of the words that aren't in it, the lengths (a byte each) and bytes."""
+    shared = docs.sparkSession.sparkContext.broadcast(pa.array(places, pa.binary()))
 
-    return np.fromiter(chain((0,), map(code, chain.from_iterable(words))), np.int64, 1 + sum(map(len, words)))
+    def start():
+        def work(texts: pa.Array) -> list[pa.Array]:
+            words, at, sizes = tokens(texts)
+            codes = pc.fill_null(pc.index_in(words, shared.value), -1).to_numpy().astype("<i4")[at]
+            ends = np.append(0, np.cumsum(sizes))
+            missed = np.flatnonzero(codes < 0)
+            others = words.take(pa.array(at[missed]))
+            lengths = pc.binary_length(others).to_numpy().astype(np.uint8)
+            cuts = np.searchsorted(missed, ends)
+            starts = np.append(0, np.cumsum(lengths, dtype=np.int64))
+            return [binaries(ends * 4, codes), binaries(cuts, lengths), binaries(starts[cuts], np.frombuffer(joined_bytes(others), np.uint8))]
+
+        return work
+
+    return with_columns(docs, text, CODED, start, drop, arrow=True)
+
+
+def joined_bytes(column: pa.Array) -> memoryview:
+    """The bytes of all values in a row, of which none is null."""
+    wide = pa.types.is_large_binary(column.type)
+    offsets = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else [0, 0]
+    return memoryview(column.buffers()[2] or b"")[offsets[0] : offsets[-1]]
+
+
+def codes_of(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(codes of all texts' tokens in a row, tokens of each text, those words in a row that aren't in the dictionary)."""
+    codes = np.frombuffer(joined_bytes(part.column("__codes")), "<i4")
+    lengths = np.frombuffer(joined_bytes(part.column("__lengths")), np.uint8)
+    others = binaries(np.append(0, np.cumsum(lengths, dtype=np.int64)), np.frombuffer(joined_bytes(part.column("__others")), np.uint8))
+    return codes, pc.binary_length(part.column("__codes")).to_numpy() // 4, others
 
 
 def packed(pairs: np.ndarray, n: np.ndarray) -> bytes:
@@ -180,7 +224,25 @@ def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple[np
 
 def neighbours(docs: DataFrame, places: dict[bytes, int], text: str = "text") -> DataFrame:
     """(code, keys, n): for each word of the dictionary the ones after it (their codes) and before it (their codes + the dictionary's size)."""
-    shared, size = docs.sparkSession.sparkContext.broadcast(places), len(places)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(x)) for x, sizes in (numbers(batch, "keys"), numbers(batch, "n"))]
+            yield pa.RecordBatch.from_arrays([batch.column("code"), *lists], names=["code", "keys", "n"])
+
+    return mapped(packed_neighbours(coded(docs.select(text), places, text, (text,)), len(places)), run, "code int, keys array<int>, n array<long>")
+
+
+def numbers(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of all rows, how many a row has) of keys or n, which are arrays or their bytes."""
+    column, kind = batch.column(name), np.dtype("<i4" if name == "keys" else "<i8")
+    if pa.types.is_list(column.type):
+        return column.flatten().to_numpy(), column.value_lengths().to_numpy(zero_copy_only=False)
+    return np.frombuffer(joined_bytes(column), kind), pc.binary_length(column).to_numpy() // kind.itemsize
+
+
+def packed_neighbours(found: DataFrame, size: int) -> DataFrame:
+    """The rows of neighbours() from codes; keys and n are bytes of 32-bit and 64-bit integers."""
 
     def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n_held = [], 0
@@ -190,9 +252,9 @@ def neighbours(docs: DataFrame, places: dict[bytes, int], text: str = "text") ->
             held.clear()
             return dealt((pairs // size % GRID) * GRID + pairs % size % GRID, pairs, n)
 
-        for part in slices(batches, text):
-            code = coded(shared.value, part, text, lambda word: -1)
-            first, second = code[:-1], code[1:]
+        for part in gathered(slices(batches, "__codes"), "__codes"):
+            second = codes_of(part)[0].astype(np.int64)
+            first = np.append(0, second[:-1])  # each text ends with an end, which is where the next one starts
             both = (first >= 0) & (second >= 0)
             held.append(np.unique(first[both] * size + second[both], return_counts=True))
             n_held += len(held[-1][0])
@@ -225,19 +287,24 @@ def neighbours(docs: DataFrame, places: dict[bytes, int], text: str = "text") ->
         for _, (pairs, n) in by_bucket(batches):
             code = pairs // (2 * size)
             starts = np.flatnonzero(np.diff(code, prepend=-1))
-            offsets = pa.array(np.append(starts, len(code)).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in ((pairs % (2 * size)).astype(np.int32), n)]
+            offsets = np.append(starts, len(code))
+            lists = [binaries(offsets * 4, (pairs % (2 * size)).astype("<i4")), binaries(offsets * 8, n.astype("<i8"))]
             yield pa.RecordBatch.from_arrays([pa.array(code[starts].astype(np.int32)), *lists], names=["code", "keys", "n"])
 
-    found = mapped(docs.select(text), pairs_of, PACKED).repartition("bucket").sortWithinPartitions("bucket")
+    found = mapped(found.select("__codes", "__lengths", "__others"), pairs_of, PACKED).repartition("bucket").sortWithinPartitions("bucket")
     found = mapped(found, sides_of, PACKED).repartition("bucket").sortWithinPartitions("bucket")
-    return mapped(found, rows_of, "code int, keys array<int>, n array<long>")
+    return mapped(found, rows_of, "code int, keys binary, n binary")
 
 
 def xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
+def nonzero(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.nonzero of a table, which is slower."""
+    return np.divmod(np.flatnonzero(table), table.shape[1])
+
+
 def rise(base: np.ndarray, x: np.ndarray) -> np.ndarray:
     """xlogx(base + x) - xlogx(base), of numbers of any size without loss of digits."""
     base = np.maximum(base, np.float32(1e-6))
@@ -309,24 +376,36 @@ def best_classes(of: np.ndarray, right: np.ndarray, left: np.ndarray, own: np.nd
     right, left, own = (x.astype(np.float32) for x in (right, left, own))
     gain = np.zeros(right.shape, np.float32)
     for mine, theirs, table in ((right, left, both), (left, right, both.T)):
-        word, d = np.nonzero(mine)
-        x = mine[word, d]
-        base = table.T[d]
-        inside = np.flatnonzero(there[word])
-        same = inside[d[inside] == of[word[inside]]]
-        base[same] -= theirs[word[same]]
-        base[inside, of[word[inside]]] -= x[inside]
-        base[same, d[same]] -= own[word[same]]
+        # most counts are small, and so have the same rises for all words
+        for x in SMALL:
+            gain += (mine == x).astype(np.float32) @ rise(table.T, np.float32(x))
+        word, d = nonzero(mine > SMALL[-1])
         if len(word):
+            x = mine[word, d]
+            sizes, size = np.unique(x, return_inverse=True)
+            kinds, kind = np.unique(d * len(sizes) + size, return_inverse=True)
             starts = np.flatnonzero(np.diff(word, prepend=-1))
-            gain[word[starts]] += np.add.reduceat(rise(base, x[:, None]), starts)
-        tokens = table.sum(1)[None] + np.where(there[:, None], 0, theirs)
-        new = mine.sum(1) + own
-        tokens[placed, at] -= new[there]
-        gain -= rise(tokens, new[:, None])
+            gain[word[starts]] += np.add.reduceat(rise(table.T[kinds // len(sizes)], sizes[kinds % len(sizes)][:, None])[kind], starts)
+        # a word that is in a class is left out of the table
+        word, d = nonzero((mine > 0) & there[:, None])
+        x, at_home = mine[word, d], d == of[word]
+        same, rest = np.flatnonzero(at_home), np.flatnonzero(~at_home)
+        base = table[of[word[rest]], d[rest]]
+        np.add.at(gain, (word[rest], of[word[rest]]), rise(base - x[rest], x[rest]) - rise(base, x[rest]))
+        base, w, c, x = table.T[d[same]], word[same], d[same], x[same]
+        apart = base - theirs[w]
+        apart[np.arange(len(w)), c] -= x + own[w]
+        gain[w] += rise(apart, x[:, None]) - rise(base, x[:, None])
+        tokens_of, new = table.sum(1), mine.sum(1) + own
+        sizes, size = np.unique(new, return_inverse=True)
+        less = rise(tokens_of[None], sizes[:, None])[size]
+        less[placed, at] = rise(tokens_of[at] - new[there], new[there])
+        word, d = nonzero((theirs > 0) & ~there[:, None])
+        less[word, d] = rise(tokens_of[d] + theirs[word, d], new[word])
+        gain -= less
     diagonal = np.repeat(np.diag(both)[None], m, axis=0)
     diagonal[placed, at] -= right[placed, at] + left[placed, at] + own[there]
-    word, d = np.nonzero((right > 0) & (left > 0) | (own > 0)[:, None])
+    word, d = nonzero((right > 0) & (left > 0) | (own > 0)[:, None])
     here, r, back = diagonal[word, d], right[word, d], left[word, d]
     gain[word, d] += rise(here, r + back + own[word]) - rise(here, r) - rise(here, back)
     gain[:, 0] = -np.inf
@@ -340,10 +419,12 @@ def moves(of: np.ndarray, right: np.ndarray, left: np.ndarray, own: np.ndarray,
     while at < len(of):
         some = slice(at, at + min(max(done // 4, 1), AT_ONCE))
         best = best_classes(of[some], right[some], left[some], own[some], both)
-        for c, sign in ((of[some], -1), (best, 1)):
-            member = np.where(c[:, None] == np.arange(len(both)), sign, 0).astype(float)
-            both += member.T @ right[some] + left[some].T @ member
-            np.add.at(both, (c[c >= 0], c[c >= 0]), sign * own[some][c >= 0])
+        moved = np.flatnonzero(best != of[some])
+        was, now = of[some][moved], best[moved]
+        member = (now[:, None] == np.arange(len(both))).astype(float) - (was[:, None] == np.arange(len(both)))
+        both += member.T @ right[some][moved] + left[some][moved].T @ member
+        for c, sign in ((was, -1), (now, 1)):
+            np.add.at(both, (c[c >= 0], c[c >= 0]), sign * own[some][moved][c >= 0])
         of[some] = best
         at, done = at + len(best), done + len(best)
     return of
@@ -351,9 +432,9 @@ def moves(of: np.ndarray, right: np.ndarray, left: np.ndarray, own: np.ndarray,
 
 def beside(batch: pa.RecordBatch, of: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(right, left, own) of the rows of neighbours: counts of the classes after and before, and of the word after itself."""
-    m, size, keys = batch.num_rows, len(of), batch.column("keys")
-    row = np.repeat(np.arange(m), keys.value_lengths().to_numpy(zero_copy_only=False))
-    key, n = keys.flatten().to_numpy(), batch.column("n").flatten().to_numpy()
+    m, size = batch.num_rows, len(of)
+    (key, sizes), (n, _) = numbers(batch, "keys"), numbers(batch, "n")
+    row = np.repeat(np.arange(m), sizes)
     other = key % size
     mine = other == batch.column("code").to_numpy()[row]
     own = np.bincount(row, np.where(mine & (key < size), n, 0), m)
@@ -370,10 +451,10 @@ def exchange_dictionary(seen: DataFrame, size: int, classes: int = CLASSES, pass
 
     def among_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row = np.repeat(np.arange(batch.num_rows), batch.column("keys").value_lengths().to_numpy(zero_copy_only=False))
-            code, key = batch.column("code").to_numpy()[row], batch.column("keys").flatten()
-            ok = pa.array((code < seeds) & (key.to_numpy() < seeds))
-            yield pa.RecordBatch.from_arrays([pa.array(code).filter(ok), key.filter(ok), batch.column("n").flatten().filter(ok)], names=["first", "second", "n"])
+            (key, sizes), (n, _) = numbers(batch, "keys"), numbers(batch, "n")
+            code = np.repeat(batch.column("code").to_numpy(), sizes)
+            ok = (code < seeds) & (key < seeds)
+            yield pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in (code, key, n)], names=["first", "second", "n"])
 
     def table_of(of: np.ndarray) -> np.ndarray:
         shared = context.broadcast(of)
@@ -423,41 +504,42 @@ def exchange_dictionary(seen: DataFrame, size: int, classes: int = CLASSES, pass
     return of, both
 
 
-def count_contexts(docs: DataFrame, places: dict[bytes, int], of: np.ndarray, classes: int, text: str = "text") -> DataFrame:
-    """(word, other, seen) of the words that aren't in the dictionary; seen lists slots and counts, as slot << 56 | n in one binary.
+def count_contexts(found: DataFrame, of: np.ndarray, classes: int) -> DataFrame:
+    """(word, other, seen), from codes, of the words that aren't in the dictionary; seen lists slots and counts, as slot << 56 | n in one binary.
 
     Where other is null, a slot is the class of a dictionary word after it, or classes + that of one before. Each word has
     such a row, be it an empty one. Else other is such a word too, which stands after it (slot 0) or before it (slot classes).
     """
-    shared = docs.sparkSession.sparkContext.broadcast((places, of))
+    shared, size = found.sparkSession.sparkContext.broadcast(of), len(of)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (place, class_of), own = shared.value, {}
-        size, held, pairs, n_held = len(place), [], [], 0
+        class_of, own = shared.value, {}
+        held, pairs, n_held = [], [], 0
 
         def out() -> pa.RecordBatch:
             names = pa.array(own, pa.binary())
             found, n = summed(held) if held else (np.zeros(0, np.int64), np.zeros(0, np.int64))
             word, slot = found // (2 * classes), found % (2 * classes)
             offsets = np.searchsorted(word, np.arange(len(names) + 1)) * 8
-            rows = [(names, pa.nulls(len(names), pa.binary()), binaries(offsets, (slot << 56) | n))]
+            rows = [(names, pa.nulls(len(names), pa.binary()), binaries(offsets, ((slot << 56) | n).astype("<i8")))]
             if pairs:
                 both, n = summed(pairs)
                 first, second = both >> 32, both & 0xFFFFFFFF
                 at = np.arange(len(both) + 1) * 8
-                rows.append((names.take(pa.array(first)), names.take(pa.array(second)), binaries(at, n)))
-                rows.append((names.take(pa.array(second)), names.take(pa.array(first)), binaries(at, (classes << 56) | n)))
+                rows.append((names.take(pa.array(first)), names.take(pa.array(second)), binaries(at, n.astype("<i8"))))
+                rows.append((names.take(pa.array(second)), names.take(pa.array(first)), binaries(at, ((classes << 56) | n).astype("<i8"))))
             made = pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(*rows, strict=True)], names=["word", "other", "seen"])
             for x in (own, held, pairs):
                 x.clear()
             return made
 
-        def missed(word: bytes) -> int:
-            return own.setdefault(word, size + len(own))
-
-        for part in slices(batches, text):
-            code = coded(place, part, text, missed)
-            first, second = code[:-1], code[1:]
+        for part in gathered(slices(batches, "__codes"), "__codes"):
+            code, _, others = codes_of(part)
+            names = others.dictionary_encode()
+            here = np.array([own.setdefault(w, size + len(own)) for w in names.dictionary.to_numpy(zero_copy_only=False)], np.int64)
+            second = code.astype(np.int64)
+            second[code < 0] = here[names.indices.to_numpy()]
+            first = np.append(0, second[:-1])
             a, b = first >= size, second >= size
             after, before = a & ~b, b & ~a
             slots = np.concatenate([(first[after] - size) * 2 * classes + class_of[second[after]], (second[before] - size) * 2 * classes + classes + class_of[first[before]]])
@@ -471,8 +553,35 @@ def count_contexts(docs: DataFrame, places: dict[bytes, int], of: np.ndarray, cl
         if own:
             yield out()
 
-    found = mapped(docs.select(text), run, "word binary, other binary, seen binary")
-    return found.groupBy("word", "other").agg(F.collect_list("seen").alias("seen"))
+    seen = mapped(found.select("__codes", "__lengths", "__others"), run, "word binary, other binary, seen binary")
+
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None  # the last word's rows, which may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rest = batch if rest is None else pa.concat_batches([rest, batch])
+            starts = [0, *(np.flatnonzero(changes(rest.column("word")) | changes(rest.column("other"))) + 1).tolist()]
+            if len(starts) > 1:
+                yield listed(rest.slice(0, starts[-1]), starts[:-1])
+                rest = rest.slice(starts[-1])
+        if rest is not None:
+            yield listed(rest, [0])
+
+    # a task has most words once, so nothing is gained by adding up before the shuffle
+    return mapped(seen.repartition("word", "other").sortWithinPartitions("word", "other"), lists, "word binary, other binary, seen array<binary>")
+
+
+def changes(column: pa.Array) -> np.ndarray:
+    """Whether each value but the first is another one than that before it, null being a value."""
+    there, value = column.is_valid().to_numpy(zero_copy_only=False), pc.fill_null(column, b"")
+    return (there[1:] != there[:-1]) | pc.not_equal(value[1:], value[:-1]).to_numpy(zero_copy_only=False)
+
+
+def listed(rows: pa.RecordBatch, starts: list[int]) -> pa.RecordBatch:
+    """(word, other, seen) of the rows that begin at starts, seen a list."""
+    first, offsets = rows.take(pa.array(starts)), pa.array([*starts, rows.num_rows], pa.int32())
+    return pa.RecordBatch.from_arrays([first.column("word"), first.column("other"), pa.ListArray.from_arrays(offsets, rows.column("seen"))], names=["word", "other", "seen"])
 
 
 def nothing() -> Column:
@@ -480,8 +589,8 @@ def nothing() -> Column:
 
 
 def binaries(offsets: np.ndarray, values: np.ndarray) -> pa.Array:
-    """Binary values that end at the offsets, in bytes."""
-    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(values.astype("<i8"))])
+    """The bytes of the values, cut at the offsets."""
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
 
 def slots_of(batch: pa.RecordBatch, name: str, classes: int) -> np.ndarray:
@@ -490,7 +599,7 @@ def slots_of(batch: pa.RecordBatch, name: str, classes: int) -> np.ndarray:
     parts = lists.flatten()
     row = np.repeat(np.arange(m), lists.value_lengths().to_numpy(zero_copy_only=False))
     size = pc.binary_length(parts).to_numpy(zero_copy_only=False) // 8
-    x = np.frombuffer(b"".join(parts.to_pylist()), "<i8")
+    x = np.frombuffer(joined_bytes(parts), "<i8")
     return np.bincount(np.repeat(row, size) * (2 * classes) + (x >> 56), x & COUNT, m * 2 * classes).reshape(m, 2 * classes)
 
 
@@ -518,9 +627,9 @@ def in_contexts(contexts: DataFrame, of: DataFrame, classes: int) -> DataFrame:
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.frombuffer(b"".join(batch.column("seen").to_pylist()), "<i8")
+            x = np.frombuffer(joined_bytes(batch.column("seen")), "<i8")
             x = x + (batch.column("other_class").to_numpy().astype(np.int64) << 56)
-            yield pa.RecordBatch.from_arrays([batch.column("word"), binaries(np.arange(len(x) + 1) * 8, x)], names=["word", "seen"])
+            yield pa.RecordBatch.from_arrays([batch.column("word"), binaries(np.arange(len(x) + 1) * 8, x.astype("<i8"))], names=["word", "seen"])
 
     pairs = contexts.where("other is not null").select("word", "other", F.explode("seen").alias("seen"))
     joined = pairs.join(of.select(F.col("word").alias("other"), F.col("class").alias("other_class")), "other").select("word", "seen", "other_class")
@@ -603,19 +712,36 @@ class Model:
     norms: np.ndarray
 
 
-def fit(docs: DataFrame, text: str = "text", classes: int = CLASSES) -> Model:
-    """The model of all texts of docs."""
+def vocabulary(docs: DataFrame, text: str) -> tuple[int, int, dict[bytes, int]]:
+    """(tokens, distinct ones, dictionary) of all texts."""
     counts = saved(count_words(docs, text), "word-counts")
     total, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     dictionary = often(counts)
     dropped(counts)
-    places = {w: i for i, w in enumerate(dictionary)}
-    seen = saved(neighbours(docs, places, text), "neighbours")
-    of, both = exchange_dictionary(seen, len(places), classes)
+    return total, types, dictionary
+
+
+def places_of(dictionary: dict[bytes, int]) -> dict[bytes, int]:
+    return {w: i for i, w in enumerate(dictionary)}
+
+
+def fit(docs: DataFrame, text: str = "text", classes: int = CLASSES) -> Model:
+    """The model of all texts of docs."""
+    words = vocabulary(docs, text)
+    found = saved(coded(docs.select(text), places_of(words[2]), text, (text,)), "codes")
+    model = fit_codes(found, *words, classes)
+    dropped(found)
+    return model
+
+
+def fit_codes(codes: DataFrame, total: int, types: int, dictionary: dict[bytes, int], classes: int = CLASSES) -> Model:
+    """The model of the texts that codes are of."""
+    seen = saved(packed_neighbours(codes, len(dictionary)), "neighbours")
+    of, both = exchange_dictionary(seen, len(dictionary), classes)
     dropped(seen)
-    found = docs.sparkSession.createDataFrame(pa.table({"word": pa.array(dictionary, pa.binary()), "n": pa.array(dictionary.values(), pa.int64()), "class": pa.array(of.astype(np.int32))}))
+    found = codes.sparkSession.createDataFrame(pa.table({"word": pa.array(dictionary, pa.binary()), "n": pa.array(dictionary.values(), pa.int64()), "class": pa.array(of.astype(np.int32))}))
     if types > len(dictionary):
-        contexts = saved(count_contexts(docs, places, of, classes, text), "contexts")
+        contexts = saved(count_contexts(codes, of, classes), "contexts")
         rows, both = exchange_others(contexts, both)
         found = saved(found.unionByName(occurring(rows, classes)), "word-classes")
         dropped(contexts)
@@ -660,32 +786,46 @@ def of_joined(rows: DataFrame, model: Model) -> DataFrame:
     return mapped(rows, run, "__row long, __more double, __more_known long, __more_transitions double, __more_norms double")
 
 
+MADE = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def scored(docs: DataFrame, model: Model, text: str = "text", drop: tuple[str, ...] = ()) -> DataFrame:
     """docs with n_tokens, n_known, train_tokens, base_score and score; the other columns stay."""
-    made = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
-    shared = docs.sparkSession.sparkContext.broadcast((model.dictionary, model.word_class, model.transitions, model.norms))
+    return scored_codes(coded(docs.drop(*MADE), places_of(model.dictionary), text, drop), model)
+
+
+def fit_and_scored(docs: DataFrame, learned: Column, text: str = "text", drop: tuple[str, ...] = (), classes: int = CLASSES) -> DataFrame:
+    """scored(docs) by the model of the rows that learned is true of; each text is coded once."""
+    words = vocabulary(docs.where(learned), text)
+    others = docs.drop(*MADE)
+    flag = free("__learned", others.columns)
+    found = saved(coded(others.withColumn(flag, F.coalesce(learned, F.lit(False))), places_of(words[2]), text, drop), "codes")
+    out = scored_codes(found.drop(flag), fit_codes(found.where(flag), *words, classes))
+    dropped(found)
+    return out
+
+
+def scored_codes(docs: DataFrame, model: Model) -> DataFrame:
+    """scored() of docs with their codes, which go."""
+    dictionary = model.dictionary
+    counts = np.array(list(dictionary.values()), np.int64)
+    class_at = np.array([*(model.word_class[w] for w in dictionary), -1], np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast((counts, class_at, model.transitions, model.norms))
     fields = [
         ("__row", T.LongType()), ("__tokens", T.LongType()), ("__known", T.LongType()), ("__logs", T.DoubleType()), ("__transitions", T.DoubleType()), ("__norms", T.DoubleType()),
         ("__words", T.ArrayType(T.BinaryType())), ("__places", T.ArrayType(T.LongType())),
     ]
 
-    def start():
-        dictionary, word_class, transitions, norms = shared.value
-        where = {w: i for i, w in enumerate(dictionary)}
-        class_at = np.array([*(word_class[w] for w in dictionary), -1], np.int64)
-        counts = np.array(list(dictionary.values()), np.int64)
+    keep = [c for c in docs.columns if c not in {name for name, _ in CODED + fields}]
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(n, t) for n, t in fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, class_at, transitions, norms = shared.value
         logs, known = np.append(np.log10(counts + 0.5), 0.0), np.append(counts > 0, False)
         row = TaskContext.get().partitionId() << 33
-
-        def work(texts: list) -> list:
-            nonlocal row
-            words = [words_of(t) for t in texts]
-            sizes = np.array([len(w) for w in words], np.int64)
-            flat = list(chain.from_iterable(words))
-            at = np.fromiter(map(where.get, flat, repeat(-1)), np.int64, len(flat))
-            for k in np.flatnonzero(at < 0).tolist():
-                if len(flat[k]) > LONGEST:
-                    at[k] = where.get(kept(flat[k]), -1)
+        for part in slices(batches, "__codes"):
+            at, sizes, others = codes_of(part)
+            sizes = sizes.astype(np.int64)
             joined = np.flatnonzero(at < 0)
             second = class_at[at]
             starts = np.cumsum(sizes) - sizes
@@ -693,20 +833,18 @@ def scored(docs: DataFrame, model: Model, text: str = "text", drop: tuple[str, .
             first[starts] = 0
             after = np.append(second[1:], 0)
             after[starts + sizes - 1] = -2
-            added = lambda x: np.add.reduceat(x, starts)
+            added = lambda x: np.add.reduceat(x, starts)  # noqa: E731, B023
             both = (first >= 0) & (second >= 0)
-            cuts = pa.array(np.searchsorted(joined, np.append(starts, len(flat))).astype(np.int32))
+            cuts = np.searchsorted(joined, np.append(starts, len(at))).astype(np.int32)
             position = joined - np.repeat(starts, np.diff(cuts))
             place = (position << 16) | ((first[joined] + 2) << 8) | (after[joined] + 2)
-            lists = [pa.ListArray.from_arrays(cuts, x) for x in (pa.array([kept(flat[k]) for k in joined.tolist()], pa.binary()), pa.array(place))]
-            rows = np.arange(row, row + len(texts))
-            row += len(texts)
-            return [pa.array(x) for x in (rows, sizes, added(known[at].astype(np.int64)), added(logs[at]), added(np.where(both, transitions[first, second], 0.0)), added(np.where(second >= 0, norms[second], 0.0)))] + lists
-
-        return work
+            lists = [pa.ListArray.from_arrays(pa.array(cuts), x) for x in (others, pa.array(place))]
+            rows = np.arange(row, row + part.num_rows)
+            row += part.num_rows
+            made = (rows, sizes, added(known[at].astype(np.int64)), added(logs[at]), added(np.where(both, transitions[first, second], 0.0)), added(np.where(second >= 0, norms[second], 0.0)))
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *map(pa.array, made), *lists], names=schema.names)
 
-    others = docs.drop(*made)
-    local = saved(with_columns(others, text, fields, start, drop), "scores")
+    local = saved(mapped(docs, run, schema), "scores")
     joined = local.select("__row", F.explode(F.arrays_zip(F.col("__words").alias("word"), F.col("__places").alias("place"))).alias("w")).select("__row", "w.*").join(model.counts, "word", "left")
     guessed = F.get(F.array(*map(F.lit, model.unknown)), ending("word"))
     one = F.struct("place", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("class", F.when(F.octet_length("word") == 0, 0).otherwise(guessed)).alias("class"))
@@ -714,8 +852,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text", drop: tuple[str, .
     more = lambda c: F.coalesce(c, F.lit(0.0))
     logs = F.col("__logs") + more("__more")
     every = float(np.log10(model.total + 0.5 * (model.types + 1)))
-    columns = [c for c in others.columns if c not in drop]
     return local.drop("__words", "__places").join(back, "__row", "left").select(
-        *columns, F.col("__tokens").alias("n_tokens"), (F.col("__known") + F.coalesce("__more_known", F.lit(0))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"),
+        *keep, F.col("__tokens").alias("n_tokens"), (F.col("__known") + F.coalesce("__more_known", F.lit(0))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"),
         (logs - F.col("__tokens") * every).alias("base_score"), (logs + F.col("__transitions") + more("__more_transitions") - F.col("__norms") - more("__more_norms")).alias("score"),
     )

@@ -31,8 +31,7 @@ def op3_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram and class-bigram scores of every text, learned from four of five folds."""
     docs = table(spark, sf_dir, "documents")
     held_out = lang_id.fold("doc_id") == 1
-    model = brown_lm.fit(docs.where(~held_out))
-    return brown_lm.scored(docs.select("doc_id", held_out.alias("held_out"), "text"), model, drop=("text",))
+    return brown_lm.fit_and_scored(docs.select("doc_id", held_out.alias("held_out"), "text"), ~F.col("held_out"), drop=("text",))
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
