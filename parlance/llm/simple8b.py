@@ -20,11 +20,12 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, islice, repeat
 from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -193,6 +194,27 @@ class ChunkIds(dict):
         trim(self, KEPT_CHUNKS)
         return [b"".join(map(self.__getitem__, t.split())) if t else b"" for t in texts]
 
+    def encode_column(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, each with end_id after it; how many each has). A chunk is looked up once a column."""
+        if not self.apart:
+            coded = self.encode(texts.cast(pa.binary()).to_pylist())
+            end = array("I", [end_id]).tobytes()
+            return np.frombuffer(b"".join(chain.from_iterable(zip(coded, repeat(end), strict=False))), "<u4"), np.array([len(x) // 4 + 1 for x in coded], np.int64)
+        trim(self.words, KEPT_WORDS)
+        trim(self, KEPT_CHUNKS)
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        found = lists.flatten().dictionary_encode()
+        coded = [array("I", [end_id]).tobytes(), *map(self.__getitem__, found.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist())]
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        flat, starts = np.frombuffer(b"".join(coded), "<u4"), np.cumsum(sizes) - sizes
+        n_chunks = lists.value_lengths().to_numpy()
+        at = np.zeros(len(found) + len(texts), np.int64)  # 0: the end
+        at[np.arange(len(found)) + np.repeat(np.arange(len(texts)), n_chunks)] = found.indices.to_numpy() + 1
+        n = sizes[at]
+        to = np.cumsum(n)
+        values = flat[np.repeat(starts[at] - to + n, n) + np.arange(to[-1] if len(to) else 0)]
+        return values, np.diff(to[np.cumsum(n_chunks + 1) - 1], prepend=0)
+
 
 def segments(doc_id_type: T.DataType) -> T.StructType:
     return T.StructType([
@@ -210,7 +232,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_json: str, end_id: int, doc_
     """
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
     schema = segments(docs.schema[doc_id].dataType)
-    end, apart = array("I", [end_id]).tobytes(), cuts_apart(tokenizer_json)
+    apart = cuts_apart(tokenizer_json)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -219,10 +241,9 @@ def write_ids(docs: DataFrame, path: str, tokenizer_json: str, end_id: int, doc_
         out, shard = to_arrow_schema(schema), TaskContext.get().partitionId()
         first = 0
         for i, part in enumerate(slices(batches, "text")):
-            coded = [x + end for x in ids.encode(part.column("text").cast(pa.binary()).to_pylist())]
-            values = np.frombuffer(b"".join(coded), "<u4")
+            values, lengths = ids.encode_column(part.column("text"), end_id)
             words, offsets = encode(values)
-            row = [shard, i, first, len(values), part.column("doc_id").to_pylist(), [len(x) // 4 for x in coded], BLOCK, offsets.tolist(), words.astype("<u8").tobytes()]
+            row = [shard, i, first, len(values), part.column("doc_id").to_pylist(), lengths.tolist(), BLOCK, offsets.tolist(), words.astype("<u8").tobytes()]
             first += len(values)
             yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, out, strict=True)], names=out.names)
 
