@@ -24,18 +24,21 @@ def components(links: DataFrame) -> DataFrame:
 
     Every vertex takes its smallest neighbour as parent if that is smaller, links are redrawn between parents, and so on
     until no link joins two vertices. Minima are added up before each shuffle, so a hub is no hot spot. Loops, repeated
-    links and an empty table are fine. Joins on a hub or on the root of a large component are salted.
+    links and an empty table are fine. Joins on a hub or on the root of a large component are salted. The links are read
+    several times, so they are best a saved table.
     """
-    edges = saved(links.where("a <> b").select("a", "b").distinct(), "links")
-    labels = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node"))
+    edges, labels = links.where("a <> b").select("a", "b"), None
     for _ in range(MOST_ROUNDS):
         if edges.isEmpty():
-            return saved(labels, "labels")
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")) if labels is None else saved(labels, "labels")
         both = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
         parents = both.groupBy(F.col("a").alias("root")).agg(F.min("b").alias("parent")).select("root", F.least("root", "parent").alias("parent"))
         jump = parents.select(F.col("root").alias("parent"), F.col("parent").alias("above"))
         parents = saved(parents.join(jump, "parent", "left").select("root", F.coalesce("above", "parent").alias("parent")), "parents")
-        labels = salted_join(labels, parents, "root", "node", how="left").select("node", F.coalesce("parent", "root").alias("root"))
+        if labels is None:  # every node has a link
+            labels = parents.select(F.col("root").alias("node"), F.col("parent").alias("root"))
+        else:
+            labels = salted_join(labels, parents, "root", "node", how="left").select("node", F.coalesce("parent", "root").alias("root"))
         pa = parents.select(F.col("root").alias("a"), F.col("parent").alias("pa"))
         pb = parents.select(F.col("root").alias("b"), F.col("parent").alias("pb"))
         moved = salted_join(salted_join(edges, pa, "a", "b"), pb, "b", "a").where("pa <> pb")
