@@ -13,6 +13,15 @@ MOST_ROUNDS = 64
 SALTS = 16
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df as a side of a join of which neither side is broadcast.
+
+    Spark takes a table for as large as its compressed files, an array for one element and rows after an explode for as many as before, so it
+    would send hundreds of MB through the driver.
+    """
+    return df.hint("merge")
+
+
 def salted_join(many: DataFrame, few: DataFrame, key: str, by: str, salts: int = SALTS, how: str = "inner") -> DataFrame:
     """many.join(few, key), where a key may have very many rows in many, told apart by the column `by`: few is repeated for each salt."""
     spread = many.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
@@ -34,14 +43,14 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
         parents = both.groupBy(F.col("a").alias("root")).agg(F.min("b").alias("parent")).select("root", F.least("root", "parent").alias("parent"))
         jump = parents.select(F.col("root").alias("parent"), F.col("parent").alias("above"))
-        parents = saved(parents.join(jump, "parent", "left").select("root", F.coalesce("above", "parent").alias("parent")), "parents")
+        parents = saved(parents.join(shuffled(jump), "parent", "left").select("root", F.coalesce("above", "parent").alias("parent")), "parents")
         if labels is None:  # every node has a link
             labels = parents.select(F.col("root").alias("node"), F.col("parent").alias("root"))
         else:
-            labels = salted_join(labels, parents, "root", "node", how="left").select("node", F.coalesce("parent", "root").alias("root"))
+            labels = salted_join(shuffled(labels), parents, "root", "node", how="left").select("node", F.coalesce("parent", "root").alias("root"))
         pa = parents.select(F.col("root").alias("a"), F.col("parent").alias("pa"))
         pb = parents.select(F.col("root").alias("b"), F.col("parent").alias("pb"))
-        moved = salted_join(salted_join(edges, pa, "a", "b"), pb, "b", "a").where("pa <> pb")
+        moved = salted_join(shuffled(salted_join(shuffled(edges), pa, "a", "b")), pb, "b", "a").where("pa <> pb")
         edges = saved(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "links")
     raise RuntimeError(f"components: links are left after {MOST_ROUNDS} rounds")
 
@@ -49,4 +58,4 @@ def components(links: DataFrame) -> DataFrame:
 def joined_further(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels (node, root) after further links (a, b) between their roots. Only those roots are worked on, not the links that made them."""
     moved = components(links).select(F.col("node").alias("root"), F.col("root").alias("to"))
-    return saved(salted_join(labels, moved, "root", "node", how="left").select("node", F.coalesce("to", "root").alias("root")), "labels")
+    return saved(salted_join(shuffled(labels), moved, "root", "node", how="left").select("node", F.coalesce("to", "root").alias("root")), "labels")

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parlance.llm.arrow import mapped, with_columns
-from parlance.llm.components import components, joined_further, salted_join
+from parlance.llm.components import components, joined_further, salted_join, shuffled
 from parlance.llm.storage import saved
 from parlance.llm.words import SHINGLE, WordHashes, mixed, shingles_of_text
 
@@ -218,7 +218,7 @@ def group_of(text: str, n: str):
 def spread(pairs: DataFrame, sets: DataFrame, key: str, salt: str, name: str) -> DataFrame:
     """(key, salt, name): the elements of each text of the pairs' column key. A text of many pairs is repeated for each salt of them, and only for those."""
     wanted = pairs.groupBy(key).agg(F.collect_set(salt).alias(salt))
-    return wanted.join(sets.select(F.col("tid").alias(key), F.col("elements").alias(name)), key).select(key, name, F.explode(salt).alias(salt))
+    return wanted.join(shuffled(sets.select(F.col("tid").alias(key), F.col("elements").alias(name))), key).select(key, name, F.explode(salt).alias(salt))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float, *columns: str) -> DataFrame:
@@ -230,7 +230,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float, *columns: str
             ok = [jaccard(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) >= similarity for x, y in zip(left, right, strict=True)]
             yield batch.select(list(columns)).filter(pa.array(ok, pa.bool_()))
 
-    both = pairs.join(spread(pairs, sets, "a", "salt_a", "left"), ["a", "salt_a"])
+    both = pairs.join(shuffled(spread(pairs, sets, "a", "salt_a", "left")), ["a", "salt_a"])
     return mapped(both.select(*columns, "left", "right"), run, ", ".join(f"{c} long" for c in columns))
 
 
@@ -241,7 +241,7 @@ def met():
 def unsettled(members: DataFrame) -> DataFrame:
     """(tid, root, met) of the members (tid, root, bucket, n, band) of buckets with several classes; met: these buckets."""
     several = members.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("bucket")
-    return salted_join(members, several, "bucket", "tid").groupBy("tid").agg(F.first("root").alias("root"), met())
+    return salted_join(shuffled(members), several, "bucket", "tid").groupBy("tid").agg(F.first("root").alias("root"), met())
 
 
 def next_reach(members: DataFrame, reach: int) -> tuple[int, int]:
@@ -310,44 +310,45 @@ def classed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
 
     buckets = texts.select("tid", F.posexplode("bands").alias("band", "bucket"))
     heads = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = saved(salted_join(buckets, heads, "bucket", "tid").groupBy("tid").agg(met(), F.sum("n").alias("meets")), "buckets")
+    shared = saved(salted_join(shuffled(buckets), heads, "bucket", "tid").groupBy("tid").agg(met(), F.sum("n").alias("meets")), "buckets")
     each = shared.select("tid", "meets", F.inline("met"))
     hubs = each.groupBy("bucket").agg(F.max(F.struct("meets", "tid")).alias("h")).select("bucket", F.struct(F.col("h.tid").alias("tid"), F.col("h.meets").alias("meets")).alias("hub"))
-    wanted = salted_join(each.drop("meets"), hubs, "bucket", "tid").groupBy("tid").agg(met(), F.collect_set("hub").alias("hubs"))
-    sets = saved(sets_of(docs, texts.select("tid", "doc_id", "fp").join(wanted, "tid"), doc_id, text, width), "sets")
+    wanted = salted_join(shuffled(each.drop("meets")), hubs, "bucket", "tid").groupBy("tid").agg(met(), F.collect_set("hub").alias("hubs"))
+    sets = saved(sets_of(docs, texts.select("tid", "doc_id", "fp").join(shuffled(wanted), "tid"), doc_id, text, width), "sets")
 
     pairs = sets.select(F.col("tid").alias("b"), F.col("elements").alias("right"), F.inline("hubs")).where("tid <> b")
     links = saved(verified(pairs.select(F.col("tid").alias("a"), "b", group_of("b", "meets").alias("salt_a"), "right"), sets, similarity, "a", "b"), "links")
     first = components(links).withColumnRenamed("node", "tid")
-    roots = saved(sets.select("tid").join(first, "tid", "left").select(F.col("tid").alias("node"), F.coalesce("root", "tid").alias("root")), "labels")
+    roots = saved(sets.select("tid").join(shuffled(first), "tid", "left").select(F.col("tid").alias("node"), F.coalesce("root", "tid").alias("root")), "labels")
 
     # members of buckets with several classes, of which not all pairs between classes have been compared
-    classes = lambda: roots.withColumnRenamed("node", "tid")
+    classes = lambda: shuffled(roots.withColumnRenamed("node", "tid"))
     members = unsettled(sets.select("tid", F.inline("met")).where("n > 2").join(classes(), "tid"))
-    members = saved(members.withColumn("bands", F.col("met")).join(sets.select("tid", "size", "digests"), "tid"), "unsettled")
+    members = saved(members.withColumn("bands", F.col("met")).join(shuffled(sets.select("tid", "size", "digests")), "tid"), "unsettled")
     before, (reach, most) = 0, next_reach(members, 0)
     while most > 0:
         fresh = saved(between(members, before, reach, similarity), "pairs")
         if not fresh.isEmpty():
-            ends = fresh.join(spread(fresh, sets, "b", "salt_b", "right"), ["b", "salt_b"])
+            ends = fresh.join(shuffled(spread(fresh, sets, "b", "salt_b", "right")), ["b", "salt_b"])
             more = saved(verified(ends, sets, similarity, "root_a", "root_b"), "links")
             if not more.isEmpty():
                 roots = joined_further(roots, more.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
         if reach >= most:
             break
         left = unsettled(members.select("tid", F.inline("met")).where(F.col("n") > reach).join(classes(), "tid"))
-        members = saved(left.join(members.drop("root", "met"), "tid"), "unsettled")
+        members = saved(left.join(shuffled(members.drop("root", "met")), "tid"), "unsettled")
         before, (reach, most) = reach, next_reach(members, reach)
     joined = texts.select("words_key", "tid").join(classes(), "tid", "left")
     named = joined.select("words_key", F.coalesce("root", "tid").alias("class_key"))
-    return rows.select("doc_id", "fp", "words_key").join(named, "words_key", "left").select("doc_id", "fp", "class_key")
+    return rows.select("doc_id", "fp", "words_key").join(shuffled(named), "words_key", "left").select("doc_id", "fp", "class_key")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, width: int = SHINGLE) -> DataFrame:
     """(doc_id, class_id) for each row; a class is named by its smallest doc_id."""
     rows = saved(classed(docs, doc_id, text, similarity, width), "classed")
-    names = rows.where(F.col("class_key").isNotNull()).groupBy("class_key").agg(F.min("doc_id").alias("class_id"))
-    return rows.join(names, "class_key", "left").select("doc_id", F.when(F.col("class_key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+    # saved, so that a large class's rows aren't held together by the aggregate's shuffle
+    names = saved(rows.where(F.col("class_key").isNotNull()).groupBy("class_key").agg(F.min("doc_id").alias("class_id")), "names")
+    return rows.join(shuffled(names), "class_key", "left").select("doc_id", F.when(F.col("class_key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, width: int = SHINGLE) -> DataFrame:
