@@ -34,11 +34,11 @@ class History:
         self.tables = tables
 
     def publish(self, documents: DataFrame, removed: DataFrame | None = None, generations: DataFrame | None = None) -> int:
-        """Replace what is there of the meetings of documents (meeting, name, markdown, title, body), and drop removed (meeting).
+        """Replace what is there of the meetings of documents (meeting, name, markdown, title, body), and drop removed (meeting), also where both name one.
 
         generations: (meeting, generation) that these documents were made from; no other change is acknowledged.
         """
-        rows = documents.persist()
+        rows = (documents if removed is None else documents.join(removed.select("meeting").distinct(), "meeting", "left_anti")).persist()
         words = search.postings(rows, "meeting", "title", "body")
         sizes = words.groupBy("meeting").agg(F.count(F.lit(1)).alias("words"))
         shown = logged(rows.join(sizes, "meeting", "left").select("meeting", "name", "markdown", F.coalesce("words", F.lit(0)).cast("long").alias("words")))
@@ -64,7 +64,7 @@ class History:
 
     def lengths(self, at: int | None = None) -> DataFrame:
         rows = self.tables.table("documents", "meeting long, words long, gone boolean", at)
-        newest = rows.groupBy("meeting").agg(F.max_by(F.struct("words", "gone", "version"), "version").alias("r"))
+        newest = rows.groupBy("meeting").agg(F.max_by(F.struct("words", "gone", "version"), F.struct("version", F.coalesce("gone", F.lit(False)))).alias("r"))
         return newest.where("r.gone IS NOT TRUE AND r.words > 0").select("meeting", F.col("r.words").alias("size"), "r.version")
 
     def index(self, terms: list[str], at: int | None = None) -> DataFrame:

@@ -133,10 +133,10 @@ class Versions:
         return T.StructType([*plain.fields, T.StructField("version", T.IntegerType()), T.StructField("kind", T.StringType())])
 
     def current(self, name: str, schema: T.StructType | str, *keys: str, at: int | None = None) -> DataFrame:
-        """Of a log, the newest row of each key unless it is gone, with its version; schema leaves out `gone`."""
+        """Of a log, the newest row of each key unless it is gone, also where its commit has another row of it, with its version; schema leaves out `gone`."""
         plain = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
         rows = self.table(name, T.StructType([*plain.fields, T.StructField("gone", T.BooleanType())]), at)
-        newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*plain.names, "gone", "version"), "version").alias("r"))
+        newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*plain.names, "gone", "version"), F.struct("version", F.coalesce("gone", F.lit(False)))).alias("r"))
         return newest.where("r.gone IS NOT TRUE").select("r.*").drop("gone")
 
     def changes(self, name: str, schema: T.StructType | str, after: int) -> DataFrame:
