@@ -88,38 +88,95 @@ def nearest_elsewhere(voices: DataFrame) -> DataFrame:
     return best.select("speaker_id", "meeting", "b.nearest", "b.score")
 
 
+#: Scores that are held at once.
+SCORES = 1 << 24
+
+
+class Centres:
+    """Centres of groups, and of each the closest one after it in order.
+
+    `best` and `at` may be out of date after a merge: then best is an upper bound, and the row is scored again only when it would be chosen. So memory is
+    the vectors, and time about one product of the vectors with one of them a merge.
+    """
+
+    def __init__(self, vectors: np.ndarray, sizes: np.ndarray, apart: list[set[int]]):
+        self.centre, self.weight, self.apart = np.array(vectors, float), np.array(sizes, float), apart
+        self.norm = np.sqrt((self.centre * self.centre).sum(1))
+        self.centre = np.where((self.norm > 0)[:, None], self.centre, 0.0)
+        self.unit = self.centre / np.maximum(self.norm, 1e-300)[:, None]
+        self.alive = np.ones(len(self.norm), bool)
+        self.best, self.at = np.full(len(self.norm), -np.inf), np.zeros(len(self.norm), np.int64)
+        self.stale = np.zeros(len(self.norm), bool)
+        for first in range(0, len(self.norm), step := max(1, SCORES // max(len(self.norm), 1))):
+            self.rescore(np.arange(first, min(first + step, len(self.norm))))
+
+    def rescore(self, rows: np.ndarray) -> None:
+        score = self.unit[rows] @ self.unit.T
+        score[:, ~self.alive] = -np.inf
+        score[np.arange(score.shape[1]) <= rows[:, None]] = -np.inf
+        for k, i in enumerate(rows.tolist()):
+            if self.apart[i]:
+                score[k, list(self.apart[i])] = -np.inf
+        self.at[rows] = score.argmax(1)
+        self.best[rows] = score[np.arange(len(rows)), self.at[rows]]
+        self.stale[rows] = False
+
+    def closest(self) -> tuple[int, int, float]:
+        """The first of the closest pairs, and its score."""
+        while self.stale[i := int(self.best.argmax())]:
+            self.rescore(np.array([i]))
+        return i, int(self.at[i]), self.best[i]
+
+    def merge(self, i: int, j: int) -> None:
+        """Group j goes into group i, which is before it."""
+        centre = (self.centre[i] * self.weight[i] + self.centre[j] * self.weight[j]) / (self.weight[i] + self.weight[j])
+        length = np.sqrt(centre @ centre)
+        self.centre[i] = centre / length if length > 0 else centre
+        self.norm[i] = np.sqrt((self.centre[i] * self.centre[i]).sum())
+        self.unit[i] = self.centre[i] / max(self.norm[i], 1e-300)
+        self.weight[i] += self.weight[j]
+        self.alive[j], self.best[j], self.stale[j] = False, -np.inf, False
+        for k in self.apart[j]:
+            self.apart[k].discard(j)
+            self.apart[k].add(i)
+        self.apart[i] |= self.apart[j]
+        now = self.centre @ self.centre[i] / np.maximum(self.norm, 1e-300)
+        now[~self.alive] = -np.inf
+        if self.apart[i]:
+            now[list(self.apart[i])] = -np.inf
+        now[i] = -np.inf
+        # rows before i see it anew; those that were closest to i or j may have another closest
+        n, lost = now[:i], (self.at == i) | (self.at == j)
+        nearer = (n > self.best[:i]) | ((n == self.best[:i]) & (n > -np.inf) & (self.stale[:i] | lost[:i] | (i < self.at[:i])))
+        fresh = nearer & ((n > self.best[:i]) | ~self.stale[:i])
+        self.stale[:i] |= lost[:i] & self.alive[:i]
+        self.stale[i + 1 : j] |= lost[i + 1 : j] & self.alive[i + 1 : j]
+        self.best[:i][fresh], self.at[:i][fresh], self.stale[:i][fresh] = n[fresh], i, False
+        self.at[i] = i + int(now[i:].argmax())
+        self.best[i], self.stale[i] = now[self.at[i]], False
+
+
 def merge_closest(vectors: np.ndarray, sizes: np.ndarray, threshold: float, blocked: list[set[int]] | None = None) -> list[list[int]]:
     """Groups of rows, the closest pair of centres merged first until none is closer than threshold.
 
     blocked[i]: rows that i must not join; merging hands them on. Of equally close pairs the first in order is merged.
     """
     groups: list[list[int]] = [[i] for i in range(len(vectors))]
-    centre, weight = np.array(vectors, float), np.array(sizes, float)
-    bars = [set(b) for b in blocked] if blocked else [set() for _ in groups]
-    norm = np.sqrt((centre * centre).sum(1))
-    unit = np.where((norm > 0)[:, None], centre / np.maximum(norm, 1e-300)[:, None], 0.0)
-    score = unit @ unit.T
-    score[np.tril_indices(len(score))] = -np.inf
-    for i, b in enumerate(bars):
+    if not groups:
+        return []
+    apart: list[set[int]] = [set() for _ in groups]
+    for i, b in enumerate(blocked or ()):
         for j in b:
-            score[min(i, j), max(i, j)] = -np.inf
-    while score.size:
-        i, j = np.unravel_index(int(score.argmax()), score.shape)
-        if score[i, j] < threshold:
+            apart[i].add(j)
+            apart[j].add(i)
+    centres = Centres(vectors, sizes, apart)
+    while True:
+        i, j, score = centres.closest()
+        if score < threshold or score == -np.inf:
             break
-        centre[i] = (centre[i] * weight[i] + centre[j] * weight[j]) / (weight[i] + weight[j])
-        length = np.sqrt(centre[i] @ centre[i])
-        centre[i] = centre[i] / length if length > 0 else centre[i]
-        weight[i] += weight[j]
+        centres.merge(i, j)
         groups[i] += groups[j]
         groups[j] = []
-        bars[i] |= bars[j]
-        score[j, :], score[:, j] = -np.inf, -np.inf
-        now = np.where((np.sqrt((centre * centre).sum(1)) > 0)[:, None], centre, 0.0) @ centre[i] / np.maximum(np.sqrt((centre * centre).sum(1)), 1e-300)
-        for k in range(len(groups)):
-            if k != i and groups[k]:
-                barred = any(g in bars[i] for g in groups[k]) or any(g in bars[k] for g in groups[i])
-                score[min(i, k), max(i, k)] = -np.inf if barred else now[k]
     return [sorted(g) for g in groups if g]
 
 
@@ -136,7 +193,8 @@ def grouped_ids(ids: list[int], vectors: np.ndarray, threshold: float, blocked:
         groups += [[at + i for i in g] for g in local]
     if len(ids) > block:
         centre = np.array([vectors[g].mean(0) for g in groups])
-        own = [{k for k, h in enumerate(groups) if any(x in bars[i] for i in g for x in h)} for g in groups]
+        group_of = {i: k for k, g in enumerate(groups) for i in g}
+        own = [{group_of[x] for i in g for x in bars[i]} for g in groups]
         groups = [sorted(i for k in g for i in groups[k]) for g in merge_closest(centre, np.array([len(g) for g in groups]), threshold, own)]
     return {ids[i]: ids[min(g)] for g in groups for i in g}
 
