@@ -60,6 +60,32 @@ def provisional(observations: DataFrame) -> DataFrame:
     return observations.where(F.size("frames") > 0).select("meeting", "id", mean.alias("vector"))
 
 
+#: Scores that are held at once.
+SCORES = 1 << 21
+
+
+def best_two(unit: np.ndarray, voices: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each row its closest voice (the first of equals, -1 without voices), that score and the next (0 if there is none); for each voice the row that is closest to it, the last of equals.
+
+    Scores are made and left in blocks, so memory is that of the rows and voices.
+    """
+    n, m = len(unit), len(voices)
+    first, score, after = np.full(n, -1), np.zeros(n), np.zeros(n)
+    favourite, liking = np.full(m, -1), np.full(m, -np.inf)
+    for at in range(0, n if m else 0, step := max(1, SCORES // max(m, 1))):
+        block = unit[at : at + step] @ voices.T
+        rows = np.arange(len(block))
+        most = block.max(0)
+        better = np.flatnonzero(most >= liking)
+        favourite[better], liking[better] = at + len(block) - 1 - block[::-1, better].argmax(0), most[better]
+        place = block.argmax(1)
+        first[at : at + step], score[at : at + step] = place, block[rows, place]
+        if m > 1:
+            block[rows, place] = -np.inf
+            after[at : at + step] = block.max(1)
+    return first, score, after, favourite
+
+
 def replayed(chapters: DataFrame, floor: float = matching.MATCH_FLOOR, margin: float = matching.MATCH_MARGIN) -> DataFrame:
     """(series, chapter, cluster, person, outcome, seconds): what a history would have said, chapter after chapter.
 
@@ -70,6 +96,7 @@ def replayed(chapters: DataFrame, floor: float = matching.MATCH_FLOOR, margin: f
     least_ms = upkeep.LEAST_SPEAKER_MS
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        series = rows["series"].iloc[0]
         names: list[int] = []  # who each enrolled voice first was
         sums: list[np.ndarray] = []
         out = []
@@ -77,21 +104,21 @@ def replayed(chapters: DataFrame, floor: float = matching.MATCH_FLOOR, margin: f
             known = set(names)
             v = np.array(part["vector"].tolist(), float)
             unit = v / np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1e-300)
-            score = unit @ np.array([s / max(np.sqrt(s @ s), 1e-300) for s in sums]).T if sums else np.zeros((len(v), 0))
+            voices = np.array(sums)
+            voices = voices / np.maximum(np.sqrt((voices * voices).sum(1, keepdims=True)), 1e-300) if sums else np.zeros((0, v.shape[1]))
+            first, score, next_score, favourite = best_two(unit, voices)
             taught = []
             for i, (cluster, person, seconds) in enumerate(zip(part["cluster"], part["person"], part["seconds"], strict=True)):
-                order = np.argsort(-score[i], kind="stable")
-                best = int(order[0]) if len(order) else -1
-                next_best = score[i, order[1]] if len(order) > 1 else 0.0
-                mutual = best >= 0 and int(len(v) - 1 - np.argmax(score[::-1, best])) == i
-                if best >= 0 and score[i, best] >= floor and score[i, best] - next_best >= margin and mutual:
+                best = int(first[i])
+                mutual = best >= 0 and favourite[best] == i
+                if best >= 0 and score[i] >= floor and score[i] - next_score[i] >= margin and mutual:
                     what = "correct" if names[best] == person else "wrong" if person in known else "false-attach"
                     taught.append((best, v[i]))
                 else:
                     what = "abstain-enrolled" if person in known else "correct-new"
                     if seconds * 1000 >= least_ms:
                         taught.append((-1, (person, v[i])))
-                out.append((rows["series"].iloc[0], chapter, cluster, person, what, seconds))
+                out.append((series, chapter, cluster, person, what, seconds))
             for place, what in taught:
                 if place >= 0:
                     sums[place] = sums[place] + what
